@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 
+from wayline.llm import decontaminate, language_id, packing
 from wayline.llm.near_dedup import near_duplicates
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file is."""
+    if TOKENIZERS not in sys.path:
+        sys.path.append(TOKENIZERS)
+    import public_tokenizers
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return public_tokenizers.path(name)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.learn(documents))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles at four fifths."""
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens along the curve."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document with up to six edits in a hundred characters."""
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_near_dedup": op2_near_dedup}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_near_dedup": op2_near_dedup,
+    "op6_packing": op6_packing,
+    "op9_decontamination": op9_decontamination,
+}
 ORACLE_SQL: dict[str, str] = {}
