@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, language_id, packing
+from wayline.llm import decontaminate, exact_search, html_text, language_id, packing, warc
 from wayline.llm.near_dedup import near_duplicates
 
 TOKENIZERS = "/opt/tokenizers"
@@ -36,20 +37,67 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by way of ARC to WARC files and back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens along the curve."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document with up to six edits in a hundred characters."""
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of each fiftieth vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vector"), F.col("embedding").alias("raw"))
+    # floor() makes a long of its argument, so components that aren't finite are told by the input.
+    finite = rows.where("raw is not null and forall(raw, x -> x is not null and abs(x) < double('infinity'))")
+    return exact_search.top_k(finite.where("vec_id % 50 = 0"), finite, k=5)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_html_text": op7_html_text,
     "op9_decontamination": op9_decontamination,
+    "op10_exact_search": op10_exact_search,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS holder FROM p),
+        bits AS (
+            SELECT *, list_transform(range(0, 40), lambda i: (position(substr(hex, i + 1, 1) IN '0123456789abcdef') - 1)) AS nibbles FROM s
+        ),
+        flat AS (
+            SELECT *, list_transform(range(0, 160), lambda i: (nibbles[i // 4 + 1] >> (3 - i % 4)) & 1) AS b FROM bits
+        )
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(16 * b[5 * i + 1] + 8 * b[5 * i + 2] + 4 * b[5 * i + 3] + 2 * b[5 * i + 4] + b[5 * i + 5] + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+        FROM flat
+    """,
+    "op10_exact_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS c FROM embeddings),
+        s AS (
+            SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.c, e.c) AS BIGINT) AS score
+            FROM v q JOIN v e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id
+        ),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
