@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, packing, secret_scan, warc
+from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, packing, pii, secret_scan, warc
 from wayline.llm.near_dedup import near_duplicates
 
 TOKENIZERS = "/opt/tokenizers"
@@ -37,6 +37,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=24)
@@ -78,6 +83,7 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
+    "op3_pii": op3_pii,
     "op4_kd_shards": op4_kd_shards,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
