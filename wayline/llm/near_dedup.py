@@ -235,6 +235,21 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, without those near_duplicates doesn't mark as kept.
+
+    Of rows that repeat both id and text one stays. Documents with a null id stay if their whole group has none.
+    """
+    found = near_duplicates(documents, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = cut(found.groupBy("kept_id").count())
+    own = F.col(id_col).cast("long")
+    stay = documents.join(kept.where("count = 1 or kept_id is null").select("kept_id"), own.eqNullSafe(F.col("kept_id")), "left_semi")
+    twice = kept.where("count > 1 and kept_id is not null").select("kept_id")
+    if twice.isEmpty():
+        return stay
+    return stay.unionByName(documents.join(twice, own == F.col("kept_id"), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def _same_set(width: int):
     """Keep texts whose set is that of their class: a repeated id may bring other texts along."""
 
