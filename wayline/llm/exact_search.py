@@ -58,6 +58,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
+def _as_long(score: int) -> int:
+    return max(-(2**63), min(2**63 - 1, score))
+
+
 def _scan(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, best: list, k: int) -> None:
     """Bring the best (scores, ids) of each query up to date with one block of candidates."""
     dim, n = columns.shape
@@ -66,7 +70,7 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids:
         exact = [[int(x) for x in col] for col in columns.T]
         for j, q in enumerate(queries):
             whole = [int(x) for x in q]
-            pairs = [(sum(x * y for x, y in zip(whole, col)), int(i)) for col, i in zip(exact, ids) if i != query_ids[j]]
+            pairs = [(_as_long(sum(x * y for x, y in zip(whole, col))), int(i)) for col, i in zip(exact, ids) if i != query_ids[j]]
             merged = sorted([*pairs, *zip(map(int, best[j][0]), map(int, best[j][1]))], key=lambda x: (-x[0], x[1]))[:k]
             best[j] = (np.array([s for s, _ in merged], object), np.array([i for _, i in merged], np.int64))
         return
@@ -98,7 +102,7 @@ def _search(k: int):
         now, query_ids, queries, best = None, None, None, []
 
         def result() -> pa.RecordBatch:
-            rows = [(now, j, int(query_ids[j]), int(i), max(-(2**63), min(2**63 - 1, int(s)))) for j, (scores, ids) in enumerate(best) for s, i in zip(scores, ids)]
+            rows = [(now, j, int(query_ids[j]), int(i), int(s)) for j, (scores, ids) in enumerate(best) for s, i in zip(scores, ids)]
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["block", "place", "query_id", "vec_id", "score"])
 
         for batch in batches:
@@ -120,7 +124,7 @@ def _search(k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """Each query's k highest inner products: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
-    Vectors have whole-numbered double components; scores are exact (a score beyond a long is cut to its range). A
+    Vectors have whole-numbered double components; scores are exact (one beyond a long is cut to its range first). A
     vector takes part if it and its id are not null and all components are finite; vectors of different lengths are not
     compared. Candidates with the query's own id are left out; a repeated query row is answered once for each row, and a
     repeated candidate row counts for each row. Fewer than k candidates give all of them, none no rows. Other columns
