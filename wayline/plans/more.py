@@ -118,7 +118,7 @@ def log_set_report(spark, sf):
 
 @query("logging_pause_sessions", over("console", sql="""
     SELECT log_id, session, count(*) AS n, count(*) FILTER (text LIKE '%overrun') AS overruns, min(ts_us) AS start_us FROM (
-      SELECT *, sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM console))
+      SELECT *, CAST(sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM console))
     GROUP BY ALL HAVING count(*) FILTER (text LIKE '%overrun') > 0"""))
 def logging_pause_sessions(spark, sf):
     rows = K.gap_sessions(A.console(spark, sf), ["log_id"], 50_000)

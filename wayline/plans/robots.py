@@ -149,7 +149,7 @@ def phase_power(spark, sf):
 
 _OV = {
     "mk": "SELECT *, CAST(regexp_matches(text, '(?i)loop time of [0-9.]+s overrun') AS INT) AS anchor FROM console",
-    "me": """SELECT * FROM (SELECT *, sum(anchor) OVER w AS event, last_value(CASE WHEN anchor = 1 THEN ts_us END IGNORE NULLS) OVER w AS event_us FROM mk WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING))
+    "me": """SELECT * FROM (SELECT *, CAST(sum(anchor) OVER w AS BIGINT) AS event, last_value(CASE WHEN anchor = 1 THEN ts_us END IGNORE NULLS) OVER w AS event_us FROM mk WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING))
              WHERE event > 0 AND ts_us - event_us <= 500000""",
     "ex": r"""SELECT log_id, event, event_us, component, max(CAST(s AS DOUBLE)) AS seconds FROM (
              SELECT log_id, event, event_us, unnest(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 1)) AS component, unnest(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 2)) AS s FROM me) GROUP BY ALL""",
@@ -175,7 +175,7 @@ def parse_epochs(spark, sf):
 
 @query("overrun_summary", ov("""
     SELECT c.log_id, n AS overruns, scheduler, CAST(floor(d / 0.02e6) AS BIGINT) AS loops, round(100.0 * n / floor(d / 0.02e6), 6) AS pct
-    FROM (SELECT log_id, count(*) AS n, sum(scheduler) AS scheduler FROM ev GROUP BY ALL) c JOIN (SELECT log_id, max(ts_us) - min(ts_us) AS d FROM console GROUP BY ALL) r USING (log_id)"""))
+    FROM (SELECT log_id, count(*) AS n, CAST(sum(scheduler) AS BIGINT) AS scheduler FROM ev GROUP BY ALL) c JOIN (SELECT log_id, max(ts_us) - min(ts_us) AS d FROM console GROUP BY ALL) r USING (log_id)"""))
 def overrun_summary(spark, sf):
     found = overrun_events(spark, sf).groupBy("log_id").agg(F.count("*").alias("overruns"), F.sum("scheduler").alias("scheduler"))
     spans = A.console(spark, sf).groupBy("log_id").agg(F.floor((F.max("ts_us") - F.min("ts_us")) / 20_000).alias("loops"))

@@ -41,7 +41,7 @@ _DS = "SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY ts_us, seq
 
 
 @query("ingest_dslog", over("samples", sql="""
-    SELECT log_id || '.dslog' AS path, 1704067200000000 + 20000 * i AS ts_us, i AS seq, (f % 200) * .5 AS trip_ms, round(least(1, (id % 20) * .04), 6) AS loss, 12 + (f % 256) / 256 AS volts, round((f % 200) * .005, 6) AS cpu, id % 2 = 0 AS robot_disabled FROM d""", d=_DS))
+    SELECT log_id || '.dslog' AS path, 1704067200000000 + 20000 * i AS ts_us, i AS seq, (f % 200) * .5e0 AS trip_ms, round(least(1e0, (id % 20) * .04e0), 6) AS loss, 12 + (f % 256) / 256 AS volts, round((f % 200) * .005e0, 6) AS cpu, id % 2 = 0 AS robot_disabled FROM d""", d=_DS))
 def ingest_dslog(spark, sf):
     found = D.telemetry(ds_files(spark, sf))
     return found.select("path", "ts_us", "seq", "trip_ms", r6("loss").alias("loss"), "volts", r6("cpu").alias("cpu"), "robot_disabled")
@@ -193,7 +193,7 @@ def signal_offset_by_first_move(spark, sf):
 
 
 @query("session_overrun_summary", over("samples", sql="""
-    SELECT log_id, count(*) AS sessions, sum(n) AS n, round(max(p95), 6) AS worst_p95 FROM (SELECT log_id, signal, session, count(*) AS n, quantile_cont(v_double, .95) AS p95 FROM s GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL""",
+    SELECT log_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n, round(max(p95), 6) AS worst_p95 FROM (SELECT log_id, signal, session, count(*) AS n, quantile_cont(v_double, .95) AS p95 FROM s GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL""",
     s="SELECT *, sum(nw) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) <= 100000 THEN 0 ELSE 1 END AS nw FROM samples)"))
 def session_overrun_summary(spark, sf):
     per = K.gap_sessions(A.samples(spark, sf), SIGNAL, 100_000).groupBy(*SIGNAL, "session").agg(F.count("*").alias("c"), F.percentile("v_double", F.lit(0.95)).alias("p95")).where("c >= 5")
@@ -213,7 +213,7 @@ def session_health(spark, sf):
     return rows.groupBy("log_id").agg(r6(F.avg("v_double")).alias("mean_v"), F.count_if(F.col("v_double") > 90).alias("high"), F.max("peak").alias("peak"))
 
 
-_SEG = "SELECT *, sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM samples)"
+_SEG = "SELECT *, CAST(sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM samples)"
 _ACT = "SELECT log_id, session, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n FROM s GROUP BY log_id, session HAVING max(ts_us) - min(ts_us) >= 100000"
 
 

@@ -52,7 +52,7 @@ _CELL = "CASE WHEN trunc(x / .5) BETWEEN 0 AND 33 AND trunc(y / .5) BETWEEN 0 AN
 _scalar("field_cell", "odometry", lambda: ["seq", G.field_cell(F.col("x"), F.col("y")).alias("cell")], f"seq, {_CELL} AS cell")
 _scalar("parse_pose_array", "odometry", lambda: ["seq", F.array("x", "y", "theta_deg")[0].alias("px"), r6(F.radians(F.array("x", "y", "theta_deg")[2])).alias("theta")], "seq, x AS px, round(radians(theta_deg), 6) AS theta")
 _scalar("parse_botpose", "vision", lambda: ["seq", r6(F.when(F.col("tag_count") == 1, 0.6).otherwise(1.0) * F.when(F.col("latency_ms") > 30, 0.5).when(F.col("latency_ms") > 20, 0.8).otherwise(1.0)).alias("confidence")],
-        "seq, round((CASE WHEN tag_count = 1 THEN .6 ELSE 1.0 END) * (CASE WHEN latency_ms > 30 THEN .5 WHEN latency_ms > 20 THEN .8 ELSE 1.0 END), 6) AS confidence")
+        "seq, round((CASE WHEN tag_count = 1 THEN .6e0 ELSE 1e0 END) * (CASE WHEN latency_ms > 30 THEN .5e0 WHEN latency_ms > 20 THEN .8e0 ELSE 1e0 END), 6) AS confidence")
 _scalar("parse_imu_array", "odometry", lambda: ["seq", r6(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).alias("accel"), F.round(F.abs(F.col("theta_deg")) / 20, 8).alias("gravity")], "seq, round(sqrt(x * x + y * y), 6) AS accel, round(abs(theta_deg) / 20, 8) AS gravity")
 _scalar("parse_axis_accel", "samples", lambda: ["seq", r6(F.col("v_double") * 9.81).alias("accel")], "seq, round(v_double * 9.81, 6) AS accel")
 _scalar("parse_hw", "samples", lambda: ["seq", F.array("v_double", F.col("v_double") / 2)[0].alias("temp"), r6(F.array("v_double", F.col("v_double") / 2)[1]).alias("usage")], "seq, v_double AS temp, round(v_double / 2, 6) AS usage")
@@ -77,7 +77,7 @@ def tags_to_field_positions(spark, sf):
     return A.tags(spark, sf).join(F.broadcast(layout), "tag_id").groupBy("frame_id").agg(F.count("*").alias("known"), r6(F.avg("fx")).alias("mean_x"))
 
 
-@query("tag_geometry_terms", over("tags", sql="SELECT frame_id, round(sum(1 / (dist * dist)), 6) AS harmonic, round(coalesce(stddev_pop(dist), 0), 6) AS spread, round(max(tag_id * 11.25) - min(tag_id * 11.25), 6) AS baseline FROM tags GROUP BY ALL"))
+@query("tag_geometry_terms", over("tags", sql="SELECT frame_id, round(sum(1 / (dist * dist)), 6) AS harmonic, round(coalesce(stddev_pop(dist), 0), 6) AS spread, round(max(tag_id * 11.25e0) - min(tag_id * 11.25e0), 6) AS baseline FROM tags GROUP BY ALL"))
 def tag_geometry_terms(spark, sf):
     bearing = F.col("tag_id") * 11.25
     return A.tags(spark, sf).groupBy("frame_id").agg(
@@ -243,13 +243,13 @@ def tag_id_table(spark, sf):
     )
 
 
-@query("tag_rollup", over("tags", "frames", sql="SELECT tag_id, sum(n) AS n, round(sum(m * n) / sum(n), 6) AS mean_v FROM (SELECT tag_id, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) GROUP BY ALL"))
+@query("tag_rollup", over("tags", "frames", sql="SELECT tag_id, CAST(sum(n) AS BIGINT) AS n, round(sum(m * n) / sum(n), 6) AS mean_v FROM (SELECT tag_id, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) GROUP BY ALL"))
 def tag_rollup(spark, sf):
     per = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").groupBy("tag_id", "log_id").agg(F.count("*").alias("n"), F.avg("ambiguity").alias("m"))
     return per.groupBy("tag_id").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
 
 
-@query("band_rollup", over("tags", "frames", sql="SELECT band, sum(n) AS n, round(sum(m * n) / sum(n), 6) AS mean_v FROM (SELECT CAST(floor(dist) AS BIGINT) AS band, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) GROUP BY ALL"))
+@query("band_rollup", over("tags", "frames", sql="SELECT band, CAST(sum(n) AS BIGINT) AS n, round(sum(m * n) / sum(n), 6) AS mean_v FROM (SELECT CAST(floor(dist) AS BIGINT) AS band, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) GROUP BY ALL"))
 def band_rollup(spark, sf):
     per = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").groupBy(F.floor("dist").alias("band"), "log_id").agg(F.count("*").alias("n"), F.avg("ambiguity").alias("m"))
     return per.groupBy("band").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
