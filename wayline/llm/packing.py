@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import mix64, stored
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 PARTITION_TOKENS = 1 << 22
 BITS, DIMENSIONS = 16, 3
 
@@ -149,21 +149,27 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _signs(vocabulary: int) -> np.ndarray:
-    """One row of +-1 for each token: the projection of its hash bucket."""
+    """One 0 or 1 per dimension for each token, the projection of its hash bucket, side by side in fields of 21 bits."""
     buckets = mix64(np.arange(vocabulary, dtype=np.uint64)) % np.uint64(4096)
     bits = mix64(buckets + np.uint64(1 << 20))
-    return np.stack([((bits >> np.uint64(j)) & np.uint64(1)).astype(np.int8) * 2 - 1 for j in range(DIMENSIONS)], axis=1)
+    return sum((((bits >> np.uint64(j)) & np.uint64(1)) << np.uint64(21 * j)).astype(np.int64) for j in range(DIMENSIONS))
+
+
+def _sign_counts(tokens: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """How many tokens project to 1 in each dimension; a field holds the sums of 2**20 tokens."""
+    out = np.zeros(DIMENSIONS, np.int64)
+    for at in range(0, len(tokens), 1 << 20):
+        packed = int(signs[tokens[at : at + (1 << 20)]].sum())
+        out += [(packed >> (21 * j)) & ((1 << 21) - 1) for j in range(DIMENSIONS)]
+    return out
 
 
 def _curve_keys(tokens: list[np.ndarray], vocabulary: int) -> np.ndarray:
     """Hilbert keys of documents from the mean projected sign of their tokens; 0 for documents without tokens."""
     sizes = np.array([len(t) for t in tokens], np.int64)
-    means = np.zeros((len(tokens), DIMENSIONS))
-    full = np.flatnonzero(sizes)
-    if len(full):
-        starts = np.cumsum(sizes[full]) - sizes[full]
-        signs = _signs(vocabulary)[np.concatenate([tokens[i] for i in full])]
-        means[full] = np.add.reduceat(signs, starts, axis=0, dtype=np.int64) / sizes[full, None]
+    signs = _signs(vocabulary)
+    counts = np.array([_sign_counts(t, signs) for t in tokens], np.int64).reshape(-1, DIMENSIONS)
+    means = 2 * counts / np.maximum(sizes, 1)[:, None] - 1
     cells = ((np.clip(means * 4, -1, 1) + 1) / 2 * ((1 << BITS) - 1)).astype(np.uint64)
     return np.where(sizes > 0, hilbert_keys(cells, BITS), 0)
 
