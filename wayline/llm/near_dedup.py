@@ -17,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.common import cut, shingle_set, stored
 from wayline.llm.components import connected_components
 
 SKETCH = 64
-COUNTERS = 1 << 18
-HOT_LIST = 128
+BUCKETS = 1 << 18
+HOT_LIST = 32
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -63,59 +63,15 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _counter(value):
-    return F.pmod(F.shiftright(value, 20), F.lit(COUNTERS)).cast("int")
-
-
-def _prefixes(counts, percent: int, k: int):
-    """Rows (v, uid, n) for the values of each sketch that are listed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        bound = least_shared(k, percent)
-        for batch in batches:
-            uid, n = batch.column("uid").to_numpy(), batch.column("n").to_numpy()
-            lists = batch.column("sketch")
-            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            out = []
-            for i in range(len(uid)):
-                values = flat[ends[i] : ends[i + 1]]
-                need = -(-percent * int(n[i]) // 100)
-                # A set of over percent of k may meet a larger one, of which only the sketch is known.
-                shared = need if n[i] * 100 <= percent * k else min(need, bound)
-                rank = table[(values >> 20) % COUNTERS]
-                out.append(values[np.lexsort((values, rank))[: len(values) - shared + 1]])
-            sizes = [len(x) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64()), pa.array(np.repeat(uid, sizes), pa.int64()), pa.array(np.repeat(n, sizes), pa.int64())],
-                ["v", "uid", "n"],
-            )
-
-    return run
-
-
-def _full_prefixes(width: int, percent: int, counts):
-    """The same from whole sets: at the threshold two sets share a value among the rarest 100 - percent per cent."""
+def _full_sets(width: int):
+    """Rows (v, uid, n): all values of the sets of crowded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
         for batch in batches:
-            rows = []
-            for uid, one, two, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "one", "two", "text"))):
-                values = shingle_set(text, width)
-                if len(values) and _digest(values) == (one, two):
-                    rank = table[(values >> 20) % COUNTERS]
-                    listed = values[np.lexsort((values, rank))[: len(values) - -(-percent * len(values) // 100) + 1]]
-                    rows.append((listed, uid, len(values)))
-            sizes = [len(x[0]) for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([x[0] for x in rows]) if rows else np.empty(0, np.int64), pa.int64()),
-                    pa.array(np.repeat(np.array([x[1] for x in rows], np.int64), sizes), pa.int64()),
-                    pa.array(np.repeat(np.array([x[2] for x in rows], np.int64), sizes), pa.int64()),
-                ],
-                ["v", "uid", "n"],
-            )
+            uids, sets = batch.column("uid").to_pylist(), [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            columns = (np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.array(uids, np.int64), sizes), np.repeat(sizes, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "uid", "n"])
 
     return run
 
@@ -153,12 +109,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     null component_id and are all kept. Repeated rows are all returned, with the same component. Other columns are
     ignored, whatever their names; an empty table gives no rows.
 
-    Equal sets are one class from the start. Lists are first joined as stars: each member is held against the list's
-    smallest class. Members whose components differ then are held against each other; if a list is longer than
-    HOT_LIST, its members are listed again by the rarest fifth of their full sets, so that documents which merely share
-    a passage part. A large group of copies costs a number of pairs in proportion to its size.
+    Equal sets are one class from the start. Lists are first joined as stars: each member is held against one other that
+    stands for the list. Members whose components differ then are held against each other; if a
+    list is longer than HOT_LIST, its members are listed again by the rarest part of their full sets, by counts among
+    themselves, so that documents which merely share a passage part. A large group of copies costs a number of pairs in
+    proportion to its size.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = stored(docs.mapInArrow(_sketches(width, SKETCH), "id long, n long, one long, two long, sketch array<long>"), "sketches")
     classes = stored(
@@ -166,20 +122,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .withColumn("uid", F.monotonically_increasing_id()),
         "classes",
     )
-    counts = np.zeros(COUNTERS, np.int64)
-    # At most COUNTERS rows come to the driver, whatever the corpus.
-    tally = classes.select(F.explode("sketch").alias("v")).groupBy(_counter(F.col("v")).alias("c")).count().toArrow()
-    counts[tally.column("c").to_numpy()] = tally.column("count").to_numpy()
-    counts = spark.sparkContext.broadcast(counts)
-
-    texts = (
-        docs.join(classes.select("uid", "rep", "one", "two"), docs["id"].eqNullSafe(F.col("rep")))
-        .select("uid", "one", "two", "text")
-    )
+    def texts_of(uids: DataFrame) -> DataFrame:
+        """Rows uid, one, two, text for the classes asked for; the shuffle takes the texts whose id falls into a wanted bucket."""
+        wanted = cut(classes.select("uid", "rep", "one", "two").join(uids, "uid"))
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+        # At most BUCKETS rows are broadcast, whatever the corpus.
+        near = F.broadcast(wanted.select(bucket("rep").alias("bucket")).distinct())
+        some = docs.withColumn("bucket", bucket("id")).join(near, "bucket", "left_semi")
+        return some.join(wanted, some["id"].eqNullSafe(F.col("rep"))).select("uid", "one", "two", "text")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes those that are links: estimated by union sketches, then by full sets."""
-        sketches = classes.select("uid", "sketch")
+        # Half of each value is enough to estimate with.
+        sketches = classes.select("uid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
         both = (
             pairs.join(sketches.select(F.col("uid").alias("a"), F.col("sketch").alias("left")), "a")
             .join(sketches.select(F.col("uid").alias("b"), F.col("sketch").alias("right")), "b")
@@ -190,38 +145,71 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         least = F.size(union) * p - 6 * F.sqrt(F.size(union) * p * (1 - p))
         likely = cut(both.where(shared >= least).select("a", "b"))
         wanted = likely.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        needed = stored(texts.join(wanted, "uid").mapInArrow(_same_set(width), "uid long, text string"), "texts")
+        needed = stored(texts_of(wanted).mapInArrow(_same_set(width), "uid long, text string"), "texts")
         rows = (
             likely.join(needed.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
             .join(needed.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
         )
         return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long"))
 
-    listed = classes.mapInArrow(_prefixes(counts, percent, SKETCH), "v long, uid long, n long")
-    heads = listed.groupBy("v").agg(F.count("*").alias("size"), F.min("uid").alias("head")).where("size > 1")
-    members = stored(listed.join(heads, "v").select("v", "uid", "n", "size", "head"), "lists")
-    edges = confirmed(members.where("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")).distinct())
-    roots = cut(connected_components(edges))
-
-    def apart(lists: DataFrame) -> DataFrame:
+    # The rarest values of each sketch. Values of one document only are in no list but come first in the order.
+    retained = classes.select(F.explode("sketch").alias("v"), "uid", "n")
+    frequent = retained.groupBy("v").agg(F.count("*").alias("docs")).where("docs > 1")
+    found = retained.join(frequent, "v")
+    need = F.ceil(F.lit(percent) * F.col("n") / 100)
+    # A set of over percent of the sketch's size may meet a larger one, of which only the sketch is known.
+    shared = F.when(F.col("n") * 100 <= percent * SKETCH, need).otherwise(F.least(need, F.lit(least_shared(SKETCH, percent))))
+    alone = F.least(F.col("n"), F.lit(SKETCH)) - F.count("*").over(Window.partitionBy("uid"))
+    place = F.row_number().over(Window.partitionBy("uid").orderBy("docs", "v"))
+    first = found.withColumns({"place": place + alone, "last": F.least(F.col("n"), F.lit(SKETCH)) - shared + 1}).where("place <= last")
+    listed = stored(first.select("v", "uid", "n"), "listed")
+    members = listed.join(listed.groupBy("v").count().where("count > 1").select("v"), "v")
+
+    def named(lists: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows of the lists that reach into several components, with the component of each member."""
-        named = lists.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        mixed = named.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
-        return named.select("v", "uid", "n", "root").join(mixed.select("v", "size"), "v")
-
-    def across(lists: DataFrame) -> DataFrame:
-        """Pairs of one list in different components whose sizes allow a link."""
-        left = lists.select("v", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        right = lists.select("v", F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        fits = F.expr(f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        rows = lists.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        mixed = rows.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        return cut(rows.join(mixed.select("v"), "v"))
+
+    def stars(lists: DataFrame) -> DataFrame:
+        """Each member with its list's head. Heads are drawn by hash, one of four draws per list, so that a document meets several."""
+        draw = F.xxhash64(F.col("uid"), F.pmod(F.col("v"), F.lit(4)))
+        heads = lists.groupBy("v").agg(F.min(F.struct(draw.alias("draw"), "uid", "n")).alias("head"))
+        fits = F.expr(f"uid <> head.uid and 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
+        pairs = lists.join(heads, "v").where(fits)
+        return pairs.select(F.least("uid", "head.uid").alias("a"), F.greatest("uid", "head.uid").alias("b")).distinct()
+
+    def across(lists: DataFrame, placed: bool = False) -> DataFrame:
+        """Pairs of one list in different components whose sizes allow a link.
+
+        With the place of the value in either set's order, the first value that a pair has in common leaves room for no
+        more common ones than come after it in both; pairs that this bound rules out aren't made.
+        """
+        place = F.col("place") if placed else F.lit(1)
+        left = lists.select("v", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), place.alias("p_a"))
+        right = lists.select("v", F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), place.alias("p_b"))
+        fits = F.expr(
+            f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+            f" and {100 + percent} * (least(n_a - p_a, n_b - p_b) + 1) >= {percent} * (n_a + n_b)"
+        )
         return left.join(right, "v").where(fits).select("a", "b").distinct()
 
-    open_lists = cut(apart(members.select("v", "uid", "n")))
-    pairs = across(open_lists.where(F.col("size") <= HOT_LIST))
-    crowded = open_lists.where(F.col("size") > HOT_LIST).select("uid").distinct()
+    members = stored(members, "lists")
+    edges = confirmed(stars(members))
+    roots = cut(connected_components(edges))
+
+    open_lists = named(members, roots)
+    sizes = open_lists.groupBy("v").count()
+    pairs = across(open_lists.join(sizes.where(F.col("count") <= HOT_LIST).select("v"), "v"))
+    crowded = cut(open_lists.join(sizes.where(F.col("count") > HOT_LIST).select("v"), "v").select("uid").distinct())
     if not crowded.isEmpty():
-        again = texts.join(crowded, "uid").mapInArrow(_full_prefixes(width, percent, counts), "v long, uid long, n long")
-        pairs = pairs.unionByName(across(apart(cut(again)))).distinct()
+        whole = stored(texts_of(crowded).mapInArrow(_same_set(width), "uid long, text string").mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
+        rare = F.struct(F.col("count"), F.col("v"))
+        counted = whole.join(cut(whole.groupBy("v").count()), "v")
+        place = F.row_number().over(Window.partitionBy("uid").orderBy(rare))
+        # At the threshold two sets share a value among the rarest 100 - percent per cent of either.
+        first = counted.withColumn("place", place).where(f"place <= n - ceil({percent} * n / 100) + 1").select("v", "uid", "n", "place")
+        pairs = pairs.unionByName(across(named(cut(first), roots), placed=True)).distinct()
     edges = edges.unionByName(confirmed(pairs.join(edges, ["a", "b"], "left_anti")))
     roots = connected_components(edges)
     members = classes.join(roots, classes["uid"] == roots["node"], "left").select("uid", "one", "two", "rep", F.coalesce("root", "uid").alias("root"))
