@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, shared_path, stored
+from wayline.llm.common import cut, shared_path
 
-FILE_BYTES = 16 << 20
+FILE_RECORDS = 1 << 14
 RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -147,7 +147,8 @@ def with_revisits(records: DataFrame) -> DataFrame:
     """Adds the page_id of the response that has a record's payload: among equal payloads the largest page_id.
 
     The choice is a pre-aggregated maximum per digest and size, joined back, so a payload that many pages share is never
-    gathered; with the choice written first, adaptive execution can split the join. Records without a page_id are responses only if no equal payload has one; rows with the same page_id and
+    gathered; with the choice written first, adaptive execution can split the join. Records are made once for the choice
+    and once for the join, which costs less than keeping the payloads. Records without a page_id are responses only if no equal payload has one; rows with the same page_id and
     payload have the same type.
     """
     chosen = cut(records.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("holder")))
@@ -219,11 +220,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warcs(records: DataFrame, path: str) -> None:
-    """Write records (CONVERTED with holder) as gzipped WARC files of about FILE_BYTES, on any file system Spark can write.
+    """Write records (CONVERTED with holder) as gzipped WARC files of at most FILE_RECORDS, on any file system Spark can write.
 
     The text sink with the record end as its line separator writes exactly a WARC file, so no file passes through Python.
     """
-    as_warc(records).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    as_warc(records).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_warcs(frame_path: str, spark) -> DataFrame:
@@ -239,9 +240,6 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     get a record. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    records = stored(convert_arcs(as_arc(pages)), "converted")
-    total = records.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
-    linked = with_revisits(records).repartition(max(1, total // FILE_BYTES))
     path = shared_path(spark, "warc")
-    write_warcs(linked, path)
+    write_warcs(with_revisits(convert_arcs(as_arc(pages))), path)
     return read_warcs(path, spark)
