@@ -218,3 +218,11 @@ def test_hilbert_neighbours_touch():
     keys = packing.hilbert_keys(grid, 3)
     assert sorted(keys) == list(range(512))
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 500, rng.integers(0, 300))) * 7919 * 512 for _ in range(2))
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in near_dedup._parities(a) ^ near_dedup._parities(b))
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0

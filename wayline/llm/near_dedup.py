@@ -26,6 +26,7 @@ from wayline.llm.components import connected_components
 SKETCH = 64
 BUCKETS = 1 << 18
 HOT_LIST = 32
+WORDS = 8
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -42,10 +43,24 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
+def _parities(values: np.ndarray) -> np.ndarray:
+    """WORDS * 64 bits, each the parity of the number of values that fall to it.
+
+    Where two sets' bits differ, one set has a value that the other lacks, and no value accounts for two such bits.
+    """
+    odd = np.bincount((values >> 9) & (WORDS * 64 - 1), minlength=WORDS * 64).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * WORDS
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64()))
+
+
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ones, twos, kept = [], [], [], []
+            sizes, ones, twos, kept, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text, width)
                 one, two = _digest(values)
@@ -53,22 +68,26 @@ def _sketches(width: int, k: int):
                 ones.append(one)
                 twos.append(two)
                 kept.append(values[:k])
+                bits.append(_parities(values))
             ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
             flat = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                ["id", "n", "one", "two", "sketch"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), _lists(bits)],
+                ["id", "n", "one", "two", "sketch", "bits"],
             )
 
     return run
 
 
 def _full_sets(width: int):
-    """Rows (v, uid, n): all values of the sets of crowded documents."""
+    """Rows (v, uid, n): all values of the sets of crowded documents, of texts that have their class's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, sets = batch.column("uid").to_pylist(), [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            keys = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())
+            good = [i for i, key in enumerate(keys) if _digest(sets[i]) == key]
+            uids, sets = [batch.column("uid")[i].as_py() for i in good], [sets[i] for i in good]
             sizes = np.array([len(x) for x in sets], np.int64)
             columns = (np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.array(uids, np.int64), sizes), np.repeat(sizes, sizes))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "uid", "n"])
@@ -116,9 +135,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     proportion to its size.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(docs.mapInArrow(_sketches(width, SKETCH), "id long, n long, one long, two long, sketch array<long>"), "sketches")
+    sketched = stored(docs.mapInArrow(_sketches(width, SKETCH), "id long, n long, one long, two long, sketch array<long>, bits array<long>"), "sketches")
     classes = stored(
-        sketched.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        sketched.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
         .withColumn("uid", F.monotonically_increasing_id()),
         "classes",
     )
@@ -186,11 +205,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         more common ones than come after it in both; pairs that this bound rules out aren't made.
         """
         place = F.col("place") if placed else F.lit(1)
-        left = lists.select("v", F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), place.alias("p_a"))
-        right = lists.select("v", F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), place.alias("p_b"))
+        lists = lists.join(classes.select("uid", "bits"), "uid")
+        side = lambda x: [F.col("uid").alias(x), *[c.alias(f"{k}_{x}") for k, c in (("n", F.col("n")), ("root", F.col("root")), ("p", place), ("bits", F.col("bits")))]]
+        left, right = lists.select("v", *side("a")), lists.select("v", *side("b"))
+        apart = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(WORDS))
         fits = F.expr(
             f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
             f" and {100 + percent} * (least(n_a - p_a, n_b - p_b) + 1) >= {percent} * (n_a + n_b)"
+            f" and {100 + percent} * (n_a + n_b - ({apart})) >= {2 * percent} * (n_a + n_b)"
         )
         return left.join(right, "v").where(fits).select("a", "b").distinct()
 
@@ -203,7 +225,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = across(open_lists.join(sizes.where(F.col("count") <= HOT_LIST).select("v"), "v"))
     crowded = cut(open_lists.join(sizes.where(F.col("count") > HOT_LIST).select("v"), "v").select("uid").distinct())
     if not crowded.isEmpty():
-        whole = stored(texts_of(crowded).mapInArrow(_same_set(width), "uid long, text string").mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
+        whole = stored(texts_of(crowded).mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
         rare = F.struct(F.col("count"), F.col("v"))
         counted = whole.join(cut(whole.groupBy("v").count()), "v")
         place = F.row_number().over(Window.partitionBy("uid").orderBy(rare))
