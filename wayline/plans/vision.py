@@ -303,10 +303,7 @@ def agreement_series(spark, sf):
     return kind_pairs(spark, sf).groupBy("log_id", F.floor(F.col("ts_us") / 1_000_000).alias("second")).agg(r4(F.avg("d")).alias("mean_d"))
 
 
-_CELL_V = _CELL
-
-
-@query("divergence_heatmap", kp(f"SELECT {_CELL_V} AS cell, count(*) AS n, round(avg(d), 4) AS mean_d FROM kp GROUP BY ALL"))
+@query("divergence_heatmap", kp(f"SELECT {_CELL} AS cell, count(*) AS n, round(avg(d), 4) AS mean_d FROM kp GROUP BY ALL"))
 def divergence_heatmap(spark, sf):
     return kind_pairs(spark, sf).groupBy(G.field_cell(F.col("x"), F.col("y")).alias("cell")).agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"))
 
