@@ -7,7 +7,6 @@ without a mandatory trigram scan all texts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
