@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
-CACHE_WORDS = 300_000
-LANE_WORDS = 1 << 20
+CACHE_WORDS = 200_000
+LANE_WORDS = 1 << 19
 
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint64)
 
@@ -250,7 +250,7 @@ class Labeller:
             missing = set(chunks).difference(self.places)
             if missing:
                 self._learn_words(sorted(missing))
-            ids = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
+            ids = np.fromiter(map(self.places.__getitem__, chunks), np.int32, len(chunks))
             if words:
                 chunks = [c for c, at in zip(chunks, ids) if at >= 0]
             ids = ids[ids >= 0]

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import mix64, stored
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 400_000
+SLICE_ROWS = 2_000
 PARTITION_TOKENS = 1 << 22
 BITS, DIMENSIONS = 16, 3
 
@@ -179,7 +180,7 @@ def _tokenise(path: str, end_id: int):
         encoder = Encoder(path)
         last = np.array([end_id], encoder.dtype).tobytes()
         vocabulary = encoder.tokenizer.get_vocab_size()
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             coded = encoder.encode(batch.column("text").to_pylist())
             keys = _curve_keys([np.frombuffer(c, encoder.dtype) for c in coded], vocabulary)
             width = encoder.dtype.itemsize
