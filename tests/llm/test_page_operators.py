@@ -43,6 +43,16 @@ def test_main_text():
     assert html_text.main_text(plain) == "\n\n".join(["Head", (PROSE * 3).strip(), "Short.", (PROSE * 3).strip()])
 
 
+def test_block_rules_run_on_every_page():
+    long = (PROSE * 3).strip()
+    links = "".join(f"<li><a href=a>Some other story number {i} of the day that you may like to read as well</a></li>" for i in range(4))
+    page = f"<body><h1>Title</h1><article><p>{long}</p><p>Last words.</p><h2>More</h2><ul>{links}</ul></article><p>{long} Outside.</p><div>Imprint</div><footer>{long}</footer>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", long, "Last words.", long + " Outside.", "Imprint"])
+    assert html_text.main_text(f"<nav><a href=a>Home</a></nav><p>{long}</p><p>One.</p><p>Two.</p><footer>c</footer>") == "\n\n".join([long, "One.", "Two."])
+    assert html_text.main_text("<nav>Home</nav><h2>Head</h2><p>A short one.</p><p>And another.</p>") == "Head\n\nA short one.\n\nAnd another."
+    assert html_text.main_text(f"<p>{long}</p><p>Near the text</p><p>Near the links</p>{links}") == long + "\n\nNear the text"
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<a href='", "<!--", "<script>", "</p></div>", "a < b > c", "<p>" * 3000, "&#0;&bad;&#x110000;", "<article></article>", "\x00"])
 def test_malformed_pages_have_a_text(html):
     assert isinstance(html_text.main_text(html), str)

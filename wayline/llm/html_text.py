@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by its density of stop words, its
-length and its share of linked text, helped by what its containers say about themselves; the second gives ambiguous
-short blocks the label of their nearest decided neighbours.
+length and its share of linked text, with what its containers say about themselves as a prior; the second gives
+ambiguous short blocks the label of their nearest decided neighbour.
 """
 
 from __future__ import annotations
@@ -65,6 +65,7 @@ class Block:
     heading: bool = False
     text: str = ""
     label: str = ""
+    final: str = ""
 
 
 def _says_around(name: str, attributes: str, in_article: bool) -> bool:
@@ -148,56 +149,93 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def _density(text: str) -> tuple[float, int]:
+    """Share of stop words among the words of a text, and the number of words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words)), len(words)
+
+
 def _first_pass(block: Block, in_article: bool) -> str:
-    """good, bad, near (good beside good) or short (ambiguous)."""
+    """good, bad, near (good beside good), short (ambiguous), heading, or around (in a container that isn't the article).
+
+    An article shifts the limits: inside it less is asked of a block's prose, outside one that the page has, fewer links
+    are allowed. It decides nothing by itself.
+    """
     if block.around:
-        return "bad"
-    if in_article:
-        return "good" if block.article else "bad"
+        return "around"
     size = len(block.text)
-    if block.linked / size > 0.5:
+    linked = block.linked / size
+    if block.heading and (block.article or linked <= 0.5):
+        return "heading"
+    if linked > (0.2 if in_article and not block.article else 0.5):
         return "bad"
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if size < 70 or len(words) < 8:
+    density, words = _density(block.text)
+    if size < 70 or words < 8:
         return "short"
+    if block.article:
+        return "good" if density >= 0.15 else "near"
     if density >= 0.3:
         return "good" if size > 200 else "near"
     return "near" if density >= 0.15 or size > 300 and density >= 0.08 else "bad"
 
 
+def _nearest(labels: list[str]) -> list[tuple[str, int]]:
+    """For each place the nearest decided label up to it and its distance; none is ("", length)."""
+    out, last, distance = [], "", len(labels)
+    for label in labels:
+        last, distance = (label, 0) if label in ("good", "bad") else (last, distance + 1 if last else distance)
+        out.append((last, distance))
+    return out
+
+
+def _second_pass(found: list[Block]) -> None:
+    """Decide near, short and heading blocks by the decided ones before and after them.
+
+    Neighbours are the blocks on the same side of the article's border that aren't in a container around it: what a
+    footer says of its own text says nothing of the paragraph above it, nor does the page's edge.
+    """
+    for article in (True, False):
+        own = [b for b in found if b.article == article and b.label != "around"]
+        before = _nearest([b.label for b in own])
+        after = _nearest([b.label for b in reversed(own)])[::-1]
+        for b, (one, far), (two, wide) in zip(own, before, after):
+            if b.label == "near":
+                b.final = "good" if "good" in (one, two) or article and not (one or two) else "bad"
+            elif b.label == "short":
+                # In the middle between a good and a bad one: the article, or the block's own words.
+                middle = "good" if article or _density(b.text)[0] >= 0.3 else "bad"
+                alone = "good" if article else "bad"
+                b.final = (one or two or alone) if one == two or not (one and two) else middle if far == wide else one if far < wide else two
+            else:
+                b.final = b.label
+    # A heading goes with its section, or with the next heading where that follows at once; the article's end ends both.
+    section, following = [], None
+    for b in reversed(found):
+        if b.label == "heading":
+            own = [x.final for x in section if x.article >= b.article]
+            if not own:
+                own = [following.final] if following and not section and following.article >= b.article else ["good" if b.article else "bad"]
+            b.final = "good" if "good" in own else "bad"
+            section, following = [], b
+        elif b.label != "around":
+            section.append(b)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by blank lines, white space inside each as one space.
 
-    Pages with an article or main element are decided by their containers; the others by the block rules.
+    All pages go through both passes. Where nothing is good, the prose-like blocks are the text, and where there are
+    none of these either, the short ones with their headings.
     """
     found = blocks(html or "")
     in_article = any(b.article and not b.around for b in found)
     for b in found:
         b.label = _first_pass(b, in_article)
-    known = [b.label if b.label in ("good", "bad") else "" for b in found]
-    before, after, last = [], [], "bad"
-    for label in known:
-        last = label or last
-        before.append(last)
-    last = "bad"
-    for label in reversed(known):
-        last = label or last
-        after.append(last)
-    after.reverse()
-    kept = []
-    for i, b in enumerate(found):
-        if b.label == "short":
-            # A heading goes with what follows it; other short blocks need good ones on both sides.
-            good = after[i] == "good" if b.heading else before[i] == after[i] == "good"
-        elif b.label == "near":
-            good = "good" in (before[i], after[i])
-        else:
-            good = b.label == "good"
-        if good:
-            kept.append(b.text)
-    if not kept and not in_article:  # nothing long enough to decide by: then the prose-like blocks
-        kept = [b.text for b in found if b.label == "near"]
+    _second_pass(found)
+    kept = [b.text for b in found if b.final == "good"]
+    kept = kept or [b.text for b in found if b.label == "near"]
+    if not kept and any(b.label == "short" for b in found):
+        kept = [b.text for b in found if b.label in ("short", "heading")]
     return "\n\n".join(kept)
 
 
