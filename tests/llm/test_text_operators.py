@@ -96,6 +96,18 @@ def test_crowded_lists_lose_no_link(documents, monkeypatch):
     assert found == {(i, c) for i, _, c in near_groups(rows, 2, 80)}
 
 
+def test_repeated_rows_in_crowded_lists_lose_no_link(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_LIST", 4)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join(passage + [f"u{i}_{j}" for j in range(rng.randint(5, 60))])) for i in range(40)]
+    rows += [(100 + i, rows[i][1].replace(f"u{i}_1", "changed")) for i in range(20)]
+    rows += [(None, rows[i][1].replace(f"u{i}_2", "other")) for i in range(20, 24)]
+    rows += [r for r in rows for _ in range(5)]
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(rows), width=2).collect())
+    assert found == near_groups(rows, 2, 80)
+
+
 def test_one_of_each_keeps_columns_and_one_row(documents):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (9, None), (None, "q r s t u v")]
     kept = near_dedup.one_of_each(documents(rows))

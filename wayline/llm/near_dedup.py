@@ -80,16 +80,13 @@ def _sketches(width: int, k: int):
 
 
 def _full_sets(width: int):
-    """Rows (v, uid, n): all values of the sets of crowded documents, of texts that have their class's set."""
+    """Rows (v, uid, n): all values of the sets of crowded classes, of one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            keys = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())
-            good = [i for i, key in enumerate(keys) if _digest(sets[i]) == key]
-            uids, sets = [batch.column("uid")[i].as_py() for i in good], [sets[i] for i in good]
             sizes = np.array([len(x) for x in sets], np.int64)
-            columns = (np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.array(uids, np.int64), sizes), np.repeat(sizes, sizes))
+            columns = (np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.array(batch.column("uid").to_pylist(), np.int64), sizes), np.repeat(sizes, sizes))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "uid", "n"])
 
     return run
@@ -225,7 +222,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = across(open_lists.join(sizes.where(F.col("count") <= HOT_LIST).select("v"), "v"))
     crowded = cut(open_lists.join(sizes.where(F.col("count") > HOT_LIST).select("v"), "v").select("uid").distinct())
     if not crowded.isEmpty():
-        whole = stored(texts_of(crowded).mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
+        # Rows that repeat an id, or have none, bring a class's text several times; its values are to be counted once.
+        once = texts_of(crowded).mapInArrow(_same_set(width), "uid long, text string").groupBy("uid").agg(F.first("text").alias("text"))
+        whole = stored(once.mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
         rare = F.struct(F.col("count"), F.col("v"))
         counted = whole.join(cut(whole.groupBy("v").count()), "v")
         place = F.row_number().over(Window.partitionBy("uid").orderBy(rare))
