@@ -81,6 +81,24 @@ def test_boosting_adds_what_looks_alike(documents):
     assert redacted[1001].text == "part 12.5 of 3" and redacted[2000].text is None and redacted[5].uid == "x"
 
 
+def test_forms_beyond_the_base_grammar_are_added(documents):
+    cards = ["4111111111111111", "5555555555554444", "4012888888881881", "5105105105105100"]
+    dotted = lambda c: ".".join(c[i : i + 4] for i in range(0, 16, 4))
+    texts = []
+    for i in range(30):
+        texts += [f"n{i} write to john{i}@mail.example.com today", f"n{i} write to john{i} [at] mail [dot] example [dot] com today", f"n{i} from user{i}@local today"]
+        texts += [f"n{i} host 10.20.30.{i} is up", f"n{i} host 2001:db8:85a3:{i}:1319:8a2e:370:7344 is up", f"n{i} unit 00:1b:44:11:3a:{i + 10} is up"]
+        texts += [f"n{i} card {cards[i % 4]} ok", f"n{i} card {dotted(cards[i % 4])} ok", f"n{i} lot 1234.5678.1234.{5600 + i * 10 + 1 + luhn(f'123456781234{5600 + i * 10 + 1}')} ok"]
+    rows = list(enumerate(texts))
+    model = pii.learn(documents(rows))
+    redacted = {r.doc_id: r.text for r in pii.redact(documents(rows), model).collect()}
+    for at, kind in ((1, "EMAIL"), (4, "IP"), (7, "CARD")):
+        assert all(f"[{kind}]" in redacted[i] for i in range(at, len(rows), 9)), kind
+    assert all(redacted[i] == texts[i] for at in (2, 5, 8) for i in range(at, len(rows), 9))
+    few = [(i, f"write to john{i} [at] mail [dot] example [dot] com") for i in range(6)]
+    assert all(r.spans.startswith("email:9:") for r in pii.find_personal_data(documents(few)).collect())
+
+
 def test_secrets_equal_brute_force(documents):
     rows = list(enumerate(SECRETS)) + [(None, "token=123456"), (2, SECRETS[2]), (2, "none here")]
     base = [r for r in secret_scan.RULES if r.base]

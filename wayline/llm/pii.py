@@ -2,7 +2,8 @@
 
 Exact rules give the base spans. Looser generators propose further, overlapping spans; boosted trees score them by
 format and context, and a threshold per kind, calibrated on documents that trees weren't grown on, selects more spans.
-The trees learn from the candidates that the exact rules confirm, from features other than those the rules decide by.
+The trees learn from labels that don't ask the exact rules: check digits, octets, digit counts and announcing words of
+the candidate, its separators and written-out signs made plain first.
 All features are small whole numbers, so what is learned from is a table of counts per combination of features: it
 covers every document, yet has at most as many rows as there are combinations.
 """
@@ -46,7 +47,11 @@ FEATURES = {"length": 5, "marks": 4, "before": 3, "after": 3, "hint": 2, "variet
 
 TREES = 12
 PRECISION = 0.95
-LEAST_POSITIVE = 20
+
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+_IPV6 = r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"
+_EMAIL = r"^[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+$"
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -70,8 +75,23 @@ def _step(value: Column, limits: list[int]) -> Column:
     return out
 
 
+def _valid(m: Column, kind: str) -> Column:
+    """The label of a candidate: whether it is right as data of its kind, however it is written."""
+    body, digits, announced = m["text"], digits_of(m["text"]), m["before"].rlike(HINTS[kind])
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(body, r"\x20?[\[(](?i:at)[\])]\x20?", "@"), r"\x20?[\[(](?i:dot)[\])]\x20?", ".")
+        return plain.rlike(_EMAIL)
+    if kind == "ip":
+        return body.rlike(_IPV4) | body.rlike(_IPV6)
+    if kind == "card":
+        return F.length(digits).between(13, 19) & passes_luhn(digits)
+    # Numbers without the sign of an international one are phones where a word says so.
+    abroad = body.rlike(r"^(?:\+|00)") & F.length(F.regexp_replace(digits, "^00", "")).between(10, 15)
+    return ~body.rlike(_IPV4) & (abroad | announced & F.length(digits).between(7, 15))
+
+
 def _candidate(m: Column, kind: str) -> Column:
-    """A candidate with its features."""
+    """A candidate with its features and its label."""
     body = m["text"]
     size = F.length(body) if kind in ("email", "ip") else F.length(digits_of(body))
     marks = F.length(F.regexp_replace(body, r"[\w]", ""))
@@ -82,6 +102,7 @@ def _candidate(m: Column, kind: str) -> Column:
         _step(size, [8, 12, 16, 24]).alias("length"), _step(marks, [1, 2, 4]).alias("marks"),
         edge(m["before"], True).alias("before"), edge(m["after"], False).alias("after"),
         m["before"].rlike(HINTS[kind]).cast("int").alias("hint"), _step(kinds_of_char, [4, 8]).alias("variety"),
+        _valid(m, kind).alias("good"),
     )
 
 
@@ -143,35 +164,44 @@ def _grow(rows: list[tuple[dict, float, float]]) -> list[tuple]:
 def learn(documents: DataFrame, text_col: str = "text") -> Model:
     """Count candidates of all documents by their features, grow trees on four fifths of them and calibrate on the rest.
 
-    A kind's threshold is the lowest score from which on candidates of the calibration part are confirmed at PRECISION;
-    kinds with fewer than LEAST_POSITIVE confirmed candidates, or no such score, get no further spans.
+    A kind's threshold is the lowest score from which on PRECISION of the calibration part's candidates have a good label,
+    and also PRECISION of those among them that no base span covers, which are the ones to be added; kinds without
+    such a score get no further spans. Where the calibration part has no candidate of a kind, the others calibrate it.
     """
     text = F.col("text")
     rows = documents.select(F.col(text_col).alias("text")).where("text is not null")
     bases = rows.select("text", *[b.alias(f"b_{k}") for k, b in base_spans(text).items()], *[c.alias(f"c_{k}") for k, c in candidates(text).items()])
     each = None
     for k in KINDS:
-        own = bases.select(F.pmod(F.xxhash64("text"), F.lit(5)).alias("part"), F.lit(k).alias("kind"), F.col(f"b_{k}").alias("b"), F.explode(f"c_{k}").alias("c"))
-        own = own.select("part", "kind", _overlaps(F.col("b"), F.col("c")).alias("good"), *[F.col("c")[f].alias(f) for f in FEATURES])
+        others = F.concat(*[F.col(f"b_{o}") for o in KINDS if o != k])
+        own = bases.select(F.pmod(F.xxhash64("text"), F.lit(5)).alias("part"), F.lit(k).alias("kind"), F.col(f"b_{k}").alias("b"), others.alias("others"), F.explode(f"c_{k}").alias("c"))
+        more = ~_overlaps(F.col("b"), F.col("c"))
+        # What lies over base spans of other kinds only is never added.
+        own = own.where(~more | ~_overlaps(F.col("others"), F.col("c")))
+        own = own.select("part", "kind", more.alias("more"), F.col("c.good").alias("good"), *[F.col("c")[f].alias(f) for f in FEATURES])
         each = own if each is None else each.unionByName(own)
-    # At most the product of all features' numbers of values, times 4 kinds and 2 parts, whatever the corpus.
+    # At most the product of all features' numbers of values, times 4 kinds, 2 parts and 2 sorts, whatever the corpus.
     table = (
-        each.groupBy("kind", (F.col("part") == 0).alias("held"), *FEATURES)
+        each.groupBy("kind", (F.col("part") == 0).alias("held"), "more", *FEATURES)
         .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()
     )
     model = Model({}, {})
     for k in KINDS:
-        grown = [({f: r[f] for f in FEATURES}, r["good"], r["bad"]) for r in table if r["kind"] == k and not r["held"]]
-        held = [({f: r[f] for f in FEATURES}, r["good"], r["bad"]) for r in table if r["kind"] == k and r["held"]]
-        if sum(r[1] for r in grown) < LEAST_POSITIVE or not held:
+        grown = [({f: r[f] for f in FEATURES}, r["good"], r["bad"], r["more"]) for r in table if r["kind"] == k and not r["held"]]
+        held = [({f: r[f] for f in FEATURES}, r["good"], r["bad"], r["more"]) for r in table if r["kind"] == k and r["held"]]
+        grown, held = grown or held, held or grown
+        if not any(r[1] for r in grown):
             continue
-        grown.sort(key=lambda r: sorted(r[0].items()))
-        trees = _grow(grown)
-        scored = sorted(((sum(t[4][_leaf(t, x)] for t in trees), p, n) for x, p, n in held), key=lambda s: -s[0])
-        good = bad = 0
-        for i, (score, p, n) in enumerate(scored):
-            good, bad = good + p, bad + n
-            if (i + 1 == len(scored) or scored[i + 1][0] < score) and good >= PRECISION * (good + bad):
+        grown.sort(key=lambda r: (sorted(r[0].items()), r[3]))
+        trees = _grow([r[:3] for r in grown])
+        scored = sorted(((sum(t[4][_leaf(t, x)] for t in trees), p, n, more) for x, p, n, more in held), key=lambda s: -s[0])
+        counts = {True: [0, 0], False: [0, 0]}
+        for i, (score, p, n, more) in enumerate(scored):
+            counts[more][0] += p
+            counts[more][1] += n
+            good, bad = (counts[True][j] + counts[False][j] for j in (0, 1))
+            sure = good >= PRECISION * (good + bad) and counts[True][0] >= PRECISION * sum(counts[True])
+            if (i + 1 == len(scored) or scored[i + 1][0] < score) and sure:
                 model.thresholds[k] = score
         if k in model.thresholds:
             model.trees[k] = trees
