@@ -108,6 +108,26 @@ def test_repeated_rows_in_crowded_lists_lose_no_link(documents, monkeypatch):
     assert found == near_groups(rows, 2, 80)
 
 
+def test_pivots_lose_no_link_among_edited_copies(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_LIST", 4)
+    rng = random.Random(7)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for i in range(220):
+        words = list(base)
+        for k in range(rng.choice([0, 1, 2, 4, 8, 8, 12, 20])):
+            words[rng.randrange(60)] = rng.choice([f"e{rng.randrange(30)}", f"u{i}_{k}"])
+        rows.append((i, " ".join(words + [f"t{i % 50}_{j}" for j in range(rng.choice([0, 0, 0, 40, 90]))])))
+    for width in (2, 5):
+        found = near_dedup.near_duplicates(documents(rows), width=width).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == near_groups(rows, width, 80)
+
+
+def test_null_ids_cost_no_pairs_of_rows_and_classes(documents):
+    rows = [(None, " ".join(f"w{i}_{j}" for j in range(12))) for i in range(400)] + [(None, " ".join(f"w{i}_{j}" for j in range(11))) for i in range(400)]
+    kept = near_dedup.one_of_each(documents(rows), width=2).collect()
+    assert len(kept) == 400 and len({r.text.split()[0] for r in kept}) == 400
+
+
 def test_one_of_each_keeps_columns_and_one_row(documents):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (9, None), (None, "q r s t u v")]
     kept = near_dedup.one_of_each(documents(rows))

@@ -5,9 +5,15 @@ propose pairs, the sketch of the pair's union estimates their similarity, and fu
 
 Two sets of similarity s share about s*k of the k smallest values of their union, and all of these are in both
 sketches. Pairs with fewer than a bound six standard deviations below that are not proposed (chance of losing a link:
-below 1e-8 for k = 64). Sets that share at least t of their k values have a value in common among the k - t + 1 that
-come first in any fixed order. The order used is rarest first, by counts over the whole corpus, so that values of
-passages which many documents share are hardly ever listed.
+below 1e-8). Sets that share at least t of their k values have a value in common among the k - t + 1 that come first in
+any fixed order. The order used is rarest first, by counts over the whole corpus, so that values of passages which many
+documents share are hardly ever listed. Lists hold the LISTED smallest values; estimates use all SKETCH of them.
+
+Where many documents are near copies of one text, and yet many pairs of them are just under the threshold, their lists
+are long whatever the order. Such members are written as differences from one member of their list, the pivot: the
+symmetric difference of two sets is that of their differences from the pivot, and what all of them share cancels out.
+Members that aren't linked to the pivot must share more than half of the other's difference, which their own edits
+leave no room for, so hardly a pair is made.
 """
 
 from __future__ import annotations
@@ -23,10 +29,12 @@ from pyspark.sql import functions as F
 from wayline.llm.common import cut, shingle_set, stored
 from wayline.llm.components import connected_components
 
-SKETCH = 64
-BUCKETS = 1 << 18
+SKETCH, LISTED = 48, 32
+BUCKETS = 1 << 20
 HOT_LIST = 32
-WORDS = 8
+WORDS, FIRST_WORDS = 8, 4
+BLOCK = 256
+NEAR = 60  # per cent of its size that a set's difference from a pivot may have to be surely written as one
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -71,9 +79,10 @@ def _sketches(width: int, k: int):
                 bits.append(_parities(values))
             ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
             flat = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64), pa.int64())
+            longs = [pa.array(c, pa.int64()) for c in (sizes, ones, twos)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), _lists(bits)],
-                ["id", "n", "one", "two", "sketch", "bits"],
+                [batch.column("id"), batch.column("key"), *longs, pa.ListArray.from_arrays(pa.array(ends), flat), _lists(bits)],
+                ["id", "key", "n", "one", "two", "sketch", "bits"],
             )
 
     return run
@@ -92,26 +101,64 @@ def _full_sets(width: int):
     return run
 
 
+def _with_hubs(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """For each batch of rows sorted by (hub, salt, role, uid): the members' (hub, uid, set of the hub, own set).
+
+    A repeated row, or one whose text isn't that of its class, is passed over. One hub's set is held at a time.
+    """
+    hub, hub_set, last = None, None, None
+    for batch in batches:
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("hub", "uid", "role", "one", "two", "text")]
+        for at, uid, role, one, two, text in zip(*columns):
+            if (role == 0 and at == hub) or (role and (at != hub or (at, uid) == last)):
+                continue
+            values = shingle_set(text, width)
+            if _digest(values) != (one, two):
+                continue
+            if role == 0:
+                hub, hub_set = at, values
+            else:
+                last = (at, uid)
+                out.append((at, uid, hub_set, values))
+        yield out
+
+
 def _confirm(width: int, percent: int):
-    """Keep the pairs whose full sets are similar enough; a hub's set is kept from one row to the next."""
+    """The members whose full sets are similar enough to their hub's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last_set = None, None
-        for batch in batches:
-            a, b, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if left is not last_text:
-                    if left != last_text:
-                        last_set = shingle_set(left, width)
-                    last_text = left
-                other = shingle_set(right, width)
-                at = np.searchsorted(last_set, other)
-                shared = int((last_set[np.minimum(at, len(last_set) - 1)] == other).sum()) if len(last_set) else 0
-                good.append(shared > 0 and 100 * shared >= percent * (len(last_set) + len(other) - shared))
-            keep = np.flatnonzero(good)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"]
-            )
+        for rows in _with_hubs(width, batches):
+            good = []
+            for hub, uid, left, right in rows:
+                at = np.searchsorted(left, right)
+                shared = int((left[np.minimum(at, len(left) - 1)] == right).sum())
+                if shared and 100 * shared >= percent * (len(left) + len(right) - shared):
+                    good.append((min(hub, uid), max(hub, uid)))
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _differences(width: int, percent: int):
+    """Rows (pivot, uid, n, difference) of members near their pivot, and rows without a difference for those far from it.
+
+    Linked sets differ by at most (n + n') * (100 - percent) / (100 + percent). So if one of two linked members differs
+    from the pivot by at most NEAR per cent of its size, the other does by at most (NEAR + 100 - percent) / percent of
+    its own: both are near, or both are over NEAR per cent and far. A member between the bounds is both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _with_hubs(width, batches):
+            out = []
+            for hub, uid, left, right in rows:
+                apart, n = np.setxor1d(left, right, assume_unique=True), len(right)
+                if percent * len(apart) <= (NEAR + 100 - percent) * n:
+                    out.append((hub, uid, n, apart))
+                if 100 * len(apart) > NEAR * n:
+                    out.append((None, uid, n, None))
+            longs = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([r[3] for r in out], pa.list_(pa.int64()))], ["pivot", "uid", "n", "difference"])
 
     return run
 
@@ -126,58 +173,106 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ignored, whatever their names; an empty table gives no rows.
 
     Equal sets are one class from the start. Lists are first joined as stars: each member is held against one other that
-    stands for the list. Members whose components differ then are held against each other; if a
-    list is longer than HOT_LIST, its members are listed again by the rarest part of their full sets, by counts among
-    themselves, so that documents which merely share a passage part. A large group of copies costs a number of pairs in
+    stands for the list. Members whose components differ then are held against each other. In lists longer than HOT_LIST
+    these are listed again: members near the list's pivot by the rarest part of their difference from it, the others by
+    the rarest part of their full sets, by counts among themselves. A large group of copies costs a number of pairs in
     proportion to its size.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(docs.mapInArrow(_sketches(width, SKETCH), "id long, n long, one long, two long, sketch array<long>, bits array<long>"), "sketches")
+    sketched, members = _components(documents, id_col, text_col, width, percent)
+    smallest = members.groupBy("root").agg(F.min("rep.id").alias("component_id"))
+    named = members.join(smallest, "root").select("one", "two", "component_id")
+    filled = sketched.where("n > 0").select("id", "n", "one", "two").join(named, ["one", "two"])
+    empty = sketched.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    return filled.select("id", "n", "component_id").unionByName(empty).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, one row of each group of near-duplicates.
+
+    It is the row with the smallest id, one with a null id only if the group has no other; of its rows that repeat both
+    id and text one stays. A document with an empty set has no near-duplicates and stays.
+    """
+    sketched, members = _components(documents, id_col, text_col, width, percent)
+    best = cut(members.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("kept_id"), F.col("rep.key").alias("kept_key")))
+    own, key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    chosen = lambda kept: own.eqNullSafe(F.col("kept_id")) & (key == F.col("kept_key"))
+    empty = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    alike = sketched.where("n > 0").groupBy("id", "key").count().where("count > 1")
+    twice = cut(best.join(alike, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi"))
+    once = best.join(twice.select(F.col("kept_id").alias("i"), F.col("kept_key").alias("k")), F.col("kept_id").eqNullSafe(F.col("i")) & (F.col("kept_key") == F.col("k")), "left_anti")
+    stay = documents.where(~empty).join(once, chosen(once), "left_semi").unionByName(documents.where(empty))
+    if twice.isEmpty():
+        return stay
+    return stay.unionByName(documents.where(~empty).join(twice, chosen(twice), "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def _components(documents: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched documents (id, key, n, one, two, ...) and their classes (one, two, rep, root); key is a hash of the text."""
+    text = F.col(text_col)
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    sketched = stored(
+        docs.mapInArrow(_sketches(width, SKETCH), "id long, key long, n long, one long, two long, sketch array<long>, bits array<long>"), "sketches"
+    )
+    # The document that stands for a class is told by id and text: ids may be null or repeated.
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     classes = stored(
-        sketched.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+        sketched.where("n > 0").groupBy("one", "two").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
         .withColumn("uid", F.monotonically_increasing_id()),
         "classes",
     )
-    def texts_of(uids: DataFrame) -> DataFrame:
-        """Rows uid, one, two, text for the classes asked for; the shuffle takes the texts whose id falls into a wanted bucket."""
-        wanted = cut(classes.select("uid", "rep", "one", "two").join(uids, "uid"))
-        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+
+    def with_texts(tasks: DataFrame) -> DataFrame:
+        """The tasks (with a column uid) and the digest and text of their class; only texts whose hash falls into a wanted bucket are shuffled."""
+        wanted = cut(tasks.join(classes.select("uid", "one", "two", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key")), "uid"))
+        bucket = lambda c: F.pmod(c, F.lit(BUCKETS))
         # At most BUCKETS rows are broadcast, whatever the corpus.
-        near = F.broadcast(wanted.select(bucket("rep").alias("bucket")).distinct())
-        some = docs.withColumn("bucket", bucket("id")).join(near, "bucket", "left_semi")
-        return some.join(wanted, some["id"].eqNullSafe(F.col("rep"))).select("uid", "one", "two", "text")
+        near = F.broadcast(wanted.select(bucket("rep_key").alias("bucket")).distinct())
+        some = docs.withColumn("bucket", bucket(F.col("key"))).join(near, "bucket", "left_semi")
+        same = some["id"].eqNullSafe(F.col("rep_id")) & (some["key"] == F.col("rep_key"))
+        return some.join(wanted, same).select(*tasks.columns, "one", "two", "text")
+
+    def in_blocks(pairs: DataFrame) -> DataFrame:
+        """Texts of the pairs (hub, uid) in blocks of about BLOCK members, each led by the hub's text."""
+        sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        dealt = cut(pairs.join(sizes, "hub").select("hub", "uid", F.pmod(F.xxhash64("uid"), F.col("blocks")).alias("salt")))
+        hubs = dealt.select("hub", F.col("hub").alias("uid"), "salt").distinct().withColumn("role", F.lit(0))
+        rows = with_texts(dealt.withColumn("role", F.lit(1)).unionByName(hubs))
+        return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "uid")
+
+    def apart(words: int) -> str:
+        """The number of parities that differ in the first words, at most that of values that one set has and the other lacks."""
+        return " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(words))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes those that are links: estimated by union sketches, then by full sets."""
         # Half of each value is enough to estimate with.
-        sketches = classes.select("uid", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
-        both = (
-            pairs.join(sketches.select(F.col("uid").alias("a"), F.col("sketch").alias("left")), "a")
-            .join(sketches.select(F.col("uid").alias("b"), F.col("sketch").alias("right")), "b")
-        )
-        union = F.slice(F.array_sort(F.array_union("left", "right")), 1, SKETCH)
-        shared = F.size(F.array_intersect(union, F.array_intersect("left", "right")))
+        sketches = classes.select("uid", "n", "bits", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
+        side = lambda x: sketches.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "sketch")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = both.where(f"{100 + percent} * (n_a + n_b - ({apart(WORDS)})) >= {2 * percent} * (n_a + n_b)")
+        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+        shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
         p = percent / 100
         least = F.size(union) * p - 6 * F.sqrt(F.size(union) * p * (1 - p))
         likely = cut(both.where(shared >= least).select("a", "b"))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        needed = stored(texts_of(wanted).mapInArrow(_same_set(width), "uid long, text string"), "texts")
-        rows = (
-            likely.join(needed.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(needed.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-        )
-        return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long"))
+        # The member of more pairs leads the block.
+        degree = cut(likely.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").count())
+        ends = likely.join(degree.select(F.col("uid").alias("a"), F.col("count").alias("of_a")), "a").join(degree.select(F.col("uid").alias("b"), F.col("count").alias("of_b")), "b")
+        led = ends.selectExpr("if(of_a >= of_b, a, b) AS hub", "if(of_a >= of_b, b, a) AS uid")
+        return cut(in_blocks(led).mapInArrow(_confirm(width, percent), "a long, b long"))
 
     # The rarest values of each sketch. Values of one document only are in no list but come first in the order.
-    retained = classes.select(F.explode("sketch").alias("v"), "uid", "n")
+    retained = classes.select(F.explode(F.slice("sketch", 1, LISTED)).alias("v"), "uid", "n")
     frequent = retained.groupBy("v").agg(F.count("*").alias("docs")).where("docs > 1")
     found = retained.join(frequent, "v")
     need = F.ceil(F.lit(percent) * F.col("n") / 100)
-    # A set of over percent of the sketch's size may meet a larger one, of which only the sketch is known.
-    shared = F.when(F.col("n") * 100 <= percent * SKETCH, need).otherwise(F.least(need, F.lit(least_shared(SKETCH, percent))))
-    alone = F.least(F.col("n"), F.lit(SKETCH)) - F.count("*").over(Window.partitionBy("uid"))
+    # A set of over percent of the listed size may meet a larger one, of which only the smallest values are known.
+    shared = F.when(F.col("n") * 100 <= percent * LISTED, need).otherwise(F.least(need, F.lit(least_shared(LISTED, percent))))
+    alone = F.least(F.col("n"), F.lit(LISTED)) - F.count("*").over(Window.partitionBy("uid"))
     place = F.row_number().over(Window.partitionBy("uid").orderBy("docs", "v"))
-    first = found.withColumns({"place": place + alone, "last": F.least(F.col("n"), F.lit(SKETCH)) - shared + 1}).where("place <= last")
+    first = found.withColumns({"place": place + alone, "last": F.least(F.col("n"), F.lit(LISTED)) - shared + 1}).where("place <= last")
     listed = stored(first.select("v", "uid", "n"), "listed")
     members = listed.join(listed.groupBy("v").count().where("count > 1").select("v"), "v")
 
@@ -187,76 +282,72 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         mixed = rows.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         return cut(rows.join(mixed.select("v"), "v"))
 
+    def heads(lists: DataFrame, draws: int) -> DataFrame:
+        """One member of each list, drawn by hash, with so many draws, so that lists of the same members share their heads."""
+        draw = F.xxhash64(F.col("uid"), F.pmod(F.col("v"), F.lit(draws)))
+        return lists.groupBy("v").agg(F.min(F.struct(draw.alias("draw"), "uid", "n")).alias("head"))
+
     def stars(lists: DataFrame) -> DataFrame:
-        """Each member with its list's head. Heads are drawn by hash, one of four draws per list, so that a document meets several."""
-        draw = F.xxhash64(F.col("uid"), F.pmod(F.col("v"), F.lit(4)))
-        heads = lists.groupBy("v").agg(F.min(F.struct(draw.alias("draw"), "uid", "n")).alias("head"))
+        """Each member with its list's head. A document meets several heads."""
         fits = F.expr(f"uid <> head.uid and 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
-        pairs = lists.join(heads, "v").where(fits)
+        pairs = lists.join(heads(lists, 4), "v").where(fits)
         return pairs.select(F.least("uid", "head.uid").alias("a"), F.greatest("uid", "head.uid").alias("b")).distinct()
 
-    def across(lists: DataFrame, placed: bool = False) -> DataFrame:
+    def across(lists: DataFrame) -> DataFrame:
         """Pairs of one list in different components whose sizes allow a link.
 
-        With the place of the value in either set's order, the first value that a pair has in common leaves room for no
-        more common ones than come after it in both; pairs that this bound rules out aren't made.
+        Listed are values of a set of m values, the document's own or its difference from a pivot, by their place in
+        it. The first value that a pair has in common leaves room for no more common ones than come after it in both;
+        pairs that this bound or their parities rule out aren't made.
         """
-        place = F.col("place") if placed else F.lit(1)
-        lists = lists.join(classes.select("uid", "bits"), "uid")
-        side = lambda x: [F.col("uid").alias(x), *[c.alias(f"{k}_{x}") for k, c in (("n", F.col("n")), ("root", F.col("root")), ("p", place), ("bits", F.col("bits")))]]
+        lists = lists.join(classes.select("uid", F.slice("bits", 1, FIRST_WORDS).alias("bits")), "uid")
+        side = lambda x: [F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "m", "root", "place", "bits")]]
         left, right = lists.select("v", *side("a")), lists.select("v", *side("b"))
-        apart = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(WORDS))
         fits = F.expr(
             f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-            f" and {100 + percent} * (least(n_a - p_a, n_b - p_b) + 1) >= {percent} * (n_a + n_b)"
-            f" and {100 + percent} * (n_a + n_b - ({apart})) >= {2 * percent} * (n_a + n_b)"
+            f" and {100 + percent} * (m_a + m_b - 2 * (least(m_a - place_a, m_b - place_b) + 1)) <= {100 - percent} * (n_a + n_b)"
+            f" and {100 + percent} * (n_a + n_b - ({apart(FIRST_WORDS)})) >= {2 * percent} * (n_a + n_b)"
         )
         return left.join(right, "v").where(fits).select("a", "b").distinct()
 
+    def rarest(sets: DataFrame, last: str) -> DataFrame:
+        """Rows v, uid, n, m, place of (space, v, uid, n, m): values of several sets of a space up to the last place, rarest first."""
+        counted = sets.join(sets.groupBy("space", "v").count().where("count > 1"), ["space", "v"])
+        own = Window.partitionBy("space", "uid")
+        alone = F.col("m") - F.count("*").over(own)
+        first = counted.withColumn("place", alone + F.row_number().over(own.orderBy("count", "v"))).where(f"place <= {last}")
+        return first.select(F.xxhash64("space", "v").alias("v"), "uid", "n", "m", "place")
+
     members = stored(members, "lists")
-    edges = confirmed(stars(members))
+    tested = cut(stars(members))
+    edges = confirmed(tested)
     roots = cut(connected_components(edges))
 
     open_lists = named(members, roots)
-    sizes = open_lists.groupBy("v").count()
-    pairs = across(open_lists.join(sizes.where(F.col("count") <= HOT_LIST).select("v"), "v"))
-    crowded = cut(open_lists.join(sizes.where(F.col("count") > HOT_LIST).select("v"), "v").select("uid").distinct())
-    if not crowded.isEmpty():
-        # Rows that repeat an id, or have none, bring a class's text several times; its values are to be counted once.
-        once = texts_of(crowded).mapInArrow(_same_set(width), "uid long, text string").groupBy("uid").agg(F.first("text").alias("text"))
-        whole = stored(once.mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
-        rare = F.struct(F.col("count"), F.col("v"))
-        counted = whole.join(cut(whole.groupBy("v").count()), "v")
-        place = F.row_number().over(Window.partitionBy("uid").orderBy(rare))
-        # At the threshold two sets share a value among the rarest 100 - percent per cent of either.
-        first = counted.withColumn("place", place).where(f"place <= n - ceil({percent} * n / 100) + 1").select("v", "uid", "n", "place")
-        pairs = pairs.unionByName(across(named(cut(first), roots), placed=True)).distinct()
-    edges = edges.unionByName(confirmed(pairs.join(edges, ["a", "b"], "left_anti")))
+    sizes = open_lists.groupBy("v").agg(F.count("*").alias("size"))
+    # The pair of a list of two has been tested.
+    lists = open_lists.join(sizes.where(F.col("size").between(3, HOT_LIST)).select("v"), "v").select("v", "uid", "n", F.col("n").alias("m"), F.lit(1).alias("place"), "root")
+    crowded = open_lists.join(sizes.where(F.col("size") > HOT_LIST).select("v"), "v")
+    pivots = cut(crowded.join(heads(crowded, 1), "v").where("uid <> head.uid").select(F.col("head.uid").alias("hub"), "uid").distinct())
+    if not pivots.isEmpty():
+        # Members that the pivot is a link to are told here, so that pairs of such members are in one component.
+        moved = stored(in_blocks(pivots).mapInArrow(_differences(width, percent), "pivot long, uid long, n long, difference array<long>"), "differences")
+        sizes = classes.select(F.col("uid").alias("pivot"), F.col("n").alias("of"))
+        close = moved.where("pivot is not null").join(sizes, "pivot").where(f"{100 + percent} * (n + of - size(difference)) >= {2 * percent} * (n + of)")
+        edges = cut(edges.unionByName(close.select(F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b"))).distinct())
+        roots = cut(connected_components(edges))
+        near = moved.where("pivot is not null").select(F.col("pivot").alias("space"), F.explode("difference").alias("v"), "uid", "n", F.size("difference").cast("long").alias("m"))
+        far = with_texts(moved.where("pivot is null").select("uid").distinct()).mapInArrow(_same_set(width), "uid long, text string")
+        # Rows that repeat both id and text bring a class's text several times; its values are to be counted once.
+        whole = stored(far.groupBy("uid").agg(F.first("text").alias("text")).mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
+        whole = whole.select(F.lit(-1).cast("long").alias("space"), "v", "uid", "n", F.col("n").alias("m"))
+        # Of two sets at the threshold, not both linked to the pivot, either has one of the values they share among these.
+        again = rarest(near, f"least(m, floor(n * {100 - percent} / {percent}) + 1)").unionByName(rarest(whole, f"n - ceil({percent} * n / 100) + 1"))
+        lists = lists.drop("root").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        lists = lists.unionByName(named(cut(again), roots))
+    edges = edges.unionByName(confirmed(across(lists).join(tested, ["a", "b"], "left_anti")))
     roots = connected_components(edges)
-    members = classes.join(roots, classes["uid"] == roots["node"], "left").select("uid", "one", "two", "rep", F.coalesce("root", "uid").alias("root"))
-    members = cut(members)
-    smallest = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = members.join(smallest, "root").select("one", "two", "component_id")
-    filled = sketched.where("n > 0").select("id", "n", "one", "two").join(named, ["one", "two"])
-    empty = sketched.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return filled.select("id", "n", "component_id").unionByName(empty).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
-
-
-def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with all their columns, without those near_duplicates doesn't mark as kept.
-
-    Of rows that repeat both id and text one stays. Documents with a null id stay if their whole group has none.
-    """
-    found = near_duplicates(documents, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-    kept = cut(found.groupBy("kept_id").count())
-    own = F.col(id_col).cast("long")
-    stay = documents.join(kept.where("count = 1 or kept_id is null").select("kept_id"), own.eqNullSafe(F.col("kept_id")), "left_semi")
-    twice = kept.where("count > 1 and kept_id is not null").select("kept_id")
-    if twice.isEmpty():
-        return stay
-    return stay.unionByName(documents.join(twice, own == F.col("kept_id"), "left_semi").dropDuplicates([id_col, text_col]))
+    return sketched, cut(classes.join(roots, classes["uid"] == roots["node"], "left").select("one", "two", "rep", F.coalesce("root", "uid").alias("root")))
 
 
 def _same_set(width: int):
