@@ -104,3 +104,32 @@ def test_phases_drop_jitter_but_keep_the_gap(spark):
     assert found == [
         ("disabled", 0, 1_000_000), ("auto", 1_000_000, 16_000_000), ("disabled", 16_000_000, 16_050_000), ("teleop", 16_050_000, 30_020_000), ("teleop", 30_020_000, 60_000_000), ("disabled", 60_000_000, 70_000_000),
     ]
+
+
+def test_asof_joins_of_a_long_log_are_linear(spark):
+    n = 200_000
+    left = spark.range(n).selectExpr("'a' as log_id", "id * 10 as ts_us", "id as seq", "id * 1.0D as v")
+    right = spark.range(n).selectExpr("'a' as log_id", "id * 10 + 4 as ts_us", "id as seq", "id * 1.0D as r")
+    near = K.asof_nearest(left, right, ["log_id"], ["r"], 5).agg(F.sum("r"), F.count("r")).first()
+    assert tuple(near) == (sum(range(n)), n)
+    ahead = K.asof_forward(left, right, ["log_id"], ["r"]).agg(F.sum("r")).first()[0]
+    assert ahead == sum(range(n))
+    path = right.select("log_id", "ts_us", "seq", F.col("r").alias("x"))
+    assert K.interpolate_join(left, path, ["log_id"], ["x"]).where("abs(p_x - (seq - .4D)) > 1e-6 and seq > 0").count() == 0
+
+
+def test_folds_work_by_stretches(spark):
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(2000), rng.randrange(50)) for _ in range(300))
+    kept, groups, last, anchor = [], [], None, None
+    for t, _ in rows:
+        if last is None or t - last > 7:
+            kept.append(t)
+            last = t
+        if anchor is None or t - anchor > 7:
+            anchor = t
+            groups.append(t)
+    frame = series(spark, rows)
+    assert sorted(r.ts_us for r in K.anchored_dedup(frame, ["log_id"], 7).collect()) == kept
+    found = K.anchored_groups(frame, ["log_id"], 7).collect()
+    assert max(r.grp for r in found) == len(groups) and len(found) == 300

@@ -1,8 +1,9 @@
 """Time-series joins and intervals that every analysis is built from.
 
 All take rows of many logs at once: keys say what belongs together, ts_us orders it, seq parts rows of one microsecond.
-As-of joins are one union and one window over the shared key: one shuffle and one sort, no nested loops, and the state
-of a task is a row, whatever the length of a log.
+As-of joins are one union and running windows over the shared key: one shuffle, a sort for each direction in time, no
+nested loops. Running frames start at one end of a key and keep one row, so the work grows with the rows, not their
+square; frames that reach ahead of the current row are written as running frames in descending order for that reason.
 """
 
 from __future__ import annotations
@@ -11,13 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _merged(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], right_first: bool) -> tuple[DataFrame, Window]:
-    """Both sides in one table with a window in time order; right rows carry their values in _r, left rows all columns in _l."""
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], right_first: bool) -> DataFrame:
+    """Both sides in one table; right rows carry their values in _r, left rows all columns in _l."""
     l_side, r_side = (1, 0) if right_first else (0, 1)
     a = left.select(*keys, "ts_us", F.col("seq").alias("_seq"), F.lit(l_side).alias("_side"), F.struct(*left.columns).alias("_l"))
     b = right.select(*keys, "ts_us", F.col("seq").alias("_seq"), F.lit(r_side).alias("_side"), F.struct(F.col("ts_us").alias("ts_us"), *values).alias("_r"))
-    rows = a.unionByName(b, allowMissingColumns=True)
-    return rows, Window.partitionBy(*keys).orderBy("ts_us", "_side", "_seq")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+_ORDER = ("ts_us", "_side", "_seq")
+
+
+def _last_before(keys: list[str]) -> Column:
+    """The right row last in order up to the current row."""
+    return F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _first_after(keys: list[str]) -> Column:
+    """The right row first in order from the current row on."""
+    return F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in _ORDER]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def _unpacked(rows: DataFrame, left: DataFrame, **extra: Column) -> DataFrame:
@@ -30,10 +43,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: li
     Right rows of one microsecond count by seq, the last wins. With clamp, left rows before the first right row get that
     row. time names a column for the matched row's ts_us.
     """
-    rows, order = _merged(left, right, keys, values, right_first=not strict)
-    found = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if clamp:
-        found = F.coalesce(found, F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = _merged(left, right, keys, values, right_first=not strict)
+    found = F.coalesce(_last_before(keys), _first_after(keys)) if clamp else _last_before(keys)
     rows = rows.withColumn("_f", found)
     extra = {v: F.col(f"_f.{v}") for v in values} | ({time: F.col("_f.ts_us")} if time else {})
     return _unpacked(rows, left, **extra)
@@ -41,12 +52,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: li
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Left rows with the values of the first right row at or after them; the last right row if there is none."""
-    rows, order = _merged(left, right, keys, values, right_first=False)
-    found = F.coalesce(
-        F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    )
-    rows = rows.withColumn("_f", found)
+    rows = _merged(left, right, keys, values, right_first=False)
+    rows = rows.withColumn("_f", F.coalesce(_first_after(keys), _last_before(keys)))
     return _unpacked(rows, left, **{v: F.col(f"_f.{v}") for v in values})
 
 
@@ -55,10 +62,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: lis
 
     Of two equally near rows the later wins (the earlier if later is false); of right rows at one microsecond the first.
     """
-    rows, order = _merged(left, right, keys, values, right_first=False)
-    before = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumns({"_b": before, "_a": after})
+    rows = _merged(left, right, keys, values, right_first=False).withColumns({"_b": _last_before(keys), "_a": _first_after(keys)})
     gap_b, gap_a = F.col("ts_us") - F.col("_b.ts_us"), F.col("_a.ts_us") - F.col("ts_us")
     wins = gap_a <= gap_b if later else gap_a < gap_b
     pick = F.when(F.col("_b").isNull() | wins, F.col("_a")).otherwise(F.col("_b"))
@@ -80,9 +84,7 @@ def lerp_angle_deg(a: Column, b: Column, part: Column) -> Column:
 def interpolate_join(left: DataFrame, path: DataFrame, keys: list[str], linear: list[str], angle: str | None = None, prefix: str = "p_", clamp: bool = True) -> DataFrame:
     """Left rows with the path's columns interpolated at their time; outside the path its ends, or null without clamp."""
     values = [*linear, *([angle] if angle else [])]
-    rows, order = _merged(left, path, keys, values, right_first=True)
-    rows = rows.withColumn("_b", F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("_a", F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    rows = _merged(left, path, keys, values, right_first=True).withColumns({"_b": _last_before(keys), "_a": _first_after(keys)})
     exact = F.col("_b.ts_us") == F.col("ts_us")
     span = F.col("_a.ts_us") - F.col("_b.ts_us")
     part = F.when(exact | (span <= 0), F.lit(0.0)).otherwise((F.col("ts_us") - F.col("_b.ts_us")) / span)
@@ -161,9 +163,17 @@ def threshold_runs(rows: DataFrame, keys: list[str], over: Column, value: str, l
     return found.where(F.col("end_us") - F.col("start_us") >= least_us).drop("run")
 
 
+def _stretches(rows: DataFrame, keys: list[str], gap_us: int, *columns: Column) -> DataFrame:
+    """Per key and stretch the rows in time order (_all). A stretch ends where the next row comes more than gap_us later.
+
+    The folds below start anew there anyway, so each stretch is folded by itself, and no key is gathered whole.
+    """
+    sessions = gap_sessions(rows, keys, gap_us)
+    return sessions.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", *columns))).alias("_all"))
+
+
 def anchored_dedup(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
-    """Keep a row if it is more than gap_us after the last one kept. Meant for few candidates per key: a fold over their times."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq"))).alias("_all"))
+    """Keep a row if it is more than gap_us after the last one kept."""
     none = F.array().cast("array<struct<ts_us:bigint,seq:bigint>>")
     first = F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("out"))
 
@@ -171,27 +181,26 @@ def anchored_dedup(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
         keep = state["last"].isNull() | (row["ts_us"] - state["last"] > gap_us)
         return F.when(keep, F.struct(row["ts_us"].alias("last"), F.concat(state["out"], F.array(row)).alias("out"))).otherwise(state)
 
-    return listed.select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
+    return _stretches(rows, keys, gap_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
 
 
 def anchored_groups(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
-    """Group number of each row (ts_us, seq, grp): a new group begins more than width_us after its first row. For few rows per key."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq"))).alias("_all"))
-    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,grp:int>>")
-    first = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.lit(0).alias("g"), none.alias("out"))
+    """Group number of each row (ts_us, seq, grp), from 1: a new group begins more than width_us after its first row."""
+    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,new:int>>")
+    first = F.struct(F.lit(None).cast("bigint").alias("anchor"), none.alias("out"))
 
     def step(state: Column, row: Column) -> Column:
         new = state["anchor"].isNull() | (row["ts_us"] - state["anchor"] > width_us)
-        g = state["g"] + F.when(new, 1).otherwise(0)
-        item = F.struct(row["ts_us"].alias("ts_us"), row["seq"].alias("seq"), g.alias("grp"))
-        return F.struct(F.when(new, row["ts_us"]).otherwise(state["anchor"]).alias("anchor"), g.alias("g"), F.concat(state["out"], F.array(item)).alias("out"))
+        item = F.struct(row["ts_us"].alias("ts_us"), row["seq"].alias("seq"), F.when(new, 1).otherwise(0).alias("new"))
+        return F.struct(F.when(new, row["ts_us"]).otherwise(state["anchor"]).alias("anchor"), F.concat(state["out"], F.array(item)).alias("out"))
 
-    return listed.select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
+    found = _stretches(rows, keys, width_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
+    order = Window.partitionBy(*keys).orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return found.select(*keys, "ts_us", "seq", F.sum("new").over(order).cast("int").alias("grp"))
 
 
 def peak_groups(rows: DataFrame, keys: list[str], width_us: int, score: str) -> DataFrame:
-    """One row (ts_us, seq, score) per group: within width_us of a group's representative the larger score replaces it. For few rows per key."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("ts_us"), F.col("seq"), F.col(score).cast("double").alias("score")))).alias("_all"))
+    """One row (ts_us, seq, score) per group: within width_us of a group's representative the larger score replaces it."""
     none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,score:double>>")
 
     def step(out: Column, row: Column) -> Column:
@@ -199,4 +208,5 @@ def peak_groups(rows: DataFrame, keys: list[str], width_us: int, score: str) ->
         better = row["score"] > F.get(out, F.size(out) - 1)["score"]
         return F.when(apart, F.concat(out, F.array(row))).when(better, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(row))).otherwise(out)
 
+    listed = _stretches(rows, keys, width_us, F.col(score).cast("double").alias("score"))
     return listed.select(*keys, F.inline(F.aggregate("_all", none, step)))

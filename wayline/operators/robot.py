@@ -156,3 +156,42 @@ def launches(samples: DataFrame, at_speed: float = 55.0, drop: float = 8.0, floo
     found = listed.select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
     kept = K.anchored_dedup(found.where(F.col("ts_us") >= debounce_us), keys, debounce_us - 1).select(*keys, "ts_us", "seq")
     return found.join(kept, [*keys, "ts_us", "seq"])
+
+
+def slip_filters(
+    rows: DataFrame, enter: float, leave: float, fast_enter: float, fast_leave: float, fixed: float = 0.8, slow: float = 0.9, fast: float = 0.4, cap: float = 5.0, least_s: float = 0.002, most_s: float = 0.1
+) -> DataFrame:
+    """Slip between pose and wheels, smoothed by one weight (slip_fixed) and by two (slip, fast), from log_id, ts_us, seq, x, y, wx, wy.
+
+    A hysteresis on wheel speed gates the update. The weight of the second filter turns fast where the raw slip exceeds
+    fast_enter and back where it falls to fast_leave; its result is cut to cap. A step in time outside (least_s, most_s)
+    sets both back to nothing, so each stretch between such steps is folded by itself.
+    """
+    order = by_time("log_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    dt = (F.col("ts_us") - F.lag("ts_us").over(order)) / 1e6
+    rows = rows.withColumns({"wheel": F.sqrt(F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy")), "dt": dt, "dx": F.col("x") - F.lag("x").over(order), "dy": F.col("y") - F.lag("y").over(order)})
+    speed = lambda d: F.when(F.col("dt") > 0.001, F.col(d) / F.col("dt")).otherwise(0.0)
+    rows = rows.withColumns({"valid": F.coalesce((F.col("dt") > least_s) & (F.col("dt") < most_s), F.lit(False)), "rx": speed("dx") - F.col("wx"), "ry": speed("dy") - F.col("wy")})
+    gate = F.coalesce(F.last(F.when(F.col("wheel") > enter, 1).when(F.col("wheel") <= leave, 0), ignorenulls=True).over(upto), F.lit(0))
+    rows = rows.withColumns({"gate": gate, "stretch": F.sum(F.when(F.col("valid"), 0).otherwise(1)).over(upto)})
+    item = F.struct("ts_us", "seq", "wheel", "valid", "gate", "rx", "ry", F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")).alias("raw"))
+    listed = rows.groupBy("log_id", "stretch").agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,wheel:double,valid:boolean,slip_fixed:double,slip:double,fast:boolean>>")
+    zero = F.lit(0.0)
+    first = F.struct(*[zero.alias(c) for c in ("fx", "fy", "vx", "vy")], F.lit(False).alias("fast"), none.alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        moves = r["valid"] & (r["gate"] == 1)
+        quick = F.when(s["fast"], r["raw"] > fast_leave).otherwise(r["raw"] > fast_enter)
+        weight = F.when(quick, F.lit(fast)).otherwise(F.lit(slow))
+        nx, ny = weight * s["vx"] + (1 - weight) * r["rx"], weight * s["vy"] + (1 - weight) * r["ry"]
+        scale = F.least(F.lit(1.0), F.lit(cap) / F.greatest(F.sqrt(nx * nx + ny * ny), F.lit(1e-12)))
+        keep = lambda new, old: F.when(moves, new).otherwise(F.when(r["valid"], old).otherwise(zero))
+        fx, fy = keep(fixed * s["fx"] + (1 - fixed) * r["rx"], s["fx"]), keep(fixed * s["fy"] + (1 - fixed) * r["ry"], s["fy"])
+        vx, vy = keep(nx * scale, s["vx"]), keep(ny * scale, s["vy"])
+        now = F.when(moves, quick).otherwise(r["valid"] & s["fast"])
+        row = F.struct(r["ts_us"].alias("ts_us"), r["seq"].alias("seq"), r["wheel"].alias("wheel"), r["valid"].alias("valid"), F.sqrt(fx * fx + fy * fy).alias("slip_fixed"), F.sqrt(vx * vx + vy * vy).alias("slip"), now.alias("fast"))
+        return F.struct(fx.alias("fx"), fy.alias("fy"), vx.alias("vx"), vy.alias("vy"), now.alias("fast"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    return listed.select("log_id", F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayline.operators import kernel as K
 from wayline.operators.basic import SIGNAL, by_time, r6
 from wayline.plans import basics, robots, studies, vision
+from wayline.plans.launch_sql import DIPS, THROUGHPUT
 from wayline.plans.views_sql import over
 from wayline.sources import adapters as A
 from wayline.sources import ds_logs as D
@@ -178,20 +179,22 @@ def responses(spark, sf):
     return K.range_join(robots.launch_events(spark, sf), right, SIGNAL, 300_000, 1_500_000)
 
 
-@query("launch_response")
+@query("launch_response", robots.la("""
+    SELECT log_id, signal, ts_us, dip, baseline, (min(r_ts_us) FILTER (r_ts_us > ts_us AND v_double >= .95e0 * baseline) - ts_us) / 1000 AS recovery_ms FROM near GROUP BY log_id, signal, ts_us, dip, baseline"""))
 def launch_response(spark, sf):
     back = (F.col("r_ts_us") > F.col("ts_us")) & (F.col("v_double") >= 0.95 * F.col("baseline"))
     return responses(spark, sf).groupBy(*SIGNAL, "ts_us", "dip", "baseline").agg(((F.min(F.when(back, F.col("r_ts_us"))) - F.col("ts_us")) / 1000).alias("recovery_ms"))
 
 
-@query("shot_windows")
+@query("shot_windows", robots.la("""
+    SELECT log_id, signal, ts_us, dip, round(pre - dip, 6) AS drop FROM (SELECT log_id, signal, ts_us, dip, median(v_double) FILTER (r_ts_us < ts_us) AS pre FROM near GROUP BY log_id, signal, ts_us, dip) WHERE pre - dip >= 8"""))
 def shot_windows(spark, sf):
     before = F.when(F.col("r_ts_us") < F.col("ts_us"), F.col("v_double"))
     found = responses(spark, sf).groupBy(*SIGNAL, "ts_us", "dip").agg(F.median(before).alias("pre"))
     return found.where(F.col("pre") - F.col("dip") >= 8).withColumn("drop", r6(F.col("pre") - F.col("dip"))).drop("pre")
 
 
-@query("throughput_launches")
+@query("throughput_launches", over("samples", recursive=True, sql="SELECT log_id, signal, ts_us, seq FROM ft WHERE kept", **THROUGHPUT))
 def throughput_launches(spark, sf):
     s = A.samples(spark, sf)
     fast = s.join(s.groupBy(*SIGNAL).agg(F.percentile("v_double", F.lit(0.95)).alias("p95")), SIGNAL)
@@ -201,23 +204,25 @@ def throughput_launches(spark, sf):
     return K.anchored_dedup(rows, SIGNAL, 150_000)
 
 
-@query("dip_recover_events")
+@query("dip_recover_events", over("samples", recursive=True, sql="SELECT log_id, signal, e_start AS start_us, e_end AS end_us, e_low AS low, round(e_top - e_low, 6) AS depth FROM fe WHERE e_start IS NOT NULL AND e_top - e_low > 30", **DIPS))
 def dip_recover_events(spark, sf):
-    """Within stretches without pauses: a fall of over 20 from one row to the next opens an event, a rise of over 20 from its lowest closes it."""
-    rows = K.gap_sessions(A.samples(spark, sf), SIGNAL, 100_000).withColumn("fall", F.lag("v_double").over(by_time(*SIGNAL)) - F.col("v_double"))
-    listed = rows.groupBy(*SIGNAL, "session").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "v_double", "fall"))).alias("r"))
-    none = F.array().cast("array<struct<start_us:bigint,end_us:bigint,low:double>>")
-    first = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("double").alias("low"), none.alias("out"))
+    """Within stretches without pauses: a fall of over 20 from one row to the next opens an event, a rise of over 20 from its lowest closes it; kept if over 30 deep."""
+    rows = K.gap_sessions(A.samples(spark, sf), SIGNAL, 100_000).withColumn("was_v", F.lag("v_double").over(by_time(*SIGNAL)))
+    listed = rows.groupBy(*SIGNAL, "session").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "v_double", "was_v"))).alias("r"))
+    none = F.array().cast("array<struct<start_us:bigint,end_us:bigint,low:double,top:double>>")
+    empty = lambda kind: F.lit(None).cast(kind)
+    first = F.struct(empty("bigint").alias("start"), empty("double").alias("low"), empty("double").alias("top"), none.alias("out"))
 
     def step(s, r):
         low = F.least(s["low"], r["v_double"])
-        event = F.struct(s["start"].alias("start_us"), r["ts_us"].alias("end_us"), low.alias("low"))
-        closed = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("double").alias("low"), F.concat(s["out"], F.array(event)).alias("out"))
-        opened = F.struct(r["ts_us"].alias("start"), r["v_double"].alias("low"), s["out"].alias("out"))
-        inside = F.struct(s["start"].alias("start"), low.alias("low"), s["out"].alias("out"))
-        return F.when(s["start"].isNull(), F.when(r["fall"] > 20, opened).otherwise(s)).when(r["v_double"] - low > 20, closed).otherwise(inside)
-
-    return listed.select(*SIGNAL, F.inline(F.aggregate("r", first, step, lambda s: s["out"])))
+        event = F.struct(s["start"].alias("start_us"), r["ts_us"].alias("end_us"), low.alias("low"), s["top"].alias("top"))
+        closed = F.struct(empty("bigint").alias("start"), empty("double").alias("low"), empty("double").alias("top"), F.concat(s["out"], F.array(event)).alias("out"))
+        opened = F.struct(r["ts_us"].alias("start"), r["v_double"].alias("low"), r["was_v"].alias("top"), s["out"].alias("out"))
+        inside = F.struct(s["start"].alias("start"), low.alias("low"), s["top"].alias("top"), s["out"].alias("out"))
+        return F.when(s["start"].isNull(), F.when(r["was_v"] - r["v_double"] > 20, opened).otherwise(s)).when(r["v_double"] - low > 20, closed).otherwise(inside)
+
+    found = listed.select(*SIGNAL, F.inline(F.aggregate("r", first, step, lambda s: s["out"])))
+    return found.where("top - low > 30").select(*SIGNAL, "start_us", "end_us", "low", r6(F.col("top") - F.col("low")).alias("depth"))
 
 
 # Reports

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayline.operators import kernel as K
 from wayline.operators import robot as R
 from wayline.operators.basic import SIGNAL, by_time, r6
+from wayline.plans.launch_sql import LAUNCHES, ROTATIONAL
 from wayline.plans.views_sql import over
 from wayline.sources import adapters as A
 
@@ -354,9 +355,9 @@ def lookback_derivative(spark, sf):
     return rows.select("seq", r6(F.col("v_double") - F.col("a_v")).alias("rise"), (F.col("ts_us") - F.col("a_us")).alias("age_us"))
 
 
-@query("hard_hits_rotational")
+@query("hard_hits_rotational", over("samples", recursive=True, sql="SELECT log_id, signal, arg_max(rt, i) AS ts_us, arg_max(rs, i) AS seq, round(max(sc), 6) AS score FROM fr GROUP BY log_id, signal, g", **ROTATIONAL))
 def hard_hits_rotational(spark, sf):
-    return R.rotational_hits(A.samples(spark, sf).where("signal = 'error'"), 2000.0, 80.0)
+    return R.rotational_hits(A.samples(spark, sf).where("signal = 'error'"), 2000.0, 80.0).withColumn("score", r6("score"))
 
 
 @query("severity_impact", over("samples", sql="SELECT seq, CASE WHEN v_double >= 100 THEN 'hard' WHEN v_double >= 50 THEN 'moderate' WHEN v_double >= 20 THEN 'light' END AS severity FROM samples"))
@@ -375,23 +376,35 @@ def severity_angular(spark, sf):
 # Launches and motors
 
 
-@query("launch_events")
+def la(sql: str) -> str:
+    return over("samples", recursive=True, sql=sql, **LAUNCHES)
+
+
+@query("launch_events", la("SELECT * FROM le"))
 def launch_events(spark, sf):
     return R.launches(A.samples(spark, sf), at_speed=40.0, drop=8.0, floor=10.0)
 
 
-@query("launch_summary")
+@query("launch_summary", la("""
+    SELECT log_id, signal, count(*) AS n, round(min(baseline - dip), 6) AS least_drop, round(max(baseline - dip), 6) AS most_drop, count(*) FILTER (gap < 2000000) AS in_bursts
+    FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM le) GROUP BY ALL"""))
 def launch_summary(spark, sf):
     rows = launch_events(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL)))
     return rows.groupBy(*SIGNAL).agg(F.count("*").alias("n"), r6(F.min(F.col("baseline") - F.col("dip"))).alias("least_drop"), r6(F.max(F.col("baseline") - F.col("dip"))).alias("most_drop"), F.count_if(F.col("gap") < 2_000_000).alias("in_bursts"))
 
 
-@query("launches_per_log")
+@query("launches_per_log", over("samples", "modes", recursive=True, sql="""
+    SELECT log_id, count(*) AS n, round(count(*) / 2.5e0, 6) AS per_minute, count(*) FILTER (phase = 'auto') AS auto, count(*) FILTER (phase = 'teleop') AS teleop
+    FROM (SELECT l.log_id, CASE WHEN l.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase FROM le l ASOF LEFT JOIN phases p ON l.log_id = p.log_id AND l.ts_us >= p.start_us) GROUP BY ALL""", **PH, **LAUNCHES))
 def launches_per_log(spark, sf):
-    return launch_events(spark, sf).groupBy("log_id").agg(F.count("*").alias("n"), r6(F.count("*") / 2.5).alias("per_minute"))
+    """Launches, those a minute of a match of two and a half, and those in either phase of it."""
+    rows = R.phase_of(launch_events(spark, sf), phases(spark, sf))
+    during = lambda p: F.count_if(F.col("phase") == p).alias(p)
+    return rows.groupBy("log_id").agg(F.count("*").alias("n"), r6(F.count("*") / 2.5).alias("per_minute"), during("auto"), during("teleop"))
 
 
-@query("interval_histogram")
+@query("interval_histogram", la("""
+    SELECT CAST(least(floor(gap / 100000), 9) AS BIGINT) AS bin, count(*) AS n FROM (SELECT ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM le) WHERE gap IS NOT NULL GROUP BY ALL"""))
 def interval_histogram(spark, sf):
     rows = launch_events(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL))).where("gap is not null")
     return rows.groupBy(F.least(F.floor(F.col("gap") / 100_000), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"))

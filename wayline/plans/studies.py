@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from wayline.operators import basic as B
 from wayline.operators import kernel as K
 from wayline.operators.basic import SIGNAL, by_time, r6
+from wayline.operators import robot as R
+from wayline.plans.launch_sql import SLIP
 from wayline.plans.views_sql import over
 from wayline.sources import adapters as A
 from wayline.sources import ds_logs as D
@@ -329,24 +331,39 @@ def find_matching_logs(spark, sf):
     return K.anchored_groups(starts, ["all_"], 20_000).groupBy("grp").agg(F.count("*").alias("logs"))
 
 
-@query("gated_ema")
-def gated_ema(spark, sf):
-    """An exponential mean (weight .3) of each gated stretch of a signal: stretches end where hysteresis leaves."""
+def slips(spark, sf):
+    """Both slip filters over the odometry, with two signals as the wheels' velocity."""
     s = A.samples(spark, sf)
-    starts = K.hysteresis(s, SIGNAL, F.col("v_double") >= 60, F.col("v_double") < 20).select(*SIGNAL, F.col("start_us").alias("ts_us"), F.col("start_us").alias("seq"), F.col("start_us"), "end_us")
-    rows = K.asof_backward(s, starts, SIGNAL, ["start_us", "end_us"]).where("ts_us <= end_us")
-    listed = rows.groupBy(*SIGNAL, "start_us").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "v_double"))).alias("r"))
-    ema = F.aggregate("r", F.lit(None).cast("double"), lambda e, x: F.when(e.isNull(), x["v_double"]).otherwise(e + 0.3 * (x["v_double"] - e)))
-    return listed.select(*SIGNAL, "start_us", r6(ema).alias("ema"))
+    wheel = lambda name, out: s.where(F.col("signal") == name).select("log_id", "ts_us", "seq", (F.col("v_double") / 100).alias(out))
+    rows = K.asof_backward(K.asof_backward(A.odometry(spark, sf), wheel("purchase", "wx"), ["log_id"], ["wx"]), wheel("error", "wy"), ["log_id"], ["wy"])
+    return R.slip_filters(rows.na.fill(0.0, ["wx", "wy"]), enter=1.0, leave=0.5, fast_enter=2.0, fast_leave=1.0, fixed=0.8, slow=0.9, fast=0.4, cap=5.0, least_s=0.002, most_s=0.1)
+
+
+def sf_sql(sql: str) -> str:
+    return over("samples", "odometry", recursive=True, sql=sql, **SLIP)
+
+
+@query("gated_ema", sf_sql("SELECT log_id, seq, round(slip_fixed, 4) AS slip_fixed, round(slip, 4) AS slip, fast FROM ef"))
+def gated_ema(spark, sf):
+    return slips(spark, sf).select("log_id", "seq", F.round("slip_fixed", 4).alias("slip_fixed"), F.round("slip", 4).alias("slip"), "fast")
 
 
-@query("filter_comparison")
+@query("filter_comparison", sf_sql("""
+    SELECT log_id, count(*) AS n, count(*) FILTER (NOT valid) AS resets, round(avg(abs(slip_fixed - pf)), 4) AS jitter_fixed, round(avg(abs(slip - pv)), 4) AS jitter,
+      count(*) FILTER (abs(slip_fixed - pf) > 1) AS spikes_fixed, count(*) FILTER (abs(slip - pv) > 1) AS spikes, count(*) FILTER (fast) AS fast_rows, count(*) FILTER (fast AND was = FALSE) AS fast_episodes,
+      round(avg(slip_fixed) FILTER (wheel < 1), 4) AS stale_fixed, round(avg(slip) FILTER (wheel < 1), 4) AS stale
+    FROM (SELECT *, lag(slip_fixed) OVER w AS pf, lag(slip) OVER w AS pv, lag(fast) OVER w AS was FROM ef WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq)) GROUP BY ALL"""))
 def filter_comparison(spark, sf):
-    """Row-to-row jitter of the raw signal against that of its moving average."""
-    s = A.samples(spark, sf).withColumn("m", F.avg("v_double").over(by_time(*SIGNAL).rowsBetween(-4, 0)))
-    jump = lambda c: F.abs(F.col(c) - F.lag(c).over(by_time(*SIGNAL)))
-    rows = s.withColumns({"raw": jump("v_double"), "smooth": jump("m")})
-    return rows.groupBy(*SIGNAL).agg(r6(F.avg("raw")).alias("raw_jitter"), r6(F.avg("smooth")).alias("smooth_jitter"))
+    """Per log, of the filter with one weight and of that with two: row-to-row jitter, spikes, slip left at low wheel speed, and how often the quick weight is taken."""
+    w = by_time("log_id")
+    rows = slips(spark, sf).withColumns({"df": F.abs(F.col("slip_fixed") - F.lag("slip_fixed").over(w)), "dv": F.abs(F.col("slip") - F.lag("slip").over(w)), "was": F.lag("fast").over(w)})
+    r4 = lambda c: F.round(c, 4)
+    still = lambda c: r4(F.avg(F.when(F.col("wheel") < 1, F.col(c))))
+    return rows.groupBy("log_id").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("resets"), r4(F.avg("df")).alias("jitter_fixed"), r4(F.avg("dv")).alias("jitter"),
+        F.count_if(F.col("df") > 1).alias("spikes_fixed"), F.count_if(F.col("dv") > 1).alias("spikes"), F.count_if("fast").alias("fast_rows"), F.count_if(F.col("fast") & ~F.col("was")).alias("fast_episodes"),
+        still("slip_fixed").alias("stale_fixed"), still("slip").alias("stale"),
+    )
 
 
 @query("phase_vision_stats", over("frames", sql="SELECT camera, log_id, count(*) AS n, round(avg(residual_raw), 4) AS mean_v, list_sort(list(residual_raw))[CAST(least(floor(count(*) * .95) + 1, count(*)) AS BIGINT)] AS p_floor FROM frames GROUP BY ALL"))
