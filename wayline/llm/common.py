@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here if unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; if it is unset, one made here where all is one machine."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -55,7 +57,7 @@ _BASE = 0x5851F42D4C957F2D
 _PIECE = 1 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """The first n powers of a base modulo 2**64, by doubling."""
     out = np.ones(1, np.uint64)
     with np.errstate(over="ignore"):
@@ -67,7 +69,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for one piece of text."""
-    return _powers(_BASE, _PIECE + 1), _powers(pow(_BASE, -1, 2**64), _PIECE + 1)
+    return powers(_BASE, _PIECE + 1), powers(pow(_BASE, -1, 2**64), _PIECE + 1)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -105,7 +107,7 @@ def word_hashes(text: str) -> np.ndarray:
             else:
                 rest = np.flatnonzero(blank[end:])
                 end = end + int(rest[0]) if len(rest) else len(raw)
-                up, down = _powers(_BASE, end - at + 1), _powers(pow(_BASE, -1, 2**64), end - at + 1)
+                up, down = powers(_BASE, end - at + 1), powers(pow(_BASE, -1, 2**64), end - at + 1)
         out.append(_piece_hashes(raw[at:end], blank[at:end], up, down))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)

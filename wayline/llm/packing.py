@@ -17,16 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import mix64, stored
+from wayline.llm.common import mix64, powers, stored
 
-CACHE_CHUNKS = 400_000
-SLICE_ROWS = 2_000
-PARTITION_TOKENS = 1 << 22
+CACHE_UNITS = 1 << 20
+SLICE_BYTES = 1 << 22
+WINDOW = 1 << 20
+PARTITION_TOKENS, CHUNK_TOKENS = 1 << 22, 1024
 BITS, DIMENSIONS = 16, 3
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_TAIL = ".,;:!?"
+_BASE = 0x5851F42D4C957F2D
+
+# Classes of UTF-8 bytes: white space that parts chunks, signs that may end a word, letters. C3 begins most accented ones.
+_BLANK, _TAIL, _LETTER = (np.zeros(256, bool) for _ in range(3))
+_BLANK[list(b" \t\n\r")] = True
+_TAIL[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
 
 
 def _byte_chars() -> list[str]:
@@ -47,23 +53,59 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64 for one window."""
+    return powers(_BASE, WINDOW + 1), powers(pow(_BASE, -1, 2**64), WINDOW + 1)
+
+
+def _units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of a window's units, and the window with words in lower case.
+
+    Units are chunks between white space; words of Latin letters are parted from the signs after them.
+    """
+    blank = _BLANK[raw]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    letter = _LETTER[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    letter[second] = (raw[second] != 0x97) & (raw[second] != 0xB7)
+    # The end of each chunk without its tail: behind the last byte that isn't a sign.
+    stem = np.maximum.accumulate(np.where(_TAIL[raw], -1, np.arange(len(raw))))[ends - 1] + 1
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    word = (stem > starts) & (letters[stem] - letters[starts] == stem - starts)
+    cuts = stem[word & (stem < ends)]
+    turns = np.zeros(len(raw) + 1, np.int8)
+    turns[starts[word]], turns[stem[word]] = 1, -1
+    lower = np.where(np.cumsum(turns[:-1], dtype=np.int8).astype(bool) & (raw - np.uint8(65) < 26), raw + np.uint8(32), raw)
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts])), lower
+
+
 class Encoder:
-    """Token ids of texts, made from those of their white-space-separated chunks.
+    """Token ids of texts, made from those of their units.
 
-    This holds for tokenizers that drop white space and never merge across it. The chunks seen last keep their ids.
-    Unit and record separators, white space for Python only, send a text through the tokenizer whole.
+    This holds for tokenizers that drop white space, never merge across it, and part Latin words from the signs after
+    them (what the short ways take for granted is tried with a probe first). A unit's ids are kept by a 64-bit hash of its bytes in sorted arrays, so
+    that a window of text is looked up in a few array operations; beyond CACHE_UNITS units the arrays begin anew.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         # Whether words may go to the merge model alone: it does so for a probe of every letter that the short way takes.
         probe = sorted({chr(c).lower() for c in range(256) if _LATIN.fullmatch(chr(c))})
         probe += [x + y for x, y in zip(probe, probe[7:] + probe[:7])]
-        self.plain = [self._word(w) for w in probe] == self._encode(probe)
+        capital = [w.upper() for w in probe if _LATIN.fullmatch(w.upper()) and w.upper().lower() == w]
+        self.plain = [self._word(w) for w in probe] == self._encode(probe) and self._encode(capital) == self._encode([w.lower() for w in capital])
+        tails = [chr(c) for c in range(128) if _TAIL[c]]
+        tails += [x + y for x in tails for y in tails]
+        whole = self._encode([w + t for w in probe[::9] for t in tails])
+        self.parted = whole == [x + y for x in self._encode(probe[::9]) for y in self._encode(tails)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.starts, self.sizes, self.pool, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, self.dtype), 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,45 +116,83 @@ class Encoder:
             word = "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
         return np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Add chunks to the known ones. A word with a tail of punctuation, the usual case, is put together from both."""
-        odd = []
-        for chunk in chunks:
-            word = chunk.rstrip(_TAIL)
-            if not (self.plain and _LATIN.fullmatch(word)):
-                odd.append(chunk)
-                continue
-            tail, word = chunk[len(word) :], word.lower()
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self._word(word)
-            if tail:
-                end = self.tails.get(tail)
-                if end is None:
-                    end = self.tails[tail] = self._encode([tail])[0]
-                ids += end
-            self.known[chunk] = ids
-        if odd:
-            self.known.update(zip(odd, self._encode(odd)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            text = text or ""
-            if _SEPARATORS.search(text):
-                out.append(self._encode([text])[0])
-                continue
-            chunks = text.split()
-            if len(self.known) > CACHE_CHUNKS:
-                self.known.clear()
-                self.tails.clear()
-            if len(self.words) > CACHE_CHUNKS:
-                self.words.clear()
-            missing = set(chunks).difference(self.known)
-            if missing:
-                self._learn(list(missing))
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        """Add units, given with their hashes in ascending order, to the known ones."""
+        texts = [u.decode("utf-8", "surrogatepass") for u in units]
+        ids = [self._word(t.lower()) if self.plain and _LATIN.fullmatch(t) else None for t in texts]
+        odd = [i for i, x in enumerate(ids) if x is None]
+        for i, found in zip(odd, self._encode([texts[i] for i in odd])):
+            ids[i] = found
+        new = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.array([len(x) // self.dtype.itemsize for x in ids], np.int64)
+        if self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * len(new), self.dtype)])
+        self.pool[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.hashes, hashes)
+        self.slots = np.insert(self.slots, at, len(self.starts) + np.arange(len(units)))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(new)
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[slots] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.pool[at]
+
+    def _window(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of a window's units, how many ids each has, and the ids."""
+        if len(raw) > WINDOW:  # one chunk
+            ids = np.frombuffer(self._encode([raw.tobytes().decode("utf-8", "surrogatepass")])[0], self.dtype)
+            return np.zeros(1, np.int64), np.array([len(ids)]), ids
+        if self.plain and self.parted:
+            starts, ends, raw = _units(raw)
+        else:
+            edges = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+            starts, ends = edges[::2], edges[1::2]
+        up, down = _powers()
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+            hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        distinct, first, places = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == distinct[inside]
+        if not known.all():
+            new = first[~known]
+            whole = raw.tobytes()
+            self._learn(distinct[~known], [whole[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            at = np.searchsorted(self.hashes, distinct)
+        slots = self.slots[at][places]
+        return starts, self.sizes[slots], self._ids(slots)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        begins = np.cumsum([0, *[len(p) + 1 for p in parts]])
+        raw = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+        gaps = np.flatnonzero(_BLANK[raw])
+        counts, flat, at = np.zeros(len(texts), np.int64), [], 0
+        while at < len(raw):
+            # Up to the last white space of a window, or to the first one if the window has none.
+            last = int(np.searchsorted(gaps, min(at + WINDOW, len(raw)), "left")) - 1
+            end = int(gaps[last]) + 1 if last >= 0 and gaps[last] >= at else int(gaps[last + 1]) + 1
+            if len(self.starts) > CACHE_UNITS:
+                self.clear()
+            starts, sizes, ids = self._window(raw[at:end])
+            counts += np.bincount(np.searchsorted(begins, starts + at, "right") - 1, sizes, len(texts)).astype(np.int64)
+            flat.append(ids)
+            at = end
+        return np.split(np.concatenate([np.empty(0, self.dtype), *flat]), np.cumsum(counts)[:-1]) if texts else []
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker: tasks that follow each other there share what is known."""
+    return Encoder(path)
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -175,48 +255,77 @@ def _curve_keys(tokens: list[np.ndarray], vocabulary: int) -> np.ndarray:
     return np.where(sizes > 0, hilbert_keys(cells, BITS), 0)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE_BYTES of text."""
+    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _tokenise(path: str, end_id: int):
+    """Rows of at most CHUNK_TOKENS ids: a long document has several, so that rows are a fair measure of tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        last = np.array([end_id], encoder.dtype).tobytes()
+        encoder = _encoder(path)
+        last = np.array([end_id], encoder.dtype)
         vocabulary = encoder.tokenizer.get_vocab_size()
-        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+        for batch in (part for b in batches for part in _slices(b)):
             coded = encoder.encode(batch.column("text").to_pylist())
-            keys = _curve_keys([np.frombuffer(c, encoder.dtype) for c in coded], vocabulary)
-            width = encoder.dtype.itemsize
+            keys = _curve_keys(coded, vocabulary)
+            rows = [(i, start, c[start : start + CHUNK_TOKENS]) for i, c in enumerate(np.append(x, last) for x in coded) for start in range(0, len(c), CHUNK_TOKENS)]
+            own = np.array([r[0] for r in rows], np.int64)
+            totals = np.array([len(c) + 1 for c in coded], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(c) // width + 1 for c in coded], pa.int64()), pa.array([c + last for c in coded], pa.binary())],
-                ["doc_id", "curve", "doc_tokens", "ids"],
+                [
+                    batch.column("doc_id").take(pa.array(own)), batch.column("row").take(pa.array(own)), pa.array(keys[own], pa.int64()), pa.array(totals[own], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()),
+                ],
+                CODED.names,
             )
 
     return run
 
 
+CODED = pa.schema([*[(name, pa.int64()) for name in ("doc_id", "row", "curve", "doc_tokens", "start")], ("ids", pa.binary())])
+PIECE = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+
+
 def _pack(length: int, wide: bool):
-    """Cut one partition's stream of documents into sequences."""
+    """Cut one partition's stream of documents into sequences; rows of one document that follow each other make one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sequence, offset = TaskContext.get().partitionId() << 36, 0
         kind = "<u4" if wide else "<u2"
+        row, piece = None, None
         for batch in batches:
-            rows = []
-            for doc_id, total, raw in zip(batch.column("doc_id").to_pylist(), batch.column("doc_tokens").to_pylist(), batch.column("ids")):
+            out = []
+            for doc_id, own, total, start, raw in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "doc_tokens", "start")], batch.column("ids")):
                 ids = np.frombuffer(raw.as_buffer(), kind).astype("<u4")
-                start = 0
-                while start < total:
-                    size = min(total - start, length - offset)
-                    rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), total, sequence, offset))
-                    start, offset = start + size, offset + size
+                at = 0
+                while at < len(ids):
+                    size = min(len(ids) - at, length - offset)
+                    part = ids[at : at + size].tobytes()
+                    if piece and row == own and offset and piece[1] + piece[2] == start + at:
+                        piece = (doc_id, piece[1], piece[2] + size, zlib.crc32(part, piece[3]), *piece[4:])
+                    else:
+                        out += [piece] if piece else []
+                        row, piece = own, (doc_id, start + at, size, zlib.crc32(part), total, sequence, offset)
+                    at, offset = at + size, offset + size
                     if offset == length:
                         sequence, offset = sequence + 1, 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(7)], PIECE.names)
+            yield _pieces(out)
+        yield _pieces([piece] if piece else [])
 
     return run
 
 
-PIECE = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(PIECE.names))], PIECE.names)
 
 
 def pack(documents: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,14 +337,13 @@ def pack(documents: DataFrame, tokenizer_path: str, length: int = 4096, end_id:
     columns are ignored; an empty table gives no rows.
 
     Tokens are written once, then range-partitioned and sorted by curve key; as ties are parted by id and row number, a
-    large group of equal texts is spread over partitions too. No partition waits for another.
+    large group of equal texts is spread over partitions too, and as long documents are several rows, so are those. No
+    partition waits for another.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     wide = _tokenizer(tokenizer_path).get_vocab_size() >= 1 << 16
-    coded = docs.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, curve long, doc_tokens long, ids binary")
-    coded = stored(coded.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    total = coded.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()[0]
-    order = ["curve", "doc_id", "row"]
+    coded = stored(docs.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, row long, curve long, doc_tokens long, start long, ids binary"), "tokens")
+    total = coded.agg(F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("doc_tokens"))), F.lit(0))).first()[0]
+    order = ["curve", "doc_id", "row", "start"]
     dealt = coded.repartitionByRange(max(1, total // PARTITION_TOKENS), *order).sortWithinPartitions(*order)
-    schema = ", ".join(f"`{n}` long" for n in PIECE.names)
-    return dealt.select("doc_id", "doc_tokens", "ids").mapInArrow(_pack(length, wide), schema)
+    return dealt.select("doc_id", "row", "doc_tokens", "start", "ids").mapInArrow(_pack(length, wide), ", ".join(f"`{n}` long" for n in PIECE.names))
