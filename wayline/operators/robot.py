@@ -11,9 +11,24 @@ from wayline.operators.basic import by_time
 SHORT_US = 100_000
 OVERRUN = "(?i)loop time of [0-9.]+s overrun"
 EPOCH = r"(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$"
-COMMAND = "^Command (initialized|interrupted|finished): (.*)$"
+COMMAND = r"Command (initialized|interrupted|finished):\s*(.+)"
 # The names that commands have if nobody names them.
-DEFAULT_COMMANDS = ["InstantCommand", "RunCommand", "StartEndCommand", "FunctionalCommand", "SequentialCommandGroup", "ParallelCommandGroup", "WaitCommand"]
+DEFAULT_COMMANDS = [
+    "ConditionalCommand", "DeferredCommand", "FunctionalCommand", "InstantCommand", "MecanumControllerCommand", "NotifierCommand", "PIDCommand", "ParallelCommandGroup",
+    "ParallelDeadlineGroup", "ParallelRaceGroup", "PrintCommand", "ProfiledPIDCommand", "ProxyCommand", "RamseteCommand", "RepeatCommand", "RunCommand", "ScheduleCommand",
+    "SelectCommand", "SequentialCommandGroup", "StartEndCommand", "SwerveControllerCommand", "TrapezoidProfileCommand", "WaitCommand", "WaitUntilCommand", "WrapperCommand",
+]
+# Categories of what is said near an overrun, in the order they are tried.
+NEARBY = {"datalog": "DataLog:", "can": r"CAN\b|CANbus|timeout|timed out", "nt": "NT:|NetworkTables|ntcore", "brownout": "brownout|brown-out|voltage", "warning": "Warning|Error"}
+MEMORY = r"roboRIO:\s+Disk Free\s+(\d+)\s+MB,\s+Memory Free\s+(\d+)\s+MB"
+# What the two cameras publish only while they see tags, and other parts of names that depend on tags.
+CAMERA_SIGNALS = "botpose camerapose cl hb hw imu rawfiducials stddevs t2d ta targetpose tc tid tl tv tx ty tync txnc".split()
+TAG_NAMES = [
+    "vision/rawFieldPose3d", "vision/fieldPose3d", "vision/compBot", "Field/RawVision", "_rejectReason", "_visionError", "_tagSpread", "Mt1 STD", "Mt2 STD", "_Num targets",
+    "_Last timestamp", "_time since last",
+]
+# Limits of hard, moderate and light hits, by degrees/s2 and by degrees/s within the window.
+ANGULAR = {"hard": (4000.0, 150.0), "moderate": (2500.0, 100.0), "light": (1500.0, 50.0)}
 
 
 def control_word_phase(word: Column) -> Column:
@@ -86,11 +101,40 @@ def categorise(component: Column) -> Column:
 
 
 def commands(console: DataFrame) -> DataFrame:
-    """Command lines: kind and name."""
-    rows = console.withColumn("kind", F.regexp_extract("text", COMMAND, 1)).withColumn("name", F.regexp_extract("text", COMMAND, 2))
+    """Command lines: kind and name; the cause of an interruption isn't part of the name."""
+    name = F.regexp_extract("text", COMMAND, 2)
+    rows = console.withColumn("kind", F.regexp_extract("text", COMMAND, 1))
+    rows = rows.withColumn("name", F.when(F.col("kind") == "interrupted", F.regexp_replace(name, r";\s*Cause:.*$", "")).otherwise(name))
     return rows.where("kind <> ''").drop("text")
 
 
+def classify_nearby(text: Column) -> Column:
+    """The first category that a console line belongs to, null if none."""
+    found = F.lit(None).cast("string")
+    for kind, pattern in reversed(NEARBY.items()):
+        found = F.when(text.rlike(f"(?i){pattern}"), kind).otherwise(found)
+    return found
+
+
+def memory_report(text: Column) -> Column:
+    """struct(disk_mb, memory_mb) of a memory message, nulls for other texts."""
+    return F.struct(*[F.regexp_extract(text, MEMORY, i).try_cast("bigint").alias(n) for i, n in ((1, "disk_mb"), (2, "memory_mb"))])
+
+
+def is_tag_dependent(name: Column) -> Column:
+    """Whether a signal's name says that it depends on tags being seen."""
+    camera = name.rlike(r"limelight-[ab]/(?:" + "|".join(CAMERA_SIGNALS) + ")")
+    return camera | name.rlike("|".join(n.replace("/", "\\/") for n in TAG_NAMES))
+
+
+def severity_angular(alpha: Column, step: Column) -> Column:
+    """hard, moderate or light, the worse by either measure, null below both."""
+    found = F.lit(None).cast("string")
+    for name, (a, b) in reversed(ANGULAR.items()):
+        found = F.when((alpha >= a) | (step >= b), name).otherwise(found)
+    return found
+
+
 def impacts(axes: DataFrame, light: float, moderate: float, hard: float, group_us: int = 300_000) -> DataFrame:
     """Hits from three axes (ax, ay, az): |magnitude - 1| of at least light, the largest of each group; landing if the magnitude was under .3 in the 200 ms before."""
     rows = axes.withColumn("mag", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2)).withColumn("impact", F.abs(F.col("mag") - 1))
@@ -102,6 +146,28 @@ def impacts(axes: DataFrame, light: float, moderate: float, hard: float, group_u
     return found.select("log_id", "ts_us", "seq", "score", severity.alias("severity"), F.when(F.col("low") < 0.3, "landing").otherwise("contact").alias("kind"))
 
 
+def axis_accel(x: DataFrame, y: DataFrame, z: DataFrame, gravity: list[DataFrame] | None = None, least: int = 10) -> DataFrame:
+    """Rows (log_id, ts_us, ax, ay, az, gx, gy, gz) in m/s2 from axes in g with columns log_id, ts_us, v, one value a time.
+
+    Times are those that all three axes have; a log needs so many values of x. Gravity counts in logs that have as many
+    values of its first axis, missing ones as 0; elsewhere it points down.
+    """
+    of = lambda frame, name: frame.select("log_id", "ts_us", F.col("v").alias(name))
+    enough = lambda frame: frame.groupBy("log_id").count().where(F.col("count") >= least).select("log_id")
+    rows = of(x, "ax").join(enough(x), "log_id", "left_semi").join(of(y, "ay"), ["log_id", "ts_us"]).join(of(z, "az"), ["log_id", "ts_us"])
+    names = ("gx", "gy", "gz")
+    if gravity:
+        rows = rows.join(enough(gravity[0]).withColumn("own", F.lit(True)), "log_id", "left")
+        for frame, name in zip(gravity, names):
+            rows = rows.join(of(frame, name), ["log_id", "ts_us"], "left")
+    else:
+        rows = rows.withColumns({n: F.lit(None).cast("double") for n in names} | {"own": F.lit(None).cast("boolean")})
+    usual = {"gx": 0.0, "gy": 0.0, "gz": -1.0}
+    scaled = [(F.col(c) * 9.81).alias(c) for c in ("ax", "ay", "az")]
+    down = [(F.when(F.col("own"), F.coalesce(n, F.lit(0.0))).otherwise(usual[n]) * 9.81).alias(n) for n in names]
+    return rows.select("log_id", "ts_us", *scaled, *down)
+
+
 def lookback(rows: DataFrame, keys: list[str], value: str, window_us: int, name: str) -> DataFrame:
     """Adds name_v and name_us: the last row at least window_us old, else the first row."""
     times = Window.partitionBy(*keys).orderBy("ts_us")

@@ -52,20 +52,6 @@ def ingest_dsevents(spark, sf):
     return D.events(files).select("path", "seq", "relative_us", "text")
 
 
-@query("read_by_extension", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'telemetry' WHEN 1 THEN 'events' ELSE 'unsupported' END AS reader FROM documents")
-def read_by_extension(spark, sf):
-    ending = F.when(F.col("doc_id") % 3 == 0, ".DSLOG").when(F.col("doc_id") % 3 == 1, ".dsevents").otherwise("")
-    found = F.lower(F.regexp_extract(F.concat(F.col("source"), ending), r"(\.[^.]+)$", 1))
-    return A.table(spark, sf, "documents").select("doc_id", F.when(found == ".dslog", "telemetry").when(found == ".dsevents", "events").otherwise("unsupported").alias("reader"))
-
-
-@query("scan_log_files")
-def scan_log_files(spark, sf):
-    """The files below a folder by their ending; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf).select("path", "length")
-    return files.groupBy(F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)).alias("ending")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
-
-
 # Sessions and clocks
 
 _S = "SELECT log_id, session, min(ts_us) AS ts_us FROM s GROUP BY ALL"
@@ -271,5 +257,3 @@ def tracked_reference(spark, sf):
 def accepted_measurements(spark, sf):
     rows = K.asof_nearest(A.vision(spark, sf), A.odometry(spark, sf).withColumnRenamed("x", "ox"), ["log_id"], ["ox"], 50_000)
     return rows.groupBy("camera", F.when(F.col("tag_count") >= 2, "none").otherwise("tags").alias("reason")).agg(F.count("*").alias("n"), F.count("ox").alias("joined"))
-
-

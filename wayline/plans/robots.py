@@ -236,11 +236,6 @@ _CMD = "SELECT log_id, ts_us, seq, regexp_extract(text, '^Command (initialized|i
 _DEFAULTS = "('InstantCommand', 'RunCommand', 'StartEndCommand', 'FunctionalCommand', 'SequentialCommandGroup', 'ParallelCommandGroup', 'WaitCommand')"
 
 
-@query("parse_command_message", over("console", sql="SELECT seq, kind, name FROM c", c=_CMD))
-def parse_command_message(spark, sf):
-    return R.commands(A.console(spark, sf)).select("seq", "kind", "name")
-
-
 @query("unnamed_commands", over("console", sql=f"""
     SELECT log_id, name, count(*) FILTER (kind = 'initialized') AS initialized, count(*) FILTER (kind = 'interrupted') AS interrupted, count(*) FILTER (kind = 'finished') AS finished
     FROM c WHERE name IN {_DEFAULTS} GROUP BY ALL""", c=_CMD))
@@ -270,13 +265,6 @@ def nearby_events(spark, sf):
     return K.range_join(left, right, ["log_id"], 50_000, 50_000).select("log_id", "event", "near_seq")
 
 
-@query("classify_nearby", over("console", sql="""
-    SELECT seq, CASE WHEN regexp_matches(text, '(?i)overrun') THEN 'overrun' WHEN regexp_matches(text, '(?i)command') THEN 'command' WHEN regexp_matches(text, '(?i)periodic') THEN 'timing' ELSE 'other' END AS kind FROM console"""))
-def classify_nearby(spark, sf):
-    has = lambda p: F.col("text").rlike(f"(?i){p}")
-    return A.console(spark, sf).select("seq", F.when(has("overrun"), "overrun").when(has("command"), "command").when(has("periodic"), "timing").otherwise("other").alias("kind"))
-
-
 _PO = over("samples", "modes", "console", sql="""
     SELECT d.log_id, d.phase, d.seconds, coalesce(o.n, 0) AS overruns, round(coalesce(o.n, 0) / d.seconds, 6) AS rate, coalesce(o.worst, 0) AS worst_s
     FROM (SELECT log_id, phase, sum(end_us - start_us) / 1e6 AS seconds FROM phases GROUP BY ALL) d
@@ -366,13 +354,6 @@ def severity_impact(spark, sf):
     return A.samples(spark, sf).select("seq", F.when(v >= 100, "hard").when(v >= 50, "moderate").when(v >= 20, "light").alias("severity"))
 
 
-@query("severity_angular", over("samples", sql="""
-    SELECT seq, greatest(CASE WHEN v_double >= 100 THEN 3 WHEN v_double >= 50 THEN 2 WHEN v_double >= 20 THEN 1 ELSE 0 END, CASE WHEN seq % 100 >= 90 THEN 3 WHEN seq % 100 >= 70 THEN 2 WHEN seq % 100 >= 50 THEN 1 ELSE 0 END) AS rank FROM samples"""))
-def severity_angular(spark, sf):
-    rank = lambda c, a, b, d: F.when(c >= a, 3).when(c >= b, 2).when(c >= d, 1).otherwise(0)
-    return A.samples(spark, sf).select("seq", F.greatest(rank(F.col("v_double"), 100, 50, 20), rank(F.col("seq") % 100, 90, 70, 50)).alias("rank"))
-
-
 # Launches and motors
 
 

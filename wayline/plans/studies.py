@@ -55,13 +55,6 @@ def dslog_header_time(spark, sf):
     return ds_files(spark, sf).where(F.substring(head, 1, 8) == "00000004").select("path", seconds.alias("start_s"))
 
 
-@query("ds_pair_merge", over("samples", "console", sql="""
-    SELECT log_id, n_records, n_events FROM (SELECT log_id, count(*) AS n_records FROM samples WHERE signal = 'error' GROUP BY ALL) JOIN (SELECT log_id, count(*) AS n_events FROM console GROUP BY ALL) USING (log_id)"""))
-def ds_pair_merge(spark, sf):
-    records = D.telemetry(ds_files(spark, sf)).groupBy(F.split("path", r"\.")[0].cast("bigint").alias("log_id")).agg(F.count("*").alias("n_records"))
-    return records.join(A.console(spark, sf).groupBy("log_id").agg(F.count("*").alias("n_events")), "log_id")
-
-
 @query("clean_event_text", over("console", sql="SELECT seq, trim(text) AS text FROM console"))
 def clean_event_text(spark, sf):
     marked = F.concat(F.lit("<TagVersion>1 <time>3 <message> "), F.col("text"))
@@ -76,50 +69,6 @@ def classify_type(spark, sf):
     return rows.select("seq", F.coalesce(F.try_element_at(known, F.col("declared")), F.when(F.col("declared").startswith("struct:"), "struct").otherwise("unknown")).alias("type"))
 
 
-@query("decode_value", over("samples", sql="SELECT seq, CASE WHEN signal = 'view' THEN CAST(trunc(v_double) AS BIGINT) END AS v_long, CASE WHEN signal <> 'view' THEN v_double END AS v_double FROM samples"))
-def decode_value(spark, sf):
-    whole = F.col("signal") == "view"
-    return A.samples(spark, sf).select("seq", F.when(whole, F.col("v_double").cast("bigint")).alias("v_long"), F.when(~whole, F.col("v_double")).alias("v_double"))
-
-
-@query("resolve_records", over("samples", sql="""
-    SELECT d.seq, s.seq AS start_seq FROM (SELECT * FROM samples WHERE signal <> 'signup') d ASOF JOIN (SELECT log_id, ts_us, max(seq) AS seq FROM samples WHERE signal = 'signup' GROUP BY ALL) s ON d.log_id = s.log_id AND d.ts_us >= s.ts_us"""))
-def resolve_records(spark, sf):
-    s = A.samples(spark, sf)
-    starts = s.where("signal = 'signup'").select("log_id", "ts_us", "seq", F.col("seq").alias("start_seq"))
-    return K.asof_backward(s.where("signal <> 'signup'"), starts, ["log_id"], ["start_seq"]).where("start_seq is not null").select("seq", "start_seq")
-
-
-@query("match_label", "SELECT doc_id, regexp_extract(source, '([0-9]+)$', 1) AS label FROM documents")
-def match_label(spark, sf):
-    return A.table(spark, sf, "documents").select("doc_id", F.regexp_extract("source", "([0-9]+)$", 1).alias("label"))
-
-
-@query("filename_timestamp", "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS start_s FROM orders")
-def filename_timestamp(spark, sf):
-    name = F.concat(F.lit("log_"), F.date_format("o_orderdate", "yyyyMMdd_HHmmss"), F.lit(".bin"))
-    found = A.table(spark, sf, "orders").select("o_orderkey", F.regexp_extract(name, r"_(\d{8}_\d{6})\.", 1).alias("t"))
-    return found.select("o_orderkey", F.unix_timestamp("t", "yyyyMMdd_HHmmss").alias("start_s"))
-
-
-@query("results_json", over("samples", sql="SELECT log_id, signal, count(*) > 100 AS skipped FROM samples GROUP BY ALL"))
-def results_json(spark, sf):
-    found = A.samples(spark, sf).groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.max("v_double").alias("top"))
-    body = F.to_json(F.struct((F.col("n") > 100).alias("__skipped__"), "n"))
-    return found.select(*SIGNAL, F.get_json_object(body, "$.__skipped__").cast("boolean").alias("skipped"))
-
-
-@query("results_csv_flatten", over("samples", sql="SELECT log_id, count(*) AS \"extra.n\", round(avg(v_double), 6) AS \"extra.stats.mean\" FROM samples GROUP BY ALL"))
-def results_csv_flatten(spark, sf):
-    found = A.samples(spark, sf).groupBy("log_id").agg(F.struct(F.count("*").alias("n"), F.struct(r6(F.avg("v_double")).alias("mean")).alias("stats")).alias("extra"))
-    return found.select("log_id", F.col("extra.n").alias("extra.n"), F.col("extra.stats.mean").alias("extra.stats.mean"))
-
-
-@query("csv_export", over("samples", sql="SELECT signal || ',' || ts_us || ',' || seq AS line FROM samples WHERE log_id = 3"))
-def csv_export(spark, sf):
-    return A.samples(spark, sf).where("log_id = 3").select(F.concat_ws(",", "signal", "ts_us", "seq").alias("line"))
-
-
 @query("decode_struct", over("odometry", sql="SELECT seq, x, y FROM odometry"))
 def decode_struct(spark, sf):
     """Two doubles packed as bytes and read back by an Arrow function, as struct payloads are."""
@@ -318,11 +267,6 @@ def throughput_bottleneck(spark, sf):
     return m.select("log_id", F.when(F.col("m") < 100_000, "fast").when(F.col("m") < 200_000, "limited").otherwise("slow").alias("verdict"))
 
 
-@query("export_results", over("samples", sql="SELECT log_id, signal, round(avg(v_double), 6) AS mean_v FROM samples GROUP BY ALL ORDER BY log_id, signal"))
-def export_results(spark, sf):
-    return A.samples(spark, sf).groupBy(*SIGNAL).agg(r6(F.avg("v_double")).alias("mean_v")).orderBy("log_id", "signal")
-
-
 @query("find_matching_logs", over("samples", recursive=True, sql="SELECT g AS grp, count(*) AS logs FROM f GROUP BY g",
     h="SELECT log_id, t, row_number() OVER (ORDER BY t, log_id) AS i FROM (SELECT log_id, min(ts_us) AS t FROM samples GROUP BY ALL)",
     f="SELECT i, t AS anchor, 1 AS g FROM h WHERE i = 1 UNION ALL SELECT h.i, CASE WHEN h.t - f.anchor > 20000 THEN h.t ELSE f.anchor END, CASE WHEN h.t - f.anchor > 20000 THEN f.g + 1 ELSE f.g END FROM f JOIN h ON h.i = f.i + 1"))

@@ -50,17 +50,8 @@ _scalar("lerp_angle", "odometry", lambda: ["seq", F.round(K.lerp_angle_deg(F.col
 _scalar("heading_octant", "odometry", lambda: ["seq", G.octant(F.col("theta_deg")).alias("octant")], f"seq, ['E', 'NE', 'N', 'NW', 'W', 'SW', 'S', 'SE'][CAST(floor(({mod('theta_deg + 22.5')}) / 45) AS INT) + 1] AS octant")
 _CELL = "CASE WHEN trunc(x / .5) BETWEEN 0 AND 33 AND trunc(y / .5) BETWEEN 0 AND 16 THEN CAST(trunc(y / .5) * 34 + trunc(x / .5) AS INT) END"
 _scalar("field_cell", "odometry", lambda: ["seq", G.field_cell(F.col("x"), F.col("y")).alias("cell")], f"seq, {_CELL} AS cell")
-_scalar("parse_pose_array", "odometry", lambda: ["seq", F.array("x", "y", "theta_deg")[0].alias("px"), r6(F.radians(F.array("x", "y", "theta_deg")[2])).alias("theta")], "seq, x AS px, round(radians(theta_deg), 6) AS theta")
-_scalar("parse_botpose", "vision", lambda: ["seq", r6(F.when(F.col("tag_count") == 1, 0.6).otherwise(1.0) * F.when(F.col("latency_ms") > 30, 0.5).when(F.col("latency_ms") > 20, 0.8).otherwise(1.0)).alias("confidence")],
-        "seq, round((CASE WHEN tag_count = 1 THEN .6e0 ELSE 1e0 END) * (CASE WHEN latency_ms > 30 THEN .5e0 WHEN latency_ms > 20 THEN .8e0 ELSE 1e0 END), 6) AS confidence")
-_scalar("parse_imu_array", "odometry", lambda: ["seq", r6(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).alias("accel"), F.round(F.abs(F.col("theta_deg")) / 20, 8).alias("gravity")], "seq, round(sqrt(x * x + y * y), 6) AS accel, round(abs(theta_deg) / 20, 8) AS gravity")
-_scalar("parse_axis_accel", "samples", lambda: ["seq", r6(F.col("v_double") * 9.81).alias("accel")], "seq, round(v_double * 9.81, 6) AS accel")
-_scalar("parse_hw", "samples", lambda: ["seq", F.array("v_double", F.col("v_double") / 2)[0].alias("temp"), r6(F.array("v_double", F.col("v_double") / 2)[1]).alias("usage")], "seq, v_double AS temp, round(v_double / 2, 6) AS usage")
-_scalar("parse_t2d", "tags", lambda: ["frame_id", "n", r6(F.greatest("dist", "area") / F.least("dist", F.greatest("area", F.lit(0.001)))).alias("aspect")], "frame_id, n, round(greatest(dist, area) / least(dist, greatest(area, .001)), 6) AS aspect")
 _scalar("pose3d_quaternion", "vision", lambda: ["seq", r6(G.quaternion(F.lit(0.0), F.lit(10.0), F.col("yaw_deg"))["qw"]).alias("qw"), r6(G.quaternion(F.lit(0.0), F.lit(10.0), F.col("yaw_deg"))["qz"]).alias("qz")],
         "seq, round(cos(radians(10e0) / 2) * cos(radians(yaw_deg) / 2), 6) AS qw, round(cos(radians(10e0) / 2) * sin(radians(yaw_deg) / 2), 6) AS qz")
-_scalar("is_tag_dependent", "samples", lambda: [F.col("seq"), F.col("signal").rlike("(?i)view|click").alias("dependent")], "seq, regexp_matches(signal, '(?i)view|click') AS dependent")
-_scalar("parse_memory_message", "console", lambda: ["seq", F.regexp_extract("text", r"0\.([0-9]+)s", 1).try_cast("bigint").alias("number")], r"seq, TRY_CAST(nullif(regexp_extract(text, '0\.([0-9]+)s', 1), '') AS BIGINT) AS number")
 
 
 @query("parse_tag_array", over("tags", sql="SELECT frame_id, count(*) AS n, round(min(dist), 6) AS nearest FROM tags GROUP BY ALL"))
@@ -71,12 +62,6 @@ def parse_tag_array(spark, sf):
     return found.select("frame_id", F.size("t").cast("bigint").alias("n"), r6(F.array_min("t.dist_camera")).alias("nearest"))
 
 
-@query("tags_to_field_positions", over("tags", sql="SELECT frame_id, count(*) AS known, round(avg(tag_id * .5), 6) AS mean_x FROM tags WHERE tag_id <= 16 GROUP BY ALL"))
-def tags_to_field_positions(spark, sf):
-    layout = spark.range(1, 17).select(F.col("id").alias("tag_id"), (F.col("id") * 0.5).alias("fx"))  # 16 known places
-    return A.tags(spark, sf).join(F.broadcast(layout), "tag_id").groupBy("frame_id").agg(F.count("*").alias("known"), r6(F.avg("fx")).alias("mean_x"))
-
-
 @query("tag_geometry_terms", over("tags", sql="SELECT frame_id, round(sum(1 / (dist * dist)), 6) AS harmonic, round(coalesce(stddev_pop(dist), 0), 6) AS spread, round(max(tag_id * 11.25e0) - min(tag_id * 11.25e0), 6) AS baseline FROM tags GROUP BY ALL"))
 def tag_geometry_terms(spark, sf):
     bearing = F.col("tag_id") * 11.25
@@ -229,11 +214,6 @@ def detection_gaps(spark, sf):
     return rows.select("log_id", "camera", (F.col("ts_us") - F.col("gap")).alias("start_us"), F.col("ts_us").alias("end_us"))
 
 
-@query("camera_hw", over("vision", sql="SELECT camera, round(avg(latency_ms), 6) AS mean_v, min(latency_ms) AS min_v, max(latency_ms) AS max_v FROM vision GROUP BY ALL"))
-def camera_hw(spark, sf):
-    return A.vision(spark, sf).groupBy("camera").agg(r6(F.avg("latency_ms")).alias("mean_v"), F.min("latency_ms").alias("min_v"), F.max("latency_ms").alias("max_v"))
-
-
 @query("tag_id_table", over("tags", "frames", sql="""
     SELECT camera, tag_id, count(*) AS n, round(avg(dist), 6) AS mean_dist, round(avg(ambiguity), 6) AS mean_amb, round(100.0 * count(*) FILTER (ambiguity > .5) / count(*), 6) AS high_pct FROM tags JOIN frames USING (frame_id) GROUP BY ALL"""))
 def tag_id_table(spark, sf):
@@ -255,13 +235,6 @@ def band_rollup(spark, sf):
     return per.groupBy("band").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
 
 
-@query("tag_geometry_summary", over("tags", "frames", sql="SELECT camera, round(100.0 * count(*) FILTER (dist > 2) / count(*), 6) AS far_pct, round(100.0 * count(*) FILTER (area < .02) / count(*), 6) AS tiny_pct FROM tags JOIN frames USING (frame_id) GROUP BY ALL"))
-def tag_geometry_summary(spark, sf):
-    rows = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id")
-    pct = lambda c: r6(100.0 * F.count_if(c) / F.count("*"))
-    return rows.groupBy("camera").agg(pct(F.col("dist") > 2).alias("far_pct"), pct(F.col("area") < 0.02).alias("tiny_pct"))
-
-
 def kind_pairs(spark, sf, a="cam-a", b="cam-b"):
     """Frames of one camera with the nearest of another within 50 ms: distance and yaw difference."""
     v = A.vision(spark, sf)
