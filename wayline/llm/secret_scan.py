@@ -1,8 +1,9 @@
 """Secret scan with a trigram index.
 
-From each rule's expression follows a Boolean query over trigrams that every match holds. Postings of those trigrams are
-made from the lower-cased texts, intersected per rule, and only candidates are verified by the expression itself. Rules
-without a mandatory trigram scan all texts.
+From each rule's expression follows a Boolean query over trigrams that every match holds. One pass cuts the lower-cased
+texts into the trigrams that any rule asks for; the inverted index of these lists the documents of each trigram. A rule
+takes the shortest list of each of its conjunctions and intersects it with the others; only the candidates left are
+verified by the expression itself. Rules without a mandatory trigram scan all texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut
+from wayline.llm.common import cut, stored
 from wayline.llm.spans import joined, marked, matches, of_kind
 
 try:  # the parser of expressions in the standard library
@@ -142,22 +143,51 @@ def trigrams_of(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
-def _holds(query, mask: Column, bits: dict[str, int]) -> Column:
-    """A query as a condition on the set of trigrams posted."""
+def conjunctions(query) -> list[frozenset[str]]:
+    """A query as alternatives, each of trigrams that must all be there; True has none."""
+    if query is True:
+        return []
     if isinstance(query, str):
-        return F.array_contains(mask, bits[query])
-    parts = [_holds(q, mask, bits) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
+        return [frozenset([query])]
+    parts = [conjunctions(q) for q in query[1]]
+    if query[0] == "or":
+        found = {c for part in parts for c in part}
+    else:
+        found = {frozenset().union(*chosen) for chosen in product(*parts)}
+    return sorted((c for c in found if not any(other < c for other in found)), key=sorted)
+
+
+def _any_of(trigrams: list[str]) -> str:
+    """An expression that finds each place where one of the trigrams begins, parted by their first characters."""
+    plain = lambda t: "".join(c if c.isalnum() else f"\\{c}" for c in t)
+    firsts = sorted({t[0] for t in trigrams})
+    return "(?=(" + "|".join(f"{plain(c)}(?:" + "|".join(plain(t[1:]) for t in trigrams if t[0] == c) + ")" for c in firsts) + "))"
 
 
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Rows (trigram, id, digest): the inverted index of the trigrams that rules ask for."""
-    low = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return texts.where("text is not null").select(F.explode(present).alias("trigram"), "id", "digest")
+    """Rows (trigram, id, digest), those of a trigram together in each file: the inverted index of the trigrams that rules ask for."""
+    present = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(trigrams)), F.lit(1)))
+    rows = texts.where("text is not null").select(F.explode(present).alias("trigram"), "id", "digest")
+    return stored(rows.sortWithinPartitions("trigram"), "postings")
+
+
+def _candidates(index: DataFrame, queries: dict) -> DataFrame:
+    """Rows (id, digest, kinds): the documents that meet the query of a rule, and the kinds of these rules."""
+    clauses = [(kind, number, c) for kind, query in queries.items() for number, c in enumerate(conjunctions(query))]
+    # One row per trigram of the rules.
+    sizes = {r["trigram"]: r["count"] for r in index.groupBy("trigram").count().collect()}
+    rows = []
+    for i, (kind, _, clause) in enumerate(clauses):
+        shortest = min(clause, key=lambda t: (sizes.get(t, 0), t))
+        rows += [(t, i, kind, len(clause), t == shortest) for t in sorted(clause)]
+    table = index.sparkSession.createDataFrame(rows, "trigram string, clause int, kind string, size int, leads boolean")
+    lists = index.join(F.broadcast(table), "trigram")
+    shortest, others = lists.where("leads"), lists.where("not leads")
+    named = shortest.select(F.col("clause").alias("c"), F.col("id").alias("i"), F.col("digest").alias("d"))
+    others = others.join(named, (others["clause"] == named["c"]) & others["id"].eqNullSafe(named["i"]) & (others["digest"] == named["d"]), "left_semi")
+    # Equal rows of documents repeat their postings.
+    met = shortest.unionByName(others).groupBy("clause", "kind", "size", "id", "digest").agg(F.count_distinct("trigram").alias("n")).where("n = size")
+    return met.groupBy("id", "digest").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _verified(text: Column, rule: Rule, wanted: Column | None = None) -> Column:
@@ -180,26 +210,28 @@ def find_secrets(documents: DataFrame, rules: list[Rule] | None = None, id_col:
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     queries = {r.kind: trigram_query(r.plain or r.pattern) for r in rules}
     grams = sorted(set().union(*map(trigrams_of, queries.values())))
-    bits = {g: i for i, g in enumerate(grams)}
     indexed = [r for r in rules if queries[r.kind] is not True]
     order = {r.kind: i for i, r in enumerate(rules)}
     everywhere = [marked(_verified(F.col("text"), r), r.kind, order[r.kind]) for r in rules if queries[r.kind] is True]
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
     scanned = docs.select("id", "digest", F.concat(none, *everywhere).alias("here"))
+    if not indexed:
+        return _result(scanned.select(F.col("id").alias("doc_id"), F.col("here").alias("all")), rules)
 
-    # A document has at most as many postings as the rules have trigrams.
-    masks = postings(docs, grams).groupBy("id", "digest").agg(F.collect_set("trigram").alias("mask"))
-    asked = masks.select("id", "digest", *[_holds(queries[r.kind], F.col("mask"), bits).alias(f"ask_{r.kind}") for r in indexed])
-    candidates = cut(asked.where(" or ".join(f"ask_{r.kind}" for r in indexed)))
+    candidates = cut(_candidates(postings(docs, grams), {r.kind: queries[r.kind] for r in indexed}))
     bucket = F.pmod(F.col("digest"), F.lit(BUCKETS))
     near = F.broadcast(candidates.select(bucket.alias("bucket")).distinct())
     some = docs.withColumn("bucket", bucket).join(near, "bucket", "left_semi").drop("bucket")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["digest"] == b["digest"])
     checked = some.join(candidates, same(some, candidates)).select(
-        some["id"], some["digest"], F.concat(none, *[marked(_verified(F.col("text"), r, F.col(f"ask_{r.kind}")), r.kind, order[r.kind]) for r in indexed]).alias("there")
+        some["id"], some["digest"], F.concat(none, *[marked(_verified(F.col("text"), r, F.array_contains("kinds", r.kind)), r.kind, order[r.kind]) for r in indexed]).alias("there")
     )
     checked = cut(checked.where(F.size("there") > 0).dropDuplicates(["id", "digest"]))
     spans = scanned.join(checked, same(scanned, checked), "left").select(scanned["id"].alias("doc_id"), F.concat("here", F.coalesce("there", none)).alias("all"))
+    return _result(spans, rules)
+
+
+def _result(spans: DataFrame, rules: list[Rule]) -> DataFrame:
     base = F.filter("all", lambda s: s["kind"].isin([r.kind for r in rules if r.base]))
     counts = [F.size(of_kind(F.col("all"), r.kind)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     return spans.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))

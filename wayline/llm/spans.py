@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BLOCK = 128
 MATCH = "struct<start:int,end:int,text:string,part:string,before:string,after:string>"
 
 
@@ -35,8 +36,13 @@ def matches(text: Column, pattern: str, group: int = 0, wanted: Column | None =
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(match)).alias("out"))
 
     none = F.array().cast(f"array<{MATCH}>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    out = F.aggregate(rows, first, step, lambda s: s["out"])
+    # A fold copies what it has gathered at each step, so places are folded by blocks: first where blocks begin.
+    block = lambda k: F.slice(rows, k * BLOCK + 1, F.lit(BLOCK))
+    width = lambda k: F.aggregate(block(k), F.lit(0), lambda n, row: n + F.length(row["piece"]) + F.length(row["text"]))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda state, k: F.struct((state["at"] + width(k)).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+    begins = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), begin, add, lambda s: s["out"])
+    out = F.flatten(F.transform(begins, lambda at, k: F.aggregate(block(k), F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])))
     asked = text.isNotNull() if wanted is None else text.isNotNull() & wanted
     return F.when(asked & F.coalesce(text.rlike(pattern), F.lit(False)), out).otherwise(none)
 
