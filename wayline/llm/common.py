@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +43,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of a text column, or of one row, so that few texts are Python objects at a time."""
+    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mix64(values: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit multiplicative hash, vectorised."""
     with np.errstate(over="ignore"):

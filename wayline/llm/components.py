@@ -25,20 +25,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
+    pairs = lambda *rows: F.inline(F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in rows]))
     while state[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        # Larger neighbours go to the smallest.
-        edges = (
-            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .unionByName(low.where("low < a").select("a", F.col("low").alias("b")))
-            .where("a <> b").distinct()
-        )
+        a, b, least = F.col("a"), F.col("b"), F.col("low")
+        both = edges.select(pairs((a, b), (b, a)))
+        low = both.groupBy("a").agg(F.least(F.min("b"), a).alias("low"))
+        # Larger neighbours go to the smallest, and so does the node itself.
+        moved = F.when(b > a, F.struct(b.alias("a"), least.alias("b"))).when((b == least) & (least < a), F.struct(a, b))
+        edges = both.join(low, "a").select(moved.alias("e")).where("e is not null").select("e.*").where("a <> b").distinct()
         # So do the smaller ones.
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
-        edges = edges.join(low, "a").select(
-            F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a").alias("a"), F.col("low").alias("b"))))
-        )
+        edges = edges.join(low, "a").select(pairs((b, least), (a, least)))
         edges = cut(edges.where("a <> b").distinct())
         before, state = state, _state(edges)
         if state == before:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, shingle_set, stored
+from wayline.llm.common import cut, shingle_set, slices, stored
 from wayline.llm.components import connected_components
 
 SKETCH, LISTED = 48, 32
 BUCKETS = 1 << 20
 HOT_LIST = 32
-WORDS, FIRST_WORDS = 8, 4
+WORDS = 8
 BLOCK = 256
 NEAR = 60  # per cent of its size that a set's difference from a pivot may have to be surely written as one
 
@@ -67,7 +67,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             sizes, ones, twos, kept, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text, width)
@@ -92,7 +92,7 @@ def _full_sets(width: int):
     """Rows (v, uid, n): all values of the sets of crowded classes, of one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x) for x in sets], np.int64)
             columns = (np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.array(batch.column("uid").to_pylist(), np.int64), sizes), np.repeat(sizes, sizes))
@@ -107,7 +107,7 @@ def _with_hubs(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[t
     A repeated row, or one whose text isn't that of its class, is passed over. One hub's set is held at a time.
     """
     hub, hub_set, last = None, None, None
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "text")):
         out = []
         columns = [batch.column(c).to_pylist() for c in ("hub", "uid", "role", "one", "two", "text")]
         for at, uid, role, one, two, text in zip(*columns):
@@ -141,7 +141,7 @@ def _confirm(width: int, percent: int):
 
 
 def _differences(width: int, percent: int):
-    """Rows (pivot, uid, n, difference) of members near their pivot, and rows without a difference for those far from it.
+    """Rows (pivot, uid, n, difference, linked) of members near their pivot, and rows without a difference for those far from it.
 
     Linked sets differ by at most (n + n') * (100 - percent) / (100 + percent). So if one of two linked members differs
     from the pivot by at most NEAR per cent of its size, the other does by at most (NEAR + 100 - percent) / percent of
@@ -154,11 +154,13 @@ def _differences(width: int, percent: int):
             for hub, uid, left, right in rows:
                 apart, n = np.setxor1d(left, right, assume_unique=True), len(right)
                 if percent * len(apart) <= (NEAR + 100 - percent) * n:
-                    out.append((hub, uid, n, apart))
+                    total = len(left) + n
+                    out.append((hub, uid, n, apart, (100 + percent) * len(apart) <= (100 - percent) * total))
                 if 100 * len(apart) > NEAR * n:
-                    out.append((None, uid, n, None))
+                    out.append((None, uid, n, None, False))
             longs = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array([r[3] for r in out], pa.list_(pa.int64()))], ["pivot", "uid", "n", "difference"])
+            rest = [pa.array([r[3] for r in out], pa.list_(pa.int64())), pa.array([r[4] for r in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*longs, *rest], ["pivot", "uid", "n", "difference", "linked"])
 
     return run
 
@@ -241,27 +243,23 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int, pe
         rows = with_texts(dealt.withColumn("role", F.lit(1)).unionByName(hubs))
         return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "uid")
 
-    def apart(words: int) -> str:
-        """The number of parities that differ in the first words, at most that of values that one set has and the other lacks."""
-        return " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(words))
+    def apart() -> str:
+        """The number of set parities that differ, at most that of values that one set has and the other lacks."""
+        return " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(WORDS))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of classes those that are links: estimated by union sketches, then by full sets."""
+        """Of pairs (hub, uid) of classes those that are links, as (a, b): estimated by union sketches, then by full sets."""
         # Half of each value is enough to estimate with.
         sketches = classes.select("uid", "n", "bits", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
-        side = lambda x: sketches.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "sketch")])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        both = both.where(f"{100 + percent} * (n_a + n_b - ({apart(WORDS)})) >= {2 * percent} * (n_a + n_b)")
+        side = lambda x, name: sketches.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "sketch")])
+        both = pairs.join(side("a", "hub"), "hub").join(side("b", "uid"), "uid")
+        both = both.where(f"{100 + percent} * (n_a + n_b - ({apart()})) >= {2 * percent} * (n_a + n_b)")
         union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
         shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
         p = percent / 100
         least = F.size(union) * p - 6 * F.sqrt(F.size(union) * p * (1 - p))
-        likely = cut(both.where(shared >= least).select("a", "b"))
-        # The member of more pairs leads the block.
-        degree = cut(likely.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").count())
-        ends = likely.join(degree.select(F.col("uid").alias("a"), F.col("count").alias("of_a")), "a").join(degree.select(F.col("uid").alias("b"), F.col("count").alias("of_b")), "b")
-        led = ends.selectExpr("if(of_a >= of_b, a, b) AS hub", "if(of_a >= of_b, b, a) AS uid")
-        return cut(in_blocks(led).mapInArrow(_confirm(width, percent), "a long, b long"))
+        likely = cut(both.where(shared >= least).select("hub", "uid"))
+        return cut(in_blocks(likely).mapInArrow(_confirm(width, percent), "a long, b long"))
 
     # The rarest values of each sketch. Values of one document only are in no list but come first in the order.
     retained = classes.select(F.explode(F.slice("sketch", 1, LISTED)).alias("v"), "uid", "n")
@@ -290,33 +288,32 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int, pe
     def stars(lists: DataFrame) -> DataFrame:
         """Each member with its list's head. A document meets several heads."""
         fits = F.expr(f"uid <> head.uid and 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
-        pairs = lists.join(heads(lists, 4), "v").where(fits)
-        return pairs.select(F.least("uid", "head.uid").alias("a"), F.greatest("uid", "head.uid").alias("b")).distinct()
+        return lists.join(heads(lists, 4), "v").where(fits).select(F.col("head.uid").alias("hub"), "uid").distinct()
 
     def across(lists: DataFrame) -> DataFrame:
         """Pairs of one list in different components whose sizes allow a link.
 
         Listed are values of a set of m values, the document's own or its difference from a pivot, by their place in
         it. The first value that a pair has in common leaves room for no more common ones than come after it in both;
-        pairs that this bound or their parities rule out aren't made.
+        pairs that this bound or their parities rule out aren't made, nor are those of members both linked to a pivot.
         """
-        lists = lists.join(classes.select("uid", F.slice("bits", 1, FIRST_WORDS).alias("bits")), "uid")
-        side = lambda x: [F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "m", "root", "place", "bits")]]
+        lists = lists.join(classes.select("uid", "bits"), "uid")
+        side = lambda x: [F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "m", "root", "place", "bits", "linked")]]
         left, right = lists.select("v", *side("a")), lists.select("v", *side("b"))
         fits = F.expr(
-            f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+            f"a < b and root_a <> root_b and not (linked_a and linked_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
             f" and {100 + percent} * (m_a + m_b - 2 * (least(m_a - place_a, m_b - place_b) + 1)) <= {100 - percent} * (n_a + n_b)"
-            f" and {100 + percent} * (n_a + n_b - ({apart(FIRST_WORDS)})) >= {2 * percent} * (n_a + n_b)"
+            f" and {100 + percent} * (n_a + n_b - ({apart()})) >= {2 * percent} * (n_a + n_b)"
         )
-        return left.join(right, "v").where(fits).select("a", "b").distinct()
+        return left.join(right, "v").where(fits).select(F.col("a").alias("hub"), F.col("b").alias("uid")).distinct()
 
     def rarest(sets: DataFrame, last: str) -> DataFrame:
-        """Rows v, uid, n, m, place of (space, v, uid, n, m): values of several sets of a space up to the last place, rarest first."""
+        """Rows v, uid, n, m, linked, place of (space, v, uid, n, m, linked): values of several sets of a space up to the last place, rarest first."""
         counted = sets.join(sets.groupBy("space", "v").count().where("count > 1"), ["space", "v"])
         own = Window.partitionBy("space", "uid")
         alone = F.col("m") - F.count("*").over(own)
         first = counted.withColumn("place", alone + F.row_number().over(own.orderBy("count", "v"))).where(f"place <= {last}")
-        return first.select(F.xxhash64("space", "v").alias("v"), "uid", "n", "m", "place")
+        return first.select(F.xxhash64("space", "v").alias("v"), "uid", "n", "m", "linked", "place")
 
     members = stored(members, "lists")
     tested = cut(stars(members))
@@ -326,26 +323,25 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int, pe
     open_lists = named(members, roots)
     sizes = open_lists.groupBy("v").agg(F.count("*").alias("size"))
     # The pair of a list of two has been tested.
-    lists = open_lists.join(sizes.where(F.col("size").between(3, HOT_LIST)).select("v"), "v").select("v", "uid", "n", F.col("n").alias("m"), F.lit(1).alias("place"), "root")
+    lists = open_lists.join(sizes.where(F.col("size").between(3, HOT_LIST)).select("v"), "v").select("v", "uid", "n", F.col("n").alias("m"), F.lit(1).alias("place"), F.lit(False).alias("linked"), "root")
     crowded = open_lists.join(sizes.where(F.col("size") > HOT_LIST).select("v"), "v")
     pivots = cut(crowded.join(heads(crowded, 1), "v").where("uid <> head.uid").select(F.col("head.uid").alias("hub"), "uid").distinct())
     if not pivots.isEmpty():
-        # Members that the pivot is a link to are told here, so that pairs of such members are in one component.
-        moved = stored(in_blocks(pivots).mapInArrow(_differences(width, percent), "pivot long, uid long, n long, difference array<long>"), "differences")
-        sizes = classes.select(F.col("uid").alias("pivot"), F.col("n").alias("of"))
-        close = moved.where("pivot is not null").join(sizes, "pivot").where(f"{100 + percent} * (n + of - size(difference)) >= {2 * percent} * (n + of)")
-        edges = cut(edges.unionByName(close.select(F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b"))).distinct())
-        roots = cut(connected_components(edges))
-        near = moved.where("pivot is not null").select(F.col("pivot").alias("space"), F.explode("difference").alias("v"), "uid", "n", F.size("difference").cast("long").alias("m"))
+        moved = stored(in_blocks(pivots).mapInArrow(_differences(width, percent), "pivot long, uid long, n long, difference array<long>, linked boolean"), "differences")
+        # Members linked to the pivot are linked through it, so pairs of such members need not be found.
+        close = moved.where("pivot is not null and linked").select(F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b"))
+        edges = edges.unionByName(close)
+        near = moved.where("pivot is not null").select(F.col("pivot").alias("space"), F.explode("difference").alias("v"), "uid", "n", F.size("difference").cast("long").alias("m"), "linked")
         far = with_texts(moved.where("pivot is null").select("uid").distinct()).mapInArrow(_same_set(width), "uid long, text string")
         # Rows that repeat both id and text bring a class's text several times; its values are to be counted once.
         whole = stored(far.groupBy("uid").agg(F.first("text").alias("text")).mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
-        whole = whole.select(F.lit(-1).cast("long").alias("space"), "v", "uid", "n", F.col("n").alias("m"))
+        whole = whole.select(F.lit(-1).cast("long").alias("space"), "v", "uid", "n", F.col("n").alias("m"), F.lit(False).alias("linked"))
         # Of two sets at the threshold, not both linked to the pivot, either has one of the values they share among these.
         again = rarest(near, f"least(m, floor(n * {100 - percent} / {percent}) + 1)").unionByName(rarest(whole, f"n - ceil({percent} * n / 100) + 1"))
-        lists = lists.drop("root").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         lists = lists.unionByName(named(cut(again), roots))
-    edges = edges.unionByName(confirmed(across(lists).join(tested, ["a", "b"], "left_anti")))
+    # hub < uid in the pairs found now, either way in those tested.
+    done = tested.select(F.least("hub", "uid").alias("hub"), F.greatest("hub", "uid").alias("uid"))
+    edges = edges.unionByName(confirmed(across(lists).join(done, ["hub", "uid"], "left_anti")))
     roots = connected_components(edges)
     return sketched, cut(classes.join(roots, classes["uid"] == roots["node"], "left").select("one", "two", "rep", F.coalesce("root", "uid").alias("root")))
 
@@ -354,7 +350,7 @@ def _same_set(width: int):
     """Keep texts whose set is that of their class: a repeated id may bring other texts along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             texts = batch.column("text").to_pylist()
             wanted = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())
             good = [i for i, (text, key) in enumerate(zip(texts, wanted)) if _digest(shingle_set(text, width)) == key]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import mix64, powers, stored
+from wayline.llm.common import mix64, powers, slices, stored
 
 CACHE_UNITS = 1 << 20
 SLICE_BYTES = 1 << 22
@@ -255,16 +255,6 @@ def _curve_keys(tokens: list[np.ndarray], vocabulary: int) -> np.ndarray:
     return np.where(sizes > 0, hilbert_keys(cells, BITS), 0)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about SLICE_BYTES of text."""
-    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")])
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _tokenise(path: str, end_id: int):
     """Rows of at most CHUNK_TOKENS ids: a long document has several, so that rows are a fair measure of tokens."""
 
@@ -272,7 +262,7 @@ def _tokenise(path: str, end_id: int):
         encoder = _encoder(path)
         last = np.array([end_id], encoder.dtype)
         vocabulary = encoder.tokenizer.get_vocab_size()
-        for batch in (part for b in batches for part in _slices(b)):
+        for batch in (part for b in batches for part in slices(b, "text", SLICE_BYTES)):
             coded = encoder.encode(batch.column("text").to_pylist())
             keys = _curve_keys(coded, vocabulary)
             rows = [(i, start, c[start : start + CHUNK_TOKENS]) for i, c in enumerate(np.append(x, last) for x in coded) for start in range(0, len(c), CHUNK_TOKENS)]
