@@ -113,3 +113,25 @@ def test_files_are_plain_warc(spark, tmp_path):
     content = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     (fields, block), = warc.warc_records(content)
     assert content.startswith(b"WARC/1.1\r\n") and fields["warc-type"] == "response" and block.endswith(b"\r\n\r\nhello") and int(fields["content-length"]) == len(block)
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for unit in ("</x>", '<a href="x ', "<b></i>", "<!-- x ", "<script> ", "<div class='a"):
+        began = time.process_time()
+        html_text.main_text(unit * 40_000)
+        assert time.process_time() - began < 5
+
+
+def test_repeated_pages_get_records_of_their_own(spark, tmp_path):
+    rows = [(1, "http://a/", "same"), (1, "http://a/", "same"), (2, "http://b/", "same"), (None, "http://c/", "same")]
+    path = f"{tmp_path}/w"
+    warc.write_warcs(warc.with_revisits(warc.convert_arcs(warc.as_arc(pages(spark, rows)))), path)
+    import gzip
+
+    records = [f for p in sorted(tmp_path.glob("w/*.gz")) for f, _ in warc.warc_records(gzip.decompress(p.read_bytes()))]
+    ids = [f["warc-record-id"] for f in records]
+    assert len(set(ids)) == 4
+    response = next(f for f in records if f["warc-type"] == "response")
+    assert all(f["warc-refers-to"] == response["warc-record-id"] and f["warc-refers-to-target-uri"] == "http://b/" for f in records if f["warc-type"] == "revisit")

@@ -127,3 +127,10 @@ def test_queries_hold_for_every_match():
                 assert holds(query, {low[i : i + 3] for i in range(len(low) - 2)})
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is True
     assert secret_scan.trigram_query("ab(c|d)e?f") == ("or", (("and", ("abc", "bce", "cef")), ("and", ("abc", "bcf")), ("and", ("abd", "bde", "def")), ("and", ("abd", "bdf"))))
+
+
+def test_many_matches_in_one_text_keep_their_places(documents):
+    text = " ".join(f"u{i}@example.com" for i in range(700))
+    found = pii.find_personal_data(documents([(1, text)])).first()
+    assert found.n_email == 700
+    assert found.spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))

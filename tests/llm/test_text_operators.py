@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from wayline.llm import decontaminate, language_id, near_dedup, packing
 from wayline.llm.common import shingle_set, word_hashes
@@ -192,7 +193,7 @@ def test_bit_parallel_distance():
 def test_benchmark_hits_equal_brute_force(spark, documents):
     rng = random.Random(7)
     items = [(i, sentence(rng, "en", 30)) for i in range(6)] + [(6, "Tiny"), (7, None), (None, "no id at all in this one, really"), (8, "")]
-    rows = [(0, None), (1, ""), (2, "tiny"), (3, "some tiny thing")]
+    rows = [(0, None), (1, ""), (2, "tiny"), (3, "some tiny thing"), (4, "some tinyish thing")]
     for i in range(60):
         item = list(items[i % 6][1])
         for _ in range(rng.randint(0, 14)):
@@ -201,7 +202,7 @@ def test_benchmark_hits_equal_brute_force(spark, documents):
     rows += [rows[-1], (None, items[0][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id, r.errors) for r in decontaminate.benchmark_hits(documents(rows), benchmark).collect())
-    expected = [(2, 6, 0)]
+    expected = [(2, 6, 0), (3, 6, 0)]
     for i, text in rows:
         for item_id, item in items[:6]:
             m = len(item)
@@ -215,6 +216,55 @@ def test_benchmark_hits_equal_brute_force(spark, documents):
     assert decontaminate.benchmark_hits(documents(rows), benchmark.limit(0)).collect() == []
 
 
+def test_short_items_and_items_without_an_id_are_found(spark, documents):
+    rows = [(1, "say (four words and no) more"), (2, "four words and none"), (3, "x" * 40), (4, "other")]
+    benchmark = spark.createDataFrame([(7, "four words and no"), (None, "x" * 40), (8, None), (9, " ")], "item_id long, text string")
+    found = decontaminate.benchmark_hits(documents(rows), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.errors) for r in found) == [(1, 7, 0), (3, None, 0)]
+    assert sorted(r.doc_id for r in decontaminate.without_benchmark(documents(rows), benchmark).collect()) == [2, 4]
+
+
+def test_long_texts_are_labelled_in_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    factors, moves = rng.random((70, 3)).astype(np.float32), rng.random((3, 3)).astype(np.float32)
+    found = []
+    for stretch in (4096, 8):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        got, befores = np.zeros((70, 3)), np.zeros((70, 3))
+
+        def on_word(at, before, after, posterior, got=got, befores=befores):
+            got[at] = posterior
+            befores[at] = 0 if before is None else before
+
+        language_id._chain(factors, np.array([0, 41]), np.array([41, 29]), moves, on_word)
+        found.append((got, befores))
+    assert np.allclose(found[0][0], found[1][0]) and np.allclose(found[0][1], found[1][1])
+
+
+def test_more_languages_than_allowed_raise(documents):
+    with pytest.raises(ValueError, match="max_languages"):
+        language_id.learn(documents([(i, "some words", f"l{i}") for i in range(40)]), max_languages=5)
+
+
+def test_encoder_equals_the_tokenizer():
+    rng = random.Random(11)
+    encoder = packing.Encoder(tokenizer_path())
+    alphabet = "aAbBéÉß÷×.,;:!?- \t\n\r\x0b\x85\xa0\x1c<s>[]@19ñ中😀'\""
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(800)] + [None, "", "Word, " * 300, "x" * (packing.WINDOW + 9) + " tail."]
+    assert encoder.plain and encoder.parted
+    assert [c.tolist() for c in encoder.encode(texts)] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_neighbours_on_the_curve_are_packed_together(documents):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, "en" if i % 2 else "fr", 60)) for i in range(200)]
+    pieces = sorted(packing.pack(documents(rows), tokenizer_path(), length=256).collect(), key=lambda p: (p.sequence_id, p.offset))
+    order = [p.doc_id for p in pieces if p.start == 0]
+    coded = packing.Encoder(tokenizer_path()).encode([t for _, t in rows])
+    keys = packing._curve_keys(coded, packing._tokenizer(tokenizer_path()).get_vocab_size())
+    assert [keys[i] for i in order] == sorted(keys)
+
+
 def test_packing_is_a_round_trip(documents):
     rng = random.Random(8)
     path = tokenizer_path()

@@ -57,18 +57,19 @@ class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int, str]], error_percent: int, min_chars: int):
-        self.items: list[tuple[int, int, int, dict[str, int]]] = []
-        self.whole: dict[str, list[int]] = defaultdict(list)
+        self.items: list[tuple[int | None, int, int, dict[str, int]]] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, raw in items:
             text = normalise(raw)
             m = len(text)
             if not m:
                 continue
-            if m < min_chars:
-                self.whole[text].append(item_id)
+            # A short item is one piece, to be found between word boundaries.
+            k = m * error_percent // 100 if m >= min_chars else -1
+            if k < 0:
+                pieces[text].append((len(self.items), 0))
+                self.items.append((item_id, m, k, {}))
                 continue
-            k = m * error_percent // 100
             cuts = [m * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces[text[a:b]].append((len(self.items), a))
@@ -84,15 +85,20 @@ class Matcher:
         self.any = bool(pieces)
 
     def find(self, raw: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, errors, end in the normalised text) of each item that occurs, by item_id and errors."""
+        """(item_id, errors, end in the normalised text) of each item that occurs, by item_id, null first, and errors."""
         text = normalise(raw)
-        found = [(item_id, 0, len(text)) for item_id in self.whole.get(text, ())]
+        found: list[tuple[int | None, int, int]] = []
+        short: dict[int, int] = {}
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if self.any and text:
             for last, (size, owners) in self.automaton.iter(text):
                 for i, offset in owners:
                     _, m, k, _ = self.items[i]
                     start = last + 1 - size - offset
+                    if k < 0:
+                        if i not in short and not text[max(0, start - 1) : start].isalnum() and not text[last + 1 : last + 2].isalnum():
+                            short[i] = last + 1
+                        continue
                     spans[i].append((max(0, start - k), min(len(text), start + m + k)))
         for i, windows in spans.items():
             item_id, m, k, masks = self.items[i]
@@ -109,17 +115,18 @@ class Matcher:
                 start, end = a, b
             if best <= k:
                 found.append((item_id, best, at))
-        return sorted(found)
+        found += [(self.items[i][0], 0, end) for i, end in short.items()]
+        return sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ITEM_BYTES, so that what is broadcast has a bound."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = total // ITEM_BYTES + 1
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        yield sorted((r["id"], r["text"]) for r in rows)
+        yield sorted(((r["id"], r["text"]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def _matcher(key: str, shared, error_percent: int, min_chars: int) -> Matcher:
@@ -137,8 +144,8 @@ def benchmark_hits(
 
     Texts are compared in lower case with white space runs as one space. errors is the smallest edit distance of the
     item to any part of the text, end_at the end of the first such part in the compared text. Items under min_chars
-    count only where they are the whole document. Null or empty texts, and items with a null id or text, match nothing;
-    a null doc_id stays null; repeated document rows give repeated hits, repeated item rows none. Other columns are
+    count where they occur without an error and no letter or digit stands at their ends. Null or empty texts, of
+    documents or items, match nothing; a null doc_id or item_id stays null; repeated document rows give repeated hits, repeated item rows none. Other columns are
     ignored; empty tables give no rows.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")

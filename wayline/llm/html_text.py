@@ -8,6 +8,7 @@ ambiguous short blocks the label of their nearest decided neighbour.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -49,11 +50,72 @@ _ROLE_WORDS = (
 )
 _ROLE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(map(re.escape, _ROLE_WORDS.split())) + r")(?:$|[\s_\d-])")
 _ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Token:
+    """A comment or declaration (without a name), or a tag: its place, name, whether it closes, and its attributes."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+
+
+class _Reader:
+    """Finds the tokens of a page in one pass. Ends that are looked for in vain once aren't looked for again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.missing: set[str] = set()
+
+    def _find(self, mark: str, at: int) -> int:
+        """The place of a mark from there on, -1 if there is none."""
+        if mark in self.missing:
+            return -1
+        found = self.html.find(mark, at)
+        if found < 0:
+            self.missing.add(mark)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the > that ends a tag, quoted ones passed over; a quote that isn't closed is a character like others."""
+        while True:
+            found = _QUOTE_OR_END.search(self.html, at)
+            if not found:
+                return len(self.html)
+            if found[0] == ">":
+                return found.end()
+            closed = self._find(found[0], found.end())
+            at = closed + 1 if closed >= 0 else found.end()
+
+    def next(self, at: int) -> Token | None:
+        found = _OPEN.search(self.html, at)
+        if not found:
+            return None
+        if found[2] is None:
+            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(found[0], ">")
+            end = self._find(mark, found.end())
+            return Token(found.start(), end + len(mark) if end >= 0 else len(self.html))
+        end = self._tag_end(found.end())
+        return Token(found.start(), end, found[2].lower(), bool(found[1]), self.html[found.end() : end - (self.html[end - 1] == ">")])
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Behind the closing tag of an element of raw text, -1 if there is none."""
+        if name in self.missing:
+            return -1
+        found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.html, at)
+        if not found:
+            self.missing.add(name)
+            return -1
+        return found.end()
+
+
 @dataclass
 class Block:
     """A run of text between block-level tags."""
@@ -87,7 +149,15 @@ def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with what their containers say. Malformed tags are text or end with the page."""
     out, block = [], Block()
     stack: list[tuple[str, bool, bool]] = []  # name, around, article
-    links, at = 0, 0
+    standing: Counter[str] = Counter()  # how often each name is in the stack
+    links, at, reader = 0, 0, _Reader(html)
+
+    def leave(depth: int) -> None:
+        nonlocal links
+        for name, _, _ in stack[depth:]:
+            standing[name] -= 1
+            links -= name == "a"
+        del stack[depth:]
 
     def close() -> None:
         nonlocal block
@@ -107,43 +177,40 @@ def blocks(html: str) -> list[Block]:
                 block.linked += len(text.strip())
 
     while True:
-        token = _TOKEN.search(html, at)
-        add(html[at : token.start()] if token else html[at:])
+        token = reader.next(at)
+        add(html[at : token.start] if token else html[at:])
         if not token:
             break
-        at = token.end()
-        if token[2] is None:
+        at, name, closing = token.end, token.name, token.closing
+        if not name:
             continue
-        name, closing = token[2].lower(), bool(token[1])
         if name not in INLINE:
             close()
         elif name in ("br", "img", "input"):
             add(" ")
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                links -= sum(x[0] == "a" for x in stack[depth:])
-                del stack[depth:]
+            if standing[name]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in RAW or name in HIDDEN:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if end or name in RAW:
-                at = end.end() if end else len(html)
+            end = reader.raw_end(name, at)
+            if end >= 0 or name in RAW:
+                at = end if end >= 0 else len(html)
             continue
-        if name in VOID or token[3].rstrip().endswith("/"):
+        if name in VOID or token.attributes.rstrip().endswith("/"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADINGS:
             # These end an open one of their kind, and with it inline elements left open.
             depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1) if stack[i][0] not in INLINE), None)
             if depth is not None and (stack[depth][0] == name or stack[depth][0] == "p"):
-                links -= sum(x[0] == "a" for x in stack[depth:])
-                del stack[depth:]
+                leave(depth)
         around, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if name in ARTICLE:
             article = True
         if not around and name not in INLINE:
-            around = _says_around(name, token[3], article)
+            around = _says_around(name, token.attributes, article)
         links += name == "a"
+        standing[name] += 1
         stack.append((name, around, article))
     close()
     return out

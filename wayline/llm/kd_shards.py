@@ -34,7 +34,7 @@ def _points(documents: DataFrame) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"),
         F.col("text").isNull().alias("none"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("row"),
     )
     return rows
 
@@ -109,8 +109,8 @@ def kd_shards(documents: DataFrame, shards: int = 24) -> DataFrame:
 
     size is the text's UTF-8 bytes (0 for null) plus 8; shards have nearly equal bytes (law is 'bytes'), and equal
     texts, null ones among them, share a shard. A group of more bytes than a fair share gets a shard of its own, and the
-    rest is dealt to the others. slot counts a shard's documents from 0 without gaps, in an order that only depends
-    on the rows. Null ids, lang and source are allowed, repeated rows are counted each; other columns are ignored. An
+    rest is dealt to the others. slot counts a shard's documents from 0 without gaps, in an order that depends on
+    where the table has the rows. Null ids, lang and source are allowed, repeated rows are counted each; other columns are ignored. An
     empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -157,7 +157,8 @@ def kd_shards(documents: DataFrame, shards: int = 24) -> DataFrame:
 
     # Slots: counts per shard and chunk give offsets, so no task orders a whole shard.
     chunks = max(1, rows.count() // (shards * SLOT_ROWS) + 1) * 4
-    dealt = cut(dealt.select("doc_id", "size", "crc", "none", "shard", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(chunks)).alias("chunk")))
+    # Dealt by row number: rows that repeat an id and a text, or have no id, spread over chunks as well.
+    dealt = cut(dealt.select("doc_id", "size", "crc", "none", "shard", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")))
     counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("c"))
     offsets = counts.withColumn("base", F.sum("c").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
     offsets = offsets.select("shard", "chunk", F.coalesce("base", F.lit(0)).alias("base"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 CACHE_WORDS = 200_000
+STRETCH = 4096
 LANE_WORDS = 1 << 19
 
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint64)
@@ -87,28 +88,47 @@ def _chain(factors: np.ndarray, starts: np.ndarray, sizes: np.ndarray, moves: np
 
     on_word(positions, before, after, posterior) gets, for each step from the last to the first, the places of the
     words at it, the forward state of the word before (None at the first) with the backward state, and the posterior.
+    Forward states are kept for one stretch of STRETCH steps and for the starts of the others, from which they are made
+    again, so memory besides the factors grows with a small part of the longest sequence.
     """
     steps = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    forward, state = [], None
-    for t in range(steps):
+
+    def onwards(state: np.ndarray | None, t: int) -> np.ndarray:
         a = active[t]
         f = factors[starts[:a] + t]
         state = f.copy() if state is None else (state[:a] @ moves) * f
-        state /= state.sum(axis=1, keepdims=True)
+        return state / state.sum(axis=1, keepdims=True)
+
+    corners: list[np.ndarray | None] = []  # the state before each stretch
+    forward: list[np.ndarray] = []
+    state = None
+    for t in range(steps):
+        if t % STRETCH == 0:
+            corners.append(state)
+            forward = []
+        state = onwards(state, t)
         forward.append(state)
     back = None
-    for t in range(steps - 1, -1, -1):
-        a = active[t]
-        now = np.ones((a, moves.shape[0]), np.float32)
-        if back is not None:
-            now[: len(back)] = back
-        posterior = forward[t] * now
-        posterior /= posterior.sum(axis=1, keepdims=True)
-        f = factors[starts[:a] + t] * now
-        on_word(starts[:a] + t, forward[t - 1][:a] if t else None, f, posterior)
-        back = f @ moves.T
-        back /= back.sum(axis=1, keepdims=True)
+    for stretch in range(len(corners) - 1, -1, -1):
+        first = stretch * STRETCH
+        if stretch < len(corners) - 1:
+            forward, state = [], corners[stretch]
+            for t in range(first, first + STRETCH):
+                state = onwards(state, t)
+                forward.append(state)
+        for t in range(first + len(forward) - 1, first - 1, -1):
+            a = active[t]
+            now = np.ones((a, moves.shape[0]), np.float32)
+            if back is not None:
+                now[: len(back)] = back
+            posterior = forward[t - first] * now
+            posterior /= posterior.sum(axis=1, keepdims=True)
+            f = factors[starts[:a] + t] * now
+            before = forward[t - first - 1] if t > first else corners[stretch]
+            on_word(starts[:a] + t, None if before is None else before[:a], f, posterior)
+            back = f @ moves.T
+            back /= back.sum(axis=1, keepdims=True)
 
 
 def fit(texts: list[tuple[str, str]], lexicon_words: int = 400, lane: int = 256, rounds: int = 40, rate: float = 0.15) -> Model:
@@ -182,22 +202,27 @@ def fit(texts: list[tuple[str, str]], lexicon_words: int = 400, lane: int = 256,
     return Model(labels, lexicon, weights, np.exp(moves - moves.max()))
 
 
-def learn(documents: DataFrame, docs_per_language: int = 150) -> Model:
+def learn(documents: DataFrame, docs_per_language: int = 150, chars_per_doc: int = 20_000, max_languages: int = 512) -> Model:
     """Fit on a bounded sample of the labelled documents whose crc32 remainder isn't 2.
 
-    About docs_per_language documents of each language are taken by a hash of their id, at most 64 languages (the most
-    frequent ones); this bound is all that the driver sees of the corpus. Only text and lang of those rows are used.
+    About docs_per_language documents of each language are taken by a hash of their id, and chars_per_doc characters of
+    each; this bound is all that the driver sees of the corpus. Only text and lang of those rows are used. All languages
+    are learned; a corpus with more than max_languages labels raises an error.
     """
     own = documents.select(F.col("doc_id").alias("id"), "text", "lang").where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    sizes = own.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"documents have more than max_languages = {max_languages} different lang values")
     if not sizes:
         return Model([], {}, np.zeros((4 * BUCKETS + 1, 0), np.float32), np.zeros((0, 0), np.float32))
     scale = 1 << 30
     limits = {r["lang"]: max(1, min(scale, scale * docs_per_language // r["count"])) for r in sizes}
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
-    chosen = own.where(F.pmod(F.xxhash64("id", "lang"), F.lit(scale)) < limit).limit(2 * docs_per_language * len(limits)).collect()
-    chosen = sorted((r["lang"], r["text"]) for r in chosen)
-    return fit(chosen)
+    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(scale))
+    # The draw takes about docs_per_language of each; rows that repeat an id may be more, of which the first in a fixed order stay.
+    drawn = own.where(draw < limit).select("lang", F.left("text", F.lit(chars_per_doc)).alias("text"), draw.alias("draw"), F.xxhash64("text").alias("tie"))
+    chosen = drawn.orderBy("draw", "lang", "tie").limit(2 * docs_per_language * len(limits)).collect()
+    return fit(sorted((r["lang"], r["text"]) for r in chosen))
 
 
 def held_out(doc_id) -> F.col:

@@ -170,16 +170,19 @@ def learn(documents: DataFrame, text_col: str = "text") -> Model:
     """
     text = F.col("text")
     rows = documents.select(F.col(text_col).alias("text")).where("text is not null")
-    bases = rows.select("text", *[b.alias(f"b_{k}") for k, b in base_spans(text).items()], *[c.alias(f"c_{k}") for k, c in candidates(text).items()])
-    each = None
-    for k in KINDS:
-        others = F.concat(*[F.col(f"b_{o}") for o in KINDS if o != k])
-        own = bases.select(F.pmod(F.xxhash64("text"), F.lit(5)).alias("part"), F.lit(k).alias("kind"), F.col(f"b_{k}").alias("b"), others.alias("others"), F.explode(f"c_{k}").alias("c"))
-        more = ~_overlaps(F.col("b"), F.col("c"))
-        # What lies over base spans of other kinds only is never added.
-        own = own.where(~more | ~_overlaps(F.col("others"), F.col("c")))
-        own = own.select("part", "kind", more.alias("more"), F.col("c.good").alias("good"), *[F.col("c")[f].alias(f) for f in FEATURES])
-        each = own if each is None else each.unionByName(own)
+    # One row of all matches per text, made once: what follows refers to them several times.
+    found = F.struct(
+        F.pmod(F.xxhash64("text"), F.lit(5)).alias("part"), *[b.alias(f"b_{k}") for k, b in base_spans(text).items()], *[c.alias(f"c_{k}") for k, c in candidates(text).items()]
+    )
+    bases = rows.select(F.inline(F.array(found)))
+
+    def judged(kind: str) -> Column:
+        """The candidates of a kind but those over base spans of other kinds only, which are never added."""
+        others = F.concat(*[F.col(f"b_{o}") for o in KINDS if o != kind])
+        own = F.filter(f"c_{kind}", lambda c: _overlaps(F.col(f"b_{kind}"), c) | ~_overlaps(others, c))
+        return F.transform(own, lambda c: F.struct(F.lit(kind).alias("kind"), (~_overlaps(F.col(f"b_{kind}"), c)).alias("more"), c["good"].alias("good"), *[c[f].alias(f) for f in FEATURES]))
+
+    each = bases.select("part", F.inline(F.concat(*map(judged, KINDS))))
     # At most the product of all features' numbers of values, times 4 kinds, 2 parts and 2 sorts, whatever the corpus.
     table = (
         each.groupBy("kind", (F.col("part") == 0).alias("held"), "more", *FEATURES)

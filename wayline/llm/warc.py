@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import cut, shared_path
 
-FILE_RECORDS = 1 << 14
+FILE_BYTES, FILE_RECORDS = 64 << 20, 1 << 14
 RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -97,13 +97,14 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives to the fields of their WARC records; page_id is the number after #page= in the record's URL, if any."""
     for batch in batches:
         rows = []
-        for archive in batch.column("content"):
-            for fields, body in arc_records(archive.as_py() or b""):
+        for archive, number in zip(batch.column("content"), batch.column("number").to_pylist()):
+            for place, (fields, body) in enumerate(arc_records(archive.as_py() or b"")):
                 head, payload = _split_http(body)
-                url, mark, number = fields["url"].rpartition("#page=")
-                page = int(number) if mark and number.lstrip("-").isdigit() else None
+                url, mark, page_number = fields["url"].rpartition("#page=")
+                page = int(page_number) if mark and page_number.lstrip("-").isdigit() else None
                 digest = sha1_base32(payload)
-                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['url']} {fields['date']} {digest}")
+                # Records that repeat differ by the number of their archive and their place in it.
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['url']} {fields['date']} {digest} {number} {place}")
                 texts = (head.decode("utf-8", "replace"), payload.decode("utf-8", "replace"))
                 rows.append((page, url if mark else fields["url"], warc_time(fields["date"]), fields["type"], *texts, len(payload), digest, f"<urn:uuid:{name}>"))
         kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.string()]
@@ -115,7 +116,7 @@ def convert_arcs(archives: DataFrame, content_col: str = "content") -> DataFrame
 
     Null or empty contents, and contents without a version block of version 1 or 2, give no rows. Columns: CONVERTED.
     """
-    return archives.select(F.col(content_col).alias("content")).mapInArrow(_convert, CONVERTED)
+    return archives.select(F.col(content_col).alias("content"), F.monotonically_increasing_id().alias("number")).mapInArrow(_convert, CONVERTED)
 
 
 def as_arc(pages: DataFrame) -> DataFrame:
@@ -143,33 +144,50 @@ def as_arc(pages: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("odd"), block("2", names_2, "200 - - 0 pages.arc ", "200 - - 0 pages.arc ")).otherwise(block("1", names_1, "", "")).cast("binary").alias("content"))
 
 
-def with_revisits(records: DataFrame) -> DataFrame:
-    """Adds the page_id of the response that has a record's payload: among equal payloads the largest page_id.
+def _holders(records: DataFrame) -> DataFrame:
+    """Per payload (digest and size) the record with the largest page_id (holder) and the number of records (n)."""
+    holder = F.max(F.struct("page_id", "record_id", "url", "date")).alias("holder")
+    return cut(records.groupBy("payload_digest", "payload_bytes").agg(holder, F.count("*").alias("n")))
+
+
+def with_revisits(records: DataFrame, holders: DataFrame | None = None) -> DataFrame:
+    """Adds holder, the record (page_id, record_id, url, date) of the response that has a record's payload: among equal
+    payloads that with the largest page_id.
 
     The choice is a pre-aggregated maximum per digest and size, joined back, so a payload that many pages share is never
     gathered; with the choice written first, adaptive execution can split the join. Records are made once for the choice
-    and once for the join, which costs less than keeping the payloads. Records without a page_id are responses only if no equal payload has one; rows with the same page_id and
-    payload have the same type.
+    and once for the join, which costs less than keeping the payloads. Records without a page_id are responses only if
+    no equal payload has one; rows with the same page_id and payload have the same type.
     """
-    chosen = cut(records.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("holder")))
-    return records.join(chosen, ["payload_digest", "payload_bytes"])
+    holders = _holders(records) if holders is None else holders
+    return records.join(holders.drop("n"), ["payload_digest", "payload_bytes"])
+
+
+def _records_per_file(holders: DataFrame) -> int:
+    """How many records have about FILE_BYTES of payload."""
+    total, n = holders.agg(F.sum(F.col("payload_bytes") * F.col("n")), F.sum("n")).first()
+    return max(1, min(FILE_RECORDS, FILE_BYTES * (n or 1) // max(1, total or 0)))
 
 
 def as_warc(records: DataFrame) -> DataFrame:
     """One string column: each record's WARC text but the two line breaks that end it."""
-    revisit = ~F.col("page_id").eqNullSafe(F.col("holder"))
+    revisit = ~F.col("page_id").eqNullSafe(F.col("holder.page_id"))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     mark = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    holder = F.coalesce(F.col("holder").cast("string"), F.lit("-"))
+    plain = lambda url: F.regexp_replace(url, r"[\r\n]", "%20")
+    refers = F.concat(
+        line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", F.col("holder.record_id")), line("WARC-Refers-To-Target-URI", plain("holder.url")),
+        line("WARC-Refers-To-Date", F.col("holder.date")), line("X-Refers-To-Page", F.coalesce(F.col("holder.page_id").cast("string"), F.lit("-"))),
+    )
     text = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%20")),
+        line("WARC-Target-URI", plain("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("X-Refers-To-Page", holder))).otherwise(F.lit("")),
+        F.when(revisit, refers).otherwise(F.lit("")),
         line("X-Page", mark),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
@@ -219,12 +237,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], [c.split()[0] for c in READ.split(", ")])
 
 
-def write_warcs(records: DataFrame, path: str) -> None:
-    """Write records (CONVERTED with holder) as gzipped WARC files of at most FILE_RECORDS, on any file system Spark can write.
+def write_warcs(records: DataFrame, path: str, per_file: int = FILE_RECORDS) -> None:
+    """Write records (CONVERTED with holder) as gzipped WARC files of at most so many, on any file system Spark can write.
 
     The text sink with the record end as its line separator writes exactly a WARC file, so no file passes through Python.
     """
-    as_warc(records).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    as_warc(records).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_warcs(frame_path: str, spark) -> DataFrame:
@@ -241,5 +259,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
-    write_warcs(with_revisits(convert_arcs(as_arc(pages))), path)
+    records = convert_arcs(as_arc(pages))
+    holders = _holders(records)
+    write_warcs(with_revisits(records, holders), path, _records_per_file(holders))
     return read_warcs(path, spark)
