@@ -184,19 +184,25 @@ def anchored_dedup(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return _stretches(rows, keys, gap_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
 
 
-def anchored_groups(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
-    """Group number of each row (ts_us, seq, grp), from 1: a new group begins more than width_us after its first row."""
-    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,new:int>>")
+def anchors(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
+    """Rows (keys, ts_us, seq, anchor_us): the time of the first row of each row's group; a group ends more than width_us after it."""
+    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,anchor_us:bigint>>")
     first = F.struct(F.lit(None).cast("bigint").alias("anchor"), none.alias("out"))
 
     def step(state: Column, row: Column) -> Column:
         new = state["anchor"].isNull() | (row["ts_us"] - state["anchor"] > width_us)
-        item = F.struct(row["ts_us"].alias("ts_us"), row["seq"].alias("seq"), F.when(new, 1).otherwise(0).alias("new"))
-        return F.struct(F.when(new, row["ts_us"]).otherwise(state["anchor"]).alias("anchor"), F.concat(state["out"], F.array(item)).alias("out"))
+        anchor = F.when(new, row["ts_us"]).otherwise(state["anchor"])
+        item = F.struct(row["ts_us"].alias("ts_us"), row["seq"].alias("seq"), anchor.alias("anchor_us"))
+        return F.struct(anchor.alias("anchor"), F.concat(state["out"], F.array(item)).alias("out"))
+
+    return _stretches(rows, keys, width_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
 
-    found = _stretches(rows, keys, width_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
-    order = Window.partitionBy(*keys).orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return found.select(*keys, "ts_us", "seq", F.sum("new").over(order).cast("int").alias("grp"))
+
+def anchored_groups(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
+    """Group number of each row (ts_us, seq, grp), from 1: a new group begins more than width_us after its first row."""
+    found = anchors(rows, keys, width_us)
+    order = Window.partitionBy(*keys).orderBy("anchor_us")
+    return found.select(*keys, "ts_us", "seq", F.dense_rank().over(order).alias("grp"))
 
 
 def peak_groups(rows: DataFrame, keys: list[str], width_us: int, score: str) -> DataFrame:

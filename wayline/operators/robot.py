@@ -168,6 +168,49 @@ def axis_accel(x: DataFrame, y: DataFrame, z: DataFrame, gravity: list[DataFrame
     return rows.select("log_id", "ts_us", *scaled, *down)
 
 
+def path_accel(path: DataFrame, reach: int = 5) -> DataFrame:
+    """Size of the acceleration along a path (log_id, ts_us, seq, path): second differences over so many rows to either side, each axis cut to 30."""
+    w = by_time("log_id")
+    before, after = (lambda c: F.lag(c, reach).over(w)), (lambda c: F.lead(c, reach).over(w))
+    rows = path.withColumns({f"{c}{i}": f(c) for c in ("ts_us", "x", "y") for i, f in ((0, before), (2, after))}).where("ts_us0 is not null and ts_us2 is not null")
+    t0, t, t2 = (F.col(c) for c in ("ts_us0", "ts_us", "ts_us2"))
+    usable = (t2 - t0 > 2000) & (t2 > t) & (t > t0)
+
+    def axis(c: str) -> Column:
+        a = ((F.col(f"{c}2") - F.col(c)) / ((t2 - t) / 1e6) - (F.col(c) - F.col(f"{c}0")) / ((t - t0) / 1e6)) / ((t2 - t0) / 2e6)
+        return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.when(usable, a).otherwise(0.0)))
+
+    return rows.select("log_id", "ts_us", "seq", F.sqrt(F.pow(axis("x"), F.lit(2.0)) + F.pow(axis("y"), F.lit(2.0))).alias("path"))
+
+
+def accel_events(imu: DataFrame, path: DataFrame) -> DataFrame:
+    """Events (log_id, kind, start_us, end_us, n, peak) where an inertial unit and the path disagree, from imu (log_id, ts_us, seq, accel, gravity).
+
+    airborne: gravity, as a part of the usual, under .3 for 20 ms or more (peak is its least, negative); skid: accelerations
+    apart by over 4 for 100 ms or more, impact: each sample apart by over 15. The path counts as of at most 50 ms before.
+    """
+    rows = K.asof_backward(imu, path, ["log_id"], ["path"], time="path_us")
+    rows = rows.withColumn("residual", F.when(F.col("ts_us") - F.col("path_us") <= 50_000, F.abs(F.col("accel") - F.col("path"))))
+    air = K.threshold_runs(rows.withColumn("up", -F.col("gravity")), ["log_id"], F.col("gravity") < 0.3, "up", 20_000).withColumn("kind", F.lit("airborne"))
+    known = rows.where("residual is not null")
+    skid = K.threshold_runs(known, ["log_id"], F.col("residual") > 4, "residual", 100_000).withColumn("kind", F.lit("skid"))
+    hit = known.where("residual > 15").select("log_id", F.col("ts_us").alias("start_us"), F.col("ts_us").alias("end_us"), F.lit(1).cast("bigint").alias("n"), F.col("residual").alias("peak"), F.lit("impact").alias("kind"))
+    return air.unionByName(skid).unionByName(hit)
+
+
+def accel_sources(samples: DataFrame, least: int = 10) -> DataFrame:
+    """Sources of acceleration per log: cameras with an inertial unit, and devices with all three axes; n, rate_hz by the first axis."""
+    w = by_time("log_id", "signal")
+    camera, device = F.regexp_extract("signal", r"([^/]+)/imu$", 1), F.regexp_extract("signal", r"Phoenix6/(Pigeon2-\d+)/Acceleration[XYZ]$", 1)
+    axis = F.regexp_extract("signal", r"Acceleration([XYZ])$", 1)
+    rows = samples.withColumns({"gap": F.col("ts_us") - F.lag("ts_us").over(w), "kind": F.when(camera != "", "camera").when(device != "", "device"), "source": F.when(camera != "", camera).otherwise(device), "axis": axis})
+    lead = F.col("axis").isin("X", "")
+    found = rows.where("kind is not null").groupBy("log_id", "source", "kind").agg(
+        F.count_if(lead).alias("n"), (1e6 / F.median(F.when(lead, F.col("gap")))).alias("rate_hz"), F.countDistinct("axis").alias("axes")
+    )
+    return found.where((F.col("n") >= least) & ((F.col("kind") == "camera") | (F.col("axes") == 3))).drop("axes")
+
+
 def lookback(rows: DataFrame, keys: list[str], value: str, window_us: int, name: str) -> DataFrame:
     """Adds name_v and name_us: the last row at least window_us old, else the first row."""
     times = Window.partitionBy(*keys).orderBy("ts_us")

@@ -54,55 +54,6 @@ def ingest_dsevents(spark, sf):
 
 # Sessions and clocks
 
-_S = "SELECT log_id, session, min(ts_us) AS ts_us FROM s GROUP BY ALL"
-
-
-@query("session_match", over("samples", sql="SELECT a.session, arg_min(b.session, (abs(a.ts_us - b.ts_us), b.session)) AS other FROM t a JOIN t b ON a.log_id = 1 AND b.log_id = 2 AND abs(a.ts_us - b.ts_us) <= 200000 GROUP BY ALL", s=studies._SEG, t=_S))
-def session_match(spark, sf):
-    rows = K.gap_sessions(A.samples(spark, sf), ["log_id"], 50_000).groupBy("log_id", "session").agg(F.min("ts_us").alias("ts_us")).withColumn("all_", F.lit(0))
-    right = rows.where("log_id = 2").select("all_", F.col("ts_us").alias("r_ts_us"), F.col("session").alias("other"))
-    pairs = K.range_join(rows.where("log_id = 1"), right, ["all_"], 200_000, 200_000)
-    return pairs.groupBy("session").agg(F.min_by("other", F.struct(F.abs(F.col("ts_us") - F.col("r_ts_us")), F.col("other"))).alias("other"))
-
-
-_AL = {
-    "e": studies._ED,
-    "c": "SELECT a.ts_us - b.t AS off FROM (SELECT DISTINCT ts_us FROM e WHERE log_id = 1 AND on_) a, (SELECT min(ts_us) AS t FROM e WHERE log_id = 2 AND on_) b",
-    "m": "SELECT c.off, b.seq, min(abs(a.ts_us - b.ts_us - c.off)) AS d FROM c JOIN e b ON b.log_id = 2 JOIN e a ON a.log_id = 1 AND a.on_ = b.on_ AND abs(a.ts_us - b.ts_us - c.off) <= 50000 GROUP BY ALL",
-    "sc": "SELECT off, count(*) AS matched, sum(d * d) AS sq FROM m GROUP BY ALL",
-}
-
-
-def alignment(spark, sf):
-    """The clock offset of log 2 against log 1 by their enable edges: each of log 1's is tried for log 2's first."""
-    e = studies.edges(spark, sf)
-    first = e.where("log_id = 2 and on_").agg(F.min("ts_us").alias("t"))
-    offsets = e.where("log_id = 1 and on_").select("ts_us").distinct().join(F.broadcast(first)).select((F.col("ts_us") - F.col("t")).alias("off"))  # first is one row
-    moved = e.where("log_id = 2").select("seq", "on_", "ts_us").join(F.broadcast(offsets.agg(F.collect_list("off").alias("offs"))))  # few edges, one row
-    moved = moved.select("seq", "on_", F.explode("offs").alias("off"), "ts_us").withColumn("ts_us", F.col("ts_us") + F.col("off"))
-    right = e.where("log_id = 1").select("on_", F.col("ts_us").alias("r_ts_us"))
-    near = K.range_join(moved, right, ["on_"], 50_000, 50_000).groupBy("off", "seq").agg(F.min(F.abs(F.col("ts_us") - F.col("r_ts_us"))).alias("d"))
-    scored = near.groupBy("off").agg(F.count("*").alias("matched"), F.sum(F.col("d") * F.col("d")).alias("sq"))
-    return scored.orderBy(F.desc("matched"), "sq", "off").limit(1)
-
-
-@query("align_edges", over("modes", sql="SELECT off AS offset_us, matched, round(sqrt(sq / matched), 4) AS rms_us FROM sc ORDER BY matched DESC, sq, off LIMIT 1", **_AL))
-def align_edges(spark, sf):
-    return alignment(spark, sf).select(F.col("off").alias("offset_us"), "matched", F.round(F.sqrt(F.col("sq") / F.col("matched")), 4).alias("rms_us"))
-
-
-@query("compute_alignments", over("modes", sql="SELECT 'edges' AS method, off AS offset_us, round(matched / (SELECT count(*) FROM e WHERE log_id = 2), 6) AS confidence FROM sc ORDER BY matched DESC, sq, off LIMIT 1", **_AL))
-def compute_alignments(spark, sf):
-    n = studies.edges(spark, sf).where("log_id = 2").agg(F.count("*").alias("n"))
-    return alignment(spark, sf).join(F.broadcast(n)).select(F.lit("edges").alias("method"), F.col("off").alias("offset_us"), r6(F.col("matched") / F.col("n")).alias("confidence"))  # one row each
-
-
-@query("log_set_report", over("samples", sql="SELECT log_id % 4 AS set_id, count(DISTINCT log_id) AS logs, min(ts_us) AS start_us, count(DISTINCT log_id) >= 2 AS complete FROM samples GROUP BY ALL"))
-def log_set_report(spark, sf):
-    found = A.samples(spark, sf).groupBy((F.col("log_id") % 4).alias("set_id")).agg(F.countDistinct("log_id").alias("logs"), F.min("ts_us").alias("start_us"))
-    return found.withColumn("complete", F.col("logs") >= 2)
-
-
 @query("logging_pause_sessions", over("console", sql="""
     SELECT log_id, session, count(*) AS n, count(*) FILTER (text LIKE '%overrun') AS overruns, min(ts_us) AS start_us FROM (
       SELECT *, CAST(sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM console))
@@ -149,16 +100,6 @@ def feeder_health(spark, sf):
     return rows.groupBy(*SIGNAL, "start_us").agg(F.count("*").alias("n"), r6(F.median("v_double")).alias("median_v"), F.max("v_double").alias("peak"))
 
 
-@query("accel_consistency", over("samples", sql="""
-    SELECT log_id, min(ts_us) AS start_us, max(coalesce(nxt, ts_us)) AS end_us, count(*) AS n, round(max(mag), 6) AS peak FROM (
-      SELECT *, sum(c) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS run FROM (
-        SELECT *, lead(ts_us) OVER w AS nxt, CASE WHEN (mag < .8) IS DISTINCT FROM lag(mag < .8) OVER w THEN 1 ELSE 0 END AS c FROM mg WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq)))
-    WHERE mag < .8 GROUP BY log_id, run HAVING max(coalesce(nxt, ts_us)) - min(ts_us) >= 20000""", ax=robots._AX, mg=robots._IM["mg"]))
-def accel_consistency(spark, sf):
-    rows = robots.axes(spark, sf).withColumn("mag", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2))
-    return K.threshold_runs(rows, ["log_id"], F.col("mag") < 0.8, "mag", 20_000).withColumn("peak", r6("peak"))
-
-
 def responses(spark, sf):
     """Rows up to 300 ms before and 1.5 s after each launch."""
     right = A.samples(spark, sf).select(*SIGNAL, F.col("ts_us").alias("r_ts_us"), "v_double")
@@ -214,14 +155,6 @@ def dip_recover_events(spark, sf):
 # Reports
 
 
-@query("pose_report", over("vision", "odometry", sql="""
-    SELECT log_id, count(DISTINCT source) AS sources, CASE WHEN count(DISTINCT source) >= 3 THEN 'high' WHEN count(DISTINCT source) = 2 THEN 'medium' ELSE 'low' END AS confidence
-    FROM (SELECT log_id, 'odometry' AS source FROM odometry UNION ALL SELECT log_id, camera FROM vision) GROUP BY ALL"""))
-def pose_report(spark, sf):
-    found = vision.pose_sources(spark, sf).groupBy("log_id").agg(F.countDistinct("source").alias("sources"))
-    return found.withColumn("confidence", F.when(F.col("sources") >= 3, "high").when(F.col("sources") == 2, "medium").otherwise("low"))
-
-
 _SPEED = """SELECT log_id, ts_us, seq, CASE WHEN dt > 0 THEN sqrt(dx * dx + dy * dy) / (dt / 1e6) ELSE 0 END AS speed FROM (
     SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy, coalesce(lead(ts_us) OVER w, ts_us) - coalesce(lag(ts_us) OVER w, ts_us) AS dt
     FROM odometry WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq))"""

@@ -79,47 +79,6 @@ def decode_struct(spark, sf):
 # Clocks
 
 
-def edges(spark, sf):
-    rows = A.modes(spark, sf).withColumn("on_", F.col("v_long") % 2 == 1)
-    return rows.withColumn("was", F.lag("on_").over(by_time("log_id"))).where("was is null or was <> on_").select("log_id", "ts_us", "seq", "on_")
-
-
-_ED = "SELECT log_id, ts_us, seq, on_ FROM (SELECT *, v_long % 2 = 1 AS on_, lag(v_long % 2 = 1) OVER (PARTITION BY log_id ORDER BY ts_us, seq) AS was FROM modes) WHERE was IS NULL OR was <> on_"
-
-
-@query("nearest_edge_join", over("modes", sql="""
-    SELECT a.seq, arg_min(b.seq, (abs(a.ts_us - b.ts_us), b.seq)) AS other FROM e a JOIN e b ON a.log_id = 1 AND b.log_id = 2 AND a.on_ = b.on_ AND abs(a.ts_us - b.ts_us) < 5000000 GROUP BY ALL""", e=_ED))
-def nearest_edge_join(spark, sf):
-    e = edges(spark, sf)
-    left = e.where("log_id = 1").drop("log_id")
-    right = e.where("log_id = 2").select("on_", F.col("ts_us").alias("r_ts_us"), F.col("seq").alias("other"))
-    pairs = K.range_join(left, right, ["on_"], 4_999_999, 4_999_999)
-    return pairs.groupBy("seq").agg(F.min_by("other", F.struct(F.abs(F.col("ts_us") - F.col("r_ts_us")), F.col("other"))).alias("other"))
-
-
-@query("transition_agreement", over("modes", sql="""
-    SELECT count(*) AS n, round(avg(d), 6) AS mean_us, max(d) AS max_us FROM (SELECT a.seq, min(abs(a.ts_us - b.ts_us)) AS d FROM e a JOIN e b ON a.log_id = 1 AND b.log_id = 2 AND a.on_ = b.on_ AND abs(a.ts_us - b.ts_us) < 5000000 GROUP BY ALL)""", e=_ED))
-def transition_agreement(spark, sf):
-    e = edges(spark, sf)
-    right = e.where("log_id = 2").select("on_", F.col("ts_us").alias("r_ts_us"))
-    pairs = K.range_join(e.where("log_id = 1").drop("log_id"), right, ["on_"], 4_999_999, 4_999_999)
-    near = pairs.groupBy("seq").agg(F.min(F.abs(F.col("ts_us") - F.col("r_ts_us"))).alias("d"))
-    return near.agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean_us"), F.max("d").alias("max_us"))
-
-
-@query("clock_offset", over("samples", sql="SELECT log_id, list_sort(list(seq * 1000 - ts_us))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS offset_us FROM samples GROUP BY ALL"))
-def clock_offset(spark, sf):
-    rows = A.samples(spark, sf).withColumn("d", F.col("seq") * 1000 - F.col("ts_us"))
-    return B.percentile_floor(rows, ["log_id"], 0.5, "d").withColumnRenamed("p_floor", "offset_us")
-
-
-@query("merge_logs", over("samples", sql="SELECT log_id, CASE log_id WHEN 1 THEN 'a/' ELSE 'b/' END || signal AS signal, ts_us + CASE log_id WHEN 1 THEN 0 ELSE 2500 END AS ts_us, seq FROM samples WHERE log_id IN (1, 2)"))
-def merge_logs(spark, sf):
-    offsets = spark.createDataFrame([(1, "a/", 0), (2, "b/", 2500)], "log_id long, prefix string, shift long")
-    rows = A.samples(spark, sf).join(F.broadcast(offsets), "log_id")  # one row per source
-    return rows.select("log_id", F.concat("prefix", "signal").alias("signal"), (F.col("ts_us") + F.col("shift")).alias("ts_us"), "seq")
-
-
 @query("battery_agreement", over("samples", sql="""
     SELECT s.log_id, count(*) AS n, round(avg(abs(s.v_double - coalesce(v.v, f.v))), 6) AS mean_v, round(max(abs(s.v_double - coalesce(v.v, f.v))), 6) AS max_v FROM (SELECT * FROM samples WHERE signal = 'error') s
     ASOF LEFT JOIN (SELECT log_id, ts_us, max_by(v_double, seq) AS v FROM samples WHERE signal = 'view' GROUP BY ALL) v ON s.log_id = v.log_id AND s.ts_us >= v.ts_us
@@ -150,19 +109,6 @@ def session_overrun_summary(spark, sf):
     return per.groupBy("log_id").agg(F.count("*").alias("sessions"), F.sum("c").alias("n"), r6(F.max("p95")).alias("worst_p95"))
 
 
-@query("memory_overrun_rates", over("samples", sql="SELECT CASE WHEN v_double < 50 THEN 'low' ELSE 'high' END AS memory, count(*) AS n, round(100.0 * count(*) FILTER (signal = 'error') / count(*), 6) AS pct FROM samples GROUP BY ALL"))
-def memory_overrun_rates(spark, sf):
-    rows = A.samples(spark, sf).groupBy(F.when(F.col("v_double") < 50, "low").otherwise("high").alias("memory"))
-    return rows.agg(F.count("*").alias("n"), r6(100.0 * F.count_if(F.col("signal") == "error") / F.count("*")).alias("pct"))
-
-
-@query("session_health", over("samples", sql="""
-    SELECT log_id, round(avg(v_double), 6) AS mean_v, count(*) FILTER (v_double > 90) AS high, max(peak) AS peak FROM (SELECT *, max(v_double) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq ROWS BETWEEN 25 PRECEDING AND 49 FOLLOWING) AS peak FROM samples) GROUP BY ALL"""))
-def session_health(spark, sf):
-    rows = A.samples(spark, sf).withColumn("peak", F.max("v_double").over(by_time(*SIGNAL).rowsBetween(-25, 49)))
-    return rows.groupBy("log_id").agg(r6(F.avg("v_double")).alias("mean_v"), F.count_if(F.col("v_double") > 90).alias("high"), F.max("peak").alias("peak"))
-
-
 _SEG = "SELECT *, CAST(sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM samples)"
 _ACT = "SELECT log_id, session, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n FROM s GROUP BY log_id, session HAVING max(ts_us) - min(ts_us) >= 100000"
 
@@ -179,20 +125,6 @@ def rate_by_group(spark, sf):
     return active_segments(spark, sf).groupBy((F.col("log_id") % 2).alias("grp")).agg(F.round(F.avg(F.col("n") * 1e6 / (F.col("end_us") - F.col("start_us"))), 4).alias("rate"))
 
 
-@query("rate_change_report", over("samples", sql="""
-    SELECT signal, round(100 * (b - a) / a, 4) AS change_pct FROM (SELECT signal, median(gap) FILTER (log_id = 1) AS a, median(gap) FILTER (log_id = 2) AS b FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM samples) GROUP BY ALL) WHERE abs(b - a) > .15 * a"""))
-def rate_change_report(spark, sf):
-    of = lambda k: F.median(F.when(F.col("log_id") == k, F.col("gap")))
-    rows = B.gaps(A.samples(spark, sf)).groupBy("signal").agg(of(1).alias("a"), of(2).alias("b")).where("abs(b - a) > .15 * a")
-    return rows.select("signal", F.round(100 * (F.col("b") - F.col("a")) / F.col("a"), 4).alias("change_pct"))
-
-
-@query("before_after_groups", over("samples", sql="SELECT CASE WHEN log_id < 4 THEN 'A' WHEN log_id < 8 THEN 'B' ELSE 'C' END AS grp, signal, count(*) AS n, round(median(v_double), 6) AS median_v FROM samples GROUP BY ALL"))
-def before_after_groups(spark, sf):
-    group = F.when(F.col("log_id") < 4, "A").when(F.col("log_id") < 8, "B").otherwise("C")
-    return A.samples(spark, sf).groupBy(group.alias("grp"), "signal").agg(F.count("*").alias("n"), r6(F.median("v_double")).alias("median_v"))
-
-
 @query("group_delta", over("samples", sql="SELECT signal, round(median(v_double) FILTER (log_id >= 6) - median(v_double) FILTER (log_id < 6), 6) AS delta FROM samples GROUP BY ALL"))
 def group_delta(spark, sf):
     of = lambda c: F.median(F.when(c, F.col("v_double")))
@@ -210,25 +142,6 @@ def early_late_compare(spark, sf):
     return m.groupBy("signal").agg(r6(F.median(F.when(F.col("log_id") < 6, F.col("m")))).alias("early"), r6(F.median(F.when(F.col("log_id") >= 6, F.col("m")))).alias("late"))
 
 
-@query("stuck_events", over("samples", sql="""
-    SELECT log_id, min(ts_us) AS start_us, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS g FROM (
-      SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 200000 THEN 0 ELSE 1 END AS nw FROM samples WHERE signal = 'click' AND v_double < 20)) GROUP BY log_id, g HAVING count(*) >= 2"""))
-def stuck_events(spark, sf):
-    rows = K.gap_sessions(A.samples(spark, sf).where("signal = 'click' and v_double < 20"), ["log_id"], 200_000)
-    return rows.groupBy("log_id", "session").agg(F.min("ts_us").alias("start_us"), F.count("*").alias("n")).where("n >= 2").drop("session")
-
-
-@query("jitter_by_distance", over("tags", sql="SELECT CAST(round(dist) AS BIGINT) AS bin, count(*) AS n, round(avg(ambiguity), 6) AS mean_v, round(stddev_samp(ambiguity), 6) AS std_v FROM tags GROUP BY ALL"))
-def jitter_by_distance(spark, sf):
-    return A.tags(spark, sf).groupBy(F.round("dist").cast("bigint").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("ambiguity")).alias("mean_v"), r6(F.stddev_samp("ambiguity")).alias("std_v"))
-
-
-@query("sigma_model_compare", over("tags", sql="SELECT frame_id, round(min(dist) * min(dist) / count(*), 6) AS old_sigma, round(1 / sqrt(sum(1 / (dist * dist))), 6) AS new_sigma FROM tags GROUP BY ALL"))
-def sigma_model_compare(spark, sf):
-    near = F.min("dist")
-    return A.tags(spark, sf).groupBy("frame_id").agg(r6(near * near / F.count("*")).alias("old_sigma"), r6(1 / F.sqrt(F.sum(1 / (F.col("dist") * F.col("dist"))))).alias("new_sigma"))
-
-
 @query("event_window_extract", over("samples", sql="SELECT s.seq, s.ts_us - a AS rel_us FROM samples s JOIN (SELECT log_id, min(ts_us) AS a FROM samples WHERE signal = 'error' GROUP BY ALL) z ON s.log_id = z.log_id AND s.ts_us BETWEEN a - 100000 AND a + 500000"))
 def event_window_extract(spark, sf):
     s = A.samples(spark, sf)
@@ -261,26 +174,17 @@ def discrepancy_windows(spark, sf):
     return K.threshold_runs(rows, ["log_id"], F.col("d") > 30, "d", 50_000).drop("peak")
 
 
-@query("throughput_bottleneck", over("samples", sql="SELECT log_id, CASE WHEN m < 100000 THEN 'fast' WHEN m < 200000 THEN 'limited' ELSE 'slow' END AS verdict FROM (SELECT log_id, avg(gap) AS m FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM samples) GROUP BY ALL)"))
-def throughput_bottleneck(spark, sf):
-    m = B.gaps(A.samples(spark, sf)).groupBy("log_id").agg(F.avg("gap").alias("m"))
-    return m.select("log_id", F.when(F.col("m") < 100_000, "fast").when(F.col("m") < 200_000, "limited").otherwise("slow").alias("verdict"))
-
-
-@query("find_matching_logs", over("samples", recursive=True, sql="SELECT g AS grp, count(*) AS logs FROM f GROUP BY g",
-    h="SELECT log_id, t, row_number() OVER (ORDER BY t, log_id) AS i FROM (SELECT log_id, min(ts_us) AS t FROM samples GROUP BY ALL)",
-    f="SELECT i, t AS anchor, 1 AS g FROM h WHERE i = 1 UNION ALL SELECT h.i, CASE WHEN h.t - f.anchor > 20000 THEN h.t ELSE f.anchor END, CASE WHEN h.t - f.anchor > 20000 THEN f.g + 1 ELSE f.g END FROM f JOIN h ON h.i = f.i + 1"))
-def find_matching_logs(spark, sf):
-    starts = A.samples(spark, sf).groupBy("log_id").agg(F.min("ts_us").alias("ts_us")).select(F.lit(0).alias("all_"), "ts_us", F.col("log_id").alias("seq"))
-    return K.anchored_groups(starts, ["all_"], 20_000).groupBy("grp").agg(F.count("*").alias("logs"))
-
-
-def slips(spark, sf):
-    """Both slip filters over the odometry, with two signals as the wheels' velocity."""
+def wheels(spark, sf):
+    """The odometry with two signals as the wheels' velocity as of then."""
     s = A.samples(spark, sf)
     wheel = lambda name, out: s.where(F.col("signal") == name).select("log_id", "ts_us", "seq", (F.col("v_double") / 100).alias(out))
     rows = K.asof_backward(K.asof_backward(A.odometry(spark, sf), wheel("purchase", "wx"), ["log_id"], ["wx"]), wheel("error", "wy"), ["log_id"], ["wy"])
-    return R.slip_filters(rows.na.fill(0.0, ["wx", "wy"]), enter=1.0, leave=0.5, fast_enter=2.0, fast_leave=1.0, fixed=0.8, slow=0.9, fast=0.4, cap=5.0, least_s=0.002, most_s=0.1)
+    return rows.na.fill(0.0, ["wx", "wy"])
+
+
+def slips(spark, sf):
+    """Both slip filters over the odometry."""
+    return R.slip_filters(wheels(spark, sf), enter=1.0, leave=0.5, fast_enter=2.0, fast_leave=1.0, fixed=0.8, slow=0.9, fast=0.4, cap=5.0, least_s=0.002, most_s=0.1)
 
 
 def sf_sql(sql: str) -> str:
@@ -308,10 +212,3 @@ def filter_comparison(spark, sf):
         F.count_if(F.col("df") > 1).alias("spikes_fixed"), F.count_if(F.col("dv") > 1).alias("spikes"), F.count_if("fast").alias("fast_rows"), F.count_if(F.col("fast") & ~F.col("was")).alias("fast_episodes"),
         still("slip_fixed").alias("stale_fixed"), still("slip").alias("stale"),
     )
-
-
-@query("phase_vision_stats", over("frames", sql="SELECT camera, log_id, count(*) AS n, round(avg(residual_raw), 4) AS mean_v, list_sort(list(residual_raw))[CAST(least(floor(count(*) * .95) + 1, count(*)) AS BIGINT)] AS p_floor FROM frames GROUP BY ALL"))
-def phase_vision_stats(spark, sf):
-    f = A.frames(spark, sf)
-    stats = f.groupBy("camera", "log_id").agg(F.count("*").alias("n"), F.round(F.avg("residual_raw"), 4).alias("mean_v"))
-    return stats.join(B.percentile_floor(f, ["camera", "log_id"], 0.95, "residual_raw"), ["camera", "log_id"])

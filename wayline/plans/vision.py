@@ -82,11 +82,6 @@ def pose_sources(spark, sf):
     return found.where("n >= 10 or (source <> 'odometry' and n >= 5)")
 
 
-@query("accel_sources", over("samples", sql="SELECT log_id, signal, count(*) AS n FROM samples WHERE signal IN ('click', 'view', 'error') GROUP BY ALL HAVING count(*) >= 10"))
-def accel_sources(spark, sf):
-    return A.samples(spark, sf).where("signal in ('click', 'view', 'error')").groupBy("log_id", "signal").agg(F.count("*").alias("n")).where("n >= 10")
-
-
 def fused_path(spark, sf):
     """Odometry pulled towards vision within 20 ms and 2 m (weight .15 of summed confidence, at most .15), then smoothed over +-80 ms."""
     odo = A.odometry(spark, sf)
@@ -159,8 +154,6 @@ _by("source_divergence", lambda: ["log_id", "camera"], "log_id, camera")
 _by("camera_summary", lambda: ["camera"], "camera")
 _by("tag_count_table", lambda: [F.least("tag_count", F.lit(4)).alias("tags")], "least(tag_count, 4) AS tags")
 _by("log_accuracy_trend", lambda: ["log_id"], "log_id")
-_by("signed_residual_stats", lambda: ["camera", "tag_count"], "camera, tag_count")
-_by("camera_pair_by_band", lambda: ["camera", F.floor(F.col("latency_ms") / 10).alias("band")], "camera, CAST(floor(latency_ms / 10) AS BIGINT) AS band")
 
 
 @query("vision_residuals", rs("SELECT seq, round(res, 5) AS res FROM res"))
@@ -235,52 +228,6 @@ def band_rollup(spark, sf):
     return per.groupBy("band").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
 
 
-def kind_pairs(spark, sf, a="cam-a", b="cam-b"):
-    """Frames of one camera with the nearest of another within 50 ms: distance and yaw difference."""
-    v = A.vision(spark, sf)
-    right = v.where(F.col("camera") == b).select("log_id", "ts_us", "seq", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("yaw_deg").alias("oyaw"))
-    rows = K.asof_nearest(v.where(F.col("camera") == a), right, ["log_id"], ["ox", "oy", "oyaw"], 50_000).where("ox is not null")
-    return rows.withColumns({"d": F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2), "dyaw": F.abs(G.yaw_diff_deg(F.col("yaw_deg"), F.col("oyaw")))})
-
-
-_KP = {
-    "vb": "SELECT log_id, ts_us, max_by(x, seq) AS x, max_by(y, seq) AS y, max_by(yaw_deg, seq) AS yaw FROM vision WHERE camera = 'cam-b' GROUP BY ALL",
-    "va": "SELECT log_id, ts_us, min_by(x, seq) AS x, min_by(y, seq) AS y, min_by(yaw_deg, seq) AS yaw FROM vision WHERE camera = 'cam-b' GROUP BY ALL",
-    "nn": """SELECT v.log_id, v.ts_us, v.seq, v.x, v.y, v.yaw_deg, CASE WHEN b.ts_us IS NULL OR a.ts_us - v.ts_us <= v.ts_us - b.ts_us THEN {'t': a.ts_us, 'x': a.x, 'y': a.y, 'yaw': a.yaw} ELSE {'t': b.ts_us, 'x': b.x, 'y': b.y, 'yaw': b.yaw} END AS o
-             FROM (SELECT * FROM vision WHERE camera = 'cam-a') v ASOF LEFT JOIN vb b ON v.log_id = b.log_id AND v.ts_us > b.ts_us ASOF LEFT JOIN va a ON v.log_id = a.log_id AND v.ts_us <= a.ts_us""",
-    "kp": f"SELECT *, sqrt(power(x - o.x, 2) + power(y - o.y, 2)) AS d, abs({mod('yaw_deg - o.yaw + 180')} - 180) AS dyaw FROM nn WHERE abs(o.t - ts_us) <= 50000",
-}
-
-
-def kp(sql: str) -> str:
-    return over("vision", sql=sql, **_KP)
-
-
-@query("pose_kind_divergence", kp("SELECT seq, round(d, 5) AS d, round(dyaw, 6) AS dyaw FROM kp"))
-def pose_kind_divergence(spark, sf):
-    return kind_pairs(spark, sf).select("seq", F.round("d", 5).alias("d"), r6("dyaw").alias("dyaw"))
-
-
-@query("pose_kind_summary", kp("SELECT log_id, count(*) AS n, round(avg(d), 4) AS mean_d, round(median(d), 4) AS median_d, round(avg(dyaw), 4) AS mean_yaw FROM kp GROUP BY ALL"))
-def pose_kind_summary(spark, sf):
-    return kind_pairs(spark, sf).groupBy("log_id").agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"), r4(F.median("d")).alias("median_d"), r4(F.avg("dyaw")).alias("mean_yaw"))
-
-
-@query("camera_agreement", kp("SELECT count(*) AS n, round(avg(d), 4) AS mean_d, round(quantile_cont(d, .95), 3) AS p95_d FROM kp"))
-def camera_agreement(spark, sf):
-    return kind_pairs(spark, sf).agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"), F.round(F.percentile("d", F.lit(0.95)), 3).alias("p95_d"))
-
-
-@query("agreement_series", kp("SELECT log_id, ts_us // 1000000 AS second, round(avg(d), 4) AS mean_d FROM kp GROUP BY ALL"))
-def agreement_series(spark, sf):
-    return kind_pairs(spark, sf).groupBy("log_id", F.floor(F.col("ts_us") / 1_000_000).alias("second")).agg(r4(F.avg("d")).alias("mean_d"))
-
-
-@query("divergence_heatmap", kp(f"SELECT {_CELL} AS cell, count(*) AS n, round(avg(d), 4) AS mean_d FROM kp GROUP BY ALL"))
-def divergence_heatmap(spark, sf):
-    return kind_pairs(spark, sf).groupBy(G.field_cell(F.col("x"), F.col("y")).alias("cell")).agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"))
-
-
 @query("vision_by_phase", over("samples", "modes", "vision", sql="""
     SELECT v.camera, CASE WHEN v.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase, count(*) AS n, round(avg(latency_ms), 6) AS latency FROM vision v ASOF LEFT JOIN phases p ON v.log_id = p.log_id AND v.ts_us >= p.start_us GROUP BY ALL""", **PH))
 def vision_by_phase(spark, sf):
@@ -312,16 +259,6 @@ def heading_coverage(spark, sf):
     return labels.join(counts, "octant", "left").select("octant", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@query("initial_heading", over("odometry", sql="SELECT log_id, arg_min(theta_deg, (ts_us, seq)) AS first_deg FROM odometry GROUP BY ALL"))
-def initial_heading(spark, sf):
-    return A.odometry(spark, sf).groupBy("log_id").agg(F.min_by("theta_deg", F.struct("ts_us", "seq")).alias("first_deg"))
-
-
-@query("yaw_error_summary", kp("SELECT log_id, round(median(dyaw), 6) AS median_yaw, round(max(dyaw), 6) AS max_yaw, round(100.0 * count(*) FILTER (dyaw > 15) / count(*), 4) AS over_15 FROM kp GROUP BY ALL"))
-def yaw_error_summary(spark, sf):
-    return kind_pairs(spark, sf).groupBy("log_id").agg(r6(F.median("dyaw")).alias("median_yaw"), r6(F.max("dyaw")).alias("max_yaw"), r4(100.0 * F.count_if(F.col("dyaw") > 15) / F.count("*")).alias("over_15"))
-
-
 @query("frame_features", over("tags", "frames", sql="""
     SELECT frame_id, camera, count(*) AS tags, round(avg(ambiguity), 6) AS mean_amb, round(max(ambiguity), 6) AS max_amb, round(min(dist), 6) AS nearest FROM frames JOIN tags USING (frame_id) GROUP BY ALL"""))
 def frame_features(spark, sf):
