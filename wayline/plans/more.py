@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import kernel as K
 from wayline.operators.basic import SIGNAL, by_time, r6
-from wayline.plans import basics, robots, studies, vision
+from wayline.plans import basics, robots, studies
 from wayline.plans.launch_sql import DIPS, THROUGHPUT
 from wayline.plans.views_sql import over
 from wayline.sources import adapters as A
@@ -28,28 +28,23 @@ def query(name: str, sql: str | None = None):
 
 
 @query("decode_pd_currents", over("samples", sql="""
-    SELECT log_id || '.dslog' AS path, row_number() OVER (PARTITION BY log_id ORDER BY ts_us, seq) - 1 AS seq, (id % 256) / 8 AS ch0, ((((id + 1) % 256) >> 2) + (((id + 2) % 256) & 3) * 64) / 8 AS ch1, ((id + 8) % 256) / 8 AS ch6
+    SELECT log_id || '_' || (ts_us // 2000000) || '.dslog' AS path, row_number() OVER (PARTITION BY log_id, ts_us // 2000000 ORDER BY ts_us, seq) - 1 AS seq, (id % 256) / 8 AS ch0, ((((id + 1) % 256) >> 2) + (((id + 2) % 256) & 3) * 64) / 8 AS ch1, ((id + 8) % 256) / 8 AS ch6
     FROM (SELECT *, seq AS id FROM samples WHERE signal = 'error')"""))
 def decode_pd_currents(spark, sf):
     """Records with a block of 16 channels, made from the samples and decoded again."""
     byte = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
     block = F.concat(F.lit("00"), *[byte((F.col("seq") + k) % 256) for k in range(21)], F.lit("000000"))
     rows = A.samples(spark, sf).where("signal = 'error'").withColumn("record", F.concat(F.lit("00" * 13 + "19"), block))
-    listed = rows.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "record"))).alias("r"))
+    listed = rows.groupBy(D.stem()).agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "record"))).alias("r"))
     header = F.lit(f"00000004{D.EPOCH_SHIFT_S:016X}{'0' * 16}")
-    files = listed.select(F.format_string("%d.dslog", "log_id").alias("path"), F.unhex(F.concat(header, F.array_join("r.record", ""))).alias("content"))
+    files = listed.select(F.concat("stem", F.lit(".dslog")).alias("path"), F.unhex(F.concat(header, F.array_join("r.record", ""))).alias("content"))
     return D.telemetry(files).select("path", "seq", F.col("currents")[0].alias("ch0"), F.col("currents")[1].alias("ch1"), F.col("currents")[6].alias("ch6"))
 
 
-@query("ingest_dsevents", over("console", sql="SELECT log_id || '.dsevents' AS path, row_number() OVER (PARTITION BY log_id ORDER BY ts_us, seq) - 1 AS seq, ts_us // 1000000 * 1000000 AS relative_us, text FROM console"))
+@query("ingest_dsevents", over("console", sql="SELECT log_id || '_' || (ts_us // 2000000) || '.dsevents' AS path, row_number() OVER (PARTITION BY log_id, ts_us // 2000000 ORDER BY ts_us, seq) - 1 AS seq, ts_us // 1000000 * 1000000 AS relative_us, text FROM console"))
 def ingest_dsevents(spark, sf):
     """Event files made from the console lines, at whole seconds, and read again."""
-    seconds = F.floor(F.col("ts_us") / 1_000_000) + D.EPOCH_SHIFT_S
-    raw = F.concat(F.lpad(F.hex(seconds), 16, "0"), F.lit("0" * 16), F.lpad(F.hex(F.octet_length("text").cast("bigint")), 8, "0"), F.hex(F.encode("text", "UTF-8")))
-    listed = A.console(spark, sf).withColumn("raw", raw).groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "raw"))).alias("r"))
-    header = F.lit(f"00000004{D.EPOCH_SHIFT_S:016X}{'0' * 16}")
-    files = listed.select(F.format_string("%d.dsevents", "log_id").alias("path"), F.unhex(F.concat(header, F.array_join("r.raw", ""))).alias("content"))
-    return D.events(files).select("path", "seq", "relative_us", "text")
+    return D.events(D.event_files(A.console(spark, sf))).select("path", "seq", "relative_us", "text")
 
 
 # Sessions and clocks

@@ -53,8 +53,9 @@ def filename_timestamp(spark, sf):
 
 
 @query("scan_log_files", over(sql="""
-    SELECT CASE form WHEN 1 THEN 'dslog' WHEN 2 THEN 'dsevents' WHEN 3 THEN 'hoot' WHEN 4 THEN 'hoot' ELSE 'wpilog' END AS kind, count(*) AS n, min('/logs/' || name) AS first, max('/logs/' || name) AS last FROM na GROUP BY ALL""", fo=_FORM, na=_NAMES))
+    SELECT CASE form WHEN 1 THEN 'dslog' WHEN 2 THEN 'dsevents' WHEN 3 THEN 'hoot' WHEN 4 THEN 'hoot' ELSE 'wpilog' END AS kind, '/logs/' || name AS path FROM na ORDER BY ALL""", fo=_FORM, na=_NAMES))
 def scan_log_files(spark, sf):
+    """The paths of the four kinds of log files, sorted within each kind; others are left out."""
     return N.by_kind(names(spark, sf))
 
 
@@ -67,8 +68,9 @@ def match_label(spark, sf):
 
 
 @query("read_by_extension", over("samples", "console", sql="""
-    SELECT log_id || '.DSLOG' AS path, 'dslog' AS kind, count(*) AS records FROM samples WHERE signal = 'error' GROUP BY ALL
-    UNION ALL SELECT log_id || '.DsEvents', 'dsevents', count(*) FROM console GROUP BY ALL UNION ALL SELECT DISTINCT log_id || '.txt', 'unsupported', CAST(0 AS BIGINT) FROM samples"""))
+    SELECT log_id || '_' || (ts_us // 2000000) || '.DSLOG' AS path, 'dslog' AS kind, count(*) AS records FROM samples WHERE signal = 'error' GROUP BY ALL
+    UNION ALL SELECT log_id || '_' || (ts_us // 2000000) || '.DsEvents', 'dsevents', count(*) FROM console GROUP BY ALL
+    UNION ALL SELECT DISTINCT log_id || '_' || (ts_us // 2000000) || '.txt', 'unsupported', CAST(0 AS BIGINT) FROM samples WHERE signal = 'error'"""))
 def read_by_extension(spark, sf):
     """Files of two readable kinds and one that isn't, each sent to its reader by its ending; the last kind is reported."""
     renamed = lambda files, name: files.withColumn("path", F.concat(F.split("path", r"\.")[0], F.lit(name)))
@@ -81,8 +83,8 @@ def read_by_extension(spark, sf):
 
 
 @query("ds_pair_merge", over("samples", "console", sql="""
-    SELECT log_id || '' AS stem, 'volts' AS signal, (row_number() OVER (PARTITION BY log_id ORDER BY ts_us, seq) - 1) * 20000 AS relative_us, 12 + (CAST(floor(v_double) AS BIGINT) % 256) / 256 AS v_double, NULL AS text FROM samples WHERE signal = 'error'
-    UNION ALL SELECT log_id || '', 'events', ts_us // 1000000 * 1000000, NULL, text FROM console"""))
+    SELECT log_id || '_' || (ts_us // 2000000) AS stem, 'volts' AS signal, (row_number() OVER (PARTITION BY log_id, ts_us // 2000000 ORDER BY ts_us, seq) - 1) * 20000 AS relative_us, 12 + (CAST(floor(v_double) AS BIGINT) % 256) / 256 AS v_double, NULL AS text FROM samples WHERE signal = 'error'
+    UNION ALL SELECT log_id || '_' || (ts_us // 2000000), 'events', ts_us // 1000000 * 1000000, NULL, text FROM console"""))
 def ds_pair_merge(spark, sf):
     """Telemetry and event files of one stem as one log, times since the start of either."""
     stem = lambda c: F.split(c, r"\.")[0].alias("stem")

@@ -233,15 +233,18 @@ def detect_loop_period(spark, sf):
 
 
 _CMD = "SELECT log_id, ts_us, seq, regexp_extract(text, '^Command (initialized|interrupted|finished): (.*)$', 1) AS kind, regexp_extract(text, '^Command (initialized|interrupted|finished): (.*)$', 2) AS name FROM console WHERE text LIKE 'Command %: %'"
-_DEFAULTS = "('InstantCommand', 'RunCommand', 'StartEndCommand', 'FunctionalCommand', 'SequentialCommandGroup', 'ParallelCommandGroup', 'WaitCommand')"
+_DEFAULTS = "('" + "', '".join(R.DEFAULT_COMMANDS) + "')"
 
 
-@query("unnamed_commands", over("console", sql=f"""
-    SELECT log_id, name, count(*) FILTER (kind = 'initialized') AS initialized, count(*) FILTER (kind = 'interrupted') AS interrupted, count(*) FILTER (kind = 'finished') AS finished
-    FROM c WHERE name IN {_DEFAULTS} GROUP BY ALL""", c=_CMD))
+@query("unnamed_commands", over("samples", "modes", "console", sql=f"""
+    SELECT log_id, name, count(*) FILTER (kind = 'initialized') AS initialized, count(*) FILTER (kind = 'interrupted') AS interrupted, count(*) FILTER (kind = 'finished') AS finished, count(*) AS total, count(DISTINCT phase) AS phases, min(phase) AS first_phase
+    FROM (SELECT c.*, CASE WHEN c.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase FROM c ASOF LEFT JOIN phases p ON c.log_id = p.log_id AND c.ts_us >= p.start_us) WHERE name IN {_DEFAULTS} GROUP BY ALL ORDER BY total DESC, log_id, name""", c=_CMD, **PH))
 def unnamed_commands(spark, sf):
-    rows = R.commands(A.console(spark, sf)).where(F.col("name").isin(R.DEFAULT_COMMANDS))
-    return rows.groupBy("log_id", "name").pivot("kind", ["initialized", "interrupted", "finished"]).agg(F.count("seq")).na.fill(0)
+    """Commands that nobody named: how often they began, were interrupted and ended, and in how many phases, the busiest first."""
+    rows = R.phase_of(R.commands(A.console(spark, sf)).where(F.col("name").isin(R.DEFAULT_COMMANDS)), phases(spark, sf))
+    of = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    found = rows.groupBy("log_id", "name").agg(of("initialized"), of("interrupted"), of("finished"), F.count("*").alias("total"), F.countDistinct("phase").alias("phases"), F.min("phase").alias("first_phase"))
+    return found.orderBy(F.desc("total"), "log_id", "name")
 
 
 @query("named_minus_default", over("console", sql=f"SELECT log_id, count(DISTINCT name) AS named FROM c WHERE name NOT IN {_DEFAULTS} GROUP BY ALL", c=_CMD))

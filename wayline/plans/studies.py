@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.operators import basic as B
 from wayline.operators import kernel as K
 from wayline.operators.basic import SIGNAL, by_time, r6
 from wayline.operators import robot as R
@@ -28,27 +27,27 @@ def query(name: str, sql: str | None = None):
 
 
 def ds_files(spark, sf):
-    """Driver-station files made from the samples of one signal: a record of 14 bytes each, without a power block."""
+    """Driver-station files made from the samples of one signal, one per log and two seconds: a record of 14 bytes each, without a power block."""
     byte = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
     v = F.col("v_double")
     record = F.concat(byte(F.floor(v) % 200), byte(F.col("seq") % 20), byte(F.lit(12)), byte(F.floor(v) % 256), byte(F.floor(v) % 200), byte(F.col("seq") % 256), byte(F.lit(80)), byte(F.lit(60)), byte(F.lit(3)), byte(F.lit(128)), F.lit("00000000"))
     header = F.concat(F.lit("00000004"), F.lpad(F.hex(F.lit(1_704_067_200 + D.EPOCH_SHIFT_S)), 16, "0"), F.lit("0" * 16))
     rows = A.samples(spark, sf).where("signal = 'error'").withColumn("record", record)
-    listed = rows.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "record"))).alias("r"))
-    return listed.select(F.format_string("%d.dslog", "log_id").alias("path"), F.unhex(F.concat(header, F.array_join("r.record", ""))).alias("content"))
+    listed = rows.groupBy(D.stem()).agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "record"))).alias("r"))
+    return listed.select(F.concat("stem", F.lit(".dslog")).alias("path"), F.unhex(F.concat(header, F.array_join("r.record", ""))).alias("content"))
 
 
-_DS = "SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY ts_us, seq) - 1 AS i, seq AS id, CAST(floor(v_double) AS BIGINT) AS f FROM samples WHERE signal = 'error'"
+_DS = "SELECT log_id || '_' || (ts_us // 2000000) AS stem, row_number() OVER (PARTITION BY log_id, ts_us // 2000000 ORDER BY ts_us, seq) - 1 AS i, seq AS id, CAST(floor(v_double) AS BIGINT) AS f FROM samples WHERE signal = 'error'"
 
 
 @query("ingest_dslog", over("samples", sql="""
-    SELECT log_id || '.dslog' AS path, 1704067200000000 + 20000 * i AS ts_us, i AS seq, (f % 200) * .5e0 AS trip_ms, round(least(1e0, (id % 20) * .04e0), 6) AS loss, 12 + (f % 256) / 256 AS volts, round((f % 200) * .005e0, 6) AS cpu, id % 2 = 0 AS robot_disabled FROM d""", d=_DS))
+    SELECT stem || '.dslog' AS path, 1704067200000000 + 20000 * i AS ts_us, i AS seq, (f % 200) * .5e0 AS trip_ms, round(least(1e0, (id % 20) * .04e0), 6) AS loss, 12 + (f % 256) / 256 AS volts, round((f % 200) * .005e0, 6) AS cpu, id % 2 = 0 AS robot_disabled FROM d""", d=_DS))
 def ingest_dslog(spark, sf):
     found = D.telemetry(ds_files(spark, sf))
     return found.select("path", "ts_us", "seq", "trip_ms", r6("loss").alias("loss"), "volts", r6("cpu").alias("cpu"), "robot_disabled")
 
 
-@query("dslog_header_time", over("samples", sql="SELECT DISTINCT log_id || '.dslog' AS path, 1704067200 AS start_s FROM samples WHERE signal = 'error'"))
+@query("dslog_header_time", over("samples", sql="SELECT DISTINCT stem || '.dslog' AS path, 1704067200 AS start_s FROM d", d=_DS))
 def dslog_header_time(spark, sf):
     head = F.hex(F.substring("content", 1, 20))
     seconds = F.conv(F.substring(head, 9, 16), 16, 10).cast("bigint") - D.EPOCH_SHIFT_S

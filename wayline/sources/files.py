@@ -33,8 +33,8 @@ def kind(path: Column) -> Column:
 
 
 def by_kind(files: DataFrame) -> DataFrame:
-    """One row per kind of log file that occurs: kind, n, first, last of the sorted paths. Paths aren't gathered."""
-    return files.select(kind(F.col("path")).alias("kind"), "path").where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last"))
+    """Rows kind, path of the log files among paths, sorted by kind and path; a range sort, so that no list is gathered."""
+    return files.select(kind(F.col("path")).alias("kind"), "path").where("kind is not null").orderBy("kind", "path")
 
 
 def start_s(path: Column) -> Column:
