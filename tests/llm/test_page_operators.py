@@ -1,10 +1,14 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
+import struct
+import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from wayline.llm import exact_search, html_text, kd_shards, warc
 
@@ -85,6 +89,57 @@ def test_shards_are_even_and_keep_groups(documents):
     assert [(r.size, r.slot, r.law) for r in one] == [(9, 0, "bytes")]
 
 
+def _signed(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _hash(*values):
+    """The engine's 64-bit hash of strings and longs, each seeded with the one before."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=seed).intdigest()
+    return _signed(seed)
+
+
+def brute_shards(rows, shards):
+    """Shard of each document by plain recursion: weighted medians along the widest of four dimensions."""
+    unit = lambda v: _hash(v) % (1 << 20) / (1 << 20)
+    low, high = min(r[0] for r in rows), max(r[0] for r in rows)
+    points = []
+    for i, text, lang, source in rows:
+        size = len(text.encode()) + 8
+        tie = _hash(_hash(text), zlib.crc32(text.encode())) % (1 << 30)
+        points.append((i, size, tie, (unit(lang), unit(source), math.log2(size) / 40, (i - low) / (high - low))))
+    out = {}
+
+    def split(own, a, b):
+        if a == b:
+            out.update((p[0], a) for p in own)
+            return
+        half = (a + b - 1) // 2
+        widths = [max(p[3][d] for p in own) - min(p[3][d] for p in own) for d in range(4)]
+        dim = widths.index(max(widths))
+        own = sorted(own, key=lambda p: (int(p[3][dim] * ((1 << 30) - 1)), p[2]))
+        goal, before, at = sum(p[1] for p in own) * (half - a + 1) / (b - a + 1), 0, 0
+        while before + own[at][1] < goal:
+            before += own[at][1]
+            at += 1
+        at += (before + own[at][1] - goal) <= (goal - before)
+        split(own[:at], a, half)
+        split(own[at:], half + 1, b)
+
+    split(points, 0, shards - 1)
+    return out
+
+
+def test_shards_equal_plain_recursion(documents):
+    rng = random.Random(9)
+    rows = [(i * 3, "w" * rng.randint(1, 60) + f" {i}", rng.choice(["en", "fr", "de"]), f"s{rng.randrange(5)}") for i in range(1500)]
+    for shards in (5, 8):
+        found = {r.doc_id: r.shard for r in kd_shards.kd_shards(documents(rows), shards=shards).collect()}
+        assert found == brute_shards(rows, shards)
+
+
 def brute(rows, k):
     out = []
     for q, v in rows:
@@ -128,8 +183,6 @@ def test_repeated_pages_get_records_of_their_own(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (1, "http://a/", "same"), (2, "http://b/", "same"), (None, "http://c/", "same")]
     path = f"{tmp_path}/w"
     warc.write_warcs(warc.with_revisits(warc.convert_arcs(warc.as_arc(pages(spark, rows)))), path)
-    import gzip
-
     records = [f for p in sorted(tmp_path.glob("w/*.gz")) for f, _ in warc.warc_records(gzip.decompress(p.read_bytes()))]
     ids = [f["warc-record-id"] for f in records]
     assert len(set(ids)) == 4

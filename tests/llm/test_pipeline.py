@@ -24,3 +24,9 @@ def test_pipeline_equals_its_parts(spark, tmp_path, documents):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == sizes[3]
     assert [m.__name__ for m in (language_id, near_dedup, decontaminate, pii)]
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path, documents):
+    documents([]).drop("uid").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

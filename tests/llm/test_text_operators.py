@@ -224,6 +224,26 @@ def test_short_items_and_items_without_an_id_are_found(spark, documents):
     assert sorted(r.doc_id for r in decontaminate.without_benchmark(documents(rows), benchmark).collect()) == [2, 4]
 
 
+def test_predictions_equal_enumeration(documents):
+    rng = random.Random(21)
+    docs = documents([(i, sentence(rng, lang, 40), lang) for i, lang in enumerate(["en", "fr"] * 40)])
+    model = language_id.learn(docs)
+    rows = [(i, " ".join(rng.choice(WORDS["en"] + WORDS["fr"] + ["12", "xqz"]) for _ in range(rng.randint(1, 7)))) for i in range(40)]
+    moves, k = model.transitions.astype(float), len(model.labels)
+    got = {r.doc_id: r for r in language_id.predict(documents(rows), model).collect()}
+    for i, text in rows:
+        words = [w for w in map(language_id._letters, text.lower().split()) if w]
+        if not words:
+            assert got[i].lang_pred == "und"
+            continue
+        factors, shares = model.emissions(words).astype(float), np.zeros(k)
+        for path in np.ndindex(*[k] * len(words)):
+            weight = np.prod([factors[t, y] for t, y in enumerate(path)]) * np.prod([moves[a, b] for a, b in zip(path, path[1:])])
+            shares += weight * np.bincount(path, minlength=k)
+        shares /= shares.sum()
+        assert abs(got[i].score - shares.max()) < 1e-4 and (got[i].lang_pred == model.labels[shares.argmax()] or abs(shares[0] - shares[1]) < 1e-4)
+
+
 def test_long_texts_are_labelled_in_stretches(monkeypatch):
     rng = np.random.default_rng(6)
     factors, moves = rng.random((70, 3)).astype(np.float32), rng.random((3, 3)).astype(np.float32)
