@@ -286,15 +286,26 @@ def divergence_heatmap(spark, sf):
     return pose_kinds(spark, sf).groupBy(G.field_cell(F.col("x"), F.col("y")).alias("cell")).agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"))
 
 
-@query("yaw_error_summary", pk("""
+_YE = {
+    "ye": "SELECT k.log_id, k.ts_us, k.seq, round(abs(dyaw), 6) AS y, row_number() OVER (PARTITION BY k.log_id ORDER BY k.ts_us, k.seq) AS i FROM kk k ASOF JOIN phases p ON k.log_id = p.log_id AND k.ts_us >= p.start_us WHERE k.ts_us < p.end_us AND p.phase <> 'disabled'",
+    "yf": "SELECT log_id, i, ts_us AS t, true AS kept, ts_us AS a FROM ye WHERE i = 1 UNION ALL SELECT h.log_id, h.i, h.ts_us, h.ts_us - f.a >= 1000000, CASE WHEN h.ts_us - f.a >= 1000000 THEN h.ts_us ELSE f.a END FROM yf f JOIN ye h ON h.log_id = f.log_id AND h.i = f.i + 1",
+    "yw": "SELECT log_id, max(m) AS worst_median, arg_min(t, (-m, t)) AS worst_start_us FROM (SELECT f.log_id, f.t, round(median(y), 6) AS m FROM yf f JOIN ye h ON h.log_id = f.log_id AND h.ts_us >= f.t AND h.ts_us < f.t + 2000000 WHERE f.kept GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL",
+}
+
+
+@query("yaw_error_summary", over("vision", "odometry", "samples", "modes", recursive=True, sql="""
     SELECT log_id, count(*) AS n, round(median(y), 6) AS median_yaw, round(avg(y), 6) AS mean_yaw, round(quantile_cont(y, .95), 4) AS p95_yaw, round(max(y), 6) AS max_yaw,
-      round(100e0 * count(*) FILTER (y > 15) / count(*), 4) AS over_15, round(100e0 * count(*) FILTER (y > 30) / count(*), 4) AS over_30, round(100e0 * count(*) FILTER (y > 45) / count(*), 4) AS over_45
-    FROM (SELECT k.log_id, round(abs(dyaw), 6) AS y FROM kk k ASOF JOIN phases p ON k.log_id = p.log_id AND k.ts_us >= p.start_us WHERE k.ts_us < p.end_us AND p.phase <> 'disabled') GROUP BY ALL""", "samples", "modes", **PH))
+      round(100e0 * count(*) FILTER (y > 15) / count(*), 4) AS over_15, round(100e0 * count(*) FILTER (y > 30) / count(*), 4) AS over_30, round(100e0 * count(*) FILTER (y > 45) / count(*), 4) AS over_45, any_value(worst_median) AS worst_median, any_value(worst_start_us) AS worst_start_us
+    FROM ye LEFT JOIN yw USING (log_id) GROUP BY log_id""", **_PK, **PH, **_YE))
 def yaw_error_summary(spark, sf):
-    """Yaw differences of the two kinds while the robot is enabled."""
+    """Yaw differences of the two kinds while the robot is enabled, and the worst of the windows of 2 s that begin at a row a second or more after the last."""
     rows = R.phase_of(pose_kinds(spark, sf), phases(spark, sf)).where("phase <> 'disabled'").withColumn("y", r6(F.abs("dyaw")))
     over_ = lambda x: r4(100.0 * F.count_if(F.col("y") > x) / F.count("*")).alias(f"over_{x}")
-    return rows.groupBy("log_id").agg(F.count("*").alias("n"), r6(F.median("y")).alias("median_yaw"), r6(F.avg("y")).alias("mean_yaw"), r4(F.percentile("y", F.lit(0.95))).alias("p95_yaw"), r6(F.max("y")).alias("max_yaw"), over_(15), over_(30), over_(45))
+    found = rows.groupBy("log_id").agg(F.count("*").alias("n"), r6(F.median("y")).alias("median_yaw"), r6(F.avg("y")).alias("mean_yaw"), r4(F.percentile("y", F.lit(0.95))).alias("p95_yaw"), r6(F.max("y")).alias("max_yaw"), over_(15), over_(30), over_(45))
+    starts = K.anchored_dedup(rows, ["log_id"], 999_999).select("log_id", "ts_us")
+    windows = K.range_join(starts, rows.select("log_id", F.col("ts_us").alias("r_ts_us"), "y"), ["log_id"], 0, 1_999_999).groupBy("log_id", "ts_us").agg(F.count("*").alias("c"), r6(F.median("y")).alias("m")).where("c >= 3")
+    worst = windows.groupBy("log_id").agg(F.max("m").alias("worst_median"), F.min_by("ts_us", F.struct(-F.col("m"), F.col("ts_us"))).alias("worst_start_us"))
+    return found.join(worst, "log_id", "left")
 
 
 @query("signed_residual_stats", over("vision", "odometry", sql="""

@@ -115,20 +115,31 @@ def jitter_by_distance(spark, sf):
     )
 
 
-_SIG = "SELECT f.camera, f.frame_id, f.residual_raw, min(dist) * min(dist) / count(*) AS old_s, 1 / sqrt(sum(1 / (dist * dist))) AS new_s FROM frames f JOIN tags t ON f.frame_id = t.frame_id GROUP BY ALL"
+_SIG = {
+    "s": "SELECT f.camera, f.frame_id, f.ts_us, f.residual_raw, count(*) AS tags, max(ambiguity) AS worst, min(dist) * min(dist) / count(*) AS old_s, 1 / sqrt(sum(1 / (dist * dist))) AS new_s FROM frames f JOIN tags t ON f.frame_id = t.frame_id GROUP BY ALL",
+    "rc": "SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ts_us) AS i FROM (SELECT DISTINCT camera, ts_us FROM s WHERE tags >= 2 AND worst < .35e0)",
+    "rf": "SELECT camera, i, ts_us AS last, TRUE AS kept FROM rc WHERE i = 1 UNION ALL SELECT c.camera, c.i, CASE WHEN c.ts_us - f.last > 86400000000 THEN c.ts_us ELSE f.last END, c.ts_us - f.last > 86400000000 FROM rf f JOIN rc c ON c.camera = f.camera AND c.i = f.i + 1",
+}
 
 
-@query("sigma_model_compare", over("tags", "frames", sql="""
-    SELECT camera, count(*) AS n, round(median(new_s / old_s), 4) AS median_ratio, round(quantile_cont(new_s / old_s, .95), 4) AS p95_ratio, round(avg(new_s * new_s / (new_s * new_s + .25e0)), 6) AS mean_gain,
-      round(sum(residual_raw / 1e6 * new_s * new_s / (new_s * new_s + .25e0)), 3) AS new_correction, round(sum(residual_raw / 1e6 * old_s * old_s / (old_s * old_s + .25e0)), 3) AS old_correction FROM s GROUP BY ALL""", s=_SIG))
+@query("sigma_model_compare", over("tags", "frames", recursive=True, sql="""
+    SELECT camera, any_value(resets) AS resets, count(*) AS n, round(median(new_s / old_s), 4) AS median_ratio, round(quantile_cont(new_s / old_s, .95), 4) AS p95_ratio, round(avg(new_s * new_s / (new_s * new_s + .25e0)), 6) AS mean_gain,
+      round(sum(residual_raw / 1e6 * new_s * new_s / (new_s * new_s + .25e0)), 3) AS new_correction, round(sum(residual_raw / 1e6 * old_s * old_s / (old_s * old_s + .25e0)), 3) AS old_correction FROM s LEFT JOIN (SELECT camera, count(*) AS resets FROM rf WHERE kept GROUP BY ALL) USING (camera) GROUP BY camera""", **_SIG))
 def sigma_model_compare(spark, sf):
-    """Two uncertainty models side by side: ratios of their sigmas, and the corrections they would let through (gain s2 / (s2 + .25))."""
+    """Two uncertainty models side by side: ratios of their sigmas, and the corrections they would let through (gain s2 / (s2 + .25)).
+
+    resets counts sure frames (two tags or more, little ambiguity) that come more than a cooldown after the last reset.
+    """
     near = F.min("dist")
-    rows = A.frames(spark, sf).join(A.tags(spark, sf), "frame_id").groupBy("camera", "frame_id", "residual_raw").agg((near * near / F.count("*")).alias("old_s"), (1 / F.sqrt(F.sum(1 / (F.col("dist") * F.col("dist"))))).alias("new_s"))
+    rows = A.frames(spark, sf).join(A.tags(spark, sf), "frame_id").groupBy("camera", "frame_id", "ts_us", "residual_raw").agg(
+        F.count("*").alias("tags"), F.max("ambiguity").alias("worst"), (near * near / F.count("*")).alias("old_s"), (1 / F.sqrt(F.sum(1 / (F.col("dist") * F.col("dist"))))).alias("new_s"))
     gain = lambda s: F.col(s) * F.col(s) / (F.col(s) * F.col(s) + 0.25)
     ratio = F.col("new_s") / F.col("old_s")
     moved = lambda s: F.round(F.sum(F.col("residual_raw") / 1e6 * gain(s)), 3)
-    return rows.groupBy("camera").agg(F.count("*").alias("n"), r4(F.median(ratio)).alias("median_ratio"), r4(F.percentile(ratio, F.lit(0.95))).alias("p95_ratio"), r6(F.avg(gain("new_s"))).alias("mean_gain"), moved("new_s").alias("new_correction"), moved("old_s").alias("old_correction"))
+    sure = rows.where("tags >= 2 and worst < .35D").select("camera", "ts_us", F.col("ts_us").alias("seq")).distinct()
+    resets = K.anchored_dedup(sure, ["camera"], 86_400_000_000).groupBy("camera").agg(F.count("*").alias("resets"))
+    found = rows.groupBy("camera").agg(F.count("*").alias("n"), r4(F.median(ratio)).alias("median_ratio"), r4(F.percentile(ratio, F.lit(0.95))).alias("p95_ratio"), r6(F.avg(gain("new_s"))).alias("mean_gain"), moved("new_s").alias("new_correction"), moved("old_s").alias("old_correction"))
+    return found.join(resets, "camera", "left")
 
 
 # Sessions

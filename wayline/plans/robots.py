@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import kernel as K
 from wayline.operators import robot as R
-from wayline.operators.basic import SIGNAL, by_time, r6
+from wayline.operators.basic import SIGNAL, by_time, percentile_floor, r6
 from wayline.plans.launch_sql import LAUNCHES, ROTATIONAL
 from wayline.plans.views_sql import over
 from wayline.sources import adapters as A
@@ -370,11 +370,18 @@ def launch_events(spark, sf):
 
 
 @query("launch_summary", la("""
-    SELECT log_id, signal, count(*) AS n, round(min(baseline - dip), 6) AS least_drop, round(max(baseline - dip), 6) AS most_drop, count(*) FILTER (gap < 2000000) AS in_bursts
-    FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM le) GROUP BY ALL"""))
+    SELECT log_id, signal, count(*) AS n, round(min(d), 6) AS least_drop, round(list_sort(list(d))[CAST(count(*) // 2 AS BIGINT) + 1], 6) AS median_drop, round(max(d), 6) AS most_drop, count(*) FILTER (gap < 2000000) AS in_bursts,
+      min(gap) FILTER (gap < 2000000) / 1000 AS least_gap_ms, max(gap) FILTER (gap < 2000000) / 1000 AS most_gap_ms, round(1e6 / min(gap) FILTER (gap < 2000000 AND gap > 0), 6) AS peak_rate_hz
+    FROM (SELECT *, baseline - dip AS d, ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM le) GROUP BY ALL"""))
 def launch_summary(spark, sf):
-    rows = launch_events(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL)))
-    return rows.groupBy(*SIGNAL).agg(F.count("*").alias("n"), r6(F.min(F.col("baseline") - F.col("dip"))).alias("least_drop"), r6(F.max(F.col("baseline") - F.col("dip"))).alias("most_drop"), F.count_if(F.col("gap") < 2_000_000).alias("in_bursts"))
+    rows = launch_events(spark, sf).withColumns({"gap": F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL)), "d": F.col("baseline") - F.col("dip")})
+    burst = F.when(F.col("gap") < 2_000_000, F.col("gap"))
+    found = rows.groupBy(*SIGNAL).agg(
+        F.count("*").alias("n"), r6(F.min("d")).alias("least_drop"), r6(F.max("d")).alias("most_drop"), F.count(burst).alias("in_bursts"),
+        (F.min(burst) / 1000).alias("least_gap_ms"), (F.max(burst) / 1000).alias("most_gap_ms"), r6(1e6 / F.min(F.when(burst > 0, burst))).alias("peak_rate_hz"),
+    )
+    middle = percentile_floor(rows, SIGNAL, 0.5, "d").select(*SIGNAL, r6("p_floor").alias("median_drop"))
+    return found.join(middle, SIGNAL)
 
 
 @query("launches_per_log", over("samples", "modes", recursive=True, sql="""
