@@ -168,8 +168,8 @@ def rate_change_report(spark, sf):
 def find_matching_logs(spark, sf):
     """Files in groups by the start that their names tell; a group ends a width (here some days, as dates are days) after its first file.
 
-    Of robot and station files the first by name counts, device files are all kept. Groups are found in stretches
-    between gaps and told by their first start, so nothing needs all files in one place.
+    Of robot and station files the first by name counts, device files are all kept. The distinct starts, at most one a
+    second, are ordered in one task; the files themselves are joined to their group and aggregated.
     """
     named = records.names(spark, sf).select(N.file_name(F.col("path")).alias("name"), N.kind(F.col("path")).alias("kind"), N.start_s(F.col("path")).alias("ts_us"))
     named = named.where("ts_us > 0 and kind <> 'dsevents'")
