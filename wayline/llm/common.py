@@ -66,7 +66,7 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x5851F42D4C957F2D
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -330,6 +330,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -344,5 +345,6 @@ def keep_identified(documents: DataFrame, model: Model, least_score: float = 0.5
         for batch in batches:
             found = labeller.label(batch.column(place).to_pylist())
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least_score for x in found], pa.bool_()))
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return documents.mapInArrow(run, documents.schema)

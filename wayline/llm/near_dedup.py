@@ -84,6 +84,7 @@ def _sketches(width: int, k: int):
                 [batch.column("id"), batch.column("key"), *longs, pa.ListArray.from_arrays(pa.array(ends), flat), _lists(bits)],
                 ["id", "key", "n", "one", "two", "sketch", "bits"],
             )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import mix64, powers, slices, stored
 
-CACHE_UNITS = 1 << 20
-SLICE_BYTES = 1 << 22
-WINDOW = 1 << 20
+CACHE_UNITS, KEPT_UNITS = 1 << 19, 1 << 17
+SLICE_BYTES = 1 << 21
+WINDOW = 1 << 19
 PARTITION_TOKENS, CHUNK_TOKENS = 1 << 22, 1024
 BITS, DIMENSIONS = 16, 3
 
@@ -104,8 +104,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.starts, self.sizes, self.pool, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, self.dtype), 0
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.starts, self.sizes, self.pool, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(1 << 16, self.dtype), 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,14 +124,14 @@ class Encoder:
         for i, found in zip(odd, self._encode([texts[i] for i in odd])):
             ids[i] = found
         new = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.array([len(x) // self.dtype.itemsize for x in ids], np.int64)
+        sizes = np.array([len(x) // self.dtype.itemsize for x in ids], np.int32)
         if self.used + len(new) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * len(new), self.dtype)])
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used // 2 + 2 * len(new), self.dtype)])
         self.pool[self.used : self.used + len(new)] = new
         at = np.searchsorted(self.hashes, hashes)
-        self.slots = np.insert(self.slots, at, len(self.starts) + np.arange(len(units)))
+        self.slots = np.insert(self.slots, at, np.arange(len(self.starts), len(self.starts) + len(units), dtype=np.int32))
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += len(new)
 
@@ -275,6 +275,10 @@ def _tokenise(path: str, end_id: int):
                 ],
                 CODED.names,
             )
+        # What the worker keeps for its next task has a smaller bound, as other stages run in it too.
+        if len(encoder.starts) > KEPT_UNITS:
+            encoder.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
