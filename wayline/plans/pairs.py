@@ -225,7 +225,9 @@ def camera_agreement(spark, sf):
 def agreement_series(spark, sf):
     """The first two cameras of each log by name, second by second."""
     rows = camera_pairs(spark, sf)
-    first = rows.groupBy("log_id").agg(F.min(F.struct("a", "b")).alias("p")).select("log_id", "p.a", "p.b")
+    cameras = A.vision(spark, sf).select("log_id", "camera").distinct()
+    both = cameras.withColumnRenamed("camera", "a").join(cameras.withColumnRenamed("camera", "b"), "log_id").where("a < b")  # a log has a few cameras
+    first = both.groupBy("log_id").agg(F.min(F.struct("a", "b")).alias("p")).select("log_id", "p.a", "p.b")
     return rows.join(first, ["log_id", "a", "b"], "left_semi").groupBy("log_id", F.floor(F.col("ts_us") / 1_000_000).alias("second")).agg(r4(F.avg("d")).alias("mean_d"))
 
 
