@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, packing, pii, secret_scan, warc
+from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, merkle, packing, pii, secret_scan, warc
 from wayline.llm.near_dedup import near_duplicates
 
 TOKENIZERS = "/opt/tokenizers"
@@ -80,6 +80,11 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_k(finite.where("vec_id % 50 = 0"), finite, k=5)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and verification in one manifest by source."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_exact_search": op10_exact_search,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
@@ -118,4 +124,53 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, lang, n_chars, text,
+                   coalesce(xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                       lambda s, b: list_reduce(range(0, 8), lambda k, i: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END, xor(s, b)), 4294967295), 4294967295) % 5 = 0, false) AS hit
+            FROM documents
+        ),
+        e AS (
+            SELECT *, concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                             coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+                   coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered
+            FROM d
+        ),
+        h AS (SELECT doc_id, source, sha256(head || body) AS leaf, CASE WHEN hit THEN sha256(head || lowered) ELSE sha256(head || body) END AS changed FROM e),
+        l AS (
+            SELECT doc_id, leaf, changed, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS g,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+            FROM h
+        ),
+        t(g, lvl, idx, h, n) AS (
+            SELECT g, 0, pos, leaf, n FROM l
+            UNION ALL
+            SELECT g, lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY g, lvl, idx // 16, n
+        ),
+        sub AS (SELECT g, h FROM t WHERE n = 1),
+        u(lvl, idx, h, n) AS (
+            SELECT 0, g, h, (SELECT count(*) FROM sub) FROM sub
+            UNION ALL
+            SELECT lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY lvl, idx // 16, n
+        ),
+        -- What stands before and after each node in its run.
+        ts AS (SELECT g, lvl, idx, coalesce(string_agg(h, '') OVER (PARTITION BY g, lvl, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                      coalesce(string_agg(h, '') OVER (PARTITION BY g, lvl, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM t WHERE n > 1),
+        us AS (SELECT lvl, idx, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                      coalesce(string_agg(h, '') OVER (PARTITION BY lvl, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM u WHERE n > 1),
+        tw AS (SELECT l.g, l.pos, list(ts.b || '|' || ts.a ORDER BY ts.lvl) AS way FROM l JOIN ts ON ts.g = l.g AND ts.idx = l.pos // CAST(pow(16, ts.lvl) AS BIGINT) GROUP BY l.g, l.pos),
+        uw AS (SELECT sub.g, list(us.b || '|' || us.a ORDER BY us.lvl) AS way FROM sub JOIN us ON us.idx = sub.g // CAST(pow(16, us.lvl) AS BIGINT) GROUP BY sub.g),
+        p AS (
+            SELECT l.doc_id, l.leaf, l.changed, sub.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(tw.way, []), coalesce(uw.way, [])) AS way
+            FROM l JOIN sub USING (g) LEFT JOIN tw USING (g, pos) LEFT JOIN uw USING (g)
+        ),
+        f AS (
+            SELECT *, sha256(replace(array_to_string(way, ''), '|', '')) AS proof_sha256,
+                   list_reduce(list_prepend(changed, way), lambda s, x: sha256(split_part(x, '|', 1) || s || split_part(x, '|', 2))) AS folded_root
+            FROM p
+        )
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+    """,
 }
