@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, merkle, packing, pii, secret_scan, warc
+from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, merkle, packing, pii, secret_scan, warc, whitening
 from wayline.llm.near_dedup import near_duplicates
 
 TOKENIZERS = "/opt/tokenizers"
@@ -85,6 +85,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the first eight whitened components, fitted to all of them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.whole_numbers(F.col("embedding")).alias("x"))
+    white = whitening.transform(rows, whitening.fit(rows, components=8))
+    # A deviation that no long holds (from some hundred thousand rows with wide spreads on) is null here; the operator has it whole.
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -97,6 +105,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_search": op10_exact_search,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
