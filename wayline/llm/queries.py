@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, merkle, packing, pii, secret_scan, warc, whitening
+from wayline.llm import decontaminate, exact_search, html_text, kd_shards, language_id, merkle, packing, pii, secret_scan, toxicity, warc, whitening
 from wayline.llm.near_dedup import near_duplicates
 
 TOKENIZERS = "/opt/tokenizers"
@@ -93,6 +93,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by its nearest labelled examples, learned from documents that aren't held out."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.score(documents, toxicity.learn(documents, labels.where(~held_out)), held_out)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -106,6 +113,7 @@ QUERIES = {
     "op10_exact_search": op10_exact_search,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
