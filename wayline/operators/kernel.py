@@ -11,6 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.folds import anchored_dedup, anchors, peak_groups
+
+__all__ = [
+    "anchored_dedup", "anchored_groups", "anchors", "asof_backward", "asof_forward", "asof_nearest", "gap_sessions", "hysteresis", "interpolate_join", "lerp", "lerp_angle_deg", "merge_close", "peak_groups",
+    "range_join", "runs", "threshold_runs",
+]
+
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], right_first: bool) -> DataFrame:
     """Both sides in one table; right rows carry their values in _r, left rows all columns in _l."""
@@ -163,56 +170,6 @@ def threshold_runs(rows: DataFrame, keys: list[str], over: Column, value: str, l
     return found.where(F.col("end_us") - F.col("start_us") >= least_us).drop("run")
 
 
-def _stretches(rows: DataFrame, keys: list[str], gap_us: int, *columns: Column) -> DataFrame:
-    """Per key and stretch the rows in time order (_all). A stretch ends where the next row comes more than gap_us later.
-
-    The folds below start anew there anyway, so each stretch is folded by itself, and no key is gathered whole.
-    """
-    sessions = gap_sessions(rows, keys, gap_us)
-    return sessions.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", *columns))).alias("_all"))
-
-
-def anchored_dedup(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
-    """Keep a row if it is more than gap_us after the last one kept."""
-    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint>>")
-    first = F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        keep = state["last"].isNull() | (row["ts_us"] - state["last"] > gap_us)
-        return F.when(keep, F.struct(row["ts_us"].alias("last"), F.concat(state["out"], F.array(row)).alias("out"))).otherwise(state)
-
-    return _stretches(rows, keys, gap_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
-
-
-def anchors(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
-    """Rows (keys, ts_us, seq, anchor_us): the time of the first row of each row's group; a group ends more than width_us after it."""
-    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,anchor_us:bigint>>")
-    first = F.struct(F.lit(None).cast("bigint").alias("anchor"), none.alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        new = state["anchor"].isNull() | (row["ts_us"] - state["anchor"] > width_us)
-        anchor = F.when(new, row["ts_us"]).otherwise(state["anchor"])
-        item = F.struct(row["ts_us"].alias("ts_us"), row["seq"].alias("seq"), anchor.alias("anchor_us"))
-        return F.struct(anchor.alias("anchor"), F.concat(state["out"], F.array(item)).alias("out"))
-
-    return _stretches(rows, keys, width_us).select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
-
-
 def anchored_groups(rows: DataFrame, keys: list[str], width_us: int) -> DataFrame:
     """Group number of each row (ts_us, seq, grp), from 1: a new group begins more than width_us after its first row."""
-    found = anchors(rows, keys, width_us)
-    order = Window.partitionBy(*keys).orderBy("anchor_us")
-    return found.select(*keys, "ts_us", "seq", F.dense_rank().over(order).alias("grp"))
-
-
-def peak_groups(rows: DataFrame, keys: list[str], width_us: int, score: str) -> DataFrame:
-    """One row (ts_us, seq, score) per group: within width_us of a group's representative the larger score replaces it."""
-    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,score:double>>")
-
-    def step(out: Column, row: Column) -> Column:
-        apart = (F.size(out) == 0) | (row["ts_us"] - F.get(out, F.size(out) - 1)["ts_us"] > width_us)
-        better = row["score"] > F.get(out, F.size(out) - 1)["score"]
-        return F.when(apart, F.concat(out, F.array(row))).when(better, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(row))).otherwise(out)
-
-    listed = _stretches(rows, keys, width_us, F.col(score).cast("double").alias("score"))
-    return listed.select(*keys, F.inline(F.aggregate("_all", none, step)))
+    return anchors(rows, keys, width_us).drop("anchor_us")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators import folds
 from wayline.operators import kernel as K
 from wayline.operators.basic import by_time
 
@@ -233,8 +234,8 @@ def rotational_hits(samples: DataFrame, alpha: float, step: float, group_us: int
 def launches(samples: DataFrame, at_speed: float = 55.0, drop: float = 8.0, floor: float = 30.0, recovery: float = 5.0, debounce_us: int = 80_000, window: int = 5) -> DataFrame:
     """Velocity dips (keys, ts_us, dip, baseline): a drop below the recent maximum and a recovery.
 
-    The gate is native: it opens at speed, closes under the floor, and its opening row does nothing. Inside a gated
-    episode a fold finds the dips, and one over a signal's few dips keeps those far enough from the last one kept.
+    The gate is native: it opens at speed, closes under the floor, and its opening row does nothing. A fold over the rows
+    at speed finds the dips and keeps those far enough from the last one kept.
     """
     keys = ["log_id", "signal"]
     order = by_time(*keys)
@@ -247,24 +248,7 @@ def launches(samples: DataFrame, at_speed: float = 55.0, drop: float = 8.0, floo
     rows = rows.withColumn("was", F.coalesce(F.lag("gate").over(order), F.lit(0)))
     rows = rows.withColumn("episode", F.sum(F.when((F.col("gate") == 1) & (F.col("was") == 0), 1).otherwise(0)).over(upto))
     rows = rows.where("n >= 3 and gate = 1 and was = 1")
-    listed = rows.groupBy(*keys, "episode").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "v_double", "base"))).alias("_all"))
-    dips = F.array().cast("array<struct<ts_us:bigint,seq:bigint,dip:double,baseline:double>>")
-    first = F.struct(F.lit(None).cast("double").alias("low"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("seq"), F.lit(0.0).alias("base"), dips.alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        v = r["v_double"]
-        opening = (r["base"] >= at_speed) & (r["base"] - v >= drop)
-        lower = v < s["low"]
-        low, at, seq = F.when(lower, v).otherwise(s["low"]), F.when(lower, r["ts_us"]).otherwise(s["at"]), F.when(lower, r["seq"]).otherwise(s["seq"])
-        dip = F.struct(at.alias("ts_us"), seq.alias("seq"), low.alias("dip"), s["base"].alias("baseline"))
-        closed = F.struct(F.lit(None).cast("double").alias("low"), s["at"].alias("at"), s["seq"].alias("seq"), s["base"].alias("base"), F.concat(s["out"], F.array(dip)).alias("out"))
-        inside = F.struct(low.alias("low"), at.alias("at"), seq.alias("seq"), s["base"].alias("base"), s["out"].alias("out"))
-        begun = F.struct(v.alias("low"), r["ts_us"].alias("at"), r["seq"].alias("seq"), r["base"].alias("base"), s["out"].alias("out"))
-        return F.when(s["low"].isNull(), F.when(opening, begun).otherwise(s)).when(v - low >= recovery, closed).otherwise(inside)
-
-    found = listed.select(*keys, F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
-    kept = K.anchored_dedup(found.where(F.col("ts_us") >= debounce_us), keys, debounce_us - 1).select(*keys, "ts_us", "seq")
-    return found.join(kept, [*keys, "ts_us", "seq"])
+    return folds.launch_dips(rows, keys, at_speed, drop, recovery, debounce_us)
 
 
 def slip_filters(
@@ -274,7 +258,7 @@ def slip_filters(
 
     A hysteresis on wheel speed gates the update. The weight of the second filter turns fast where the raw slip exceeds
     fast_enter and back where it falls to fast_leave; its result is cut to cap. A step in time outside (least_s, most_s)
-    sets both back to nothing, so each stretch between such steps is folded by itself.
+    sets both back to nothing.
     """
     order = by_time("log_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -283,24 +267,6 @@ def slip_filters(
     speed = lambda d: F.when(F.col("dt") > 0.001, F.col(d) / F.col("dt")).otherwise(0.0)
     rows = rows.withColumns({"valid": F.coalesce((F.col("dt") > least_s) & (F.col("dt") < most_s), F.lit(False)), "rx": speed("dx") - F.col("wx"), "ry": speed("dy") - F.col("wy")})
     gate = F.coalesce(F.last(F.when(F.col("wheel") > enter, 1).when(F.col("wheel") <= leave, 0), ignorenulls=True).over(upto), F.lit(0))
-    rows = rows.withColumns({"gate": gate, "stretch": F.sum(F.when(F.col("valid"), 0).otherwise(1)).over(upto)})
-    item = F.struct("ts_us", "seq", "wheel", "valid", "gate", "rx", "ry", F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")).alias("raw"))
-    listed = rows.groupBy("log_id", "stretch").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    none = F.array().cast("array<struct<ts_us:bigint,seq:bigint,wheel:double,valid:boolean,slip_fixed:double,slip:double,fast:boolean>>")
-    zero = F.lit(0.0)
-    first = F.struct(*[zero.alias(c) for c in ("fx", "fy", "vx", "vy")], F.lit(False).alias("fast"), none.alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        moves = r["valid"] & (r["gate"] == 1)
-        quick = F.when(s["fast"], r["raw"] > fast_leave).otherwise(r["raw"] > fast_enter)
-        weight = F.when(quick, F.lit(fast)).otherwise(F.lit(slow))
-        nx, ny = weight * s["vx"] + (1 - weight) * r["rx"], weight * s["vy"] + (1 - weight) * r["ry"]
-        scale = F.least(F.lit(1.0), F.lit(cap) / F.greatest(F.sqrt(nx * nx + ny * ny), F.lit(1e-12)))
-        keep = lambda new, old: F.when(moves, new).otherwise(F.when(r["valid"], old).otherwise(zero))
-        fx, fy = keep(fixed * s["fx"] + (1 - fixed) * r["rx"], s["fx"]), keep(fixed * s["fy"] + (1 - fixed) * r["ry"], s["fy"])
-        vx, vy = keep(nx * scale, s["vx"]), keep(ny * scale, s["vy"])
-        now = F.when(moves, quick).otherwise(r["valid"] & s["fast"])
-        row = F.struct(r["ts_us"].alias("ts_us"), r["seq"].alias("seq"), r["wheel"].alias("wheel"), r["valid"].alias("valid"), F.sqrt(fx * fx + fy * fy).alias("slip_fixed"), F.sqrt(vx * vx + vy * vy).alias("slip"), now.alias("fast"))
-        return F.struct(fx.alias("fx"), fy.alias("fy"), vx.alias("vx"), vy.alias("vy"), now.alias("fast"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return listed.select("log_id", F.inline(F.aggregate("_all", first, step, lambda s: s["out"])))
+    rows = rows.withColumn("gate", gate)
+    rows = rows.withColumn("raw", F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")))
+    return folds.slip(rows, ["log_id"], fast_enter, fast_leave, fixed, slow, fast, cap)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from wayline.operators import folds
 from wayline.operators import kernel as K
 from wayline.operators.basic import SIGNAL, by_time, r6
 from wayline.plans import basics, robots, studies
@@ -130,20 +131,7 @@ def throughput_launches(spark, sf):
 def dip_recover_events(spark, sf):
     """Within stretches without pauses: a fall of over 20 from one row to the next opens an event, a rise of over 20 from its lowest closes it; kept if over 30 deep."""
     rows = K.gap_sessions(A.samples(spark, sf), SIGNAL, 100_000).withColumn("was_v", F.lag("v_double").over(by_time(*SIGNAL)))
-    listed = rows.groupBy(*SIGNAL, "session").agg(F.array_sort(F.collect_list(F.struct("ts_us", "seq", "v_double", "was_v"))).alias("r"))
-    none = F.array().cast("array<struct<start_us:bigint,end_us:bigint,low:double,top:double>>")
-    empty = lambda kind: F.lit(None).cast(kind)
-    first = F.struct(empty("bigint").alias("start"), empty("double").alias("low"), empty("double").alias("top"), none.alias("out"))
-
-    def step(s, r):
-        low = F.least(s["low"], r["v_double"])
-        event = F.struct(s["start"].alias("start_us"), r["ts_us"].alias("end_us"), low.alias("low"), s["top"].alias("top"))
-        closed = F.struct(empty("bigint").alias("start"), empty("double").alias("low"), empty("double").alias("top"), F.concat(s["out"], F.array(event)).alias("out"))
-        opened = F.struct(r["ts_us"].alias("start"), r["v_double"].alias("low"), r["was_v"].alias("top"), s["out"].alias("out"))
-        inside = F.struct(s["start"].alias("start"), low.alias("low"), s["top"].alias("top"), s["out"].alias("out"))
-        return F.when(s["start"].isNull(), F.when(r["was_v"] - r["v_double"] > 20, opened).otherwise(s)).when(r["v_double"] - low > 20, closed).otherwise(inside)
-
-    found = listed.select(*SIGNAL, F.inline(F.aggregate("r", first, step, lambda s: s["out"])))
+    found = folds.dips(rows, SIGNAL, 20.0)
     return found.where("top - low > 30").select(*SIGNAL, "start_us", "end_us", "low", r6(F.col("top") - F.col("low")).alias("depth"))
 
 

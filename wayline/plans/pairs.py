@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayline.functions import geometry as G
 from wayline.operators import basic as B
 from wayline.operators import clocks as C
+from wayline.operators import folds
 from wayline.operators import kernel as K
 from wayline.operators import robot as R
 from wayline.operators.basic import r6
@@ -168,13 +169,12 @@ def rate_change_report(spark, sf):
 def find_matching_logs(spark, sf):
     """Files in groups by the start that their names tell; a group ends a width (here some days, as dates are days) after its first file.
 
-    Of robot and station files the first by name counts, device files are all kept. The distinct starts, at most one a
-    second, are ordered in one task; the files themselves are joined to their group and aggregated.
+    Of robot and station files the first by name counts, device files are all kept. Starts are grouped in chunks of time;
+    the files are joined to their group and aggregated.
     """
     named = records.names(spark, sf).select(N.file_name(F.col("path")).alias("name"), N.kind(F.col("path")).alias("kind"), N.start_s(F.col("path")).alias("ts_us"))
     named = named.where("ts_us > 0 and kind <> 'dsevents'")
-    starts = named.select("ts_us").distinct().withColumns({"all_": F.lit(0), "seq": F.col("ts_us")})
-    rows = named.join(K.anchors(starts, ["all_"], 200_000).select("ts_us", "anchor_us"), "ts_us")
+    rows = named.join(folds.anchors_over_all(named, 200_000), "ts_us")
     first = lambda k: F.min(F.when(F.col("kind") == k, F.col("name")))
     found = rows.groupBy(F.col("anchor_us").alias("start_s")).agg(first("wpilog").alias("robot"), first("dslog").alias("station"), F.count_if(F.col("kind") == "hoot").alias("devices"))
     return found.where("robot is not null or station is not null or devices > 0")
