@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are labelled documents, drawn up to a stated number per label. Their terms are words and the beginnings of
-longer words, of which those that go with the label (by likelihood ratio) make up the vocabulary; inverse document
+longer words, of which those that go with toxicity (by likelihood ratio and lift) make up the vocabulary; inverse document
 frequencies count all documents. A document's nearest examples vote by closeness, examples that aren't indexed
 calibrate the votes, and the neighbours and terms come along as evidence.
 """
@@ -14,16 +14,16 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import slices, stored
+from wayline.llm.common import shingle_set, slices, stored
 
 PREFIXES = (4, 5, 6)
 PIECE = 1 << 20
-CACHE_WORDS = 200_000
 COUNTS = 200_000
 BLOCK = 32
 EVIDENCE = 3
@@ -48,26 +48,34 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vocabulary:
-    """Numbers of terms, and each word's numbers kept for the next text."""
+    """Numbers of terms, found in a text by one automaton; what terms_of() gives for the text's words is what counts."""
 
     def __init__(self, terms: list[str]):
         self.numbers = {t: i for i, t in enumerate(terms)}
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._automaton = ahocorasick.Automaton()
+        stems: dict[str, list[int | None]] = {}
+        for term, i in self.numbers.items():
+            stems.setdefault(term.rstrip("-"), [None, None])[term.endswith("-")] = i
+        for stem, pair in stems.items():
+            self._automaton.add_word(stem, (len(stem), *pair))
+        self._automaton.make_automaton()
 
     def __reduce__(self):
         return Vocabulary, (list(self.numbers),)
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each term of the vocabulary occurs in a text."""
-        if len(self._seen) > CACHE_WORDS:
-            self._seen.clear()
         found: dict[int, int] = {}
-        for word, n in word_counts(text).items():
-            numbers = self._seen.get(word)
-            if numbers is None:
-                numbers = self._seen[word] = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
-            for i in numbers:
-                found[i] = found.get(i, 0) + n
+        if not text or not self.numbers:
+            return found
+        text = text.lower()
+        for end, (size, whole, longer) in self._automaton.iter(text):
+            start, after = end - size, end + 1
+            if start >= 0 and _WORD.match(text, start, start + 1):
+                continue
+            i = longer if after < len(text) and _WORD.match(text, after, after + 1) else whole
+            if i is not None:
+                found[i] = found.get(i, 0) + 1
         return found
 
 
@@ -85,33 +93,40 @@ class BlockMaxIndex:
         np.maximum.at(self.most, keys, self.weights)
         self.most = self.most.reshape(terms, blocks)
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the vectors of some blocks that share a term: the terms' postings in these blocks, added up."""
+        lists = (terms[:, None] * self.most.shape[1] + blocks[None, :]).ravel()
+        starts, sizes = self.starts[lists], self.starts[lists + 1] - self.starts[lists]
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        sums = np.bincount(self.docs[at], weights=self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), minlength=self.size)
+        hit = np.flatnonzero(sums)
+        return hit, np.round(sums[hit], 9)
+
     def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of all vectors that are at least as near as the k-th nearest one, the nearest first.
 
-        Blocks are visited by falling upper bound until the bound is under the k-th best cosine, so the answer is exact.
+        Blocks are visited by falling upper bound, more at a time as they go on, until the bounds are under the k-th best
+        cosine, so the answer is exact.
         """
+        none = np.empty(0, np.int64), np.empty(0)
         if not vector or not self.size:
-            return np.empty(0, np.int64), np.empty(0)
-        terms = sorted(vector)
-        weights, blocks = np.array([vector[t] for t in terms]), self.most.shape[1]
+            return none
+        terms = np.array(sorted(vector))
+        weights = np.array([vector[t] for t in terms.tolist()])
         bounds = weights @ self.most[terms]
-        places, sims, least = [], [], 0.0
-        best = np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] + 1e-9 < least:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                at, end = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                if end > at:
-                    sums[self.docs[at:end] - b * BLOCK] += w * self.weights[at:end]
-            hit = np.flatnonzero(sums)
-            places.append(hit + b * BLOCK)
-            sims.append(np.round(sums[hit], 9))
-            best = np.sort(np.concatenate([best, sims[-1]]))[-k:]
-            least = best[0] if len(best) == k else 0.0
-        if not places:
-            return np.empty(0, np.int64), np.empty(0)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        places, sims, least, some = [none[0]], [none[1]], 0.0, 2
+        while len(order) and bounds[order[0]] + 2e-9 >= least:
+            now, order = order[:some], order[some:]
+            now = now[bounds[now] + 2e-9 >= least]
+            hit, scores = self._scores(terms, weights, now)
+            keep = scores >= least
+            places.append(hit[keep])
+            sims.append(scores[keep])
+            best = np.concatenate(sims)
+            least = float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else 0.0
+            some *= 4
         places, sims = np.concatenate(places), np.concatenate(sims)
         keep = sims >= least
         places, sims = places[keep], sims[keep]
@@ -222,27 +237,37 @@ def _vectors(vocabulary: Vocabulary):
     return run
 
 
+def _kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds kin, the smallest hash of a text's word pairs, which nearly equal texts mostly share."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            least = [int(v[0]) if len(v := shingle_set(t.as_py(), 2)) else 0 for t in part.column("text")]
+            yield part.append_column("kin", pa.array(least, pa.int64()))
+
+
 def draw_examples(documents: DataFrame, labels: DataFrame, examples_per_label: int) -> DataFrame:
-    """Rows (doc_id, text, toxic, aside) of at most so many labelled documents of each label, drawn by a hash of their ids.
+    """Rows (doc_id, toxic, text, kin, aside) of at most so many labelled documents of each label, drawn by a hash of their ids.
 
     Only ids are drawn on the driver's side of the limit. Labels other than 0 and 1 are ignored, repeated labels count
-    once, and a document labelled both ways is an example of both. Of rows that share an id, one text counts. aside marks
-    the quarter that calibrates; equal texts are on the same side.
+    once, and a document labelled both ways is an example of both. Of rows that share an id, one text counts. kin is
+    mostly shared by nearly equal texts. aside marks the quarter that calibrates; kin are on the same side.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples_per_label) for y in (0, 1)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * examples_per_label rows
     texts = documents.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return texts.withColumn("aside", F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(4)) == 0)
+    kin = texts.mapInArrow(_kin, "doc_id long, toxic int, text string, kin long")
+    return kin.withColumn("aside", F.pmod(F.xxhash64("kin"), F.lit(4)) == 0)
 
 
-def _picked(examples: DataFrame, vocabulary_size: int, false_share: float) -> list[str]:
-    """Terms that go with either label by likelihood ratio against independence, the strongest first.
+def _picked(examples: DataFrame, vocabulary_size: int, false_share: float, least_lift: float) -> list[str]:
+    """Terms that go with label 1, the strongest by likelihood ratio against independence first.
 
-    Terms of at least three examples are tested; as many are picked as keep the expected share of chance finds among
-    them under false_share (step-up procedure on the ratios' tail probabilities).
+    Terms of at least three examples are tested, kin being one; as many are picked as keep the expected share of
+    chance finds among them under false_share (step-up procedure on the ratios' tail probabilities). Of these, a term must
+    be least_lift times as frequent in examples of label 1 as in others, which leaves out what only goes with a language.
     """
-    indexed = examples.where("not aside")
+    indexed = examples.where("not aside").groupBy("kin", "toxic").agg(F.min("text").alias("text"))
     sizes = {r.toxic: r["count"] for r in indexed.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return []
@@ -252,14 +277,15 @@ def _picked(examples: DataFrame, vocabulary_size: int, false_share: float) -> li
     cells = [(F.col("clean"), held, sizes[0]), (F.col("toxic"), held, sizes[1]), (sizes[0] - F.col("clean"), total - held, sizes[0]), (sizes[1] - F.col("toxic"), total - held, sizes[1])]
     part = lambda seen, row, column: F.when(seen > 0, 2 * seen * F.log(seen * total / (row * column))).otherwise(0.0)
     tested = stored(terms.where(held >= 3).withColumn("g2", F.round(sum((part(*c) for c in cells), F.lit(0.0)), 6)), "terms")
-    top = tested.orderBy(F.desc("g2"), "term").limit(vocabulary_size).select("term", "g2").collect()
+    top = tested.orderBy(F.desc("g2"), "term").limit(vocabulary_size).select("term", "g2", "clean", "toxic").collect()
     tests = tested.count()
     chance = [math.erfc(math.sqrt(max(0.0, r.g2) / 2)) for r in top]
     most = max((i + 1 for i, p in enumerate(chance) if p * tests <= (i + 1) * false_share), default=0) if top else 0
-    return [r.term for r in top[:most]]
+    rate = lambda n, label: (n + 0.5) / (sizes[label] + 1)
+    return [r.term for r in top[:most] if rate(r.toxic, 1) >= least_lift * rate(r.clean, 0)]
 
 
-def learn(documents: DataFrame, labels: DataFrame, examples_per_label: int = 4000, vocabulary_size: int = 4096, false_share: float = 0.01, k: int = 15) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, examples_per_label: int = 4000, vocabulary_size: int = 4096, false_share: float = 0.01, least_lift: float = 3.0, k: int = 15) -> Model:
     """A model from labels (doc_id, toxic) of documents (doc_id, text); pass it only the labels that it may see.
 
     Bounds: examples_per_label examples of each label and vocabulary_size terms, the only things that the driver gets.
@@ -270,7 +296,7 @@ def learn(documents: DataFrame, labels: DataFrame, examples_per_label: int = 400
     examples = stored(draw_examples(documents.select("doc_id", "text"), labels, examples_per_label), "examples")
     share = {r.toxic: r["count"] for r in labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct().groupBy("toxic").count().collect()}
     base = share.get(1, 0) / max(1, sum(share.values()))
-    vocabulary = Vocabulary(_picked(examples, vocabulary_size, false_share))
+    vocabulary = Vocabulary(_picked(examples, vocabulary_size, false_share, least_lift))
     if not vocabulary.numbers:
         return Model(vocabulary, np.empty(0), k, base, blank=base)
     counted = documents.select("text").mapInArrow(_frequencies(vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
