@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_PI = 2 * math.pi
-OCTANTS = ["E", "NE", "N", "NW", "W", "SW", "S", "SE"]
+# Eight directions of 45 degrees, the first around 0.
+OCTANTS = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 CELL_M, CELLS_X, CELLS_Y = 0.5, 34, 17
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.export import stored
+
 SIGNAL = ["log_id", "signal"]
 
 
@@ -102,3 +104,18 @@ def least_squares(rows: DataFrame, keys: list[str], inputs: list[str], target: s
             rest = rest - a[i, k] * F.col(f"c_{k}")
         table = table.withColumn(f"c_{i}", rest / a[i, i])
     return table.select(*keys, "n", *[f"c_{i}" for i in range(n)])
+
+
+def previous(rows: DataFrame, order: str, columns: dict[str, str]) -> DataFrame:
+    """Adds columns (new name: old name) of the row before in the order of a unique column, null in the first.
+
+    Rows are range-partitioned, written to the shared folder, and each range looks back by itself; only the last row of
+    each range goes to the one task that hands it on.
+    """
+    ranged = stored(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_part").orderBy(order)
+    here = ranged.withColumns({**{f"_p_{k}": F.lag(v).over(w) for k, v in columns.items()}, "_nr": F.row_number().over(w)})
+    ends = here.groupBy("_part").agg(F.max_by(F.struct(*columns.values()), order).alias("_last"))
+    ends = ends.select(F.lead("_part").over(Window.orderBy("_part")).alias("_part"), "_last")
+    joined = here.join(F.broadcast(ends), "_part", "left")  # a row for each partition
+    return joined.select(*rows.columns, *[F.when(F.col("_nr") == 1, F.col("_last")[v]).otherwise(F.col(f"_p_{k}")).alias(k) for k, v in columns.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _fresh_path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share; below a temporary one where all is one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -20,9 +20,16 @@ def _fresh_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back, so that every use sees the same partitions."""
+    path = shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def write_csv(rows: DataFrame, log: str) -> str:
     """Write rows as CSV with a header and quoted where needed, a folder per log, each file sorted by signal and time; the path."""
-    path = _fresh_path(rows.sparkSession, "csv")
+    path = shared_path(rows.sparkSession, "csv")
     columns = ["signal", "timestamp_us", "value", *[c for c in rows.columns if c not in ("signal", "timestamp_us", "value")]]
     rows.select(*columns).sortWithinPartitions(log, "signal", "timestamp_us").write.option("header", True).partitionBy(log).csv(path)
     return path
@@ -34,7 +41,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_json(rows: DataFrame, log: str) -> str:
     """Write rows as JSON lines, a folder per log; the path."""
-    path = _fresh_path(rows.sparkSession, "json")
+    path = shared_path(rows.sparkSession, "json")
     rows.write.partitionBy(log).json(path)
     return path
 

@@ -10,6 +10,18 @@ from wayline.operators import kernel as K
 from wayline.operators.basic import by_time
 
 SHORT_US = 100_000
+# What names of boolean mode signals look like, by mode, what a control word and a mode's name are called, and the modes that names say.
+MODE_NAMES = {
+    "autonomous": "(?i)(DS[:/]?auto|DSAutonomous|FMSInfo.*Auto)",
+    "teleop": "(?i)(DS[:/]?teleop|FMSInfo.*Teleop)",
+    "enabled": "(?i)^DS[:/]enabled$",
+    "test": "(?i)(DS[:/]?test|FMSInfo.*Test)",
+    "estop": "(?i)(DS[:/]?e-?stop|DSEStop)",
+}
+CONTROL_WORD = "(?i)FMSInfo/FMSControlData$"
+ROBOT_MODE = "^RobotMode$"
+MODES = {"autonomous": "auto", "teleop": "teleop", "test": "test"}
+# Texts of epochs, overruns, commands and memory.
 OVERRUN = "(?i)loop time of [0-9.]+s overrun"
 EPOCH = r"(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$"
 COMMAND = r"Command (initialized|interrupted|finished):\s*(.+)"
@@ -21,12 +33,21 @@ DEFAULT_COMMANDS = [
 ]
 # Categories of what is said near an overrun, in the order they are tried.
 NEARBY = {"datalog": "DataLog:", "can": r"CAN\b|CANbus|timeout|timed out", "nt": "NT:|NetworkTables|ntcore", "brownout": "brownout|brown-out|voltage", "warning": "Warning|Error"}
+# Components of the framework, by name and by the beginning of the name, and the stages of the main loop.
+PHASE_PERIODICS = ["autonomousPeriodic()", "teleopPeriodic()", "disabledPeriodic()", "testPeriodic()"]
+FRAMEWORK = ["robotPeriodic", "LiveWindow.", "SmartDashboard.", "Shuffleboard."]
+TOP_LEVEL = [
+    "robotPeriodic()", "LiveWindow.updateValues()", "SmartDashboard.updateValues()", "Shuffleboard.update()", "autonomousPeriodic()", "teleopPeriodic()", "disabledPeriodic()", "testPeriodic()",
+]
 MEMORY = r"roboRIO:\s+Disk Free\s+(\d+)\s+MB,\s+Memory Free\s+(\d+)\s+MB"
-# What the two cameras publish only while they see tags, and other parts of names that depend on tags.
-CAMERA_SIGNALS = "botpose camerapose cl hb hw imu rawfiducials stddevs t2d ta targetpose tc tid tl tv tx ty tync txnc".split()
+# Parts of the names of signals that are published only while tags are seen.
 TAG_NAMES = [
-    "vision/rawFieldPose3d", "vision/fieldPose3d", "vision/compBot", "Field/RawVision", "_rejectReason", "_visionError", "_tagSpread", "Mt1 STD", "Mt2 STD", "_Num targets",
-    "_Last timestamp", "_time since last",
+    "limelight-a/botpose", "limelight-b/botpose", "limelight-a/targetpose", "limelight-b/targetpose", "limelight-a/camerapose", "limelight-b/camerapose", "limelight-a/rawfiducials",
+    "limelight-b/rawfiducials", "limelight-a/stddevs", "limelight-b/stddevs", "limelight-a/ta", "limelight-b/ta", "limelight-a/tv", "limelight-b/tv", "limelight-a/tx", "limelight-b/tx",
+    "limelight-a/ty", "limelight-b/ty", "limelight-a/txnc", "limelight-b/txnc", "limelight-a/tync", "limelight-b/tync", "limelight-a/tid", "limelight-b/tid", "limelight-a/t2d", "limelight-b/t2d",
+    "limelight-a/tc", "limelight-b/tc", "limelight-a/tl", "limelight-b/tl", "limelight-a/cl", "limelight-b/cl", "limelight-a/hb", "limelight-b/hb", "limelight-a/imu", "limelight-b/imu",
+    "limelight-a/hw", "limelight-b/hw", "limelight-a/botpose_orb", "limelight-b/botpose_orb", "vision/rawFieldPose3d", "vision/fieldPose3d", "vision/compBot", "Field/RawVision", "_rejectReason",
+    "_visionError", "_tagSpread", "Mt1 STD", "Mt2 STD", "_Num targets", "_Last timestamp", "_time since last",
 ]
 # Limits of hard, moderate and light hits, by degrees/s2 and by degrees/s within the window.
 ANGULAR = {"hard": (4000.0, 150.0), "moderate": (2500.0, 100.0), "light": (1500.0, 50.0)}
@@ -38,22 +59,76 @@ def control_word_phase(word: Column) -> Column:
     return F.when(bit(8) | ~bit(1), "disabled").when(bit(2), "auto").when(bit(4), "test").otherwise("teleop")
 
 
-def match_phases(modes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Half-open intervals (log_id, idx, phase, start_us, end_us) from control words.
+def mode_states(signals: DataFrame) -> DataFrame:
+    """Rows (log_id, ts_us, phase): a log's mode after each moment at which one of its mode signals has a value.
+
+    signals has log_id, ts_us, seq, signal, type and v_bool, v_long or v_string. A log's boolean signals count if it has
+    any: for each mode the first, in the order of their first values, whose name fits; then the control word; then the
+    mode's name. Of several values of a signal at one moment the last by seq counts, null values don't. Emergency stop
+    comes before all; then, if there is a signal for it, not being enabled; then auto, teleop, test, and being enabled alone
+    means teleop.
+    """
+    named = signals.groupBy("log_id", "signal", "type").agg(F.min(F.struct("ts_us", "seq")).alias("first"))
+    wanted = [(m, "boolean", p) for m, p in MODE_NAMES.items()] + [("word", "int64", CONTROL_WORD), ("mode", "string", ROBOT_MODE)]
+    fits = F.array_compact(F.array(*[F.when((F.col("type") == kind) & F.col("signal").rlike(pattern), F.lit(role)) for role, kind, pattern in wanted]))
+    chosen = named.withColumn("role", F.explode(fits)).groupBy("log_id", "role").agg(F.min_by(F.struct("signal", "type"), F.struct("first", "signal")).alias("s")).select("log_id", "role", "s.signal", "s.type")
+    source = F.when(F.col("role").isin("word", "mode"), F.col("role")).otherwise("flags")
+    rank = F.when(source == "flags", 1).when(source == "word", 2).otherwise(3)
+    best = chosen.groupBy("log_id").agg(F.min(rank).alias("best"), F.bool_or(F.col("role") == "enabled").alias("has_enabled"))  # one row for each log
+    roles = chosen.join(best, "log_id").where(rank == F.col("best")).drop("best")
+    said, by_name = F.lower(F.trim("v_string")), F.lit("disabled")
+    for key, phase in MODES.items():
+        by_name = F.when(said == key, phase).otherwise(by_name)
+    told = F.when(F.col("role") == "word", F.when(F.col("v_long").isNotNull(), control_word_phase(F.col("v_long")))).when(F.col("role") == "mode", F.when(F.col("v_string").isNotNull(), by_name)).otherwise(F.col("v_bool").cast("string"))
+    rows = signals.join(roles, ["log_id", "signal", "type"]).withColumn("told", told).where("told is not null").select("log_id", "ts_us", "seq", "role", "told", "has_enabled")
+    order = Window.partitionBy("log_id").orderBy("ts_us", "seq", "role")
+    held = {f"is_{m}": F.coalesce(F.last(F.when(F.col("role") == m, F.col("told")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("false")) == "true" for m in MODE_NAMES}
+    rows = rows.withColumns({**held, "next_us": F.lead("ts_us").over(order)}).where("next_us is null or next_us > ts_us")
+    by_flags = (
+        F.when(F.col("is_estop") | (F.col("has_enabled") & ~F.col("is_enabled")), "disabled").when(F.col("is_autonomous"), "auto").when(F.col("is_teleop"), "teleop").when(F.col("is_test"), "test")
+        .when(F.col("is_enabled"), "teleop").otherwise("disabled")
+    )
+    return rows.select("log_id", "ts_us", F.when(F.col("role").isin("word", "mode"), F.col("told")).otherwise(by_flags).alias("phase"))
 
-    ranges has first_us and last_us of each log. Of several words at one microsecond the last counts; intervals under
-    100 ms go to the one before, but for a disabled gap between auto and teleop.
+
+def timeline(states: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Half-open intervals (log_id, idx, phase, start_us, end_us) of logs with states (log_id, ts_us, phase), one a moment.
+
+    ranges has first_us and last_us of each log; until its first state a log is disabled. Intervals under 100 ms go to the
+    one before, but for a disabled gap between auto and teleop; a log that has no longer one is disabled throughout. A log
+    whose samples are all of one moment has no interval.
     """
-    states = modes.groupBy("log_id", "ts_us").agg(F.max_by("v_long", "seq").alias("w")).withColumn("phase", control_word_phase(F.col("w"))).withColumn("seq", F.lit(1))
-    begin = ranges.select("log_id", F.col("first_us").alias("ts_us"), F.lit("disabled").alias("phase"), F.lit(0).alias("seq"))
-    rows = K.runs(states.drop("w").unionByName(begin), ["log_id"], F.col("phase"))
-    found = rows.groupBy("log_id", "run").agg(F.min("ts_us").alias("start_us"), F.first("phase").alias("phase")).join(ranges.select("log_id", "last_us"), "log_id")
-    order = Window.partitionBy("log_id").orderBy("run")
-    found = found.withColumn("end_us", F.coalesce(F.lead("start_us").over(order), F.col("last_us"))).where("end_us > start_us")
+    none = F.lit(None).cast("bigint")
+    begin = ranges.select("log_id", F.col("first_us").alias("ts_us"), F.lit("disabled").alias("phase"), F.lit(0).alias("seq"), "first_us", "last_us")
+    log, order = Window.partitionBy("log_id"), Window.partitionBy("log_id").orderBy("ts_us", "seq")
+    rows = states.select("log_id", "ts_us", "phase", F.lit(1).alias("seq"), none.alias("first_us"), none.alias("last_us")).unionByName(begin)
+    rows = rows.withColumns({"known": F.max("seq").over(log), "first_us": F.max("first_us").over(log), "last_us": F.max("last_us").over(log), "was": F.lag("phase").over(order)}).where("known = 1 and (was is null or was <> phase)")
+    rows = rows.withColumn("end_us", F.coalesce(F.lead("ts_us").over(order), F.col("last_us"))).where("end_us > ts_us")
     gap = (F.col("phase") == "disabled") & (F.lag("phase").over(order) == "auto") & (F.lead("phase").over(order) == "teleop")
-    found = found.withColumn("keep", (F.col("end_us") - F.col("start_us") >= SHORT_US) | F.coalesce(gap, F.lit(False))).where("keep")
-    found = found.withColumn("end_us", F.coalesce(F.lead("start_us").over(order), F.col("last_us")))
-    return found.select("log_id", F.row_number().over(order).alias("idx"), "phase", "start_us", "end_us")
+    rows = rows.withColumn("keep", (F.col("end_us") - F.col("ts_us") >= SHORT_US) | F.coalesce(gap, F.lit(False))).withColumns({"any": F.max("keep").over(log), "nr": F.row_number().over(order)})
+    rows = rows.where("keep or (not any and nr = 1)").withColumns({"phase": F.when(F.col("any"), F.col("phase")).otherwise("disabled"), "start_us": F.when(F.col("any"), F.col("ts_us")).otherwise(F.col("first_us"))})
+    return rows.select("log_id", F.row_number().over(order).alias("idx"), "phase", "start_us", F.coalesce(F.lead("start_us").over(order), F.col("last_us")).alias("end_us"))
+
+
+def match_phases(modes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The timeline of control words (log_id, ts_us, seq, v_long); of several words at one microsecond the last counts."""
+    states = modes.groupBy("log_id", "ts_us").agg(F.max_by("v_long", "seq").alias("w"))
+    return timeline(states.select("log_id", "ts_us", control_word_phase(F.col("w")).alias("phase")), ranges)
+
+
+def match_flags(phases: DataFrame) -> DataFrame:
+    """Per log: whether it has a match (auto and teleop), looks cut off (under two minutes enabled), looks like the second half of one (its first enabled phase is teleop and it has no match), and the first auto and teleop."""
+    is_ = lambda p: F.col("phase") == p
+    enabled = F.when(~is_("disabled"), F.col("end_us") - F.col("start_us")).otherwise(0)
+    first = lambda p: F.min(F.when(is_(p), F.struct("start_us", "end_us")))
+    found = phases.groupBy("log_id").agg(
+        (F.bool_or(is_("auto")) & F.bool_or(is_("teleop"))).alias("has_match"), (F.sum(enabled) < 120_000_000).alias("truncated"), F.min_by(F.when(~is_("disabled"), F.col("phase")), F.when(~is_("disabled"), F.col("start_us"))).alias("began"),
+        first("auto").alias("a"), first("teleop").alias("t"),
+    )
+    return found.select(
+        "log_id", "has_match", "truncated", F.coalesce((F.col("began") == "teleop") & ~F.col("has_match"), F.lit(False)).alias("post_reboot"),
+        F.col("a.start_us").alias("first_auto_us"), F.col("a.end_us").alias("first_auto_end_us"), F.col("t.start_us").alias("first_teleop_us"), F.col("t.end_us").alias("first_teleop_end_us"),
+    )
 
 
 def phase_of(rows: DataFrame, phases: DataFrame) -> DataFrame:
@@ -79,10 +154,12 @@ def overrun_messages(console: DataFrame, window_us: int = 500_000) -> DataFrame:
 
 
 def epochs(messages: DataFrame) -> DataFrame:
-    """Rows (log_id, event, event_us, component, seconds): the largest time of each component in an event."""
+    """Rows (log_id, event, event_us, component, seconds): the last time that the overrun's own text gives a component, or a larger one of the lines after it."""
     names, times = (F.regexp_extract_all("text", F.lit(EPOCH), F.lit(i)) for i in (1, 2))
-    rows = messages.select("log_id", "event", "event_us", F.explode(F.arrays_zip(names.alias("name"), times.alias("s"))).alias("e"))
-    return rows.groupBy("log_id", "event", "event_us", F.col("e.name").alias("component")).agg(F.max(F.col("e.s").cast("double")).alias("seconds"))
+    rows = messages.select("log_id", "event", "event_us", "anchor", F.posexplode(F.arrays_zip(names.alias("name"), times.alias("s"))).alias("place", "e"))
+    seconds, own = F.col("e.s").cast("double"), F.col("anchor") == 1
+    last = F.max(F.when(own, F.struct("place", seconds.alias("s"))))["s"]
+    return rows.groupBy("log_id", "event", "event_us", F.col("e.name").alias("component")).agg(F.greatest(last, F.max(F.when(~own, seconds))).alias("seconds"))
 
 
 def overrun_events(console: DataFrame) -> DataFrame:
@@ -95,12 +172,19 @@ def overrun_events(console: DataFrame) -> DataFrame:
 
 
 def categorise(component: Column) -> Column:
+    """phase_init, framework, subsystem, command or other, by a component's name; the first rule that fits."""
+    framework = component.isin(PHASE_PERIODICS) | component.rlike("^(" + "|".join(p.replace(".", r"\.") for p in FRAMEWORK) + ")")
     return (
-        F.when(component.rlike(r"Init\(\)$"), "init").when(component.rlike(r"^(robot|teleop|autonomous|disabled|test)Periodic\(\)$"), "framework")
-        .when(component.endswith(".periodic()"), "subsystem").when(component.endswith(".execute()"), "command").otherwise("other")
+        F.when(component.endswith("Init()") | component.endswith("Init"), "phase_init").when(framework, "framework").when(component.endswith(".periodic()"), "subsystem")
+        .when(component.endswith(".execute()") | component.endswith(".initialize()"), "command").otherwise("other")
     )
 
 
+def is_top_level(component: Column) -> Column:
+    """Whether a component is a stage of the main loop, which holds the others."""
+    return component.isin(TOP_LEVEL) | (categorise(component) == "phase_init")
+
+
 def commands(console: DataFrame) -> DataFrame:
     """Command lines: kind and name; the cause of an interruption isn't part of the name."""
     name = F.regexp_extract("text", COMMAND, 2)
@@ -109,6 +193,22 @@ def commands(console: DataFrame) -> DataFrame:
     return rows.where("kind <> ''").drop("text")
 
 
+def running_commands(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """A row (events' columns, name) for each command that runs at an event (log_id, ts_us, seq): those of the last snapshot (names) at or before it."""
+    return K.asof_backward(events, snapshots, ["log_id"], ["names"]).withColumn("name", F.explode("names")).drop("names")
+
+
+def command_correlation(events: DataFrame, snapshots: DataFrame, timings: DataFrame) -> DataFrame:
+    """Per log and command: overruns while it ran, their median, mean and largest time, the mean of its own .execute() epoch, whether nobody named it.
+
+    events has log_id, ts_us, seq and total_s, timings (epochs) log_id, component and seconds.
+    """
+    rows = running_commands(events, snapshots).withColumn("ms", F.col("total_s") * 1000)
+    per = rows.groupBy("log_id", "name").agg(F.count("*").alias("overruns"), F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
+    own = timings.where(F.col("component").endswith(".execute()")).groupBy("log_id", F.regexp_replace("component", r"\.execute\(\)$", "").alias("name")).agg(F.avg(F.col("seconds") * 1000).alias("execute_ms"))
+    return per.join(own, ["log_id", "name"], "left").withColumn("unnamed", F.col("name").isin(DEFAULT_COMMANDS))
+
+
 def classify_nearby(text: Column) -> Column:
     """The first category that a console line belongs to, null if none."""
     found = F.lit(None).cast("string")
@@ -124,8 +224,7 @@ def memory_report(text: Column) -> Column:
 
 def is_tag_dependent(name: Column) -> Column:
     """Whether a signal's name says that it depends on tags being seen."""
-    camera = name.rlike(r"limelight-[ab]/(?:" + "|".join(CAMERA_SIGNALS) + ")")
-    return camera | name.rlike("|".join(n.replace("/", "\\/") for n in TAG_NAMES))
+    return name.rlike("|".join(TAG_NAMES))
 
 
 def severity_angular(alpha: Column, step: Column) -> Column:

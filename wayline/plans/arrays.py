@@ -146,12 +146,12 @@ _LAYOUT = "SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {x}e0, {y}e0, {z}e0)"
 
 
 @query("tags_to_field_positions", over("tags", sql="""
-    SELECT frame_id, count(*) AS known, round(avg(fx), 6) AS mean_x, round(min(fy), 6) AS least_y, round(max(fz), 6) AS top_z FROM (SELECT frame_id, n, tag_id + (l_shift % 9) AS id FROM (SELECT *, n AS l_shift FROM tags)) JOIN la USING (id) GROUP BY ALL""", la=_LAYOUT))
+    SELECT frame_id, count(*) AS known, round(sum(fx), 6) AS sum_x, round(min(fy), 6) AS least_y, round(max(fz), 6) AS top_z FROM (SELECT frame_id, n, tag_id + (l_shift % 9) AS id FROM (SELECT *, n AS l_shift FROM tags)) JOIN la USING (id) GROUP BY ALL""", la=_LAYOUT))
 def tags_to_field_positions(spark, sf):
     """Arrays of seven numbers a tag, in the order of detection, to places on the field; ids beyond the layout occur."""
     value = F.array((F.col("tag_id") + F.col("n") % 9).cast("double"), F.lit(0.0), F.lit(0.0), F.col("area"), F.col("dist"), F.col("dist"), F.col("ambiguity"))
     listed = A.tags(spark, sf).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("n", value.alias("v")))).alias("all"))
     flat = listed.select("frame_id", F.flatten(F.transform("all", lambda s: s["v"])).alias("values"))
     found = flat.select("frame_id", N.field_places(G.tag_structs(F.col("values"))).alias("p")).where("p is not null")
-    mean = F.aggregate("p", F.lit(0.0), lambda s, p: s + p["x"]) / F.size("p")
-    return found.select("frame_id", F.size("p").cast("bigint").alias("known"), r6(mean).alias("mean_x"), r6(F.array_min("p.y")).alias("least_y"), r6(F.array_max("p.z")).alias("top_z"))
+    whole = F.aggregate("p", F.lit(0.0), lambda s, p: s + p["x"])
+    return found.select("frame_id", F.size("p").cast("bigint").alias("known"), F.round(whole, 6).alias("sum_x"), r6(F.array_min("p.y")).alias("least_y"), r6(F.array_max("p.z")).alias("top_z"))

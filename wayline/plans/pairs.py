@@ -11,6 +11,7 @@ from wayline.operators import folds
 from wayline.operators import kernel as K
 from wayline.operators import robot as R
 from wayline.operators.basic import r6
+from wayline.operators.export import stored
 from wayline.plans import records, vision
 from wayline.plans.robots import PH, phases
 from wayline.plans.views_sql import over
@@ -173,7 +174,7 @@ def find_matching_logs(spark, sf):
     the files are joined to their group and aggregated.
     """
     named = records.names(spark, sf).select(N.file_name(F.col("path")).alias("name"), N.kind(F.col("path")).alias("kind"), N.start_s(F.col("path")).alias("ts_us"))
-    named = named.where("ts_us > 0 and kind <> 'dsevents'")
+    named = stored(named.where("ts_us > 0 and kind <> 'dsevents'"), "names")
     rows = named.join(folds.anchors_over_all(named, 200_000), "ts_us")
     first = lambda k: F.min(F.when(F.col("kind") == k, F.col("name")))
     found = rows.groupBy(F.col("anchor_us").alias("start_s")).agg(first("wpilog").alias("robot"), first("dslog").alias("station"), F.count_if(F.col("kind") == "hoot").alias("devices"))
@@ -295,15 +296,15 @@ _YE = {
 }
 
 
-@query("yaw_error_summary", over("vision", "odometry", "samples", "modes", recursive=True, sql="""
-    SELECT log_id, count(*) AS n, round(median(y), 6) AS median_yaw, round(avg(y), 6) AS mean_yaw, round(quantile_cont(y, .95), 4) AS p95_yaw, round(max(y), 6) AS max_yaw,
+@query("yaw_error_summary", over("vision", "odometry", "samples", "mode_signals", recursive=True, sql="""
+    SELECT log_id, count(*) AS n, round(median(y), 6) AS median_yaw, round(avg(y), 4) AS mean_yaw, round(quantile_cont(y, .95), 4) AS p95_yaw, round(max(y), 6) AS max_yaw,
       round(100e0 * count(*) FILTER (y > 15) / count(*), 4) AS over_15, round(100e0 * count(*) FILTER (y > 30) / count(*), 4) AS over_30, round(100e0 * count(*) FILTER (y > 45) / count(*), 4) AS over_45, any_value(worst_median) AS worst_median, any_value(worst_start_us) AS worst_start_us
     FROM ye LEFT JOIN yw USING (log_id) GROUP BY log_id""", **_PK, **PH, **_YE))
 def yaw_error_summary(spark, sf):
     """Yaw differences of the two kinds while the robot is enabled, and the worst of the windows of 2 s that begin at a row a second or more after the last."""
     rows = R.phase_of(pose_kinds(spark, sf), phases(spark, sf)).where("phase <> 'disabled'").withColumn("y", r6(F.abs("dyaw")))
     over_ = lambda x: r4(100.0 * F.count_if(F.col("y") > x) / F.count("*")).alias(f"over_{x}")
-    found = rows.groupBy("log_id").agg(F.count("*").alias("n"), r6(F.median("y")).alias("median_yaw"), r6(F.avg("y")).alias("mean_yaw"), r4(F.percentile("y", F.lit(0.95))).alias("p95_yaw"), r6(F.max("y")).alias("max_yaw"), over_(15), over_(30), over_(45))
+    found = rows.groupBy("log_id").agg(F.count("*").alias("n"), r6(F.median("y")).alias("median_yaw"), r4(F.avg("y")).alias("mean_yaw"), r4(F.percentile("y", F.lit(0.95))).alias("p95_yaw"), r6(F.max("y")).alias("max_yaw"), over_(15), over_(30), over_(45))
     starts = K.anchored_dedup(rows, ["log_id"], 999_999).select("log_id", "ts_us")
     windows = K.range_join(starts, rows.select("log_id", F.col("ts_us").alias("r_ts_us"), "y"), ["log_id"], 0, 1_999_999).groupBy("log_id", "ts_us").agg(F.count("*").alias("c"), r6(F.median("y")).alias("m")).where("c >= 3")
     worst = windows.groupBy("log_id").agg(F.max("m").alias("worst_median"), F.min_by("ts_us", F.struct(-F.col("m"), F.col("ts_us"))).alias("worst_start_us"))
@@ -322,7 +323,7 @@ def signed_residual_stats(spark, sf):
     return each.groupBy("camera", "g.grouping", "g.value").agg(F.count("*").alias("n"), *stats, r4(F.median("res")).alias("median_d")).where("n >= 3")
 
 
-@query("phase_vision_stats", over("samples", "modes", "vision", "odometry", sql="""
+@query("phase_vision_stats", over("samples", "mode_signals", "vision", "odometry", sql="""
     SELECT phase, camera, count(*) AS n, round(avg(res), 4) AS mean_v, round(median(res), 4) AS median_v, round(list_sort(list(res))[CAST(least(floor(count(*) * .95) + 1, count(*)) AS BIGINT)], 4) AS p_floor
     FROM (SELECT v.camera, v.res, CASE WHEN v.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase FROM res v ASOF LEFT JOIN phases p ON v.log_id = p.log_id AND v.ts_us >= p.start_us) GROUP BY ALL""", **PH, **_RS))
 def phase_vision_stats(spark, sf):
@@ -332,7 +333,7 @@ def phase_vision_stats(spark, sf):
     return stats.join(floor, ["phase", "camera"])
 
 
-@query("initial_heading", over("samples", "modes", "odometry", "vision", sql="""
+@query("initial_heading", over("samples", "mode_signals", "odometry", "vision", sql="""
     SELECT a.log_id, a.start_us, arg_min(o.theta_deg, (o.ts_us, o.seq)) FILTER (o.ts_us < a.start_us + 500000) AS first_deg, count(*) FILTER (o.ts_us < a.start_us + 500000) AS readings, any_value(e.y) AS early_yaw
     FROM (SELECT log_id, min(start_us) AS start_us FROM phases WHERE phase = 'auto' GROUP BY ALL) a JOIN odometry o ON o.log_id = a.log_id AND o.ts_us >= a.start_us AND o.ts_us <= a.start_us + 2000000
     LEFT JOIN (SELECT z.log_id, round(avg(abs(v.yaw_deg)), 6) AS y FROM (SELECT log_id, min(start_us) AS start_us FROM phases WHERE phase = 'auto' GROUP BY ALL) z JOIN vision v ON v.log_id = z.log_id AND v.ts_us BETWEEN z.start_us AND z.start_us + 2000000 GROUP BY ALL) e ON e.log_id = a.log_id GROUP BY a.log_id, a.start_us""", **PH))
@@ -348,15 +349,15 @@ def initial_heading(spark, sf):
     return odometry.join(early, "log_id", "left")
 
 
-@query("before_after_groups", over("samples", "modes", sql="""
-    SELECT CASE WHEN log_id < 4 THEN 'A' WHEN log_id < 8 THEN 'B' ELSE 'C' END AS grp, phase, signal, count(*) AS n, round(median(v_double), 6) AS median_v
+@query("before_after_groups", over("samples", "mode_signals", sql="""
+    SELECT ['A', 'B', 'C'][log_id % 3 + 1] AS grp, phase, signal, count(*) AS n, round(median(v_double), 6) AS median_v
     FROM (SELECT s.log_id, s.signal, s.v_double, CASE WHEN s.ts_us < z.start_us AND s.ts_us >= z.start_us - 500000 THEN 'pre-auto' WHEN s.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase
       FROM samples s ASOF LEFT JOIN phases p ON s.log_id = p.log_id AND s.ts_us >= p.start_us LEFT JOIN (SELECT log_id, min(start_us) AS start_us FROM phases WHERE phase = 'auto' GROUP BY ALL) z ON z.log_id = s.log_id) GROUP BY ALL""", **PH))
 def before_after_groups(spark, sf):
     """Groups of logs by a table of labels, per phase, with the half second before auto as a phase of its own."""
-    labels = spark.createDataFrame([(i, "ABC"[i // 4]) for i in range(12)], "log_id long, grp string")
+    labels = A.samples(spark, sf).select("log_id", F.element_at(F.array(*map(F.lit, "ABC")), (F.col("log_id") % 3 + 1).cast("int")).alias("grp")).distinct()
     found = phases(spark, sf)
     starts = found.where("phase = 'auto'").groupBy("log_id").agg(F.min("start_us").alias("auto_us"))
-    rows = R.phase_of(A.samples(spark, sf), found).join(starts, "log_id", "left").join(F.broadcast(labels), "log_id")  # a label per log
+    rows = R.phase_of(A.samples(spark, sf), found).join(starts, "log_id", "left").join(labels, "log_id")
     before = (F.col("ts_us") < F.col("auto_us")) & (F.col("ts_us") >= F.col("auto_us") - 500_000)
     return rows.groupBy("grp", F.when(before, "pre-auto").otherwise(F.col("phase")).alias("phase"), "signal").agg(F.count("*").alias("n"), r6(F.median("v_double")).alias("median_v"))

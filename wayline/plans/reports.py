@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayline.operators import basic as B
 from wayline.operators import kernel as K
 from wayline.operators import robot as R
 from wayline.operators.basic import SIGNAL, by_time, r6
@@ -162,15 +163,14 @@ def memory_overrun_rates(spark, sf):
     low, hit = F.col("memory") < 50, F.col("overrun")
     pct = lambda a, b: 100.0 * F.count_if(a) / F.nullif(F.count_if(b), F.lit(0))
     per = rows.groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(low).alias("low_n"), r4(pct(hit & low, low)).alias("low_pct"), r4(pct(hit & ~low, ~low)).alias("high_pct"), (100.0 * F.count_if(hit) / F.count("*")).alias("pct"))
-    before = per.select((F.col("log_id") + 1).alias("log_id"), F.col("pct").alias("was"))  # logs are numbered without gaps
-    return per.join(before, "log_id", "left").withColumn("changed", F.coalesce(F.abs(F.col("pct") - F.col("was")) > 5, F.lit(False))).drop("pct", "was")
+    return B.previous(per, "log_id", {"was": "pct"}).withColumn("changed", F.coalesce(F.abs(F.col("pct") - F.col("was")) > 5, F.lit(False))).drop("pct", "was")
 
 
 @query("session_health", over("samples", "modes", "console", sql="""
     SELECT log_id, round(avg(v_double) FILTER (signal = 'click'), 4) AS cpu_mean, max(v_double) FILTER (signal = 'click') AS cpu_max, count(*) FILTER (signal = 'click' AND v_double > 90) AS cpu_high, round(avg(v_double) FILTER (signal = 'view'), 4) AS can_mean,
       round(min(v_double) FILTER (signal = 'purchase'), 4) AS volts_min, count(*) FILTER (signal = 'purchase' AND v_double < 7) AS brownouts, max(peak) AS transition_peak, any_value(o.overruns) AS overruns, any_value(m.phases) AS phases
     FROM (SELECT *, CASE WHEN edge THEN max(v_double) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq ROWS BETWEEN 25 PRECEDING AND 49 FOLLOWING) END AS peak FROM (SELECT *, signal = 'click' AND (v_double > 50) IS DISTINCT FROM lag(v_double > 50) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS edge FROM samples)) s
-    LEFT JOIN (SELECT log_id, count(*) AS overruns FROM console WHERE text LIKE '%overrun' GROUP BY ALL) o USING (log_id) LEFT JOIN (SELECT log_id, count(DISTINCT v_long) AS phases FROM modes GROUP BY ALL) m USING (log_id) GROUP BY log_id"""))
+    LEFT JOIN (SELECT log_id, count(*) AS overruns FROM console WHERE text LIKE '%overrun%' GROUP BY ALL) o USING (log_id) LEFT JOIN (SELECT log_id, count(DISTINCT v_long) AS phases FROM modes GROUP BY ALL) m USING (log_id) GROUP BY log_id"""))
 def session_health(spark, sf):
     """Load, bus, battery, overruns and modes of a log, with the highest load from 25 rows before to 49 after each of its transitions."""
     w = by_time(*SIGNAL)
@@ -183,7 +183,7 @@ def session_health(spark, sf):
         r4(F.avg(of("click"))).alias("cpu_mean"), F.max(of("click")).alias("cpu_max"), F.count_if(of("click") > 90).alias("cpu_high"), r4(F.avg(of("view"))).alias("can_mean"), r4(F.min(of("purchase"))).alias("volts_min"),
         F.count_if(of("purchase") < 7).alias("brownouts"), F.max("peak").alias("transition_peak"),
     )
-    overruns = A.console(spark, sf).where("text like '%overrun'").groupBy("log_id").agg(F.count("*").alias("overruns"))
+    overruns = A.console(spark, sf).where("text like '%overrun%'").groupBy("log_id").agg(F.count("*").alias("overruns"))
     return found.join(overruns, "log_id", "left").join(A.modes(spark, sf).groupBy("log_id").agg(F.countDistinct("v_long").alias("phases")), "log_id", "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayline.operators import kernel as K
+from wayline.operators import quantiles as Qn
 from wayline.operators import robot as R
 from wayline.operators.basic import SIGNAL, by_time, percentile_floor, r6
 from wayline.plans.launch_sql import LAUNCHES, ROTATIONAL
@@ -28,23 +29,45 @@ def ranges(spark, sf):
 
 
 def phases(spark, sf):
-    return R.match_phases(A.modes(spark, sf), ranges(spark, sf))
+    return R.timeline(R.mode_states(A.mode_signals(spark, sf)), ranges(spark, sf))
 
 
+def _role(kind: str, pattern: str) -> str:
+    return f"arg_min(signal, (t, s, signal)) FILTER (type = '{kind}' AND regexp_matches(signal, '{pattern}'))"
+
+
+def _value(column: str, condition: str) -> str:
+    return f"arg_max({column}, seq) FILTER ({condition} AND {column} IS NOT NULL)"
+
+
+_ROLES = ", ".join(f"{_role('boolean', p)} AS n_{m}" for m, p in R.MODE_NAMES.items())
+_NO_FLAGS = "coalesce(" + ", ".join(f"n_{m}" for m in R.MODE_NAMES) + ") IS NULL"
+_FLAGS = ", ".join(f"{_value('v_bool', f'signal = n_{m}')} AS a_{m}" for m in R.MODE_NAMES)
+_HELD = ", ".join(f"coalesce(last_value(a_{m} IGNORE NULLS) OVER w, FALSE) AS i_{m}" for m in R.MODE_NAMES)
 PH = {
     "rg": "SELECT log_id, min(ts_us) AS first_us, max(ts_us) AS last_us FROM samples GROUP BY ALL",
-    "st": """SELECT log_id, ts_us, 1 AS seq, CASE WHEN w & 8 <> 0 OR w & 1 = 0 THEN 'disabled' WHEN w & 2 <> 0 THEN 'auto' WHEN w & 4 <> 0 THEN 'test' ELSE 'teleop' END AS phase
-             FROM (SELECT log_id, ts_us, max_by(v_long, seq) AS w FROM modes GROUP BY ALL) UNION ALL SELECT log_id, first_us, 0, 'disabled' FROM rg""",
+    "mn": f"""SELECT log_id, {_ROLES}, {_role('int64', R.CONTROL_WORD)} AS n_word, {_role('string', R.ROBOT_MODE)} AS n_mode
+             FROM (SELECT log_id, signal, type, min(ts_us) AS t, arg_min(seq, (ts_us, seq)) AS s FROM mode_signals GROUP BY ALL) GROUP BY log_id""",
+    "ma": f"""SELECT log_id, ts_us, {_FLAGS}, {_value('v_long', f'{_NO_FLAGS} AND signal = n_word')} AS a_word, {_value('v_string', f'{_NO_FLAGS} AND n_word IS NULL AND signal = n_mode')} AS a_mode,
+             any_value(n_enabled) AS n_enabled, bool_or(NOT ({_NO_FLAGS})) AS flags FROM mode_signals JOIN mn USING (log_id) GROUP BY log_id, ts_us""",
+    "mh": f"SELECT *, {_HELD} FROM ma WINDOW w AS (PARTITION BY log_id ORDER BY ts_us ROWS UNBOUNDED PRECEDING)",
+    "st": """SELECT log_id, ts_us, 1 AS seq, phase FROM (SELECT log_id, ts_us, CASE
+               WHEN flags THEN CASE WHEN coalesce(a_autonomous, a_teleop, a_enabled, a_test, a_estop) IS NULL THEN NULL WHEN i_estop OR (n_enabled IS NOT NULL AND NOT i_enabled) THEN 'disabled' WHEN i_autonomous THEN 'auto' WHEN i_teleop THEN 'teleop'
+                 WHEN i_test THEN 'test' WHEN i_enabled THEN 'teleop' ELSE 'disabled' END
+               WHEN a_word IS NOT NULL THEN CASE WHEN a_word & 8 <> 0 OR a_word & 1 = 0 THEN 'disabled' WHEN a_word & 2 <> 0 THEN 'auto' WHEN a_word & 4 <> 0 THEN 'test' ELSE 'teleop' END
+               WHEN a_mode IS NOT NULL THEN CASE lower(trim(a_mode)) WHEN 'autonomous' THEN 'auto' WHEN 'teleop' THEN 'teleop' WHEN 'test' THEN 'test' ELSE 'disabled' END END AS phase FROM mh) WHERE phase IS NOT NULL
+             UNION ALL SELECT log_id, first_us, 0, 'disabled' FROM rg WHERE log_id IN (SELECT log_id FROM mode_signals)""",
     "ch": "SELECT * FROM (SELECT *, lag(phase) OVER (PARTITION BY log_id ORDER BY ts_us, seq) AS was FROM st) WHERE was IS NULL OR was <> phase",
     "iv": """SELECT * FROM (SELECT log_id, phase, ts_us AS start_us, coalesce(lead(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq), last_us) AS end_us FROM ch JOIN rg USING (log_id)) WHERE end_us > start_us""",
     "kp": """SELECT * FROM (SELECT *, lag(phase) OVER w AS p, lead(phase) OVER w AS n FROM iv WINDOW w AS (PARTITION BY log_id ORDER BY start_us))
              WHERE end_us - start_us >= 100000 OR (phase = 'disabled' AND p = 'auto' AND n = 'teleop')""",
-    "phases": """SELECT log_id, row_number() OVER w AS idx, phase, start_us, coalesce(lead(start_us) OVER w, last_us) AS end_us FROM kp JOIN rg USING (log_id) WINDOW w AS (PARTITION BY log_id ORDER BY start_us)""",
+    "phases": """SELECT log_id, row_number() OVER w AS idx, phase, start_us, coalesce(lead(start_us) OVER w, last_us) AS end_us FROM kp JOIN rg USING (log_id) WINDOW w AS (PARTITION BY log_id ORDER BY start_us)
+             UNION ALL SELECT log_id, 1, 'disabled', first_us, last_us FROM rg WHERE log_id IN (SELECT log_id FROM st) AND log_id NOT IN (SELECT log_id FROM kp) AND last_us > first_us""",
 }
 
 
 def ph(sql: str, *names: str, **more: str) -> str:
-    return over("samples", "modes", *names, sql=sql, **PH, **more)
+    return over("samples", "mode_signals", *names, sql=sql, **PH, **more)
 
 
 _AT = "ASOF LEFT JOIN phases p ON s.log_id = p.log_id AND s.ts_us >= p.start_us"
@@ -65,16 +88,12 @@ def phase_durations(spark, sf):
 
 
 @query("match_flags", ph("""
-    SELECT log_id, bool_or(phase = 'auto') AND bool_or(phase = 'teleop') AS has_match,
-           coalesce(sum(end_us - start_us) FILTER (phase <> 'disabled'), 0) < 120000000 AS truncated,
-           min(start_us) FILTER (phase = 'auto') AS first_auto_us, min(start_us) FILTER (phase = 'teleop') AS first_teleop_us FROM phases GROUP BY ALL"""))
+    SELECT log_id, has_match, truncated, coalesce(began = 'teleop' AND NOT has_match, FALSE) AS post_reboot, first_auto_us, first_auto_end_us, first_teleop_us, first_teleop_end_us FROM (
+      SELECT log_id, bool_or(phase = 'auto') AND bool_or(phase = 'teleop') AS has_match, coalesce(sum(end_us - start_us) FILTER (phase <> 'disabled'), 0) < 120000000 AS truncated, arg_min(phase, start_us) FILTER (phase <> 'disabled') AS began,
+        min(start_us) FILTER (phase = 'auto') AS first_auto_us, arg_min(end_us, start_us) FILTER (phase = 'auto') AS first_auto_end_us, min(start_us) FILTER (phase = 'teleop') AS first_teleop_us, arg_min(end_us, start_us) FILTER (phase = 'teleop') AS first_teleop_end_us
+      FROM phases GROUP BY ALL)"""))
 def match_flags(spark, sf):
-    is_ = lambda p: F.col("phase") == p
-    enabled = F.when(~is_("disabled"), F.col("end_us") - F.col("start_us")).otherwise(0)
-    return phases(spark, sf).groupBy("log_id").agg(
-        (F.bool_or(is_("auto")) & F.bool_or(is_("teleop"))).alias("has_match"), (F.sum(enabled) < 120_000_000).alias("truncated"),
-        F.min(F.when(is_("auto"), F.col("start_us"))).alias("first_auto_us"), F.min(F.when(is_("teleop"), F.col("start_us"))).alias("first_teleop_us"),
-    )
+    return R.match_flags(phases(spark, sf))
 
 
 @query("phase_slice", ph("SELECT seq FROM samples s WHERE EXISTS (SELECT 1 FROM phases p WHERE p.log_id = s.log_id AND p.phase = 'auto' AND s.ts_us >= p.start_us AND s.ts_us < p.end_us + 50000)"))
@@ -152,8 +171,8 @@ _OV = {
     "mk": "SELECT *, CAST(regexp_matches(text, '(?i)loop time of [0-9.]+s overrun') AS INT) AS anchor FROM console",
     "me": """SELECT * FROM (SELECT *, CAST(sum(anchor) OVER w AS BIGINT) AS event, last_value(CASE WHEN anchor = 1 THEN ts_us END IGNORE NULLS) OVER w AS event_us FROM mk WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING))
              WHERE event > 0 AND ts_us - event_us <= 500000""",
-    "ex": r"""SELECT log_id, event, event_us, component, max(CAST(s AS DOUBLE)) AS seconds FROM (
-             SELECT log_id, event, event_us, unnest(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 1)) AS component, unnest(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 2)) AS s FROM me) GROUP BY ALL""",
+    "ex": r"""SELECT log_id, event, event_us, component, greatest(arg_max(CAST(s AS DOUBLE), place) FILTER (anchor = 1), max(CAST(s AS DOUBLE)) FILTER (anchor = 0)) AS seconds FROM (
+             SELECT log_id, event, event_us, anchor, unnest(range(len(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 1)))) AS place, unnest(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 1)) AS component, unnest(regexp_extract_all(text, '(?m)^\s*(\S.*?):\s*([0-9]+\.[0-9]+)s\s*$', 2)) AS s FROM me) GROUP BY ALL""",
     "ev": """SELECT h.log_id, h.event, h.event_us, h.scheduler, coalesce(round(t.s, 6), 0) AS total_s, coalesce(t.n, 0) AS components
              FROM (SELECT log_id, event, event_us, count(*) FILTER (text = 'CommandScheduler loop overrun') AS scheduler FROM me GROUP BY ALL) h
              LEFT JOIN (SELECT log_id, event, sum(seconds) AS s, count(*) AS n FROM ex GROUP BY ALL) t ON h.log_id = t.log_id AND h.event = t.event""",
@@ -184,22 +203,25 @@ def overrun_summary(spark, sf):
 
 
 @query("component_stats", ov("""
-    SELECT component, count(*) AS n, round(median(ms), 4) AS median_ms, round(avg(ms), 4) AS mean_ms, round(quantile_cont(ms, .95), 2) AS p95_ms, round(max(ms), 4) AS max_ms, round(avg(share), 4) AS share
-    FROM (SELECT component, seconds * 1000 AS ms, seconds / nullif(sum(seconds) OVER (PARTITION BY log_id, event), 0) AS share FROM ex) GROUP BY ALL"""))
+    SELECT component, any_value(top_level) AS top_level, count(*) AS n, round(median(ms), 4) AS median_ms, round(avg(ms), 4) AS mean_ms, round(quantile_cont(ms, .95), 2) AS p95_ms, round(max(ms), 4) AS max_ms, round(avg(share), 4) AS share
+    FROM (SELECT component, tl AS top_level, seconds * 1000 AS ms, seconds / nullif(sum(seconds) FILTER (tl) OVER (PARTITION BY log_id, event), 0) AS share FROM (
+      SELECT *, component IN ('robotPeriodic()', 'LiveWindow.updateValues()', 'SmartDashboard.updateValues()', 'Shuffleboard.update()', 'autonomousPeriodic()', 'teleopPeriodic()', 'disabledPeriodic()', 'testPeriodic()') OR component LIKE '%Init()' OR component LIKE '%Init' AS tl FROM ex))
+    GROUP BY ALL HAVING avg(ms) >= .1"""))
 def component_stats(spark, sf):
-    rows = R.epochs(R.overrun_messages(A.console(spark, sf)))
-    whole = F.sum("seconds").over(Window.partitionBy("log_id", "event"))
+    """Times of components over all overruns, with their share of the main loop's stages; means under a tenth of a millisecond are left out."""
+    rows = R.epochs(R.overrun_messages(A.console(spark, sf))).withColumn("top_level", R.is_top_level(F.col("component")))
+    whole = F.sum(F.when(F.col("top_level"), F.col("seconds"))).over(Window.partitionBy("log_id", "event"))
     rows = rows.withColumn("share", F.when(whole != 0, F.col("seconds") / whole)).withColumn("ms", F.col("seconds") * 1000)
     r4 = lambda c: F.round(c, 4)
-    return rows.groupBy("component").agg(
-        F.count("*").alias("n"), r4(F.median("ms")).alias("median_ms"), r4(F.avg("ms")).alias("mean_ms"), F.round(F.percentile("ms", F.lit(0.95)), 2).alias("p95_ms"),
-        r4(F.max("ms")).alias("max_ms"), r4(F.avg("share")).alias("share"),
-    )
+    found = rows.groupBy("component", "top_level").agg(F.count("*").alias("n"), r4(F.avg("ms")).alias("mean_ms"), r4(F.max("ms")).alias("max_ms"), r4(F.avg("share")).alias("share")).where("mean_ms >= .1D")
+    out = Qn.with_quantiles(found, rows, ["component"], "ms", median_ms=Qn.MEDIAN, p95_ms=Qn.at(0.95))
+    return out.withColumns({"median_ms": r4("median_ms"), "p95_ms": F.round("p95_ms", 2)})
 
 
 @query("categorise_component", ov(r"""
-    SELECT DISTINCT component, CASE WHEN regexp_matches(component, 'Init\(\)$') THEN 'init' WHEN regexp_matches(component, '^(robot|teleop|autonomous|disabled|test)Periodic\(\)$') THEN 'framework'
-      WHEN component LIKE '%.periodic()' THEN 'subsystem' WHEN component LIKE '%.execute()' THEN 'command' ELSE 'other' END AS category FROM ex"""))
+    SELECT DISTINCT component, CASE WHEN component LIKE '%Init()' OR component LIKE '%Init' THEN 'phase_init' WHEN component IN ('autonomousPeriodic()', 'teleopPeriodic()', 'disabledPeriodic()', 'testPeriodic()')
+        OR starts_with(component, 'robotPeriodic') OR starts_with(component, 'LiveWindow.') OR starts_with(component, 'SmartDashboard.') OR starts_with(component, 'Shuffleboard.') THEN 'framework'
+      WHEN component LIKE '%.periodic()' THEN 'subsystem' WHEN component LIKE '%.execute()' OR component LIKE '%.initialize()' THEN 'command' ELSE 'other' END AS category FROM ex"""))
 def categorise_component(spark, sf):
     return parse_epochs(spark, sf).select("component", R.categorise(F.col("component")).alias("category")).distinct()
 
@@ -225,9 +247,9 @@ def worst_k_overruns(spark, sf):
     return overrun_events(spark, sf).select("log_id", "event", "total_s").orderBy(F.desc("total_s"), "log_id", "event").limit(5)
 
 
-@query("detect_loop_period", over("console", sql="SELECT log_id, coalesce(arg_min(CAST(regexp_extract(text, '[Ll]oop time of ([0-9.]+)s', 1) AS DOUBLE), (ts_us, seq)), .02) AS period_s FROM console WHERE text LIKE '%overrun' AND text LIKE '%oop time%' GROUP BY ALL"))
+@query("detect_loop_period", over("console", sql="SELECT log_id, coalesce(arg_min(CAST(regexp_extract(text, '[Ll]oop time of ([0-9.]+)s', 1) AS DOUBLE), (ts_us, seq)), .02) AS period_s FROM console WHERE text LIKE '%overrun%' AND text LIKE '%oop time%' GROUP BY ALL"))
 def detect_loop_period(spark, sf):
-    rows = A.console(spark, sf).where("text like '%overrun' and text like '%oop time%'")
+    rows = A.console(spark, sf).where("text like '%overrun%' and text like '%oop time%'")
     period = F.regexp_extract("text", "[Ll]oop time of ([0-9.]+)s", 1).cast("double")
     return rows.groupBy("log_id").agg(F.coalesce(F.min_by(period, F.struct("ts_us", "seq")), F.lit(0.02)).alias("period_s"))
 
@@ -236,7 +258,7 @@ _CMD = "SELECT log_id, ts_us, seq, regexp_extract(text, '^Command (initialized|i
 _DEFAULTS = "('" + "', '".join(R.DEFAULT_COMMANDS) + "')"
 
 
-@query("unnamed_commands", over("samples", "modes", "console", sql=f"""
+@query("unnamed_commands", over("samples", "mode_signals", "console", sql=f"""
     SELECT log_id, name, count(*) FILTER (kind = 'initialized') AS initialized, count(*) FILTER (kind = 'interrupted') AS interrupted, count(*) FILTER (kind = 'finished') AS finished, count(*) AS total, count(DISTINCT phase) AS phases, min(phase) AS first_phase
     FROM (SELECT c.*, CASE WHEN c.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase FROM c ASOF LEFT JOIN phases p ON c.log_id = p.log_id AND c.ts_us >= p.start_us) WHERE name IN {_DEFAULTS} GROUP BY ALL ORDER BY total DESC, log_id, name""", c=_CMD, **PH))
 def unnamed_commands(spark, sf):
@@ -252,13 +274,17 @@ def named_minus_default(spark, sf):
     return R.commands(A.console(spark, sf)).where(~F.col("name").isin(R.DEFAULT_COMMANDS)).groupBy("log_id").agg(F.countDistinct("name").alias("named"))
 
 
-@query("command_correlation", ov("""
-    SELECT name, count(*) AS n, round(median(total_s), 6) AS median_s, round(max(total_s), 6) AS max_s FROM ev e
-    ASOF JOIN (SELECT log_id, ts_us, max_by(name, seq) AS name FROM c GROUP BY ALL) k ON e.log_id = k.log_id AND e.event_us >= k.ts_us GROUP BY ALL""", c=_CMD))
+@query("command_correlation", over("console", "scheduler_names", sql=f"""
+    SELECT log_id, name, overruns, round(median_ms, 8) AS median_ms, round(mean_ms, 8) AS mean_ms, round(max_ms, 8) AS max_ms, round(execute_ms, 8) AS execute_ms, name IN {_DEFAULTS} AS unnamed FROM (
+      SELECT log_id, name, count(*) AS overruns, median(ms) AS median_ms, avg(ms) AS mean_ms, max(ms) AS max_ms FROM (
+        SELECT e.log_id, e.total_s * 1000 AS ms, unnest(k.names) AS name FROM ev e ASOF JOIN (SELECT log_id, ts_us, arg_max(names, seq) AS names FROM scheduler_names GROUP BY ALL) k ON e.log_id = k.log_id AND e.event_us >= k.ts_us) GROUP BY ALL) c
+    LEFT JOIN (SELECT log_id, replace(component, '.execute()', '') AS name, avg(seconds * 1000) AS execute_ms FROM ex WHERE component LIKE '%.execute()' GROUP BY ALL) x USING (log_id, name)""", **_OV))
 def command_correlation(spark, sf):
-    left = overrun_events(spark, sf).withColumn("ts_us", F.col("event_us")).withColumn("seq", F.col("event"))
-    rows = K.asof_backward(left, R.commands(A.console(spark, sf)), ["log_id"], ["name"]).where("name is not null")
-    return rows.groupBy("name").agg(F.count("*").alias("n"), r6(F.median("total_s")).alias("median_s"), r6(F.max("total_s")).alias("max_s"))
+    """Overruns by the commands that ran at them."""
+    console = A.console(spark, sf)
+    events = R.overrun_events(console).withColumns({"ts_us": F.col("event_us"), "seq": F.col("event")})
+    found = R.command_correlation(events, A.scheduler_names(spark, sf), R.epochs(R.overrun_messages(console)))
+    return found.withColumns({c: F.round(c, 8) for c in ("median_ms", "mean_ms", "max_ms", "execute_ms")})
 
 
 @query("nearby_events", ov("SELECT e.log_id, e.event, c.seq AS near_seq FROM ev e JOIN c ON e.log_id = c.log_id AND c.ts_us BETWEEN e.event_us - 50000 AND e.event_us + 50000", c=_CMD))
@@ -268,7 +294,7 @@ def nearby_events(spark, sf):
     return K.range_join(left, right, ["log_id"], 50_000, 50_000).select("log_id", "event", "near_seq")
 
 
-_PO = over("samples", "modes", "console", sql="""
+_PO = over("samples", "mode_signals", "console", sql="""
     SELECT d.log_id, d.phase, d.seconds, coalesce(o.n, 0) AS overruns, round(coalesce(o.n, 0) / d.seconds, 6) AS rate, coalesce(o.worst, 0) AS worst_s
     FROM (SELECT log_id, phase, sum(end_us - start_us) / 1e6 AS seconds FROM phases GROUP BY ALL) d
     LEFT JOIN (SELECT log_id, ph AS phase, count(*) AS n, max(total_s) AS worst FROM (SELECT e.log_id, e.total_s, CASE WHEN e.event_us < p.end_us THEN p.phase ELSE 'disabled' END AS ph
@@ -285,7 +311,7 @@ def phase_overrun_stats(spark, sf):
     return out.withColumn("rate", r6(F.col("overruns") / F.col("seconds")))
 
 
-@query("phase_transition_overruns", over("samples", "modes", "console", sql="""
+@query("phase_transition_overruns", over("samples", "mode_signals", "console", sql="""
     SELECT p.log_id, p.start_us, p.phase, count(*) AS overruns, round(sum(total_s), 6) AS total_s FROM phases p JOIN ev e ON p.log_id = e.log_id AND p.phase <> 'disabled' AND e.event_us BETWEEN p.start_us - 500000 AND p.start_us + 500000 GROUP BY ALL""", **PH, **_OV))
 def phase_transition_overruns(spark, sf):
     left = phases(spark, sf).where("phase <> 'disabled'").withColumn("ts_us", F.col("start_us"))
@@ -384,7 +410,7 @@ def launch_summary(spark, sf):
     return found.join(middle, SIGNAL)
 
 
-@query("launches_per_log", over("samples", "modes", recursive=True, sql="""
+@query("launches_per_log", over("samples", "mode_signals", recursive=True, sql="""
     SELECT log_id, count(*) AS n, round(count(*) / 2.5e0, 6) AS per_minute, count(*) FILTER (phase = 'auto') AS auto, count(*) FILTER (phase = 'teleop') AS teleop
     FROM (SELECT l.log_id, CASE WHEN l.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase FROM le l ASOF LEFT JOIN phases p ON l.log_id = p.log_id AND l.ts_us >= p.start_us) GROUP BY ALL""", **PH, **LAUNCHES))
 def launches_per_log(spark, sf):

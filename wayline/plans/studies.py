@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline.operators import kernel as K
+from wayline.operators import quantiles as Qn
 from wayline.operators.basic import SIGNAL, by_time, r6
 from wayline.operators import robot as R
 from wayline.plans.launch_sql import SLIP
@@ -124,10 +125,10 @@ def rate_by_group(spark, sf):
     return active_segments(spark, sf).groupBy((F.col("log_id") % 2).alias("grp")).agg(F.round(F.avg(F.col("n") * 1e6 / (F.col("end_us") - F.col("start_us"))), 4).alias("rate"))
 
 
-@query("group_delta", over("samples", sql="SELECT signal, round(median(v_double) FILTER (log_id >= 6) - median(v_double) FILTER (log_id < 6), 6) AS delta FROM samples GROUP BY ALL"))
+@query("group_delta", over("samples", sql="SELECT signal, round(median(v_double) FILTER (log_id % 2 = 1) - median(v_double) FILTER (log_id % 2 = 0), 6) AS delta FROM samples GROUP BY ALL"))
 def group_delta(spark, sf):
-    of = lambda c: F.median(F.when(c, F.col("v_double")))
-    return A.samples(spark, sf).groupBy("signal").agg(r6(of(F.col("log_id") >= 6) - of(F.col("log_id") < 6)).alias("delta"))
+    per = Qn.quantiles(A.samples(spark, sf).withColumn("grp", F.col("log_id") % 2), ["signal", "grp"], "v_double", m=Qn.MEDIAN)
+    return per.groupBy("signal").pivot("grp", [0, 1]).agg(F.first("m")).select("signal", r6(F.col("1") - F.col("0")).alias("delta"))
 
 
 @query("hour_bucket_rollup", "SELECT hour(ts) AS hour, count(*) AS n, round(avg(value), 6) AS mean_v FROM events GROUP BY ALL")
@@ -135,10 +136,14 @@ def hour_bucket_rollup(spark, sf):
     return A.table(spark, sf, "events").groupBy(F.hour("ts").cast("bigint").alias("hour")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean_v"))
 
 
-@query("early_late_compare", over("samples", sql="SELECT signal, round(median(m) FILTER (log_id < 6), 6) AS early, round(median(m) FILTER (log_id >= 6), 6) AS late FROM (SELECT log_id, signal, median(v_double) AS m FROM samples GROUP BY ALL) GROUP BY ALL"))
+@query("early_late_compare", over("samples", sql="SELECT signal, round(median(m) FILTER (2 * log_id <= z), 6) AS early, round(median(m) FILTER (2 * log_id > z), 6) AS late FROM (SELECT log_id, signal, median(v_double) AS m FROM samples GROUP BY ALL), (SELECT max(log_id) AS z FROM samples) GROUP BY ALL"))
 def early_late_compare(spark, sf):
+    """The first half of the logs against the second, by the medians of their signals."""
     m = A.samples(spark, sf).groupBy(*SIGNAL).agg(F.median("v_double").alias("m"))
-    return m.groupBy("signal").agg(r6(F.median(F.when(F.col("log_id") < 6, F.col("m")))).alias("early"), r6(F.median(F.when(F.col("log_id") >= 6, F.col("m")))).alias("late"))
+    last = A.samples(spark, sf).agg(F.max("log_id").alias("z"))  # one row
+    halves = m.join(F.broadcast(last)).withColumn("half", F.when(2 * F.col("log_id") <= F.col("z"), "early").otherwise("late"))
+    per = Qn.quantiles(halves, ["signal", "half"], "m", m=Qn.MEDIAN)
+    return per.groupBy("signal").pivot("half", ["early", "late"]).agg(r6(F.first("m")))
 
 
 @query("event_window_extract", over("samples", sql="SELECT s.seq, s.ts_us - a AS rel_us FROM samples s JOIN (SELECT log_id, min(ts_us) AS a FROM samples WHERE signal = 'error' GROUP BY ALL) z ON s.log_id = z.log_id AND s.ts_us BETWEEN a - 100000 AND a + 500000"))

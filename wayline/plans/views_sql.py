@@ -5,16 +5,25 @@ from __future__ import annotations
 _TIME = "CAST(floor((epoch_us(ts) - 1704067200000000) / 150000e0) AS BIGINT)"
 
 VIEWS = {
-    "samples": f"SELECT user_id % 12 AS log_id, event_type AS signal, {_TIME} AS ts_us, event_id AS seq, value AS v_double FROM events",
-    "modes": f"""SELECT user_id % 12 AS log_id, {_TIME} AS ts_us, event_id AS seq,
+    "samples": f"SELECT user_id // 12 AS log_id, event_type AS signal, {_TIME} AS ts_us, event_id AS seq, value AS v_double FROM events",
+    "modes": f"""SELECT user_id // 12 AS log_id, {_TIME} AS ts_us, event_id AS seq,
         CAST(CASE WHEN event_id % 7 < 2 THEN 0 WHEN event_id % 7 = 2 THEN 3 WHEN event_id % 7 < 6 THEN 1 ELSE 5 END AS BIGINT) AS v_long
         FROM events WHERE event_type = 'signup'""",
-    "console": f"""SELECT user_id % 12 AS log_id, {_TIME} AS ts_us, event_id AS seq,
+    "mode_signals": f"""SELECT log_id, ts_us, seq, signal, type,
+        CASE WHEN type = 'boolean' THEN CASE WHEN signal = 'DS:estop' THEN seq % 11 = 0 WHEN signal = 'DS:enabled' THEN seq % 7 < 5 ELSE seq % 2 = 0 END END AS v_bool,
+        CAST(CASE WHEN type = 'int64' THEN CASE WHEN seq % 7 < 2 THEN 0 WHEN seq % 7 = 2 THEN 3 WHEN seq % 7 < 6 THEN 1 ELSE 5 END END AS BIGINT) AS v_long,
+        CASE WHEN type = 'string' THEN ['Disabled', 'Autonomous', ' teleop', 'Test', 'odd'][seq % 5 + 1] END AS v_string
+        FROM (SELECT *, CASE type WHEN 'boolean' THEN ['DS:enabled', 'DSAutonomous', 'DS:teleop', 'NT:/FMSInfo/Test', 'DS:estop'][seq // 3 % 5 + 1] WHEN 'int64' THEN 'NT:/FMSInfo/FMSControlData' ELSE 'RobotMode' END AS signal
+          FROM (SELECT user_id // 12 AS log_id, {_TIME} AS ts_us, event_id AS seq,
+            CASE user_id // 12 % 4 WHEN 0 THEN 'boolean' WHEN 1 THEN 'int64' WHEN 2 THEN 'string' ELSE ['boolean', 'int64', 'string'][event_id % 3 + 1] END AS type FROM events WHERE event_type = 'signup'))""",
+    "scheduler_names": f"""SELECT user_id // 12 AS log_id, {_TIME} AS ts_us, event_id AS seq,
+        list_filter(['InstantCommand', 'Drive', 'RunCommand', 'Shoot', 'Aim'], lambda x, i: (event_id >> (i - 1)) % 2 = 1) AS names FROM events WHERE event_type = 'purchase'""",
+    "console": f"""SELECT user_id // 12 AS log_id, {_TIME} AS ts_us, event_id AS seq,
         CASE event_type
-          WHEN 'error' THEN 'Warning at IterativeRobotBase: Loop time of 0.02s overrun'
+          WHEN 'error' THEN 'Warning at IterativeRobotBase: Loop time of 0.02s overrun' || CASE WHEN event_id % 4 = 0 THEN chr(10) || '  robotPeriodic(): 0.031000s' || chr(10) || '  robotPeriodic(): 0.012000s' ELSE '' END
           WHEN 'click' THEN '  teleopPeriodic(): 0.' || lpad(CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR), 6, '0') || 's'
           WHEN 'view' THEN '  robotPeriodic(): 0.' || lpad(CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR), 6, '0') || 's' || chr(10)
-                           || '  Arm.periodic(): 0.' || lpad(CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR), 6, '0') || 's'
+                           || '  ' || ['Arm.periodic()', 'LiveWindow.updateValues()', 'SmartDashboard.updateValues()', 'Drive.execute()', 'Shoot.initialize()', 'teleopInit()'][event_id % 6 + 1] || ': 0.' || lpad(CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR), 6, '0') || 's'
           WHEN 'purchase' THEN 'CommandScheduler loop overrun'
           ELSE 'Command ' || CASE event_id % 3 WHEN 0 THEN 'initialized: ' WHEN 1 THEN 'finished: ' ELSE 'interrupted: ' END
                || CASE user_id % 4 WHEN 0 THEN 'InstantCommand' WHEN 1 THEN 'Drive' WHEN 2 THEN 'RunCommand' ELSE 'Shoot' END

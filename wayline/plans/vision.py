@@ -47,7 +47,7 @@ _scalar("wrap_yaw_diff", "odometry", lambda: ["seq", r6(G.yaw_diff_deg(F.col("th
         f"seq, round({mod('theta_deg - 100.0 + 180')} - 180, 6) AS d, round(abs({mod('theta_deg - 100.0 + 180')} - 180), 6) AS m")
 _scalar("lerp", "odometry", lambda: ["seq", r6(K.lerp(F.col("x"), F.col("y"), F.lit(0.25))).alias("v")], "seq, round(x + (y - x) * 0.25, 6) AS v")
 _scalar("lerp_angle", "odometry", lambda: ["seq", F.round(K.lerp_angle_deg(F.col("theta_deg"), F.lit(170.0), F.lit(0.25)), 8).alias("v")], f"seq, round(theta_deg + ({mod('170.0 - theta_deg + 180')} - 180) * 0.25, 8) AS v")
-_scalar("heading_octant", "odometry", lambda: ["seq", G.octant(F.col("theta_deg")).alias("octant")], f"seq, ['E', 'NE', 'N', 'NW', 'W', 'SW', 'S', 'SE'][CAST(floor(({mod('theta_deg + 22.5')}) / 45) AS INT) + 1] AS octant")
+_scalar("heading_octant", "odometry", lambda: ["seq", G.octant(F.col("theta_deg")).alias("octant")], f"seq, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor(({mod('theta_deg + 22.5')}) / 45) AS INT) + 1] AS octant")
 _CELL = "CASE WHEN trunc(x / .5) BETWEEN 0 AND 33 AND trunc(y / .5) BETWEEN 0 AND 16 THEN CAST(trunc(y / .5) * 34 + trunc(x / .5) AS INT) END"
 _scalar("field_cell", "odometry", lambda: ["seq", G.field_cell(F.col("x"), F.col("y")).alias("cell")], f"seq, {_CELL} AS cell")
 _scalar("pose3d_quaternion", "vision", lambda: ["seq", r6(G.quaternion(F.lit(0.0), F.lit(10.0), F.col("yaw_deg"))["qw"]).alias("qw"), r6(G.quaternion(F.lit(0.0), F.lit(10.0), F.col("yaw_deg"))["qz"]).alias("qz")],
@@ -117,19 +117,21 @@ def reference_path(spark, sf):
 
 
 _RES = """SELECT v.*, sqrt(power(v.x - px, 2) + power(v.y - py, 2)) AS res FROM (
-    SELECT v.*, CASE WHEN b.ts_us IS NULL THEN a.x WHEN a.ts_us IS NULL OR b.ts_us = v.ts_us THEN b.x ELSE b.x + (a.x - b.x) * ((v.ts_us - b.ts_us) / (a.ts_us - b.ts_us)) END AS px,
-           CASE WHEN b.ts_us IS NULL THEN a.y WHEN a.ts_us IS NULL OR b.ts_us = v.ts_us THEN b.y ELSE b.y + (a.y - b.y) * ((v.ts_us - b.ts_us) / (a.ts_us - b.ts_us)) END AS py
-    FROM vision v ASOF LEFT JOIN ob b ON v.log_id = b.log_id AND v.ts_us >= b.ts_us ASOF LEFT JOIN oa a ON v.log_id = a.log_id AND v.ts_us <= a.ts_us) v"""
+    SELECT v.*, CASE WHEN b.ts_us IS NULL THEN a.x WHEN a.ts_us IS NULL OR b.ts_us = v.seen_us THEN b.x ELSE b.x + (a.x - b.x) * ((v.seen_us - b.ts_us) / (a.ts_us - b.ts_us)) END AS px,
+           CASE WHEN b.ts_us IS NULL THEN a.y WHEN a.ts_us IS NULL OR b.ts_us = v.seen_us THEN b.y ELSE b.y + (a.y - b.y) * ((v.seen_us - b.ts_us) / (a.ts_us - b.ts_us)) END AS py
+    FROM (SELECT *, ts_us - CAST(latency_ms * 1000 AS BIGINT) AS seen_us FROM vision) v ASOF LEFT JOIN ob b ON v.log_id = b.log_id AND v.seen_us >= b.ts_us ASOF LEFT JOIN oa a ON v.log_id = a.log_id AND v.seen_us <= a.ts_us) v"""
 _RS = {
-    "ob": "SELECT log_id, ts_us, max_by(x, seq) AS x, max_by(y, seq) AS y FROM odometry GROUP BY ALL",
-    "oa": "SELECT log_id, ts_us, min_by(x, seq) AS x, min_by(y, seq) AS y FROM odometry GROUP BY ALL",
+    **_PATH,
+    "ob": "SELECT log_id, ts_us, max_by(x, seq) AS x, max_by(y, seq) AS y FROM path GROUP BY ALL",
+    "oa": "SELECT log_id, ts_us, min_by(x, seq) AS x, min_by(y, seq) AS y FROM path GROUP BY ALL",
     "res": _RES,
 }
 
 
 def residuals(spark, sf):
-    """Vision frames with their distance to the odometry at the same time."""
-    rows = K.interpolate_join(A.vision(spark, sf), A.odometry(spark, sf), ["log_id"], ["x", "y"])
+    """Vision frames with their distance to the reference path at the time that they were taken, which is their own less the latency."""
+    frames = A.vision(spark, sf).withColumns({"published_us": F.col("ts_us"), "ts_us": F.col("ts_us") - (F.col("latency_ms") * 1000).cast("bigint")})
+    rows = K.interpolate_join(frames, fused_path(spark, sf), ["log_id"], ["x", "y"]).withColumn("ts_us", F.col("published_us")).drop("published_us")
     return rows.withColumn("res", F.sqrt((F.col("x") - F.col("p_x")) ** 2 + (F.col("y") - F.col("p_y")) ** 2))
 
 
@@ -228,7 +230,7 @@ def band_rollup(spark, sf):
     return per.groupBy("band").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
 
 
-@query("vision_by_phase", over("samples", "modes", "vision", sql="""
+@query("vision_by_phase", over("samples", "mode_signals", "vision", sql="""
     SELECT v.camera, CASE WHEN v.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase, count(*) AS n, round(avg(latency_ms), 6) AS latency FROM vision v ASOF LEFT JOIN phases p ON v.log_id = p.log_id AND v.ts_us >= p.start_us GROUP BY ALL""", **PH))
 def vision_by_phase(spark, sf):
     return R.phase_of(A.vision(spark, sf), phases(spark, sf)).groupBy("camera", "phase").agg(F.count("*").alias("n"), r6(F.avg("latency_ms")).alias("latency"))
@@ -252,7 +254,7 @@ def preferred_camera(spark, sf):
 
 
 @query("heading_coverage", over("odometry", sql=f"""
-    SELECT o AS octant, count(k) AS n FROM (SELECT unnest(['E', 'NE', 'N', 'NW', 'W', 'SW', 'S', 'SE']) AS o) LEFT JOIN (SELECT ['E', 'NE', 'N', 'NW', 'W', 'SW', 'S', 'SE'][CAST(floor(({mod('theta_deg + 22.5')}) / 45) AS INT) + 1] AS k FROM odometry) ON o = k GROUP BY ALL"""))
+    SELECT o AS octant, count(k) AS n FROM (SELECT unnest(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW']) AS o) LEFT JOIN (SELECT ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor(({mod('theta_deg + 22.5')}) / 45) AS INT) + 1] AS k FROM odometry) ON o = k GROUP BY ALL"""))
 def heading_coverage(spark, sf):
     labels = spark.createDataFrame([(o,) for o in G.OCTANTS], "octant string")
     counts = A.odometry(spark, sf).groupBy(G.octant(F.col("theta_deg")).alias("octant")).agg(F.count("*").alias("c"))

@@ -1,7 +1,7 @@
 """Telemetry views over the tables at hand: samples, modes, console, odometry, vision, frames, tags.
 
 Every view is a projection of one table, so filters and column pruning reach its Parquet scan. Times are whole
-microseconds; a log is a group of users, a signal an event type.
+microseconds; a log is twelve users, so logs grow in number with the tables and not in size; a signal is an event type.
 """
 
 from __future__ import annotations
@@ -17,28 +17,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, signal, ts_us, seq, v_double."""
-    return table(spark, sf_dir, "events").selectExpr("user_id % 12 as log_id", "event_type as signal", f"{_TIME} as ts_us", "event_id as seq", "value as v_double")
+    return table(spark, sf_dir, "events").selectExpr("user_id div 12 as log_id", "event_type as signal", f"{_TIME} as ts_us", "event_id as seq", "value as v_double")
 
 
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, ts_us, seq, v_long: control words."""
     word = "cast(case when event_id % 7 < 2 then 0 when event_id % 7 = 2 then 3 when event_id % 7 < 6 then 1 else 5 end as bigint)"
-    return table(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr("user_id % 12 as log_id", f"{_TIME} as ts_us", "event_id as seq", f"{word} as v_long")
+    return table(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr("user_id div 12 as log_id", f"{_TIME} as ts_us", "event_id as seq", f"{word} as v_long")
+
+
+def mode_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_id, ts_us, seq, signal, type, v_bool, v_long, v_string: booleans in every fourth log, a control word, a mode's name, and all of them."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr("user_id div 12 as log_id", f"{_TIME} as ts_us", "event_id as seq")
+    names = "array('DS:enabled', 'DSAutonomous', 'DS:teleop', 'NT:/FMSInfo/Test', 'DS:estop')"
+    kind = "case log_id % 4 when 0 then 'boolean' when 1 then 'int64' when 2 then 'string' else element_at(array('boolean', 'int64', 'string'), cast(seq % 3 as int) + 1) end"
+    rows = rows.selectExpr("*", f"{kind} as type").selectExpr("*", f"case type when 'boolean' then element_at({names}, cast(seq div 3 % 5 as int) + 1) when 'int64' then 'NT:/FMSInfo/FMSControlData' else 'RobotMode' end as signal")
+    word = "case when seq % 7 < 2 then 0 when seq % 7 = 2 then 3 when seq % 7 < 6 then 1 else 5 end"
+    return rows.selectExpr(
+        "log_id", "ts_us", "seq", "signal", "type", "case when type = 'boolean' then case when signal = 'DS:estop' then seq % 11 = 0 when signal = 'DS:enabled' then seq % 7 < 5 else seq % 2 = 0 end end as v_bool",
+        f"cast(case when type = 'int64' then {word} end as bigint) as v_long", "case when type = 'string' then element_at(array('Disabled', 'Autonomous', ' teleop', 'Test', 'odd'), cast(seq % 5 as int) + 1) end as v_string",
+    )
+
+
+def scheduler_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_id, ts_us, seq, names: the commands that run from then on."""
+    names = "filter(array('InstantCommand', 'Drive', 'RunCommand', 'Shoot', 'Aim'), (x, i) -> (event_id div (cast(1 as bigint) << i)) % 2 = 1)"
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr("user_id div 12 as log_id", f"{_TIME} as ts_us", "event_id as seq", f"{names} as names")
 
 
 def console(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, ts_us, seq, text: console lines."""
     text = """
         case event_type
-          when 'error' then 'Warning at IterativeRobotBase: Loop time of 0.02s overrun'
+          when 'error' then concat('Warning at IterativeRobotBase: Loop time of 0.02s overrun', if(event_id % 4 = 0, concat(chr(10), '  robotPeriodic(): 0.031000s', chr(10), '  robotPeriodic(): 0.012000s'), ''))
           when 'click' then concat('  teleopPeriodic(): 0.', lpad(cast(cast(floor(value * 100) as bigint) as string), 6, '0'), 's')
           when 'view' then concat('  robotPeriodic(): 0.', lpad(cast(cast(floor(value * 100) as bigint) as string), 6, '0'), 's', chr(10),
-                                  '  Arm.periodic(): 0.', lpad(cast(cast(floor(value * 10) as bigint) as string), 6, '0'), 's')
+                                  '  ', element_at(array('Arm.periodic()', 'LiveWindow.updateValues()', 'SmartDashboard.updateValues()', 'Drive.execute()', 'Shoot.initialize()', 'teleopInit()'), cast(event_id % 6 as int) + 1), ': 0.', lpad(cast(cast(floor(value * 10) as bigint) as string), 6, '0'), 's')
           when 'purchase' then 'CommandScheduler loop overrun'
           else concat('Command ', case event_id % 3 when 0 then 'initialized: ' when 1 then 'finished: ' else 'interrupted: ' end,
                       case user_id % 4 when 0 then 'InstantCommand' when 1 then 'Drive' when 2 then 'RunCommand' else 'Shoot' end)
         end"""
-    return table(spark, sf_dir, "events").selectExpr("user_id % 12 as log_id", f"{_TIME} as ts_us", "event_id as seq", f"{text} as text")
+    return table(spark, sf_dir, "events").selectExpr("user_id div 12 as log_id", f"{_TIME} as ts_us", "event_id as seq", f"{text} as text")
 
 
 def odometry(spark: SparkSession, sf_dir: str) -> DataFrame:
