@@ -51,12 +51,59 @@ def test_block_rules_run_on_every_page():
     long = (PROSE * 3).strip()
     links = "".join(f"<li><a href=a>Some other story number {i} of the day that you may like to read as well</a></li>" for i in range(4))
     page = f"<body><h1>Title</h1><article><p>{long}</p><p>Last words.</p><h2>More</h2><ul>{links}</ul></article><p>{long} Outside.</p><div>Imprint</div><footer>{long}</footer>"
-    assert html_text.main_text(page) == "\n\n".join(["Title", long, "Last words.", long + " Outside.", "Imprint"])
+    assert html_text.main_text(page) == "\n\n".join(["Title", long, "Last words.", long + " Outside."])
     assert html_text.main_text(f"<nav><a href=a>Home</a></nav><p>{long}</p><p>One.</p><p>Two.</p><footer>c</footer>") == "\n\n".join([long, "One.", "Two."])
     assert html_text.main_text("<nav>Home</nav><h2>Head</h2><p>A short one.</p><p>And another.</p>") == "Head\n\nA short one.\n\nAnd another."
     assert html_text.main_text(f"<p>{long}</p><p>Near the text</p><p>Near the links</p>{links}") == long + "\n\nNear the text"
 
 
+def test_links_and_neighbours_overrule_containers():
+    long, story = (PROSE * 3).strip(), "Some other story of the day that you may like to read as well as this one"
+    lists = "".join(f"<p><a href=a>{story}</a></p>" for _ in range(3))
+    # Links inside the article go, and short blocks beside them with them; a dense paragraph needs no article.
+    assert html_text.main_text(f"<article><p>{long}</p><p>Beside the text</p>{lists}<p>Beside the links</p></article>") == long + "\n\nBeside the text"
+    assert html_text.main_text(f"<article><p>{long}</p></article><p>{long} More.</p>") == f"{long}\n\n{long} More."
+    # What stands around the article can't be good by its prose alone.
+    assert html_text.main_text(f"<article><p>{long}</p></article><aside><p>{long}</p><p>Short</p></aside>") == long
+
+
+def plain_second_pass(blocks, in_article):
+    """Final labels of blocks without headings, by looking for each block's neighbours anew."""
+    out = []
+    for i, b in enumerate(blocks):
+        own = [(abs(j - i), j, x.label) for j, x in enumerate([y for y in blocks if (y.article, y.around) == (b.article, b.around)])]
+        place = next(j for j, y in enumerate([y for y in blocks if (y.article, y.around) == (b.article, b.around)]) if y is b)
+        before = [(place - j, label) for _, j, label in own if j < place and label in ("good", "bad")][-1:]
+        after = [(j - place, label) for _, j, label in own if j > place and label in ("good", "bad")][:1]
+        alone = "good" if html_text.points(b, in_article) >= 1 else "bad"
+        sides = [label for _, label in before + after]
+        if b.label in ("good", "bad"):
+            out.append(b.label)
+        elif b.label == "near":
+            out.append("good" if "good" in sides or not sides and alone == "good" else "bad")
+        elif b.label == "far":
+            out.append("good" if sides and "bad" not in sides else "bad")
+        elif not sides or len(sides) == 2 and sides[0] != sides[1] and before[0][0] == after[0][0]:
+            out.append(alone)
+        else:
+            out.append(min(before + after, key=lambda x: x[0])[1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_second_pass_equals_plain_search(seed):
+    rng = random.Random(seed)
+    blocks = []
+    for _ in range(rng.randint(1, 40)):
+        text = " ".join(rng.choice(["the", "of", "dog", "tree", "walks", "and"]) for _ in range(rng.choice([3, 12, 60])))
+        blocks.append(html_text.Block(text=text, linked=rng.choice([0, 0, len(text) // 3, len(text)]), around=rng.random() < 0.3, article=rng.random() < 0.6))
+    for b in blocks:
+        b.label = html_text._first_pass(b, True)
+    html_text._second_pass(blocks, True)
+    assert [b.final for b in blocks] == plain_second_pass(blocks, True)
+    assert {b.label for b in blocks} <= {"good", "bad", "near", "far", "short"}
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<a href='", "<!--", "<script>", "</p></div>", "a < b > c", "<p>" * 3000, "&#0;&bad;&#x110000;", "<article></article>", "\x00"])
 def test_malformed_pages_have_a_text(html):
     assert isinstance(html_text.main_text(html), str)

@@ -217,11 +217,11 @@ def test_benchmark_hits_equal_brute_force(spark, documents):
 
 
 def test_short_items_and_items_without_an_id_are_found(spark, documents):
-    rows = [(1, "say (four words and no) more"), (2, "four words and none"), (3, "x" * 40), (4, "other")]
-    benchmark = spark.createDataFrame([(7, "four words and no"), (None, "x" * 40), (8, None), (9, " ")], "item_id long, text string")
+    rows = [(1, "say (four words and no) more"), (2, "four words and none"), (3, "x" * 40), (4, "other"), (5, "scatter"), (6, "--")]
+    benchmark = spark.createDataFrame([(6, "cat"), (10, "--"), (7, "four words and no"), (None, "x" * 40), (8, None), (9, " ")], "item_id long, text string")
     found = decontaminate.benchmark_hits(documents(rows), benchmark).collect()
-    assert sorted((r.doc_id, r.item_id, r.errors) for r in found) == [(1, 7, 0), (3, None, 0)]
-    assert sorted(r.doc_id for r in decontaminate.without_benchmark(documents(rows), benchmark).collect()) == [2, 4]
+    assert sorted((r.doc_id, r.item_id, r.errors) for r in found) == [(1, 7, 0), (2, 7, 1), (3, None, 0)]
+    assert sorted(r.doc_id for r in decontaminate.without_benchmark(documents(rows), benchmark).collect()) == [4, 5, 6]
 
 
 def test_predictions_equal_enumeration(documents):
@@ -261,9 +261,26 @@ def test_long_texts_are_labelled_in_stretches(monkeypatch):
     assert np.allclose(found[0][0], found[1][0]) and np.allclose(found[0][1], found[1][1])
 
 
-def test_more_languages_than_allowed_raise(documents):
-    with pytest.raises(ValueError, match="max_languages"):
-        language_id.learn(documents([(i, "some words", f"l{i}") for i in range(40)]), max_languages=5)
+def test_many_languages_share_the_bound(documents):
+    rows = [(i, f"some words of {i}", f"l{i % 40}") for i in range(400)] + [(7777, "again and again", "l1")] * 300
+    assert len(language_id.learn(documents(rows), docs_in_all=40).labels) == 40
+
+
+def test_stretches_come_from_the_whole_text(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, text), (2, "short text")], "k long, t string")
+    found = {r.k: r.s for r in frame.select("k", language_id._stretches(frame.t, frame.k, 2000).alias("s")).collect()}
+    places = [int(w[1:]) for w in found[1].split()]
+    assert found[2] == "short text" and len(found[1]) <= 2020 and max(places) > 12_000 and min(places) < 8000 and set(found[1].split()) <= set(text.split())
+
+
+def test_code_switched_documents_stay(documents):
+    rng = random.Random(3)
+    docs = documents([(i, sentence(rng, lang, 40), lang) for i, lang in enumerate(["en", "fr"] * 40)])
+    model = language_id.learn(docs)
+    mixed = " ".join(f"{sentence(rng, 'en', 12)} {sentence(rng, 'fr', 12)}" for _ in range(4))
+    rows = [(1, mixed), (2, "12 34"), (3, None), (4, ""), (5, sentence(rng, "fr", 20)), (5, sentence(rng, "fr", 20))]
+    assert sorted(r.doc_id for r in language_id.keep_identified(documents(rows), model).collect()) == [1, 5, 5]
 
 
 def test_encoder_equals_the_tokenizer():

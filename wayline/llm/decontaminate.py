@@ -1,12 +1,13 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item of m characters may occur in a document with up to k = m * error_percent / 100 edits. Of k + 1 pieces of
+A test item of m characters may occur in a document with up to k = m * error_percent / 100 edits, whatever m is. Of k + 1 pieces of
 the item at least one then occurs unchanged; an automaton over all pieces finds those hits in one pass over the text,
 and a bit-parallel edit distance verifies the surroundings of each.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,9 +23,13 @@ ITEM_BYTES = 16 << 20
 _built: dict[str, "Matcher"] = {}
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 def normalise(text: str | None) -> str:
-    """Lower case, with each run of white space as one space and none at the ends."""
-    return " ".join((text or "").lower().split())
+    """The words (letters and digits) in lower case, one space between them and at both ends; empty without words."""
+    words = _WORD.findall((text or "").lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 def closest(masks: dict[str, int], m: int, text: str, start: int, end: int) -> tuple[int, int]:
@@ -56,7 +61,7 @@ def closest(masks: dict[str, int], m: int, text: str, start: int, end: int) -> t
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_percent: int, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], error_percent: int):
         self.items: list[tuple[int | None, int, int, dict[str, int]]] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, raw in items:
@@ -64,12 +69,7 @@ class Matcher:
             m = len(text)
             if not m:
                 continue
-            # A short item is one piece, to be found between word boundaries.
-            k = m * error_percent // 100 if m >= min_chars else -1
-            if k < 0:
-                pieces[text].append((len(self.items), 0))
-                self.items.append((item_id, m, k, {}))
-                continue
+            k = m * error_percent // 100
             cuts = [m * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces[text[a:b]].append((len(self.items), a))
@@ -88,17 +88,12 @@ class Matcher:
         """(item_id, errors, end in the normalised text) of each item that occurs, by item_id, null first, and errors."""
         text = normalise(raw)
         found: list[tuple[int | None, int, int]] = []
-        short: dict[int, int] = {}
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if self.any and text:
             for last, (size, owners) in self.automaton.iter(text):
                 for i, offset in owners:
                     _, m, k, _ = self.items[i]
                     start = last + 1 - size - offset
-                    if k < 0:
-                        if i not in short and not text[max(0, start - 1) : start].isalnum() and not text[last + 1 : last + 2].isalnum():
-                            short[i] = last + 1
-                        continue
                     spans[i].append((max(0, start - k), min(len(text), start + m + k)))
         for i, windows in spans.items():
             item_id, m, k, masks = self.items[i]
@@ -115,7 +110,6 @@ class Matcher:
                 start, end = a, b
             if best <= k:
                 found.append((item_id, best, at))
-        found += [(self.items[i][0], 0, end) for i, end in short.items()]
         return sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
 
 
@@ -129,24 +123,25 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield sorted(((r["id"], r["text"]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
-def _matcher(key: str, shared, error_percent: int, min_chars: int) -> Matcher:
+def _matcher(key: str, shared, error_percent: int) -> Matcher:
     """The block's matcher, built once in each Python worker."""
     if key not in _built:
         _built.clear()
-        _built[key] = Matcher(shared.value, error_percent, min_chars)
+        _built[key] = Matcher(shared.value, error_percent)
     return _built[key]
 
 
 def benchmark_hits(
-    documents: DataFrame, benchmark: DataFrame, error_percent: int = 6, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, benchmark: DataFrame, error_percent: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document row and test item found in it: doc_id, item_id, errors, end_at.
 
-    Texts are compared in lower case with white space runs as one space. errors is the smallest edit distance of the
-    item to any part of the text, end_at the end of the first such part in the compared text. Items under min_chars
-    count where they occur without an error and no letter or digit stands at their ends. Null or empty texts, of
-    documents or items, match nothing; a null doc_id or item_id stays null; repeated document rows give repeated hits, repeated item rows none. Other columns are
-    ignored; empty tables give no rows.
+    Compared are the words in lower case with a space before, between and after them, so an item found without an error
+    begins and ends with words. errors is the smallest edit distance of the item to any part of the text, at most
+    error_percent of its length (none for the shortest ones), end_at the end of the first such part in the compared
+    text. Null texts and texts without words, of documents or items, match nothing; a null doc_id or item_id stays null;
+    repeated document rows give repeated hits, repeated item rows none. Other columns are ignored; empty tables give no
+    rows.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     out = None
@@ -154,7 +149,7 @@ def benchmark_hits(
         shared, key = documents.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, shared, error_percent, min_chars)
+            matcher = _matcher(key, shared, error_percent)
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for hit in matcher.find(text)]
                 yield pa.RecordBatch.from_arrays(
@@ -167,14 +162,14 @@ def benchmark_hits(
     return out
 
 
-def without_benchmark(documents: DataFrame, benchmark: DataFrame, error_percent: int = 6, min_chars: int = 32, text_col: str = "text") -> DataFrame:
+def without_benchmark(documents: DataFrame, benchmark: DataFrame, error_percent: int = 6, text_col: str = "text") -> DataFrame:
     """The document rows in which no test item is found, with all their columns; the rules are those of benchmark_hits."""
     for items in _blocks(benchmark, "item_id", "text"):
         shared, key = documents.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
         place = documents.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key, place=place) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, shared, error_percent, min_chars)
+            matcher = _matcher(key, shared, error_percent)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(text) for text in batch.column(place).to_pylist()], pa.bool_()))
 

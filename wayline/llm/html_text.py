@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass classifies each block by its density of stop words, its
-length and its share of linked text, with what its containers say about themselves as a prior; the second gives
-ambiguous short blocks the label of their nearest decided neighbour.
+A page is cut into blocks at block-level tags. The first pass weighs each block's density of stop words, its length, its
+share of linked text and what its containers say about themselves, none of which decides alone; the second gives
+ambiguous and short blocks the label of their nearest decided neighbour.
 """
 
 from __future__ import annotations
@@ -222,28 +222,34 @@ def _density(text: str) -> tuple[float, int]:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words)), len(words)
 
 
-def _first_pass(block: Block, in_article: bool) -> str:
-    """good, bad, near (good beside good), short (ambiguous), heading, or around (in a container that isn't the article).
+def points(block: Block, in_article: bool) -> int:
+    """What speaks for a block being part of the article, less what speaks against it.
 
-    An article shifts the limits: inside it less is asked of a block's prose, outside one that the page has, fewer links
-    are allowed. It decides nothing by itself.
+    Its containers count as others do: two for standing in the article, three against standing in something around it, one
+    against standing outside an article that the page has. So do stop words (two for many, one for some, one against
+    hardly any in a block of words), length (one for a long block), and links (three against mostly linked text, one
+    against much of it).
     """
-    if block.around:
-        return "around"
-    size = len(block.text)
-    linked = block.linked / size
-    if block.heading and (block.article or linked <= 0.5):
+    linked = block.linked / len(block.text)
+    density, words = _density(block.text)
+    score = -3 if block.around else 2 if block.article else -1 if in_article else 0
+    if words >= 8:
+        score += 2 if density >= 0.3 else 1 if density >= 0.15 else -1
+    score += len(block.text) > 200
+    return score - (3 if linked > 0.5 else 1 if linked > 0.2 else 0)
+
+
+def _first_pass(block: Block, in_article: bool) -> str:
+    """good or bad where the points are clear and the block has words enough to tell; near (leaning to good), far (leaning to bad), short or heading otherwise."""
+    score = points(block, in_article)
+    linked = block.linked / len(block.text)
+    if block.heading and linked <= 0.5:
         return "heading"
-    if linked > (0.2 if in_article and not block.article else 0.5):
+    if linked > 0.5:
         return "bad"
-    density, words = _density(block.text)
-    if size < 70 or words < 8:
+    if len(block.text) < 70 or _density(block.text)[1] < 8:
         return "short"
-    if block.article:
-        return "good" if density >= 0.15 else "near"
-    if density >= 0.3:
-        return "good" if size > 200 else "near"
-    return "near" if density >= 0.15 or size > 300 and density >= 0.08 else "bad"
+    return "good" if score >= 3 else "near" if score >= 1 else "far" if score >= 0 else "bad"
 
 
 def _nearest(labels: list[str]) -> list[tuple[str, int]]:
@@ -255,36 +261,42 @@ def _nearest(labels: list[str]) -> list[tuple[str, int]]:
     return out
 
 
-def _second_pass(found: list[Block]) -> None:
-    """Decide near, short and heading blocks by the decided ones before and after them.
+def _place(block: Block) -> tuple[bool, bool]:
+    """Blocks of one place may be neighbours: the article's border and that of what stands around it end a neighbourhood."""
+    return block.article, block.around
+
+
+def _second_pass(found: list[Block], in_article: bool) -> None:
+    """Decide near, far, short and heading blocks by the nearest decided ones before and after them, of the same place.
 
-    Neighbours are the blocks on the same side of the article's border that aren't in a container around it: what a
-    footer says of its own text says nothing of the paragraph above it, nor does the page's edge.
+    A near or far block goes with a neighbour that agrees with its leaning, and a far one against it only between two
+    good ones; a short one inherits from the nearer neighbour. Without neighbours the points decide.
     """
-    for article in (True, False):
-        own = [b for b in found if b.article == article and b.label != "around"]
+    for place in ((True, False), (True, True), (False, False), (False, True)):
+        own = [b for b in found if _place(b) == place]
         before = _nearest([b.label for b in own])
         after = _nearest([b.label for b in reversed(own)])[::-1]
         for b, (one, far), (two, wide) in zip(own, before, after):
+            sides = [x for x in (one, two) if x]
+            alone = "good" if points(b, in_article) >= 1 else "bad"
             if b.label == "near":
-                b.final = "good" if "good" in (one, two) or article and not (one or two) else "bad"
+                b.final = "good" if "good" in sides or not sides and alone == "good" else "bad"
+            elif b.label == "far":
+                b.final = "good" if sides and set(sides) == {"good"} else "bad"
             elif b.label == "short":
-                # In the middle between a good and a bad one: the article, or the block's own words.
-                middle = "good" if article or _density(b.text)[0] >= 0.3 else "bad"
-                alone = "good" if article else "bad"
-                b.final = (one or two or alone) if one == two or not (one and two) else middle if far == wide else one if far < wide else two
+                b.final = alone if not sides or len(set(sides)) == 2 and far == wide else sides[0] if len(sides) == 1 else one if far <= wide else two
             else:
                 b.final = b.label
     # A heading goes with its section, or with the next heading where that follows at once; the article's end ends both.
     section, following = [], None
     for b in reversed(found):
         if b.label == "heading":
-            own = [x.final for x in section if x.article >= b.article]
+            own = [x.final for x in section if x.article >= b.article and x.around == b.around]
             if not own:
-                own = [following.final] if following and not section and following.article >= b.article else ["good" if b.article else "bad"]
+                own = [following.final] if following and not section and following.article >= b.article and following.around == b.around else ["good" if points(b, in_article) >= 1 else "bad"]
             b.final = "good" if "good" in own else "bad"
             section, following = [], b
-        elif b.label != "around":
+        else:
             section.append(b)
 
 
@@ -298,11 +310,11 @@ def main_text(html: str | None) -> str:
     in_article = any(b.article and not b.around for b in found)
     for b in found:
         b.label = _first_pass(b, in_article)
-    _second_pass(found)
+    _second_pass(found, in_article)
     kept = [b.text for b in found if b.final == "good"]
-    kept = kept or [b.text for b in found if b.label == "near"]
-    if not kept and any(b.label == "short" for b in found):
-        kept = [b.text for b in found if b.label in ("short", "heading")]
+    kept = kept or [b.text for b in found if b.label == "near" and not b.around]
+    if not kept and any(b.label == "short" and not b.around for b in found):
+        kept = [b.text for b in found if b.label in ("short", "heading") and not b.around]
     return "\n\n".join(kept)
 
 

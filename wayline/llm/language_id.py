@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
@@ -202,26 +202,33 @@ def fit(texts: list[tuple[str, str]], lexicon_words: int = 400, lane: int = 256,
     return Model(labels, lexicon, weights, np.exp(moves - moves.max()))
 
 
-def learn(documents: DataFrame, docs_per_language: int = 150, chars_per_doc: int = 20_000, max_languages: int = 512) -> Model:
+def _stretches(text: Column, key: Column, most: int, pieces: int = 20) -> Column:
+    """A text of at most so many characters whole; of a longer one as many characters, in stretches drawn by hash from all over it and cut at white space."""
+    size = most // pieces
+    at = lambda i: F.pmod(F.xxhash64(key, i), F.length(text) - size + 1).cast("int") + 1
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(pieces)), lambda i: F.regexp_replace(F.substring(text, at(i), F.lit(size)), r"^\S*\s|\s\S*$", ""))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(drawn, " "))
+
+
+def learn(documents: DataFrame, docs_per_language: int = 150, chars_per_doc: int = 20_000, docs_in_all: int = 76_800) -> Model:
     """Fit on a bounded sample of the labelled documents whose crc32 remainder isn't 2.
 
-    About docs_per_language documents of each language are taken by a hash of their id, and chars_per_doc characters of
-    each; this bound is all that the driver sees of the corpus. Only text and lang of those rows are used. All languages
-    are learned; a corpus with more than max_languages labels raises an error.
+    At most docs_per_language different documents of each language are drawn by a hash of id, language and text, fewer
+    where there are so many languages that this would be more than docs_in_all (but at least one), and at most
+    chars_per_doc characters of each, in stretches from the whole text; this bound is all that the driver sees of the
+    corpus. Repeated rows count once. Only text and lang of those rows are used. All languages are learned.
     """
     own = documents.select(F.col("doc_id").alias("id"), "text", "lang").where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").count().limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"documents have more than max_languages = {max_languages} different lang values")
+    sizes = own.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
         return Model([], {}, np.zeros((4 * BUCKETS + 1, 0), np.float32), np.zeros((0, 0), np.float32))
-    scale = 1 << 30
-    limits = {r["lang"]: max(1, min(scale, scale * docs_per_language // r["count"])) for r in sizes}
+    scale, each = 1 << 30, max(1, min(docs_per_language, docs_in_all // len(sizes)))
+    limits = {r["lang"]: min(scale, scale * (4 * each + 8) // r["count"]) for r in sizes}
     limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(scale))
-    # The draw takes about docs_per_language of each; rows that repeat an id may be more, of which the first in a fixed order stay.
-    drawn = own.where(draw < limit).select("lang", F.left("text", F.lit(chars_per_doc)).alias("text"), draw.alias("draw"), F.xxhash64("text").alias("tie"))
-    chosen = drawn.orderBy("draw", "lang", "tie").limit(2 * docs_per_language * len(limits)).collect()
+    key = F.xxhash64("id", "lang", "text")
+    drawn = own.withColumn("key", key).where(F.pmod("key", F.lit(scale)) < limit).select("lang", "key", _stretches(F.col("text"), F.col("key"), chars_per_doc).alias("text")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(scale)), "key", "text"))  # some four times as many as stay
+    chosen = drawn.withColumn("nr", first).where(F.col("nr") <= each).collect()
     return fit(sorted((r["lang"], r["text"]) for r in chosen))
 
 
@@ -258,9 +265,12 @@ class Labeller:
             self.places.update((chunks[i], self.used + j) for j, i in enumerate(part))
             self.used += len(rows)
 
-    def label(self, texts: list[str | None], words: bool = False) -> list[tuple[str, float]] | list[list[tuple[str, str]]]:
-        """(language, score) of each text; with words, the labelled words of each text instead."""
-        out: list = [[] if words else ("und", 0.0) for _ in texts]
+    def label(self, texts: list[str | None], words: bool = False) -> list[tuple[str, float, float]] | list[list[tuple[str, str]]]:
+        """(language, score, certainty) of each text; with words, the labelled words of each text instead.
+
+        score is the language's expected share of the words, certainty the mean of what each word's likeliest label has.
+        """
+        out: list = [[] if words else ("und", 0.0, 0.0) for _ in texts]
         if not self.model.labels:
             return out
         waiting, size = [], 0
@@ -294,11 +304,12 @@ class Labeller:
         sizes = np.array([len(x[1]) for x in waiting])
         starts = np.cumsum(sizes) - sizes
         factors = self.factors[np.concatenate([x[1] for x in waiting])]
-        sums = np.zeros((len(waiting), factors.shape[1]), np.float64)
+        sums, sure = np.zeros((len(waiting), factors.shape[1]), np.float64), np.zeros(len(waiting))
         best = np.empty(len(factors), np.int64) if words else None
 
         def on_word(at, before, after, posterior):
             sums[: len(at)] += posterior
+            sure[: len(at)] += posterior.max(axis=1)
             if best is not None:
                 best[at] = posterior.argmax(axis=1)
 
@@ -309,7 +320,7 @@ class Labeller:
                 out[i] = [(c, self.model.labels[j]) for c, j in zip(chunks, best[starts[k] : starts[k] + sizes[k]])]
             else:
                 top = int(shares[k].argmax())
-                out[i] = (self.model.labels[top], min(1.0, float(shares[k][top])))
+                out[i] = (self.model.labels[top], min(1.0, float(shares[k][top])), min(1.0, float(sure[k] / sizes[k])))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -335,8 +346,12 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The document rows, with all their columns, that have a language and reach least_score."""
+def keep_identified(documents: DataFrame, model: Model, least_certainty: float = 0.5) -> DataFrame:
+    """The document rows, with all their columns, whose words are labelled with at least this certainty on average.
+
+    What counts is each word's own label, so a text that switches between languages stays. Null and empty texts and those
+    without a letter go; repeated rows go or stay alike; an empty table stays empty.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
 
@@ -344,7 +359,7 @@ def keep_identified(documents: DataFrame, model: Model, least_score: float = 0.5
         labeller = Labeller(shared.value)
         for batch in batches:
             found = labeller.label(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([x[0] != "und" and x[1] >= least_score for x in found], pa.bool_()))
+            yield batch.filter(pa.array([x[0] != "und" and x[2] >= least_certainty for x in found], pa.bool_()))
         pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return documents.mapInArrow(run, documents.schema)

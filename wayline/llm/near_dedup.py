@@ -218,6 +218,8 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int, pe
     sketched = stored(
         docs.mapInArrow(_sketches(width, SKETCH), "id long, key long, n long, one long, two long, sketch array<long>, bits array<long>"), "sketches"
     )
+    repeated = sketched.where("n > 0").groupBy("id", "key").count().where("count > 1")
+    repeats = not repeated.isEmpty()
     # The document that stands for a class is told by id and text: ids may be null or repeated.
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     classes = stored(
@@ -233,8 +235,20 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int, pe
         # At most BUCKETS rows are broadcast, whatever the corpus.
         near = F.broadcast(wanted.select(bucket("rep_key").alias("bucket")).distinct())
         some = docs.withColumn("bucket", bucket(F.col("key"))).join(near, "bucket", "left_semi")
-        same = some["id"].eqNullSafe(F.col("rep_id")) & (some["key"] == F.col("rep_key"))
-        return some.join(wanted, same).select(*tasks.columns, "one", "two", "text")
+
+        def met(rows: DataFrame, tasks_: DataFrame) -> DataFrame:
+            same = rows["id"].eqNullSafe(F.col("rep_id")) & (rows["key"] == F.col("rep_key"))
+            return rows.join(tasks_, same).select(*tasks.columns, "one", "two", "text")
+
+        if not repeats:
+            return met(some, wanted)
+        # Rows that share id and text are made one before their text goes to each of its tasks; others travel as they are.
+        own = (F.xxhash64("rep_id", "rep_key"), F.xxhash64("id", "key"))
+        many = repeated.select(F.xxhash64("id", "key").alias("doc"))
+        of_many = wanted.withColumn("doc", own[0]).join(many, "doc", "left_semi").drop("doc")
+        of_one = wanted.withColumn("doc", own[0]).join(many, "doc", "left_anti").drop("doc")
+        once = some.withColumn("doc", own[1]).join(many, "doc", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
+        return met(some, of_one).unionByName(met(once, of_many))
 
     def in_blocks(pairs: DataFrame) -> DataFrame:
         """Texts of the pairs (hub, uid) in blocks of about BLOCK members, each led by the hub's text."""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.spans import digits_of, joined, marked, matches, of_kind, passes_luhn
+from wayline.llm.spans import digits_of, joined, marked, matches, of_kind, outermost, passes_luhn
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -42,11 +42,13 @@ HINTS = {
     "phone": r"(?i)(phone|tel|call|fax|mobile|handy|móvil|appel)\w*\W*$",
 }
 
-FEATURES = {"length": 5, "marks": 4, "before": 3, "after": 3, "hint": 2, "variety": 3}
+FEATURES = {"length": 5, "marks": 4, "before": 3, "after": 3, "hint": 2, "variety": 3, "check": 2}
 """Features and how many values each has, from 0."""
 
 TREES = 12
 PRECISION = 0.95
+SURE = 1.645
+"""How many standard deviations the precision's lower bound lies below what was counted."""
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -75,6 +77,25 @@ def _step(value: Column, limits: list[int]) -> Column:
     return out
 
 
+def _check(m: Column, kind: str) -> Column:
+    """Whether a candidate passes the test that its kind has for itself: check digit, octets, a domain of two parts, a number of digits."""
+    digits = digits_of(m["text"])
+    if kind == "card":
+        return F.length(digits).between(13, 19) & passes_luhn(digits)
+    if kind == "ip":
+        return m["text"].rlike(_IPV4) | m["text"].rlike(_IPV6)
+    return m["text"].rlike(r"(?i)[.\])]\x20?[A-Za-z]{2,}$") if kind == "email" else F.length(digits).between(10, 15)
+
+
+def least_precision(good: float, bad: float) -> float:
+    """Lower confidence bound of a share of good ones (score interval); 0 where nothing was counted."""
+    n = good + bad
+    if not n:
+        return 0.0
+    p, z = good / n, SURE * SURE
+    return (p + z / (2 * n) - SURE * math.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+
 def _valid(m: Column, kind: str) -> Column:
     """The label of a candidate: whether it is right as data of its kind, however it is written."""
     body, digits, announced = m["text"], digits_of(m["text"]), m["before"].rlike(HINTS[kind])
@@ -101,7 +122,7 @@ def _candidate(m: Column, kind: str) -> Column:
         m["start"].alias("start"), m["end"].alias("end"),
         _step(size, [8, 12, 16, 24]).alias("length"), _step(marks, [1, 2, 4]).alias("marks"),
         edge(m["before"], True).alias("before"), edge(m["after"], False).alias("after"),
-        m["before"].rlike(HINTS[kind]).cast("int").alias("hint"), _step(kinds_of_char, [4, 8]).alias("variety"),
+        m["before"].rlike(HINTS[kind]).cast("int").alias("hint"), _step(kinds_of_char, [4, 8]).alias("variety"), _check(m, kind).cast("int").alias("check"),
         _valid(m, kind).alias("good"),
     )
 
@@ -165,8 +186,10 @@ def learn(documents: DataFrame, text_col: str = "text") -> Model:
     """Count candidates of all documents by their features, grow trees on four fifths of them and calibrate on the rest.
 
     A kind's threshold is the lowest score from which on PRECISION of the calibration part's candidates have a good label,
-    and also PRECISION of those among them that no base span covers, which are the ones to be added; kinds without
-    such a score get no further spans. Where the calibration part has no candidate of a kind, the others calibrate it.
+    and from which on the lower confidence bound of that share, among those that no base span covers, which are the
+    ones to be added, reaches PRECISION, too; kinds without such a score get no further spans. So some fifty right
+    candidates must have been seen before any is added. Where the calibration part has no candidate of a kind, the
+    others calibrate it.
     """
     text = F.col("text")
     rows = documents.select(F.col(text_col).alias("text")).where("text is not null")
@@ -203,7 +226,7 @@ def learn(documents: DataFrame, text_col: str = "text") -> Model:
             counts[more][0] += p
             counts[more][1] += n
             good, bad = (counts[True][j] + counts[False][j] for j in (0, 1))
-            sure = good >= PRECISION * (good + bad) and counts[True][0] >= PRECISION * sum(counts[True])
+            sure = good >= PRECISION * (good + bad) and least_precision(*counts[True]) >= PRECISION
             if (i + 1 == len(scored) or scored[i + 1][0] < score) and sure:
                 model.thresholds[k] = score
         if k in model.thresholds:
@@ -260,15 +283,10 @@ def redact(documents: DataFrame, model: Model | None = None, text_col: str = "te
     model = learn(documents, text_col) if model is None else model
     rows = _spans(documents, model, text_col)
     text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
-
-    done = F.aggregate(F.array_sort(F.concat("base_", "more_")), first, step)
-    rows = rows.withColumn("done_", F.when(F.size("base_") + F.size("more_") > 0, done))
-    new = F.when(F.col("done_").isNull(), text).otherwise(F.concat(F.array_join("done_.out", ""), F.substring(text, F.col("done_.at") + 1, F.length(text))))
-    rows = rows.withColumn(text_col, new).drop("base_", "more_", "done_")
+    ordered = F.array_sort(F.concat("base_", "more_"))
+    rows = rows.withColumn("spans_", F.when(F.size("base_") + F.size("more_") > 0, outermost(ordered)))
+    pieces = F.transform("spans_", lambda s: F.concat(F.substring(text, s["from"] + 1, s["start"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    tail = F.substring(text, F.array_max(F.transform(ordered, lambda s: s["end"])) + 1, F.length(text))
+    new = F.when(F.col("spans_").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    rows = rows.withColumn(text_col, new).drop("base_", "more_", "spans_")
     return rows.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in rows.columns else rows

@@ -52,6 +52,26 @@ def marked(found: Column, kind: str, order: int) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("place"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def outermost(spans: Column) -> Column:
+    """Of spans in order those that begin at or behind the furthest end of all before them: array of struct(from, start, kind), from being that end.
+
+    Furthest ends are folded by blocks, as places of matches are.
+    """
+    block = lambda k: F.slice(spans, k * BLOCK + 1, F.lit(BLOCK))
+    reach = lambda k: F.array_max(F.transform(block(k), lambda s: s["end"]))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda state, k: F.struct(F.greatest(state["at"], reach(k)).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+    begins = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), begin, add, lambda s: s["out"])
+    none = F.array().cast("array<struct<from:int,start:int,kind:string>>")
+
+    def step(state: Column, s: Column) -> Column:
+        span = F.struct(state["at"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))
+        kept = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(span))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), kept.alias("out"))
+
+    return F.flatten(F.transform(begins, lambda at, k: F.aggregate(block(k), F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])))
+
+
 def of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
