@@ -15,27 +15,30 @@ from wayline.llm.queries import table, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that at least half of their words are expected to be in."""
-    return language_id.keep_identified(docs, language_id.learn(docs), least_score=0.5)
+    """Documents whose words have a language, be it one or several in turn; null and empty texts and those without letters go."""
+    return language_id.keep_identified(docs, language_id.learn(docs), least_certainty=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, four fifths), that with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, four fifths), that with the smallest id.
+
+    Of rows that share id and text one stays; texts without words are no duplicates of anything.
+    """
     return near_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs; null texts have none, repeated rows go or stay alike."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null and empty texts and repeated rows stay as they are."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 4096 tokens."""
+    """The documents' pieces in sequences of 4096 tokens; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
