@@ -34,6 +34,18 @@ def octant(degrees: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, OCTANTS)), place + 1)
 
 
+def widest_separation_deg(bearings: Column) -> Column:
+    """The largest angle between two of a few bearings in degrees, the shorter way round the circle; 0 for fewer than two, null for null."""
+    apart = lambda a, b: F.least(F.pmod(a - b, F.lit(360.0)), F.pmod(b - a, F.lit(360.0)))
+    return F.coalesce(F.array_max(F.transform(bearings, lambda a: F.array_max(F.transform(bearings, lambda b: apart(a, b))))), F.when(bearings.isNotNull(), F.lit(0.0)))
+
+
+def single_sigma(n: Column, mean_dist: Column, worst_ambiguity: Column, shape: Column, base: float = 0.09, penalty: float = 1.0) -> Column:
+    """Uncertainty of a measurement from one picture: base * shape, blown up by ambiguity; null where it isn't to be used, that is too ambiguous (0.4) or a single tag too far away (2 m)."""
+    usable = (worst_ambiguity < 0.4) & ((n > 1) | (mean_dist <= 2))
+    return F.when(usable, base * shape / F.pow(1 - worst_ambiguity, F.lit(2.0)) * penalty)
+
+
 def field_cell(x: Column, y: Column) -> Column:
     """Number of the half-metre cell, truncated toward zero; null off the grid."""
     cx, cy = (x / CELL_M).cast("int"), (y / CELL_M).cast("int")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,30 +85,22 @@ def banded(rows: DataFrame, key: Column, limits: list[float], value: str, keys:
     )
 
 
-def normal_sums(rows: DataFrame, keys: list[str], inputs: list[str], target: str) -> DataFrame:
-    """The sums of the normal equations of a least-squares fit: one small row per key, made by partial aggregation."""
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(inputs) for j, b in enumerate(inputs) if j >= i]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *[F.sum(F.col(a) * F.col(target)).alias(f"t_{i}") for i, a in enumerate(inputs)])
-
-
-def least_squares(rows: DataFrame, keys: list[str], inputs: list[str], target: str) -> DataFrame:
-    """Coefficients c_0, c_1, ... of target on the inputs per key, by elimination on the summed normal equations."""
-    n = len(inputs)
-    table = normal_sums(rows, keys, inputs, target)
-    a = {(i, j): F.col(f"s_{min(i, j)}_{max(i, j)}") for i in range(n) for j in range(n)}
-    b = {i: F.col(f"t_{i}") for i in range(n)}
-    for i in range(n):  # each step adds its columns, so expressions stay short
-        for j in range(i + 1, n):
-            part = a[j, i] / a[i, i]
-            table = table.withColumns({f"a_{i}_{j}_{k}": a[j, k] - part * a[i, k] for k in range(i + 1, n)} | {f"b_{i}_{j}": b[j] - part * b[i]})
-            a.update({(j, k): F.col(f"a_{i}_{j}_{k}") for k in range(i + 1, n)})
-            b[j] = F.col(f"b_{i}_{j}")
-    for i in range(n - 1, -1, -1):
-        rest = b[i]
-        for k in range(i + 1, n):
-            rest = rest - a[i, k] * F.col(f"c_{k}")
-        table = table.withColumn(f"c_{i}", rest / a[i, i])
-    return table.select(*keys, "n", *[f"c_{i}" for i in range(n)])
+def controlled(rows: DataFrame, controls: list[str], levels: list[tuple[str, ...]], group: str, groups: list[str], value: str) -> DataFrame:
+    """Two groups side by side under each set of controls: the controls (null where not held), <group>_n, _median and _out (percent over 1), and better, the group with the smaller median.
+
+    Rows are dealt out once to all sets of controls; medians are exact and don't gather a cell's values in one task.
+    """
+    from wayline.operators import quantiles as Qn
+
+    ways = [F.struct(F.lit(i).alias("level"), *[(F.col(c) if c in held else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in controls]) for i, held in enumerate(levels)]
+    each = rows.select(group, value, F.inline(F.array(*ways)))
+    keys = ["level", *controls, group]
+    cells = each.groupBy(*keys).agg(F.count("*").alias("n"), r6(100.0 * F.count_if(F.col(value) > 1) / F.count("*")).alias("out"))
+    cells = Qn.with_quantiles(cells, each, keys, value, median=Qn.MEDIAN)
+    side = cells.groupBy("level", *controls).pivot(group, groups).agg(F.first("n").alias("n"), r6(F.first("median")).alias("median"), F.first("out").alias("out"))
+    a, b = (F.col(f"{g}_median") for g in groups)
+    side = side.withColumn("better", F.when(a < b, groups[0]).when(a.isNotNull() & b.isNotNull(), groups[1]))
+    return side.withColumns({f"{g}_n": F.coalesce(f"{g}_n", F.lit(0)) for g in groups}).drop("level")
 
 
 def previous(rows: DataFrame, order: str, columns: dict[str, str]) -> DataFrame:
@@ -119,3 +116,71 @@ def previous(rows: DataFrame, order: str, columns: dict[str, str]) -> DataFrame:
     ends = ends.select(F.lead("_part").over(Window.orderBy("_part")).alias("_part"), "_last")
     joined = here.join(F.broadcast(ends), "_part", "left")  # a row for each partition
     return joined.select(*rows.columns, *[F.when(F.col("_nr") == 1, F.col("_last")[v]).otherwise(F.col(f"_p_{k}")).alias(k) for k, v in columns.items()])
+
+
+def _solved(inputs: int, least_rows: int):
+    """Solve the normal equations of each key: Cholesky's rows in the order of the largest remaining pivot, as far as pivots tell from rounding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            status, ranks, fits, before, after = [], [], [], [], []
+            for n, rows, square, moments, target in zip(*(batch.column(c).to_pylist() for c in ("n", "rows", "square", "moments", "target"))):
+                a, t = np.zeros((inputs, inputs)), np.array(moments)
+                a[np.triu_indices(inputs)] = square
+                a = a + np.triu(a, 1).T
+                enough = n >= least_rows
+                fit, rank = _cholesky(a, t) if enough else (None, None)
+                status.append("success" if enough else "insufficient")
+                ranks.append(rank)
+                fits.append(None if fit is None else fit.tolist())
+                before.append(math.sqrt(target / rows) if enough else None)
+                after.append(math.sqrt(max(0.0, target - float(fit @ t)) / rows) if enough else None)
+            for name, values, kind in (("status", status, pa.string()), ("rank", ranks, pa.int32()), ("fit", fits, pa.list_(pa.float64())), ("rms_before", before, pa.float64()), ("rms_after", after, pa.float64())):
+                batch = batch.append_column(name, pa.array(values, kind))
+            yield batch.drop_columns(["rows", "square", "moments", "target"])
+
+    return run
+
+
+def _cholesky(a: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, int]:
+    """A solution of a @ x = t for a positive semidefinite a, unknowns that it can't tell being 0, and its rank."""
+    d, left, order = len(t), np.zeros_like(a), []
+    rest = a.copy()
+    for k in range(d):
+        free = [i for i in range(d) if i not in order]
+        p = max(free, key=lambda i: rest[i, i])
+        if rest[p, p] <= 1e-10 * max(a.diagonal().max(), 1e-300):
+            break
+        order.append(p)
+        left[:, k] = rest[:, p] / math.sqrt(rest[p, p])
+        rest -= np.outer(left[:, k], left[:, k])
+    rank = len(order)
+    triangle = left[order, :rank]
+    x = np.zeros(d)
+    y = np.zeros(rank)
+    for i in range(rank):
+        y[i] = (t[order[i]] - triangle[i, :i] @ y[:i]) / triangle[i, i]
+    for i in range(rank - 1, -1, -1):
+        x[order[i]] = (y[i] - triangle[i + 1 :, i] @ x[order[i + 1 :]]) / triangle[i, i]
+    return x, rank
+
+
+def fitted(rows: DataFrame, keys: list[str], equations: list[tuple[list[Column], Column]], least_rows: int) -> DataFrame:
+    """Per key a least-squares fit of unknowns that several equations of each row share: n, status, rank, fit, rms_before, rms_after.
+
+    An equation is its coefficients of the unknowns and its target. Only sums of products are added up, one small row for
+    each key; residuals after the fit follow from them. Keys with fewer than least_rows rows are insufficient and have
+    no fit; unknowns that the rows can't tell apart from others are 0, and rank says how many were told. A row with a
+    null coefficient or target is left out.
+    """
+    count = len(equations[0][0])
+    parts = F.array(*[F.struct(F.array(*[c.cast("double") for c in left]).alias("a"), right.cast("double").alias("b")) for left, right in equations])
+    whole = rows.select(*keys, parts.alias("_e")).where(F.forall("_e", lambda e: e["b"].isNotNull() & F.forall(e["a"], lambda c: c.isNotNull())))
+    dot = lambda f: F.sum(F.aggregate("_e", F.lit(0.0), lambda s, e: s + f(e)))
+    pairs = [(i, j) for i in range(count) for j in range(i, count)]
+    sums = whole.groupBy(*keys).agg(
+        F.count("*").alias("n"), (F.count("*") * len(equations)).alias("rows"), F.array(*[dot(lambda e, i=i, j=j: e["a"][i] * e["a"][j]) for i, j in pairs]).alias("square"),
+        F.array(*[dot(lambda e, i=i: e["a"][i] * e["b"]) for i in range(count)]).alias("moments"), dot(lambda e: e["b"] * e["b"]).alias("target"),
+    )
+    schema = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
+    return sums.mapInArrow(_solved(count, least_rows), f"{schema}, n long, status string, rank int, fit array<double>, rms_before double, rms_after double")

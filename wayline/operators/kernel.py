@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayline.operators.folds import anchored_dedup, anchors, peak_groups
 
 __all__ = [
-    "anchored_dedup", "anchored_groups", "anchors", "asof_backward", "asof_forward", "asof_nearest", "gap_sessions", "hysteresis", "interpolate_join", "lerp", "lerp_angle_deg", "merge_close", "peak_groups",
+    "anchored_dedup", "anchored_groups", "anchors", "asof_backward", "asof_forward", "asof_many", "asof_nearest", "gap_sessions", "hysteresis", "interpolate_join", "lerp", "lerp_angle_deg", "merge_close", "peak_groups",
     "range_join", "runs", "threshold_runs",
 ]
 
@@ -79,6 +79,31 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: lis
     return _unpacked(rows, left, **extra)
 
 
+def asof_many(left: DataFrame, streams: dict[str, tuple[DataFrame, list[str], int]], keys: list[str]) -> DataFrame:
+    """Left rows with, for each stream (rows, columns, tolerance in us), the columns of its nearest row within the tolerance, as <stream>_<column>, null if none.
+
+    All streams and the left rows are one union, dealt and sorted once each way for all streams together. Of two equally
+    near rows the later wins; of rows at one microsecond before or at the left row the last by seq, after it the first.
+    """
+    columns = lambda side: [*keys, "ts_us", F.col("seq").alias("_seq"), F.lit(side).alias("_side")]
+    rows = left.select(*columns(1), F.struct(*left.columns).alias("_l"))
+    for name, (stream, values, _) in streams.items():
+        rows = rows.unionByName(stream.select(*columns(0), F.struct(F.col("ts_us").alias("ts_us"), *values).alias(f"_r_{name}")), allowMissingColumns=True)
+    upto = Window.unboundedPreceding, Window.currentRow
+    back = Window.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(*upto)
+    ahead = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in _ORDER]).rowsBetween(*upto)
+    rows = rows.withColumns({f"_b_{n}": F.last(f"_r_{n}", ignorenulls=True).over(back) for n in streams})
+    rows = rows.withColumns({f"_a_{n}": F.last(f"_r_{n}", ignorenulls=True).over(ahead) for n in streams}).where("_l is not null")
+    out = {}
+    for name, (_, values, tolerance) in streams.items():
+        b, a = F.col(f"_b_{name}"), F.col(f"_a_{name}")
+        gap_b, gap_a = F.col("ts_us") - b["ts_us"], a["ts_us"] - F.col("ts_us")
+        later = gap_b.isNull() | (gap_a <= gap_b)
+        near = F.least(gap_b, gap_a) <= tolerance
+        out |= {f"{name}_{v}": F.when(near, F.when(F.coalesce(later & a.isNotNull(), F.lit(False)), a[v]).otherwise(b[v])) for v in values}
+    return rows.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[c.alias(n) for n, c in out.items()])
+
+
 def lerp(a: Column, b: Column, part: Column) -> Column:
     return a + (b - a) * part
 

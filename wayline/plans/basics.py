@@ -298,19 +298,6 @@ def distance_band_table(spark, sf):
     return B.banded(rows, F.col("dist"), _BANDS, "v", ["camera"])
 
 
-@query("two_group_by_band", over("tags", "frames", sql=f"""
-    SELECT *, CASE WHEN a_mean <= b_mean THEN 'a' ELSE 'b' END AS better FROM (
-      SELECT {_BAND_SQL} AS band, round(avg(ambiguity) FILTER (camera = 'cam-a'), 6) AS a_mean, count(*) FILTER (camera = 'cam-a') AS a_n,
-             round(avg(ambiguity) FILTER (camera = 'cam-b'), 6) AS b_mean, count(*) FILTER (camera = 'cam-b') AS b_n
-      FROM tags JOIN frames USING (frame_id) GROUP BY ALL)"""))
-def two_group_by_band(spark, sf):
-    band = F.least(F.floor("dist"), F.lit(4)).cast("int")
-    rows = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").withColumn("band", band)
-    pivot = rows.groupBy("band").pivot("camera", ["cam-a", "cam-b"]).agg(r6(F.avg("ambiguity")).alias("mean"), F.count("ambiguity").alias("n"))
-    pivot = pivot.toDF("band", "a_mean", "a_n", "b_mean", "b_n")
-    return pivot.withColumn("better", F.when(F.col("a_mean") <= F.col("b_mean"), "a").otherwise("b"))
-
-
 @query("distinct_payloads", over("samples", sql="""
     SELECT log_id, signal, count(*) AS n, count(DISTINCT floor(v_double)) AS kinds, arg_min(v_double, (ts_us, seq)) AS first_v, arg_max(v_double, (ts_us, seq)) AS last_v, count(DISTINCT floor(v_double)) = 1 AS constant
     FROM samples GROUP BY ALL"""))
@@ -348,13 +335,6 @@ def per_offset_window_stats(spark, sf):
     return rows.groupBy("log_id", F.floor((F.col("ts_us") - F.col("a")) / 1e6).alias("second")).agg(F.count("*").alias("n"), r6(F.avg("v_double")).alias("mean_v"))
 
 
-@query("grouped_least_squares", over("tags", "frames", sql="""
-    SELECT camera, count(*) AS n, round(regr_intercept(ambiguity, dist), 5) AS c_0, round(regr_slope(ambiguity, dist), 5) AS c_1 FROM tags JOIN frames USING (frame_id) GROUP BY ALL"""))
-def grouped_least_squares(spark, sf):
-    rows = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").withColumn("one", F.lit(1.0))
-    return B.least_squares(rows, ["camera"], ["one", "dist"], "ambiguity").select("camera", "n", F.round("c_0", 5).alias("c_0"), F.round("c_1", 5).alias("c_1"))
-
-
 # Windows
 
 _W = "OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq"

@@ -153,23 +153,3 @@ def residual_vs_speed(spark, sf):
     path = A.odometry(spark, sf).withColumns({"dx": change("x"), "dy": change("y"), "dt": change("ts_us")})
     path = path.withColumn("speed", F.when(F.col("dt") > 0, F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) / (F.col("dt") / 1e6)).otherwise(0.0))
     return K.asof_forward(A.vision(spark, sf), path, ["log_id"], ["speed"]).where("speed <= 8").select("seq", F.round("speed", 3).alias("speed"))
-
-
-_TR = """SELECT l.seq, CASE WHEN abs(l.v_double - v.r) <= abs(l.v_double - e.r) THEN 'view' ELSE 'error' END AS follows FROM (SELECT * FROM samples WHERE signal = 'click') l
-    ASOF JOIN (SELECT log_id, ts_us, max_by(v_double, seq) AS r FROM samples WHERE signal = 'view' GROUP BY ALL) v ON l.log_id = v.log_id AND l.ts_us >= v.ts_us
-    ASOF JOIN (SELECT log_id, ts_us, max_by(v_double, seq) AS r FROM samples WHERE signal = 'error' GROUP BY ALL) e ON l.log_id = e.log_id AND l.ts_us >= e.ts_us WHERE abs(v.r - e.r) > 30"""
-
-
-@query("tracked_reference", over("samples", sql=_TR))
-def tracked_reference(spark, sf):
-    rows = studies.multi_source_heading(spark, sf).join(A.samples(spark, sf).select("seq", "v_double"), "seq").where("abs(view_v - error_v) > 30")
-    nearer = F.abs(F.col("v_double") - F.col("view_v")) <= F.abs(F.col("v_double") - F.col("error_v"))
-    return rows.select("seq", F.when(nearer, "view").otherwise("error").alias("follows"))
-
-
-@query("accepted_measurements", over("vision", "odometry", sql="""
-    SELECT v.camera, CASE WHEN tag_count >= 2 THEN 'none' ELSE 'tags' END AS reason, count(*) AS n, count(CASE WHEN v.ts_us - b.ts_us <= 50000 OR a.ts_us - v.ts_us <= 50000 THEN 1 END) AS joined
-    FROM vision v ASOF LEFT JOIN (SELECT DISTINCT log_id, ts_us FROM odometry) b ON v.log_id = b.log_id AND v.ts_us > b.ts_us ASOF LEFT JOIN (SELECT DISTINCT log_id, ts_us FROM odometry) a ON v.log_id = a.log_id AND v.ts_us <= a.ts_us GROUP BY ALL"""))
-def accepted_measurements(spark, sf):
-    rows = K.asof_nearest(A.vision(spark, sf), A.odometry(spark, sf).withColumnRenamed("x", "ox"), ["log_id"], ["ox"], 50_000)
-    return rows.groupBy("camera", F.when(F.col("tag_count") >= 2, "none").otherwise("tags").alias("reason")).agg(F.count("*").alias("n"), F.count("ox").alias("joined"))

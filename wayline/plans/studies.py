@@ -61,21 +61,6 @@ def clean_event_text(spark, sf):
     return A.console(spark, sf).select("seq", D.clean_text(marked).alias("text"))
 
 
-@query("classify_type", over("samples", sql="SELECT seq, CASE signal WHEN 'click' THEN 'double' WHEN 'view' THEN 'int64' WHEN 'error' THEN 'struct' ELSE 'unknown' END AS type FROM samples"))
-def classify_type(spark, sf):
-    declared = F.when(F.col("signal") == "click", "double").when(F.col("signal") == "view", "int64").when(F.col("signal") == "error", "struct:Pose2d").otherwise("odd")
-    known = F.create_map(*[F.lit(x) for t in ("boolean", "double", "float", "int64", "string", "raw") for x in (t, t)], F.lit("rawBytes"), F.lit("raw"))
-    rows = A.samples(spark, sf).withColumn("declared", declared)
-    return rows.select("seq", F.coalesce(F.try_element_at(known, F.col("declared")), F.when(F.col("declared").startswith("struct:"), "struct").otherwise("unknown")).alias("type"))
-
-
-@query("decode_struct", over("odometry", sql="SELECT seq, x, y FROM odometry"))
-def decode_struct(spark, sf):
-    """Two doubles packed as bytes and read back by an Arrow function, as struct payloads are."""
-    packed = A.odometry(spark, sf).select("seq", D.pack_doubles("x", "y").alias("raw"))
-    return packed.select("seq", D.unpack_pair("raw").alias("p")).select("seq", "p.x", "p.y")
-
-
 # Clocks
 
 
@@ -153,17 +138,6 @@ def event_window_extract(spark, sf):
     return s.join(anchors, "log_id").where("ts_us between a - 100000 and a + 500000").select("seq", (F.col("ts_us") - F.col("a")).alias("rel_us"))
 
 
-@query("multi_source_heading", over("samples", sql="""
-    SELECT l.seq, v.r AS view_v, e.r AS error_v FROM (SELECT * FROM samples WHERE signal = 'click') l
-    ASOF LEFT JOIN (SELECT log_id, ts_us, max_by(v_double, seq) AS r FROM samples WHERE signal = 'view' GROUP BY ALL) v ON l.log_id = v.log_id AND l.ts_us >= v.ts_us
-    ASOF LEFT JOIN (SELECT log_id, ts_us, max_by(v_double, seq) AS r FROM samples WHERE signal = 'error' GROUP BY ALL) e ON l.log_id = e.log_id AND l.ts_us >= e.ts_us"""))
-def multi_source_heading(spark, sf):
-    s = A.samples(spark, sf)
-    side = lambda name: s.where(F.col("signal") == name).select("log_id", "ts_us", "seq", F.col("v_double").alias(f"{name}_v"))
-    rows = K.asof_backward(s.where("signal = 'click'"), side("view"), ["log_id"], ["view_v"])
-    return K.asof_backward(rows, side("error"), ["log_id"], ["error_v"]).select("seq", "view_v", "error_v")
-
-
 _DW = """SELECT l.*, abs(l.v_double - v.r) AS d FROM (SELECT * FROM samples WHERE signal = 'click') l
     ASOF JOIN (SELECT log_id, ts_us, max_by(v_double, seq) AS r FROM samples WHERE signal = 'view' GROUP BY ALL) v ON l.log_id = v.log_id AND l.ts_us >= v.ts_us"""
 

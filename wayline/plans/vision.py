@@ -62,14 +62,6 @@ def parse_tag_array(spark, sf):
     return found.select("frame_id", F.size("t").cast("bigint").alias("n"), r6(F.array_min("t.dist_camera")).alias("nearest"))
 
 
-@query("tag_geometry_terms", over("tags", sql="SELECT frame_id, round(sum(1 / (dist * dist)), 6) AS harmonic, round(coalesce(stddev_pop(dist), 0), 6) AS spread, round(max(tag_id * 11.25e0) - min(tag_id * 11.25e0), 6) AS baseline FROM tags GROUP BY ALL"))
-def tag_geometry_terms(spark, sf):
-    bearing = F.col("tag_id") * 11.25
-    return A.tags(spark, sf).groupBy("frame_id").agg(
-        r6(F.sum(1 / (F.col("dist") * F.col("dist")))).alias("harmonic"), r6(F.stddev_pop("dist")).alias("spread"), r6(F.max(bearing) - F.min(bearing)).alias("baseline")
-    )
-
-
 # Poses
 
 
@@ -163,11 +155,6 @@ def vision_residuals(spark, sf):
     return residuals(spark, sf).select("seq", F.round("res", 5).alias("res"))
 
 
-@query("vision_frames", over("vision", sql="SELECT log_id, camera, count(*) AS frames, count(*) FILTER (tag_count >= 2) AS multi, round(avg(latency_ms), 6) AS latency FROM vision GROUP BY ALL"))
-def vision_frames(spark, sf):
-    return A.vision(spark, sf).groupBy("log_id", "camera").agg(F.count("*").alias("frames"), F.count_if(F.col("tag_count") >= 2).alias("multi"), r6(F.avg("latency_ms")).alias("latency"))
-
-
 @query("divergence_events", rs("""
     SELECT log_id, camera, min(ts_us) AS start_us, max(coalesce(nxt, ts_us)) AS end_us, count(*) AS n, round(max(res), 5) AS peak FROM (
       SELECT *, sum(c) OVER (PARTITION BY log_id, camera ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS run FROM (
@@ -190,13 +177,6 @@ def log_ranking(spark, sf):
     return m.withColumn("place", F.row_number().over(Window.orderBy("median_r", "log_id")))  # one row per log
 
 
-@query("log_change_detection", rs("""
-    SELECT log_id, round(100 * (m - p) / p, 2) AS change_pct, abs(m - p) > .3 * p AS changed FROM (SELECT log_id, m, lag(m) OVER (ORDER BY log_id) AS p FROM (SELECT log_id, median(res) AS m FROM res GROUP BY ALL)) WHERE p IS NOT NULL"""))
-def log_change_detection(spark, sf):
-    m = residuals(spark, sf).groupBy("log_id").agg(F.median("res").alias("m")).withColumn("p", F.lag("m").over(Window.orderBy("log_id"))).where("p is not null")
-    return m.select("log_id", F.round(100 * (F.col("m") - F.col("p")) / F.col("p"), 2).alias("change_pct"), (F.abs(F.col("m") - F.col("p")) > 0.3 * F.col("p")).alias("changed"))
-
-
 @query("dropped_frames", over("vision", sql="SELECT log_id, camera, count(*) AS drops FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, camera ORDER BY ts_us, seq) AS gap FROM vision) WHERE gap > 50000 GROUP BY ALL"))
 def dropped_frames(spark, sf):
     rows = A.vision(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time("log_id", "camera")))
