@@ -45,10 +45,10 @@ def numeric_stats(samples: DataFrame) -> DataFrame:
 
 
 def percentile_floor(samples: DataFrame, keys: list[str], q: float, value: str = "v_double") -> DataFrame:
-    """The value at place floor(n * q) of the sorted values, without interpolation."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    rows = samples.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_i", F.row_number().over(order))
-    return rows.where(F.col("_i") == F.least(F.floor(F.col("_n") * q) + 1, F.col("_n"))).select(*keys, F.col(value).alias("p_floor"))
+    """The value at place floor(n * q) of the sorted values, without interpolation, as a double; no group is sorted in one task."""
+    from wayline.operators import quantiles as Qn
+
+    return Qn.quantiles(samples, keys, value, p_floor=Qn.floor_at(q))
 
 
 def gaps(samples: DataFrame, keys: list[str] = SIGNAL) -> DataFrame:
@@ -67,22 +67,25 @@ def mean_rate(samples: DataFrame) -> DataFrame:
 
 
 def active_rate(samples: DataFrame, pause_us: int = 100_000) -> DataFrame:
-    """Median period, that of active stretches (gaps under the pause), and the number of pauses."""
+    """Median period, its tenth and ninetieth percent (by floor), that of active stretches (gaps under the pause), and the number of pauses."""
+    from wayline.operators import quantiles as Qn
+
+    rows = gaps(samples)
     active = F.when(F.col("gap") < pause_us, F.col("gap"))
-    return gaps(samples).groupBy(*SIGNAL).agg(
-        r6(F.median("gap")).alias("median_us"), r6(F.median(active)).alias("active_us"), F.count_if(F.col("gap") >= pause_us).alias("pauses")
-    )
+    found = rows.groupBy(*SIGNAL).agg(r6(F.median("gap")).alias("median_us"), r6(F.median(active)).alias("active_us"), F.count_if(F.col("gap") >= pause_us).alias("pauses"))
+    return Qn.with_quantiles(found, rows, SIGNAL, "gap", p10_us=Qn.floor_at(0.1), p90_us=Qn.floor_at(0.9)).withColumns({c: F.col(c).cast("bigint") for c in ("p10_us", "p90_us")})
 
 
 def banded(rows: DataFrame, key: Column, limits: list[float], value: str, keys: list[str] | None = None) -> DataFrame:
-    """Count, mean, median, largest and share over 1 of a value in half-open bands of a key; rows outside all bands are left out."""
+    """Count, mean, median, p95 (by floor), largest and share over 1 of a value in half-open bands of a key; rows outside all bands are left out."""
+    from wayline.operators import quantiles as Qn
+
     band = F.lit(None).cast("int")
     for i, (a, b) in enumerate(zip(limits, limits[1:])):
         band = F.when((key >= a) & (key < b), F.lit(i)).otherwise(band)
-    return rows.withColumn("band", band).where("band is not null").groupBy(*(keys or []), "band").agg(
-        F.count("*").alias("n"), r6(F.avg(value)).alias("mean_v"), r6(F.median(value)).alias("median_v"), r6(F.max(value)).alias("max_v"),
-        r6(F.avg(F.when(F.col(value) > 1, 100.0).otherwise(0.0))).alias("outlier_pct"),
-    )
+    rows, by = rows.withColumn("band", band).where("band is not null"), [*(keys or []), "band"]
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), r6(F.avg(value)).alias("mean_v"), r6(F.max(value)).alias("max_v"), r6(F.avg(F.when(F.col(value) > 1, 100.0).otherwise(0.0))).alias("outlier_pct"))
+    return Qn.with_quantiles(found, rows, by, value, median_v=Qn.MEDIAN, p95_floor=Qn.floor_at(0.95)).withColumns({c: r6(c) for c in ("median_v", "p95_floor")})
 
 
 def controlled(rows: DataFrame, controls: list[str], levels: list[tuple[str, ...]], group: str, groups: list[str], value: str) -> DataFrame:

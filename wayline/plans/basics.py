@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import basic as B
 from wayline.operators import kernel as K
+from wayline.operators import quantiles as Qn
 from wayline.operators.basic import SIGNAL, by_time, r6
 from wayline.plans.views_sql import over
 from wayline.sources import adapters as A
@@ -249,8 +250,8 @@ def mean_rate_hz(spark, sf):
 
 
 @query("active_rate_profile", over("samples", sql="""
-    SELECT log_id, signal, round(median(gap), 6) AS median_us, round(median(gap) FILTER (gap < 100000), 6) AS active_us, count(*) FILTER (gap >= 100000) AS pauses
-    FROM g WHERE gap IS NOT NULL GROUP BY ALL""", g=_GAPS))
+    SELECT log_id, signal, round(median(gap), 6) AS median_us, list_sort(list(gap))[CAST(least(floor(count(*) * .1) + 1, count(*)) AS BIGINT)] AS p10_us, list_sort(list(gap))[CAST(least(floor(count(*) * .9) + 1, count(*)) AS BIGINT)] AS p90_us,
+      round(median(gap) FILTER (gap < 100000), 6) AS active_us, count(*) FILTER (gap >= 100000) AS pauses FROM g WHERE gap IS NOT NULL GROUP BY ALL""", g=_GAPS))
 def active_rate_profile(spark, sf):
     return B.active_rate(A.samples(spark, sf))
 
@@ -266,7 +267,8 @@ def circular_mean(spark, sf):
     FROM (SELECT log_id, camera, avg(residual_raw) AS m, count(*) AS n, max(residual_raw) AS p FROM frames GROUP BY ALL) GROUP BY ALL"""))
 def weighted_mean_by_count(spark, sf):
     per_log = A.frames(spark, sf).groupBy("log_id", "camera").agg(F.avg("residual_raw").alias("m"), F.count("*").alias("n"), F.max("residual_raw").alias("p"))
-    return per_log.groupBy("camera").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), r6(F.median("m")).alias("median_of_means"), F.max("p").alias("peak"))
+    found = per_log.groupBy("camera").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.max("p").alias("peak"))
+    return Qn.with_quantiles(found, per_log, ["camera"], "m", median_of_means=Qn.MEDIAN).withColumn("median_of_means", r6("median_of_means"))
 
 
 @query("pairwise_agreement_rollup", over("tags", sql="""
@@ -284,7 +286,7 @@ def pairwise_agreement_rollup(spark, sf):
 
 _BANDS = [0.0, 1.0, 2.0, 3.0, 4.0, 100.0]
 _BAND_SQL = "CASE WHEN dist < 1 THEN 0 WHEN dist < 2 THEN 1 WHEN dist < 3 THEN 2 WHEN dist < 4 THEN 3 ELSE 4 END"
-_BANDED = "count(*) AS n, round(avg(ambiguity * 4), 6) AS mean_v, round(median(ambiguity * 4), 6) AS median_v, round(max(ambiguity * 4), 6) AS max_v, round(avg(CASE WHEN ambiguity * 4 > 1 THEN 100.0 ELSE 0.0 END), 6) AS outlier_pct"
+_BANDED = "count(*) AS n, round(avg(ambiguity * 4), 6) AS mean_v, round(median(ambiguity * 4), 6) AS median_v, round(list_sort(list(ambiguity * 4))[CAST(least(floor(count(*) * .95) + 1, count(*)) AS BIGINT)], 6) AS p95_floor, round(max(ambiguity * 4), 6) AS max_v, round(avg(CASE WHEN ambiguity * 4 > 1 THEN 100.0 ELSE 0.0 END), 6) AS outlier_pct"
 
 
 @query("banded_stats", over("tags", sql=f"SELECT {_BAND_SQL} AS band, {_BANDED} FROM tags GROUP BY ALL"))
@@ -310,18 +312,20 @@ def distinct_payloads(spark, sf):
 
 
 @query("descriptive_stats", over("samples", sql="""
-    SELECT log_id, signal, count(*) AS n, round(stddev_pop(v_double), 6) AS std_v, round(quantile_cont(v_double, .01), 6) AS p1, round(quantile_cont(v_double, .99), 6) AS p99 FROM samples GROUP BY ALL"""))
+    SELECT log_id, signal, count(*) AS n, min(v_double) AS min_v, max(v_double) AS max_v, round(avg(v_double), 6) AS mean_v, round(stddev_pop(v_double), 6) AS std_v, round(quantile_cont(v_double, .01), 6) AS p1, round(quantile_cont(v_double, .05), 6) AS p5,
+      round(quantile_cont(v_double, .95), 6) AS p95, round(quantile_cont(v_double, .99), 6) AS p99 FROM samples GROUP BY ALL"""))
 def descriptive_stats(spark, sf):
-    p = F.percentile("v_double", F.array(F.lit(0.01), F.lit(0.99)))
-    found = A.samples(spark, sf).groupBy(*SIGNAL).agg(F.count("*").alias("n"), r6(F.stddev_pop("v_double")).alias("std_v"), p.alias("p"))
-    return found.select(*SIGNAL, "n", "std_v", r6(F.col("p")[0]).alias("p1"), r6(F.col("p")[1]).alias("p99"))
+    s = A.samples(spark, sf)
+    found = s.groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("v_double").alias("min_v"), F.max("v_double").alias("max_v"), r6(F.avg("v_double")).alias("mean_v"), r6(F.stddev_pop("v_double")).alias("std_v"))
+    out = Qn.with_quantiles(found, s, SIGNAL, "v_double", p1=Qn.at(0.01), p5=Qn.at(0.05), p95=Qn.at(0.95), p99=Qn.at(0.99))
+    return out.withColumns({c: r6(c) for c in ("p1", "p5", "p95", "p99")})
 
 
 @query("quantile_profile", over("samples", sql="""
     SELECT signal, round(quantile_cont(v_double, .05), 6) AS q05, round(quantile_cont(v_double, .25), 6) AS q25, round(quantile_cont(v_double, .5), 6) AS q50, round(quantile_cont(v_double, .75), 6) AS q75 FROM samples GROUP BY ALL"""))
 def quantile_profile(spark, sf):
-    found = A.samples(spark, sf).groupBy("signal").agg(F.percentile("v_double", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75)))).alias("p"))
-    return found.select("signal", *[r6(F.col("p")[i]).alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75"))])
+    found = Qn.quantiles(A.samples(spark, sf), ["signal"], "v_double", q05=Qn.at(0.05), q25=Qn.at(0.25), q50=Qn.at(0.5), q75=Qn.at(0.75))
+    return found.select("signal", *[r6(n).alias(n) for n in ("q05", "q25", "q50", "q75")])
 
 
 @query("per_offset_window_stats", over("samples", sql="""

@@ -9,6 +9,7 @@ from wayline.operators import basic as B
 from wayline.operators import clocks as C
 from wayline.operators import folds
 from wayline.operators import kernel as K
+from wayline.operators import quantiles as Qn
 from wayline.operators import robot as R
 from wayline.operators.basic import r6
 from wayline.operators.export import stored
@@ -215,10 +216,9 @@ def camera_pairs(spark, sf):
     SELECT a, b, count(*) AS n, round(avg(d), 4) AS mean_d, round(quantile_cont(d, .95), 3) AS p95_d, round(avg(dyaw), 4) AS mean_yaw, count(*) FILTER (round(o.res - res, 5) > .01) AS a_better, count(*) FILTER (round(res - o.res, 5) > .01) AS b_better FROM cp GROUP BY ALL"""))
 def camera_agreement(spark, sf):
     gap = F.round(F.col("ores") - F.col("res"), 5)
-    return camera_pairs(spark, sf).groupBy("a", "b").agg(
-        F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"), F.round(F.percentile("d", F.lit(0.95)), 3).alias("p95_d"), r4(F.avg("dyaw")).alias("mean_yaw"),
-        F.count_if(gap > 0.01).alias("a_better"), F.count_if(gap < -0.01).alias("b_better"),
-    )
+    rows = camera_pairs(spark, sf)
+    found = rows.groupBy("a", "b").agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"), r4(F.avg("dyaw")).alias("mean_yaw"), F.count_if(gap > 0.01).alias("a_better"), F.count_if(gap < -0.01).alias("b_better"))
+    return Qn.with_quantiles(found, rows, ["a", "b"], "d", p95_d=Qn.at(0.95)).withColumn("p95_d", F.round("p95_d", 3))
 
 
 @query("agreement_series", cp("""
@@ -278,10 +278,9 @@ def pose_kind_divergence(spark, sf):
 @query("pose_kind_summary", pk("""
     SELECT camera, count(*) AS n, round(avg(d), 4) AS mean_d, round(median(d), 4) AS median_d, round(quantile_cont(d, .95), 3) AS p95_d, round(avg(abs(dyaw)), 4) AS mean_yaw, round(avg(res), 4) AS first_r, round(avg(o.res), 4) AS second_r FROM kk GROUP BY ALL"""))
 def pose_kind_summary(spark, sf):
-    return pose_kinds(spark, sf).groupBy("camera").agg(
-        F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"), r4(F.median("d")).alias("median_d"), F.round(F.percentile("d", F.lit(0.95)), 3).alias("p95_d"),
-        r4(F.avg(F.abs("dyaw"))).alias("mean_yaw"), r4(F.avg("res")).alias("first_r"), r4(F.avg("ores")).alias("second_r"),
-    )
+    rows = pose_kinds(spark, sf)
+    found = rows.groupBy("camera").agg(F.count("*").alias("n"), r4(F.avg("d")).alias("mean_d"), r4(F.avg(F.abs("dyaw"))).alias("mean_yaw"), r4(F.avg("res")).alias("first_r"), r4(F.avg("ores")).alias("second_r"))
+    return Qn.with_quantiles(found, rows, ["camera"], "d", median_d=Qn.MEDIAN, p95_d=Qn.at(0.95)).withColumns({"median_d": r4("median_d"), "p95_d": F.round("p95_d", 3)})
 
 
 @query("divergence_heatmap", pk(f"SELECT {_CELL} AS cell, count(*) AS n, round(avg(d), 4) AS mean_d FROM kk GROUP BY ALL"))
@@ -320,7 +319,9 @@ def signed_residual_stats(spark, sf):
     ways = {"tags": F.col("tag_count").cast("bigint"), "quadrant": F.floor(F.pmod("yaw_deg", F.lit(360.0)) / 90), "quality": (F.col("tag_count") >= 2).cast("bigint")}
     each = rows.select("camera", "dx", "dy", "res", F.explode(F.array(*[F.struct(F.lit(k).alias("grouping"), v.alias("value")) for k, v in ways.items()])).alias("g"))
     stats = [f(F.col(c)).alias(f"{n}_{c}") for c in ("dx", "dy") for n, f in (("mean", lambda c: r4(F.avg(c))), ("std", lambda c: r4(F.stddev_pop(c))))]
-    return each.groupBy("camera", "g.grouping", "g.value").agg(F.count("*").alias("n"), *stats, r4(F.median("res")).alias("median_d")).where("n >= 3")
+    each = each.select("camera", "g.grouping", "g.value", "dx", "dy", "res")
+    found = each.groupBy("camera", "grouping", "value").agg(F.count("*").alias("n"), *stats).where("n >= 3")
+    return Qn.with_quantiles(found, each, ["camera", "grouping", "value"], "res", median_d=Qn.MEDIAN).withColumn("median_d", r4("median_d"))
 
 
 @query("phase_vision_stats", over("samples", "mode_signals", "vision", "odometry", sql="""
@@ -328,9 +329,8 @@ def signed_residual_stats(spark, sf):
     FROM (SELECT v.camera, v.res, CASE WHEN v.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase FROM res v ASOF LEFT JOIN phases p ON v.log_id = p.log_id AND v.ts_us >= p.start_us) GROUP BY ALL""", **PH, **_RS))
 def phase_vision_stats(spark, sf):
     rows = R.phase_of(residuals(spark, sf), phases(spark, sf)).select("phase", "camera", "res")
-    stats = rows.groupBy("phase", "camera").agg(F.count("*").alias("n"), r4(F.avg("res")).alias("mean_v"), r4(F.median("res")).alias("median_v"))
-    floor = B.percentile_floor(rows, ["phase", "camera"], 0.95, "res").withColumn("p_floor", r4("p_floor"))
-    return stats.join(floor, ["phase", "camera"])
+    stats = rows.groupBy("phase", "camera").agg(F.count("*").alias("n"), r4(F.avg("res")).alias("mean_v"))
+    return Qn.with_quantiles(stats, rows, ["phase", "camera"], "res", median_v=Qn.MEDIAN, p_floor=Qn.floor_at(0.95)).withColumns({c: r4(c) for c in ("median_v", "p_floor")})
 
 
 @query("initial_heading", over("samples", "mode_signals", "odometry", "vision", sql="""

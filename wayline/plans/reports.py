@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import basic as B
 from wayline.operators import kernel as K
+from wayline.operators import quantiles as Qn
 from wayline.operators import robot as R
 from wayline.operators.basic import SIGNAL, by_time, r6
 from wayline.plans import robots, studies, vision
@@ -139,7 +140,8 @@ def sigma_model_compare(spark, sf):
     moved = lambda s: F.round(F.sum(F.col("residual_raw") / 1e6 * gain(s)), 3)
     sure = rows.where("tags >= 2 and worst < .35D").select("camera", "ts_us", F.col("ts_us").alias("seq")).distinct()
     resets = K.anchored_dedup(sure, ["camera"], 86_400_000_000).groupBy("camera").agg(F.count("*").alias("resets"))
-    found = rows.groupBy("camera").agg(F.count("*").alias("n"), r4(F.median(ratio)).alias("median_ratio"), r4(F.percentile(ratio, F.lit(0.95))).alias("p95_ratio"), r6(F.avg(gain("new_s"))).alias("mean_gain"), moved("new_s").alias("new_correction"), moved("old_s").alias("old_correction"))
+    found = rows.groupBy("camera").agg(F.count("*").alias("n"), r6(F.avg(gain("new_s"))).alias("mean_gain"), moved("new_s").alias("new_correction"), moved("old_s").alias("old_correction"))
+    found = Qn.with_quantiles(found, rows, ["camera"], ratio, median_ratio=Qn.MEDIAN, p95_ratio=Qn.at(0.95)).withColumns({c: r4(c) for c in ("median_ratio", "p95_ratio")})
     return found.join(resets, "camera", "left")
 
 
@@ -199,7 +201,8 @@ def throughput_bottleneck(spark, sf):
 
     launches = robots.launch_events(spark, sf)
     per = launch_response(spark, sf).groupBy("signal").agg(F.count("*").alias("n"), F.avg("recovery_ms").alias("r"), F.avg(100 * (F.col("baseline") - F.col("dip")) / F.col("baseline")).alias("d"))
-    gaps = launches.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL))).groupBy("signal").agg((F.median("gap") / 1000).alias("m"))
+    gaps = launches.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL)))
+    gaps = Qn.quantiles(gaps, ["signal"], "gap", m=Qn.MEDIAN).withColumn("m", F.col("m") / 1000)
     r, m = F.col("r"), F.col("m")
     return per.join(gaps, "signal").select(
         "signal", "n", r4("r").alias("recovery_ms"), r4("m").alias("interval_ms"), F.when(r > 150, "slow").when(r > 80, "moderate").otherwise("quick").alias("recovery"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
 from wayline.operators import kernel as K
+from wayline.operators import quantiles as Qn
 from wayline.operators import robot as R
 from wayline.operators.basic import by_time, r6
 from wayline.plans.robots import PH, phases
@@ -135,10 +136,10 @@ def _by(name, keys, sql_keys, rows=residuals):
     """Count, mean, median, p95 and outlier share of residuals by some keys."""
 
     def run(spark, sf):
-        return rows(spark, sf).groupBy(*keys()).agg(
-            F.count("*").alias("n"), r4(F.avg("res")).alias("mean_r"), r4(F.median("res")).alias("median_r"), F.round(F.percentile("res", F.lit(0.95)), 3).alias("p95_r"),
-            r4(F.avg(F.when(F.col("res") > 1, 100.0).otherwise(0.0))).alias("outlier_pct"),
-        )
+        by = [k if isinstance(k, str) else "tags" for k in keys()]
+        found = rows(spark, sf).select(*keys(), "res")
+        stats = found.groupBy(*by).agg(F.count("*").alias("n"), r4(F.avg("res")).alias("mean_r"), r4(F.avg(F.when(F.col("res") > 1, 100.0).otherwise(0.0))).alias("outlier_pct"))
+        return Qn.with_quantiles(stats, found, by, "res", median_r=Qn.MEDIAN, p95_r=Qn.at(0.95)).withColumns({"median_r": r4("median_r"), "p95_r": F.round("p95_r", 3)})
 
     sql = f"SELECT {sql_keys}, count(*) AS n, round(avg(res), 4) AS mean_r, round(median(res), 4) AS median_r, round(quantile_cont(res, .95), 3) AS p95_r, round(avg(CASE WHEN res > 1 THEN 100.0 ELSE 0.0 END), 4) AS outlier_pct FROM res GROUP BY ALL"
     Q[name] = (run, rs(sql))
@@ -221,16 +222,19 @@ def vision_by_phase(spark, sf):
     FULL JOIN (SELECT {_CELL.replace('x /', 'px /').replace('y /', 'py /')} AS cell, count(*) AS n, round(median(res), 4) AS median_r FROM res GROUP BY ALL) v USING (cell)"""))
 def field_heatmap(spark, sf):
     path = A.odometry(spark, sf).groupBy(G.field_cell(F.col("x"), F.col("y")).alias("cell")).agg(F.count("*").alias("path_n"))
-    seen = residuals(spark, sf).groupBy(G.field_cell(F.col("p_x"), F.col("p_y")).alias("cell")).agg(F.count("*").alias("frames"), r4(F.median("res")).alias("median_r"))
+    rows = residuals(spark, sf).select(G.field_cell(F.col("p_x"), F.col("p_y")).alias("cell"), "res")
+    seen = Qn.with_quantiles(rows.groupBy("cell").agg(F.count("*").alias("frames")), rows, ["cell"], "res", median_r=Qn.MEDIAN).withColumn("median_r", r4("median_r"))
     out = path.join(seen, "cell", "full")
     return out.select("cell", F.coalesce("path_n", F.lit(0)).alias("path_n"), F.coalesce("frames", F.lit(0)).alias("frames"), "median_r")
 
 
 @query("preferred_camera", rs(f"""
-    SELECT cell, arg_min(camera, (m, camera)) AS camera, count(*) AS cameras FROM (SELECT {_CELL.replace('x /', 'px /').replace('y /', 'py /')} AS cell, camera, round(median(res), 4) AS m FROM res GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL HAVING count(*) >= 2"""))
+    SELECT cell, arg_min(camera, (m, camera)) AS camera, count(*) AS cameras, round(list_sort(list(m))[2] - min(m), 4) AS advantage FROM (SELECT {_CELL.replace('x /', 'px /').replace('y /', 'py /')} AS cell, camera, round(median(res), 4) AS m FROM res GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL HAVING count(*) >= 2"""))
 def preferred_camera(spark, sf):
-    per = residuals(spark, sf).groupBy(G.field_cell(F.col("p_x"), F.col("p_y")).alias("cell"), "camera").agg(F.count("*").alias("n"), r4(F.median("res")).alias("m")).where("n >= 5")
-    return per.groupBy("cell").agg(F.min_by("camera", F.struct("m", "camera")).alias("camera"), F.count("*").alias("cameras")).where("cameras >= 2")
+    rows = residuals(spark, sf).select(G.field_cell(F.col("p_x"), F.col("p_y")).alias("cell"), "camera", "res")
+    per = Qn.with_quantiles(rows.groupBy("cell", "camera").agg(F.count("*").alias("n")).where("n >= 5"), rows, ["cell", "camera"], "res", m=Qn.MEDIAN).withColumn("m", r4("m"))
+    best = per.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("m", "camera"))).alias("c")).where(F.size("c") >= 2)  # one entry a camera
+    return best.select("cell", F.col("c")[0]["camera"].alias("camera"), F.size("c").cast("bigint").alias("cameras"), r4(F.col("c")[1]["m"] - F.col("c")[0]["m"]).alias("advantage"))
 
 
 @query("heading_coverage", over("odometry", sql=f"""
