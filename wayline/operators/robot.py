@@ -217,6 +217,30 @@ def classify_nearby(text: Column) -> Column:
     return found
 
 
+# Which of two equally near events comes first.
+NEARBY_ORDER = {"datalog": 0, "can": 1, "brownout": 1, "command": 2, "nt": 3, "warning": 4, "other": 5}
+
+
+def nearby_events(events: DataFrame, console: DataFrame, commands_: DataFrame, reach_us: int = 1_000_000) -> DataFrame:
+    """What is said and which commands change within a second and an overrun's own length around it: log_id, event, near_seq, category, offset_us, place.
+
+    events has log_id, event, event_us and total_s. Overruns, epochs and scheduler markers themselves don't count. Events
+    come by distance, of equally far ones by category. Time is cut into buckets of reach_us, which a wider window visits more of.
+    """
+    own = F.col("text").rlike(OVERRUN) | F.col("text").rlike(EPOCH) | (F.col("text") == "CommandScheduler loop overrun")
+    said = console.where(~own).select("log_id", "ts_us", F.col("seq").alias("near_seq"), F.coalesce(classify_nearby(F.col("text")), F.lit("other")).alias("category"))
+    right = said.unionByName(commands_.select("log_id", "ts_us", F.col("seq").alias("near_seq"), F.lit("command").alias("category"))).withColumn("bucket", F.floor(F.col("ts_us") / reach_us))
+    width = F.floor((reach_us / 1e6 + F.col("total_s")) * 1e6).cast("bigint")
+    left = events.select("log_id", "event", "event_us", width.alias("width"))
+    left = left.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("event_us") - F.col("width")) / reach_us), F.floor((F.col("event_us") + F.col("width")) / reach_us))))
+    rows = left.join(right, ["log_id", "bucket"]).withColumn("offset_us", F.col("ts_us") - F.col("event_us")).where("abs(offset_us) <= width")
+    rank = F.lit(9)
+    for category, place in NEARBY_ORDER.items():
+        rank = F.when(F.col("category") == category, place).otherwise(rank)
+    order = Window.partitionBy("log_id", "event").orderBy(F.abs("offset_us"), rank, "near_seq")
+    return rows.select("log_id", "event", "near_seq", "category", "offset_us", F.row_number().over(order).alias("place"))
+
+
 def memory_report(text: Column) -> Column:
     """struct(disk_mb, memory_mb) of a memory message, nulls for other texts."""
     return F.struct(*[F.regexp_extract(text, MEMORY, i).try_cast("bigint").alias(n) for i, n in ((1, "disk_mb"), (2, "memory_mb"))])
@@ -235,15 +259,39 @@ def severity_angular(alpha: Column, step: Column) -> Column:
     return found
 
 
-def impacts(axes: DataFrame, light: float, moderate: float, hard: float, group_us: int = 300_000) -> DataFrame:
-    """Hits from three axes (ax, ay, az): |magnitude - 1| of at least light, the largest of each group; landing if the magnitude was under .3 in the 200 ms before."""
+def impacts(axes: DataFrame, light: float, moderate: float, hard: float, group_us: int = 300_000, fall: float = 0.3, lateral: float = 0.5, spin: float = 50.0) -> DataFrame:
+    """Hits (log_id, ts_us, seq, score, severity, kind, lateral, freefall) from three axes (ax, ay, az) and omega: |magnitude - 1| of at least light, the largest of each group.
+
+    A landing follows a fall (a magnitude under fall in the 200 ms before) and is mostly upright; other hits are
+    collisions, spinning where omega, 0 if unknown, is over spin, head-on otherwise.
+    """
     rows = axes.withColumn("mag", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2)).withColumn("impact", F.abs(F.col("mag") - 1))
     before = Window.partitionBy("log_id").orderBy("ts_us").rangeBetween(-200_000, -1)
-    rows = rows.withColumn("low", F.min("mag").over(before)).where(F.col("impact") >= light)
+    share = F.when(F.col("mag") > 0, F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2) / F.col("mag")).otherwise(0.0)
+    rows = rows.withColumns({"freefall": F.coalesce(F.min("mag").over(before) < fall, F.lit(False)), "lateral": share}).where(F.col("impact") >= light)
     best = K.peak_groups(rows, ["log_id"], group_us, "impact")
-    found = best.join(rows.select("log_id", "seq", "low"), ["log_id", "seq"])
+    found = best.join(rows.select("log_id", "seq", "freefall", "lateral", "omega"), ["log_id", "seq"])
     severity = F.when(F.col("score") >= hard, "hard").when(F.col("score") >= moderate, "moderate").otherwise("light")
-    return found.select("log_id", "ts_us", "seq", "score", severity.alias("severity"), F.when(F.col("low") < 0.3, "landing").otherwise("contact").alias("kind"))
+    kind = F.when(F.col("freefall") & (F.col("lateral") < lateral), "landing").when(F.abs(F.coalesce("omega", F.lit(0.0))) > spin, "collision_spinning").otherwise("collision_head_on")
+    return found.select("log_id", "ts_us", "seq", "score", severity.alias("severity"), kind.alias("kind"), "lateral", "freefall")
+
+
+def closed_phase_of(rows: DataFrame, phases: DataFrame) -> DataFrame:
+    """Adds phase and phase_us, its start, of the first interval that holds each row, ends included; disabled and null outside all."""
+    p = phases.select("log_id", F.col("start_us").alias("ts_us"), F.col("start_us").alias("seq"), "phase", "end_us", F.col("start_us").alias("phase_us"))
+    before = K.asof_backward(rows, p, ["log_id"], ["phase", "end_us", "phase_us"], strict=True)
+    found = before.join(p.select("log_id", "ts_us", F.col("phase").alias("own")), ["log_id", "ts_us"], "left")
+    inside = F.coalesce(F.col("ts_us") <= F.col("end_us"), F.lit(False))
+    return found.withColumns({"phase": F.when(inside, F.col("phase")).otherwise(F.coalesce("own", F.lit("disabled"))), "phase_us": F.when(inside, F.col("phase_us")).when(F.col("own").isNotNull(), F.col("ts_us"))}).drop("own", "end_us")
+
+
+def hits_in_match(hits: DataFrame, phases: DataFrame) -> DataFrame:
+    """Hits with their phase, the seconds since it began and those since the match did (auto, or else the first enabled phase), null outside and before."""
+    on = F.col("phase") != "disabled"
+    begun = phases.groupBy("log_id").agg(F.coalesce(F.min(F.when(F.col("phase") == "auto", F.col("start_us"))), F.min(F.when(on, F.col("start_us")))).alias("match_us"))
+    rows = closed_phase_of(hits, phases).join(begun, "log_id", "left")
+    since = lambda c: (F.col("ts_us") - F.col(c)) / 1e6
+    return rows.withColumns({"match_s": F.when(F.col("ts_us") >= F.col("match_us"), since("match_us")), "phase_s": since("phase_us")}).drop("match_us", "phase_us")
 
 
 def axis_accel(x: DataFrame, y: DataFrame, z: DataFrame, gravity: list[DataFrame] | None = None, least: int = 10) -> DataFrame:

@@ -181,28 +181,6 @@ def not_near_event(spark, sf):
     return left.join(K.range_join(left, right, ["log_id"], 20_000, 20_000, how="left_semi").select("seq"), "seq", "left_anti").select("seq")
 
 
-@query("signals_only_in_a", over("samples", sql="SELECT DISTINCT signal, ts_us % 50 AS k FROM samples WHERE log_id = 1 EXCEPT SELECT signal, ts_us % 50 FROM samples WHERE log_id = 2"))
-def signals_only_in_a(spark, sf):
-    rows = A.samples(spark, sf).selectExpr("log_id", "signal", "ts_us % 50 as k")
-    return rows.where("log_id = 1").select("signal", "k").distinct().join(rows.where("log_id = 2"), ["signal", "k"], "left_anti")
-
-
-@query("signals_only_in_b", over("samples", sql="SELECT DISTINCT signal, ts_us % 50 AS k FROM samples WHERE log_id = 2 EXCEPT SELECT signal, ts_us % 50 FROM samples WHERE log_id = 1"))
-def signals_only_in_b(spark, sf):
-    rows = A.samples(spark, sf).selectExpr("log_id", "signal", "ts_us % 50 as k")
-    return rows.where("log_id = 2").select("signal", "k").distinct().join(rows.where("log_id = 1"), ["signal", "k"], "left_anti")
-
-
-@query("nearest_pair_join", over("vision", sql="""
-    SELECT a.seq, CASE WHEN a.ts_us - b.ts_us <= c.ts_us - a.ts_us OR c.ts_us IS NULL THEN CASE WHEN a.ts_us - b.ts_us <= 50000 THEN b.seq END WHEN c.ts_us - a.ts_us <= 50000 THEN c.seq END AS other
-    FROM (SELECT * FROM vision WHERE camera = 'cam-a') a ASOF LEFT JOIN vb b ON a.log_id = b.log_id AND a.ts_us > b.ts_us ASOF LEFT JOIN vf c ON a.log_id = c.log_id AND a.ts_us <= c.ts_us""",
-    vb="SELECT log_id, ts_us, max(seq) AS seq FROM vision WHERE camera = 'cam-b' GROUP BY ALL", vf="SELECT log_id, ts_us, min(seq) AS seq FROM vision WHERE camera = 'cam-b' GROUP BY ALL"))
-def nearest_pair_join(spark, sf):
-    v = A.vision(spark, sf)
-    right = v.where("camera = 'cam-b'").select("log_id", "ts_us", "seq", F.col("seq").alias("other"))
-    return K.asof_nearest(v.where("camera = 'cam-a'"), right, ["log_id"], ["other"], 50_000, later=False).select("seq", "other")
-
-
 # Aggregations
 
 

@@ -143,28 +143,6 @@ def watts(spark, sf):
     return R.channel_power(A.samples(spark, sf), "view", CHANNELS)
 
 
-@query("channel_power", over("samples", sql="""
-    SELECT log_id, signal, round(avg(watts), 4) AS avg_w, round(max(watts), 4) AS peak_w, round(min(watts), 4) AS min_w, round(avg(v_double), 4) AS avg_a, count(*) AS n FROM w GROUP BY ALL""", w=_WATTS))
-def channel_power(spark, sf):
-    r4 = lambda c: F.round(c, 4)
-    return watts(spark, sf).groupBy(*SIGNAL).agg(
-        r4(F.avg("watts")).alias("avg_w"), r4(F.max("watts")).alias("peak_w"), r4(F.min("watts")).alias("min_w"), r4(F.avg("v_double")).alias("avg_a"), F.count("*").alias("n")
-    )
-
-
-@query("bus_power_summary", over("samples", sql="""
-    SELECT log_id, round(sum(a), 4) AS total_avg_w, round(max(p), 4) AS peak_w FROM (SELECT log_id, signal, avg(watts) AS a, max(watts) AS p FROM w GROUP BY ALL) GROUP BY ALL""", w=_WATTS))
-def bus_power_summary(spark, sf):
-    per = watts(spark, sf).groupBy(*SIGNAL).agg(F.avg("watts").alias("a"), F.max("watts").alias("p"))
-    return per.groupBy("log_id").agg(F.round(F.sum("a"), 4).alias("total_avg_w"), F.round(F.max("p"), 4).alias("peak_w"))
-
-
-@query("phase_power", ph(f"SELECT s.log_id, {_PHASE} AS phase, round(avg(watts), 4) AS avg_w, round(max(watts), 4) AS peak_w, count(*) AS n FROM w s {_AT} GROUP BY ALL", w=_WATTS))
-def phase_power(spark, sf):
-    rows = R.phase_of(watts(spark, sf), phases(spark, sf))
-    return rows.groupBy("log_id", "phase").agg(F.round(F.avg("watts"), 4).alias("avg_w"), F.round(F.max("watts"), 4).alias("peak_w"), F.count("*").alias("n"))
-
-
 # Overruns
 
 _OV = {
@@ -287,13 +265,6 @@ def command_correlation(spark, sf):
     return found.withColumns({c: F.round(c, 8) for c in ("median_ms", "mean_ms", "max_ms", "execute_ms")})
 
 
-@query("nearby_events", ov("SELECT e.log_id, e.event, c.seq AS near_seq FROM ev e JOIN c ON e.log_id = c.log_id AND c.ts_us BETWEEN e.event_us - 50000 AND e.event_us + 50000", c=_CMD))
-def nearby_events(spark, sf):
-    left = overrun_events(spark, sf).withColumn("ts_us", F.col("event_us"))
-    right = R.commands(A.console(spark, sf)).select("log_id", F.col("ts_us").alias("r_ts_us"), F.col("seq").alias("near_seq"))
-    return K.range_join(left, right, ["log_id"], 50_000, 50_000).select("log_id", "event", "near_seq")
-
-
 _PO = over("samples", "mode_signals", "console", sql="""
     SELECT d.log_id, d.phase, d.seconds, coalesce(o.n, 0) AS overruns, round(coalesce(o.n, 0) / d.seconds, 6) AS rate, coalesce(o.worst, 0) AS worst_s
     FROM (SELECT log_id, phase, sum(end_us - start_us) / 1e6 AS seconds FROM phases GROUP BY ALL) d
@@ -351,16 +322,6 @@ def axes(spark, sf):
     return rows.groupBy("log_id", F.col("t").alias("ts_us")).agg(F.min("seq").alias("seq"), pick("click").alias("ax"), pick("view").alias("ay"), pick("error").alias("az")).na.drop()
 
 
-@query("hard_hits_accel", over("samples", recursive=True, sql="SELECT * FROM hits", **_IM))
-def hard_hits_accel(spark, sf):
-    return R.impacts(axes(spark, sf), 0.5, 1.0, 2.0).withColumn("score", r6("score"))
-
-
-@query("hard_hits_report", over("samples", recursive=True, sql="SELECT log_id, severity, kind, count(*) AS n, max(score) AS worst FROM hits GROUP BY ALL", **_IM))
-def hard_hits_report(spark, sf):
-    return hard_hits_accel(spark, sf).groupBy("log_id", "severity", "kind").agg(F.count("*").alias("n"), F.max("score").alias("worst"))
-
-
 _LB = """SELECT *, (SELECT arg_max(b.v_double, (b.ts_us, b.seq)) FROM s b WHERE b.log_id = a.log_id AND b.ts_us <= a.ts_us - {w}) AS o, (SELECT arg_max(b.ts_us, (b.ts_us, b.seq)) FROM s b WHERE b.log_id = a.log_id AND b.ts_us <= a.ts_us - {w}) AS ou,
     first_value(v_double) OVER w AS fv, first_value(ts_us) OVER w AS fu FROM s a WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq)"""
 

@@ -145,8 +145,6 @@ def _by(name, keys, sql_keys, rows=residuals):
     Q[name] = (run, rs(sql))
 
 
-_by("source_divergence", lambda: ["log_id", "camera"], "log_id, camera")
-_by("camera_summary", lambda: ["camera"], "camera")
 _by("tag_count_table", lambda: [F.least("tag_count", F.lit(4)).alias("tags")], "least(tag_count, 4) AS tags")
 _by("log_accuracy_trend", lambda: ["log_id"], "log_id")
 
