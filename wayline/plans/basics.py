@@ -328,21 +328,15 @@ def _window(name: str, sql: str, column):
 
 
 _window("rolling_max_rows", f"max(v_double) {_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)", lambda: F.max("v_double").over(by_time(*SIGNAL).rowsBetween(-5, 0)))
-_window("smooth_time_window", "round(avg(v_double) OVER (PARTITION BY log_id, signal ORDER BY ts_us RANGE BETWEEN 80000 PRECEDING AND 80000 FOLLOWING), 6)",
-        lambda: r6(F.avg("v_double").over(Window.partitionBy(*SIGNAL).orderBy("ts_us").rangeBetween(-80_000, 80_000))))
 _window("moving_average_rows", f"round(sum(abs(v_double)) {_W} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9, 6)", lambda: r6(F.sum(F.abs("v_double")).over(by_time(*SIGNAL).rowsBetween(-4, 4)) / 9))
 _window("lookback_min", "min(v_double) OVER (PARTITION BY log_id, signal ORDER BY ts_us RANGE BETWEEN 200000 PRECEDING AND 1 PRECEDING)",
         lambda: F.min("v_double").over(Window.partitionBy(*SIGNAL).orderBy("ts_us").rangeBetween(-200_000, -1)))
 _window("lookback_max", "max(v_double) OVER (PARTITION BY log_id, signal ORDER BY ts_us RANGE BETWEEN 2000000 PRECEDING AND 1 PRECEDING)",
         lambda: F.max("v_double").over(Window.partitionBy(*SIGNAL).orderBy("ts_us").rangeBetween(-2_000_000, -1)))
 _window("row_pair_jump", f"round(abs(v_double - lag(v_double) {_W})), 6)", lambda: r6(F.abs(F.col("v_double") - F.lag("v_double").over(by_time(*SIGNAL)))))
-_window("stale_repeats", f"CASE WHEN round(v_double, 0) = round(lag(v_double) {_W}), 0) THEN 1 ELSE 0 END",
-        lambda: F.when(F.round("v_double", 0) == F.round(F.lag("v_double").over(by_time(*SIGNAL)), 0), 1).otherwise(0))
 _window("finite_difference_velocity", f"""round(CASE WHEN coalesce(lead(ts_us) {_W}), ts_us) - coalesce(lag(ts_us) {_W}), ts_us) > 0 THEN
         (coalesce(lead(v_double) {_W}), v_double) - coalesce(lag(v_double) {_W}), v_double)) / ((coalesce(lead(ts_us) {_W}), ts_us) - coalesce(lag(ts_us) {_W}), ts_us)) / 1e6) ELSE 0 END, 4)""",
         lambda: F.round(_slope(1), 4))
-_window("second_difference_accel", f"""round(least(30, greatest(-30, coalesce((lead(v_double, 5) {_W}) - 2 * v_double + lag(v_double, 5) {_W})) / 1000, 0))), 6)""",
-        lambda: r6(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.coalesce((F.lead("v_double", 5).over(by_time(*SIGNAL)) - 2 * F.col("v_double") + F.lag("v_double", 5).over(by_time(*SIGNAL))) / 1000, F.lit(0.0))))))
 
 
 def _slope(k: int):
@@ -451,12 +445,6 @@ def sliding_window_stats(spark, sf):
     return rows.groupBy(*SIGNAL, "start_us").agg(F.count("*").alias("n"), r6(F.avg("v_double")).alias("mean_v"), F.max("v_double").alias("max_v")).where("n >= 3")
 
 
-@query("running_memory_events", over("samples", sql=f"SELECT log_id, signal, count(*) AS reclaims, round(sum(d), 6) AS reclaimed FROM (SELECT *, v_double - lag(v_double) {_W}) AS d FROM samples) WHERE d >= 10 GROUP BY ALL"))
-def running_memory_events(spark, sf):
-    rows = A.samples(spark, sf).withColumn("d", F.col("v_double") - F.lag("v_double").over(by_time(*SIGNAL)))
-    return rows.where("d >= 10").groupBy(*SIGNAL).agg(F.count("*").alias("reclaims"), r6(F.sum("d")).alias("reclaimed"))
-
-
 # Sort and limit, sets
 
 
@@ -466,11 +454,6 @@ def sort_rows_desc(spark, sf):
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("m"), "signal"))).select("signal", "place")
 
 
-@query("top_k_peaks", over("samples", sql="SELECT log_id, signal, ts_us, seq, v_double FROM samples ORDER BY v_double DESC, seq LIMIT 20"))
-def top_k_peaks(spark, sf):
-    return A.samples(spark, sf).orderBy(F.desc("v_double"), "seq").limit(20)
-
-
 @query("subsample_every_k", over("samples", sql=f"SELECT seq FROM (SELECT seq, row_number() {_W}) AS i FROM samples) WHERE i % 5 = 1"))
 def subsample_every_k(spark, sf):
     return A.samples(spark, sf).withColumn("i", F.row_number().over(by_time(*SIGNAL))).where("i % 5 = 1").select("seq")

@@ -10,6 +10,7 @@ from wayline.operators import kernel as K
 from wayline.operators import quantiles as Qn
 from wayline.operators import robot as R
 from wayline.operators.basic import SIGNAL, by_time, r6
+from wayline.plans import basics as robots_basics
 from wayline.plans import robots
 from wayline.plans.robots import _CMD, _IM, _OV, _PHASE, _AT, _WATTS, CHANNELS, PH, ph, phases, watts
 from wayline.plans.views_sql import over
@@ -195,3 +196,241 @@ def nearest_pair_join(spark, sf):
     left = frames.withColumnRenamed("camera", "a").join(pairs, ["log_id", "a"])
     right = frames.select("log_id", F.col("camera").alias("b"), "ts_us", "seq", F.col("seq").alias("other")).join(pairs, ["log_id", "b"])
     return K.asof_nearest(left, right, ["log_id", "a", "b"], ["other"], 50_000, later=False).select("seq", "b", "other")
+
+
+# Overruns
+
+_PERIOD = "SELECT log_id, coalesce(arg_min(CAST(regexp_extract(text, '[Ll]oop time of ([0-9.]+)s', 1) AS DOUBLE), (ts_us, seq)), .02) AS period FROM console WHERE text LIKE '%overrun%' AND text LIKE '%oop time%' GROUP BY ALL"
+
+
+def ov(sql: str, **more: str) -> str:
+    return over("console", sql=sql, **_OV, **more)
+
+
+@query("overrun_summary", ov("""
+    SELECT c.log_id, n AS overruns, scheduler, m.markers - scheduler AS orphans, p.period AS period_s, CAST(floor(d / (p.period * 1e6)) AS BIGINT) AS loops, round(100e0 * n / floor(d / (p.period * 1e6)), 6) AS pct
+    FROM (SELECT log_id, count(*) AS n, CAST(sum(scheduler) AS BIGINT) AS scheduler FROM ev GROUP BY ALL) c JOIN (SELECT log_id, max(ts_us) - min(ts_us) AS d FROM console GROUP BY ALL) r USING (log_id)
+    JOIN (SELECT log_id, count(*) FILTER (text = 'CommandScheduler loop overrun') AS markers FROM console GROUP BY ALL) m USING (log_id) JOIN pe p USING (log_id)""", pe=_PERIOD))
+def overrun_summary(spark, sf):
+    """Overruns of each log beside its loops at the period that it tells, and scheduler markers that belong to no overrun."""
+    console = A.console(spark, sf)
+    found = R.overrun_events(console).groupBy("log_id").agg(F.count("*").alias("overruns"), F.sum("scheduler").alias("scheduler"))
+    span = console.groupBy("log_id").agg((F.max("ts_us") - F.min("ts_us")).alias("d"), F.count_if(F.col("text") == "CommandScheduler loop overrun").alias("markers"))
+    rows = found.join(span, "log_id").join(robots.detect_loop_period(spark, sf), "log_id").withColumn("loops", F.floor(F.col("d") / (F.col("period_s") * 1e6)))
+    return rows.select("log_id", "overruns", "scheduler", (F.col("markers") - F.col("scheduler")).alias("orphans"), "period_s", "loops", r6(100.0 * F.col("overruns") / F.col("loops")).alias("pct"))
+
+
+@query("overrun_distribution", ov("SELECT log_id, " + ", ".join(f"round(quantile_cont(total_s * 1000, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", round(max(total_s * 1000), 4) AS worst FROM ev GROUP BY ALL"))
+def overrun_distribution(spark, sf):
+    rows = R.overrun_events(A.console(spark, sf)).withColumn("ms", F.col("total_s") * 1000)
+    found = rows.groupBy("log_id").agg(r4(F.max("ms")).alias("worst"))
+    return Qn.with_quantiles(found, rows, ["log_id"], "ms", p50=Qn.at(0.5), p90=Qn.at(0.9), p95=Qn.at(0.95), p99=Qn.at(0.99)).withColumns({c: r6(c) for c in ("p50", "p90", "p95", "p99")})
+
+
+_TOP = "SELECT log_id, event, array_to_string(list(component ORDER BY seconds DESC, component)[1:3], ',') AS top FROM ex GROUP BY ALL"
+
+
+def top_components(timings, keys, n=3):
+    """The slowest components of each group, by time and then by name, joined by commas."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seconds"), "component"))
+    rows = timings.withColumn("place", place).where(F.col("place") <= n)
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "component"))), lambda x: x["component"]), ",").alias("top"))
+
+
+@query("worst_k_overruns", ov("SELECT ev.log_id, ev.event, ev.total_s, t.top FROM ev LEFT JOIN t ON t.log_id = ev.log_id AND t.event = ev.event ORDER BY ev.total_s DESC, ev.log_id, ev.event LIMIT 5", t=_TOP))
+def worst_k_overruns(spark, sf):
+    """The five longest overruns with their three slowest components."""
+    console = A.console(spark, sf)
+    worst = R.overrun_events(console).select("log_id", "event", "total_s").orderBy(F.desc("total_s"), "log_id", "event").limit(5)
+    timings = R.epochs(R.overrun_messages(console)).join(F.broadcast(worst.select("log_id", "event")), ["log_id", "event"], "left_semi")  # five rows
+    return worst.join(top_components(timings, ["log_id", "event"]), ["log_id", "event"], "left")
+
+
+@query("tracer_component_rollup", ov("SELECT component, count(*) AS n, round(avg(seconds), 8) AS mean_s, round(list_sort(list(seconds))[CAST(least(floor(count(*) * .95) + 1, count(*)) AS BIGINT)], 6) AS p95_s, round(max(seconds), 6) AS max_s FROM ex GROUP BY ALL ORDER BY max_s DESC, component LIMIT 30"))
+def tracer_component_rollup(spark, sf):
+    timings = R.epochs(R.overrun_messages(A.console(spark, sf)))
+    rows = timings.groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 8).alias("mean_s"), r6(F.max("seconds")).alias("max_s"))
+    return Qn.with_quantiles(rows, timings, ["component"], "seconds", p95_s=Qn.floor_at(0.95)).withColumn("p95_s", r6("p95_s")).orderBy(F.desc("max_s"), "component").limit(30)
+
+
+@query("phase_overrun_stats", over("samples", "mode_signals", "console", sql="""
+    SELECT d.log_id, d.phase, d.seconds, coalesce(o.n, 0) AS overruns, round(coalesce(o.n, 0) / d.seconds, 6) AS rate, coalesce(o.worst, 0) AS worst_s, t.top
+    FROM (SELECT log_id, phase, sum(end_us - start_us) / 1e6 AS seconds FROM phases GROUP BY ALL) d
+    LEFT JOIN (SELECT log_id, ph AS phase, count(*) AS n, max(total_s) AS worst FROM pe GROUP BY ALL) o USING (log_id, phase)
+    LEFT JOIN (SELECT log_id, phase, array_to_string(list(component ORDER BY s DESC, component)[1:3], ',') AS top FROM (SELECT x.log_id, pe.ph AS phase, component, round(sum(x.seconds), 6) AS s FROM ex x JOIN pe ON pe.log_id = x.log_id AND pe.event = x.event GROUP BY ALL) GROUP BY ALL) t USING (log_id, phase)""",
+    **PH, **_OV, pe="SELECT e.log_id, e.event, e.total_s, CASE WHEN e.event_us < p.end_us THEN p.phase ELSE 'disabled' END AS ph FROM ev e ASOF LEFT JOIN phases p ON e.log_id = p.log_id AND e.event_us >= p.start_us"))
+def phase_overrun_stats(spark, sf):
+    """Overruns of each phase: rate, worst, and the components that took most time in them."""
+    console, found = A.console(spark, sf), phases(spark, sf)
+    rows = R.phase_of(R.overrun_events(console).withColumns({"ts_us": F.col("event_us"), "seq": F.col("event")}), found)
+    per = rows.groupBy("log_id", "phase").agg(F.count("*").alias("overruns"), F.max("total_s").alias("worst_s"))
+    timings = R.epochs(R.overrun_messages(console)).join(rows.select("log_id", "event", "phase"), ["log_id", "event"]).groupBy("log_id", "phase", "component").agg(r6(F.sum("seconds")).alias("seconds"))
+    spans = found.groupBy("log_id", "phase").agg((F.sum(F.col("end_us") - F.col("start_us")) / 1e6).alias("seconds"))
+    out = spans.join(per, ["log_id", "phase"], "left").join(top_components(timings, ["log_id", "phase"]), ["log_id", "phase"], "left").withColumns({"overruns": F.coalesce("overruns", F.lit(0)), "worst_s": F.coalesce("worst_s", F.lit(0.0))})
+    return out.withColumn("rate", r6(F.col("overruns") / F.col("seconds")))
+
+
+# Signals
+
+_SW = "PARTITION BY log_id ORDER BY ts_us RANGE BETWEEN 80000 PRECEDING AND 80000 FOLLOWING"
+
+
+@query("smooth_time_window", over("odometry", sql=f"""
+    SELECT seq, round(CASE WHEN count(*) OVER w < 3 THEN x ELSE avg(x) OVER w END, 6) AS x, round({mod(f"CASE WHEN count(*) OVER w < 3 THEN theta_deg ELSE degrees(atan2(avg(sin(radians(theta_deg))) OVER w, avg(cos(radians(theta_deg))) OVER w)) END + 180.00001")} - 180.00001, 7) AS theta_deg FROM odometry WINDOW w AS ({_SW})"""))
+def smooth_time_window(spark, sf):
+    """Means over 80 ms to either side, headings round the circle; rows with fewer than three in reach stay as they are."""
+    w = Window.partitionBy("log_id").orderBy("ts_us").rangeBetween(-80_000, 80_000)
+    few, th = F.count("*").over(w) < 3, F.radians("theta_deg")
+    heading = F.degrees(F.atan2(F.avg(F.sin(th)).over(w), F.avg(F.cos(th)).over(w)))
+    rows = A.odometry(spark, sf).select("seq", F.when(few, F.col("x")).otherwise(F.avg("x").over(w)).alias("x"), F.when(few, F.col("theta_deg")).otherwise(heading).alias("th"))
+    return rows.select("seq", r6("x").alias("x"), F.round(F.pmod(F.col("th") + 180.00001, F.lit(360.0)) - 180.00001, 7).alias("theta_deg"))
+
+
+@query("second_difference_accel", over("odometry", sql="""
+    SELECT seq, round(least(30e0, greatest(-30e0, CASE WHEN t2 - t0 > 2000 AND t2 > ts_us AND ts_us > t0 THEN ((x2 - x) / ((t2 - ts_us) / 1e6) - (x - x0) / ((ts_us - t0) / 1e6)) / ((t2 - t0) / 2e6) ELSE 0 END)), 4) AS ax
+    FROM (SELECT *, lag(ts_us, 5) OVER w AS t0, lead(ts_us, 5) OVER w AS t2, lag(x, 5) OVER w AS x0, lead(x, 5) OVER w AS x2 FROM odometry WINDOW w AS (PARTITION BY log_id ORDER BY ts_us, seq)) WHERE t0 IS NOT NULL AND t2 IS NOT NULL"""))
+def second_difference_accel(spark, sf):
+    """Acceleration along x: the change of the slope from five rows back to five rows ahead over half their time, at most 30 either way."""
+    w = by_time("log_id")
+    rows = A.odometry(spark, sf).withColumns({"t0": F.lag("ts_us", 5).over(w), "t2": F.lead("ts_us", 5).over(w), "x0": F.lag("x", 5).over(w), "x2": F.lead("x", 5).over(w)}).where("t0 is not null and t2 is not null")
+    t0, t, t2 = (F.col(c) for c in ("t0", "ts_us", "t2"))
+    a = ((F.col("x2") - F.col("x")) / ((t2 - t) / 1e6) - (F.col("x") - F.col("x0")) / ((t - t0) / 1e6)) / ((t2 - t0) / 2e6)
+    return rows.select("seq", r4(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.when((t2 - t0 > 2000) & (t2 > t) & (t > t0), a).otherwise(0.0)))).alias("ax"))
+
+
+_SIX = ["round(x, 0)", "round(y, 0)", "tag_count % 2", "round(latency_ms / 20, 0)", "round(yaw_deg / 90, 0)", "tag_count // 3"]
+
+
+@query("stale_repeats", over("vision", sql=f"""
+    SELECT log_id, camera, count(*) AS frames, count(*) FILTER (v = was) AS repeats, round(count(*) FILTER (v = was) / count(*), 6) AS ratio FROM (SELECT *, lag(v) OVER (PARTITION BY log_id, camera ORDER BY ts_us, seq) AS was FROM (SELECT *, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _SIX)}] AS v FROM vision)) GROUP BY ALL"""))
+def stale_repeats(spark, sf):
+    """Frames whose six values, rounded, are those of the frame before, and their share."""
+    six = F.array(F.round("x", 0), F.round("y", 0), (F.col("tag_count") % 2).cast("double"), F.round(F.col("latency_ms") / 20, 0), F.round(F.col("yaw_deg") / 90, 0), F.floor(F.col("tag_count") / 3).cast("double"))
+    rows = A.vision(spark, sf).withColumn("v", six).withColumn("same", F.coalesce(F.col("v") == F.lag("v").over(by_time("log_id", "camera")), F.lit(False)))
+    return rows.groupBy("log_id", "camera").agg(F.count("*").alias("frames"), F.count_if("same").alias("repeats"), r6(F.count_if("same") / F.count("*")).alias("ratio"))
+
+
+_MEMORY = "SELECT *, v_double - lag(v_double) OVER w AS d, row_number() OVER w AS i FROM samples WINDOW w AS (PARTITION BY log_id, signal ORDER BY ts_us, seq)"
+
+
+@query("running_memory_events", over("samples", sql="""
+    SELECT m.log_id, m.signal, count(*) FILTER (d >= 10) AS reclaims, round(sum(d) FILTER (d >= 10), 6) AS reclaimed, round((arg_max(v_double, i) FILTER (i < f) - arg_min(v_double, i)) / nullif((arg_max(ts_us, i) FILTER (i < f) - min(ts_us)) / 1e6, 0), 4) AS decline_per_s
+    FROM m JOIN (SELECT log_id, signal, coalesce(min(i) FILTER (d >= 10), max(i) + 1) AS f FROM m GROUP BY ALL) USING (log_id, signal) GROUP BY ALL""", m=_MEMORY))
+def running_memory_events(spark, sf):
+    """Rises of ten or more, and how fast a signal falls before the first of them."""
+    w = by_time(*SIGNAL)
+    rows = A.samples(spark, sf).withColumns({"d": F.col("v_double") - F.lag("v_double").over(w), "i": F.row_number().over(w)})
+    rise = F.col("d") >= 10
+    rows = rows.withColumn("before", F.max(F.when(rise, 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).isNull())
+    last = F.max(F.when(F.col("before"), F.struct("i", "ts_us", "v_double")))
+    found = rows.groupBy(*SIGNAL).agg(F.count_if(rise).alias("reclaims"), r6(F.sum(F.when(rise, F.col("d")))).alias("reclaimed"), F.min(F.struct("i", "ts_us", "v_double")).alias("a"), last.alias("z"))
+    seconds = (F.col("z.ts_us") - F.col("a.ts_us")) / 1e6
+    return found.select(*SIGNAL, "reclaims", "reclaimed", r4(F.when(seconds != 0, (F.col("z.v_double") - F.col("a.v_double")) / seconds)).alias("decline_per_s"))
+
+
+@query("top_k_peaks", over("samples", sql="""
+    SELECT log_id, signal, ts_us, seq, v_double, before_v, after_v FROM (SELECT *, lag(v_double) OVER w AS before_v, lead(v_double) OVER w AS after_v, max(v_double) OVER (PARTITION BY log_id, signal ORDER BY ts_us RANGE BETWEEN 200000 PRECEDING AND 200000 FOLLOWING) AS top FROM samples WINDOW w AS (PARTITION BY log_id, signal ORDER BY ts_us, seq))
+    WHERE v_double = top ORDER BY v_double DESC, seq LIMIT 20"""))
+def top_k_peaks(spark, sf):
+    """The twenty highest values that none within 200 ms exceeds, with their neighbours."""
+    w = by_time(*SIGNAL)
+    about = Window.partitionBy(*SIGNAL).orderBy("ts_us").rangeBetween(-200_000, 200_000)
+    rows = A.samples(spark, sf).withColumns({"before_v": F.lag("v_double").over(w), "after_v": F.lead("v_double").over(w), "top": F.max("v_double").over(about)})
+    return rows.where("v_double = top").drop("top").orderBy(F.desc("v_double"), "seq").limit(20)
+
+
+@query("current_spikes", over("samples", recursive=True, sql="SELECT log_id, signal, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM f WHERE kept GROUP BY ALL",
+    h=f"SELECT *, row_number() OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS i FROM (SELECT s.*, v_double > 1.5 * m AS hi, lag(v_double > 1.5 * m) OVER (PARTITION BY s.log_id, s.signal ORDER BY ts_us, seq) AS was FROM samples s JOIN ({robots._SP}) m USING (log_id, signal)) WHERE hi AND was = false",
+    f="""SELECT log_id, signal, i, ts_us, ts_us AS a, true AS kept FROM h WHERE i = 1
+      UNION ALL SELECT h.log_id, h.signal, h.i, h.ts_us, CASE WHEN h.ts_us - f.a > 50000 THEN h.ts_us ELSE f.a END, h.ts_us - f.a > 50000 FROM f JOIN h ON h.log_id = f.log_id AND h.signal = f.signal AND h.i = f.i + 1"""))
+def current_spikes(spark, sf):
+    """Rises over one and a half times a signal's median, at most one in 50 ms."""
+    s = A.samples(spark, sf)
+    rows = s.join(s.groupBy(*SIGNAL).agg(F.median(F.abs("v_double")).alias("m")), SIGNAL).withColumn("hi", F.col("v_double") > 1.5 * F.col("m"))
+    rows = rows.withColumn("was", F.lag("hi").over(by_time(*SIGNAL))).where("hi and not was")
+    return K.anchored_dedup(rows, SIGNAL, 50_000).groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+@query("feeder_health", over("samples", sql="SELECT s.log_id, s.signal, start_us, count(*) AS n, " + ", ".join(f"round(quantile_cont(v_double, {q}), 6) AS q{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + ", max(v_double) AS peak, round(avg(abs(v_double - 80)), 6) AS mean_error FROM samples s JOIN i ON s.log_id = i.log_id AND s.signal = i.signal AND s.ts_us >= start_us AND s.ts_us < end_us GROUP BY ALL",
+                              h=robots_basics._HYST, e=robots_basics._EDGES, i=robots_basics._INTERVALS))
+def feeder_health(spark, sf):
+    """Values while a feeder is commanded: their quantiles, peak and mean distance from what is asked."""
+    found = robots_basics.hysteresis_intervals(spark, sf).select(*SIGNAL, F.col("start_us").alias("ts_us"), F.col("start_us").alias("seq"), "start_us", "end_us")
+    rows = K.asof_backward(A.samples(spark, sf), found, SIGNAL, ["start_us", "end_us"]).where("ts_us < end_us")
+    keys, shares = [*SIGNAL, "start_us"], (0.05, 0.25, 0.5, 0.75, 0.95)
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("v_double").alias("peak"), r6(F.avg(F.abs(F.col("v_double") - 80))).alias("mean_error"))
+    names = [f"q{int(q * 100):02d}" for q in shares]
+    return Qn.with_quantiles(stats, rows, keys, "v_double", **dict(zip(names, map(Qn.at, shares)))).withColumns({c: r6(c) for c in names})
+
+
+# Over logs
+
+
+@query("group_delta", over("samples", sql="""
+    SELECT signal, round(a, 6) AS even, round(b, 6) AS odd, round(b - a, 6) AS delta, CASE WHEN abs(b - a) <= .05 * abs(a) THEN 'same' WHEN b > a THEN 'higher' ELSE 'lower' END AS verdict
+    FROM (SELECT signal, median(v_double) FILTER (log_id % 2 = 0) AS a, median(v_double) FILTER (log_id % 2 = 1) AS b FROM samples GROUP BY ALL)"""))
+def group_delta(spark, sf):
+    """Medians of two groups of logs, their difference, and whether it is one."""
+    per = Qn.quantiles(A.samples(spark, sf).withColumn("grp", F.col("log_id") % 2), ["signal", "grp"], "v_double", m=Qn.MEDIAN)
+    rows = per.groupBy("signal").pivot("grp", [0, 1]).agg(F.first("m")).toDF("signal", "a", "b")
+    a, b = F.col("a"), F.col("b")
+    verdict = F.when(F.abs(b - a) <= 0.05 * F.abs(a), "same").when(b > a, "higher").otherwise("lower")
+    return rows.select("signal", r6(a).alias("even"), r6(b).alias("odd"), r6(b - a).alias("delta"), verdict.alias("verdict"))
+
+
+@query("log_ranking", rs("""
+    SELECT log_id, row_number() OVER (ORDER BY m, log_id) AS place, m AS median_r, mark, CASE WHEN row_number() OVER (ORDER BY m, log_id) = 1 THEN 'best' WHEN row_number() OVER (ORDER BY m DESC, log_id DESC) = 1 THEN 'worst' END AS extreme
+    FROM (SELECT log_id, round(median(res), 4) AS m, CASE WHEN round(median(res), 4) < .15 THEN 'good' WHEN round(median(res), 4) < .3 THEN 'fair' ELSE 'poor' END AS mark FROM res GROUP BY ALL)"""))
+def log_ranking(spark, sf):
+    """Logs by their median residual, with a mark, the best and the worst told; one row per log goes through one task."""
+    m = residuals(spark, sf).groupBy("log_id").agg(r4(F.median("res")).alias("median_r"))
+    up, n = Window.orderBy("median_r", "log_id"), F.count("*").over(Window.partitionBy())
+    rows = m.withColumns({"place": F.row_number().over(up), "n": n})
+    mark = F.when(F.col("median_r") < 0.15, "good").when(F.col("median_r") < 0.3, "fair").otherwise("poor")
+    return rows.select("log_id", "place", "median_r", mark.alias("mark"), F.when(F.col("place") == 1, "best").when(F.col("place") == F.col("n"), "worst").alias("extreme"))
+
+
+def _rollup(name: str, key: str, column) -> None:
+    def run(spark, sf):
+        rows = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").withColumn("k", column())
+        per = rows.groupBy("k", "log_id").agg(F.count("*").alias("n"), F.avg("ambiguity").alias("m")).where("m <> 0")
+        return per.groupBy(F.col("k").alias(name.split("_")[0] if name == "band_rollup" else "tag_id")).agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"), F.count("*").alias("logs"))
+
+    out = "band" if name == "band_rollup" else "tag_id"
+    Q[name] = (run, over("tags", "frames", sql=f"SELECT {out}, CAST(sum(n) AS BIGINT) AS n, round(sum(m * n) / sum(n), 6) AS mean_v, count(*) AS logs FROM (SELECT {key} AS {out}, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) WHERE m <> 0 GROUP BY ALL"))
+
+
+_rollup("tag_rollup", "tag_id", lambda: F.col("tag_id"))
+_rollup("band_rollup", "CAST(floor(dist) AS BIGINT)", lambda: F.floor("dist"))
+
+
+_WE = """SELECT log_id, camera, 'divergence' AS kind, min(ts_us) AS start_us, round(max(res), 5) AS size FROM (
+      SELECT *, sum(c) OVER (PARTITION BY log_id, camera ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS run FROM (
+        SELECT *, lead(ts_us) OVER w AS nxt, CASE WHEN (res > .2) IS DISTINCT FROM lag(res > .2) OVER w THEN 1 ELSE 0 END AS c FROM res WINDOW w AS (PARTITION BY log_id, camera ORDER BY ts_us, seq)))
+    WHERE res > .2 GROUP BY log_id, camera, run HAVING max(coalesce(nxt, ts_us)) - min(ts_us) >= 100000
+    UNION ALL SELECT log_id, camera, 'gap', ts_us - gap, gap / 1e6 FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, camera ORDER BY ts_us, seq) AS gap FROM vision) WHERE gap > 500000"""
+
+
+@query("worst_events_per_log", rs("SELECT log_id, camera, kind, start_us, size FROM (SELECT *, row_number() OVER (PARTITION BY log_id, kind ORDER BY size DESC, camera, start_us) AS i FROM we) WHERE i <= 5", we=_WE))
+def worst_events_per_log(spark, sf):
+    """Each log's five largest divergences from the path and its five longest gaps without a frame."""
+    apart = K.threshold_runs(residuals(spark, sf), ["log_id", "camera"], F.col("res") > 0.2, "res", 100_000)
+    rows = A.vision(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time("log_id", "camera"))).where("gap > 500000")
+    events = apart.select("log_id", "camera", F.lit("divergence").alias("kind"), "start_us", F.round("peak", 5).alias("size")).unionByName(
+        rows.select("log_id", "camera", F.lit("gap").alias("kind"), (F.col("ts_us") - F.col("gap")).alias("start_us"), (F.col("gap") / 1e6).alias("size"))
+    )
+    order = Window.partitionBy("log_id", "kind").orderBy(F.desc("size"), "camera", "start_us")
+    return events.withColumn("i", F.row_number().over(order)).where("i <= 5").drop("i")
+
+
+@query("frame_features", over("tags", "frames", "vision", "odometry", sql="""
+    SELECT f.frame_id, f.camera, count(*) AS tags, round(avg(ambiguity), 6) AS mean_amb, round(max(ambiguity), 6) AS max_amb, round(min(dist), 6) AS nearest, round(avg(dist), 6) AS mean_dist, round(any_value(f.residual_raw) / 100000, 8) AS residual,
+      CASE WHEN count(*) FILTER (tag_id > 16) = 0 THEN 'hub' WHEN count(*) FILTER (tag_id <= 16) = 0 THEN 'station' ELSE 'mixed' END AS target, round(sum(1 / (dist * dist)), 6) AS harmonic, round(coalesce(stddev_pop(dist), 0), 6) AS spread FROM frames f JOIN tags USING (frame_id) GROUP BY ALL"""))
+def frame_features(spark, sf):
+    """One row per frame with its tags' ambiguity, distance and geometry, its residual and what it looks at."""
+    rows = A.frames(spark, sf).join(A.tags(spark, sf), "frame_id")
+    target = F.when(F.count_if(F.col("tag_id") > 16) == 0, "hub").when(F.count_if(F.col("tag_id") <= 16) == 0, "station").otherwise("mixed")
+    return rows.groupBy("frame_id", "camera").agg(
+        F.count("*").alias("tags"), r6(F.avg("ambiguity")).alias("mean_amb"), r6(F.max("ambiguity")).alias("max_amb"), r6(F.min("dist")).alias("nearest"), r6(F.avg("dist")).alias("mean_dist"),
+        F.round(F.first("residual_raw") / 100_000, 8).alias("residual"), target.alias("target"), r6(F.sum(1 / (F.col("dist") * F.col("dist")))).alias("harmonic"), r6(F.stddev_pop("dist")).alias("spread"),
+    )

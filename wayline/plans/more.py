@@ -51,12 +51,12 @@ def ingest_dsevents(spark, sf):
 # Sessions and clocks
 
 @query("logging_pause_sessions", over("console", sql="""
-    SELECT log_id, session, count(*) AS n, count(*) FILTER (text LIKE '%overrun') AS overruns, min(ts_us) AS start_us FROM (
+    SELECT log_id, session, count(*) AS n, count(*) FILTER (text LIKE '%overrun%') AS overruns, min(ts_us) AS start_us FROM (
       SELECT *, CAST(sum(nw) OVER (PARTITION BY log_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY log_id ORDER BY ts_us, seq) <= 50000 THEN 0 ELSE 1 END AS nw FROM console))
-    GROUP BY ALL HAVING count(*) FILTER (text LIKE '%overrun') > 0"""))
+    GROUP BY ALL HAVING count(*) FILTER (text LIKE '%overrun%') > 0"""))
 def logging_pause_sessions(spark, sf):
     rows = K.gap_sessions(A.console(spark, sf), ["log_id"], 50_000)
-    found = rows.groupBy("log_id", "session").agg(F.count("*").alias("n"), F.count_if(F.col("text").like("%overrun")).alias("overruns"), F.min("ts_us").alias("start_us"))
+    found = rows.groupBy("log_id", "session").agg(F.count("*").alias("n"), F.count_if(F.col("text").like("%overrun%")).alias("overruns"), F.min("ts_us").alias("start_us"))
     return found.where("overruns > 0")
 
 
@@ -88,14 +88,6 @@ def recovery_events(spark, sf):
     return found.withColumn("ms", (F.col("end_us") - F.col("start_us")) / 1000)
 
 
-@query("feeder_health", over("samples", sql="SELECT s.log_id, s.signal, start_us, count(*) AS n, round(median(v_double), 6) AS median_v, max(v_double) AS peak FROM samples s JOIN i ON s.log_id = i.log_id AND s.signal = i.signal AND s.ts_us >= start_us AND s.ts_us < end_us GROUP BY ALL",
-                              h=basics._HYST, e=basics._EDGES, i=basics._INTERVALS))
-def feeder_health(spark, sf):
-    found = basics.hysteresis_intervals(spark, sf).select(*SIGNAL, F.col("start_us").alias("ts_us"), F.col("start_us").alias("seq"), "start_us", "end_us")
-    rows = K.asof_backward(A.samples(spark, sf), found, SIGNAL, ["start_us", "end_us"]).where("ts_us < end_us")
-    return rows.groupBy(*SIGNAL, "start_us").agg(F.count("*").alias("n"), r6(F.median("v_double")).alias("median_v"), F.max("v_double").alias("peak"))
-
-
 def responses(spark, sf):
     """Rows up to 300 ms before and 1.5 s after each launch."""
     right = A.samples(spark, sf).select(*SIGNAL, F.col("ts_us").alias("r_ts_us"), "v_double")

@@ -171,15 +171,6 @@ def parse_epochs(spark, sf):
     return R.epochs(R.overrun_messages(A.console(spark, sf))).select("log_id", "event", "component", r6("seconds").alias("seconds"))
 
 
-@query("overrun_summary", ov("""
-    SELECT c.log_id, n AS overruns, scheduler, CAST(floor(d / 0.02e6) AS BIGINT) AS loops, round(100.0 * n / floor(d / 0.02e6), 6) AS pct
-    FROM (SELECT log_id, count(*) AS n, CAST(sum(scheduler) AS BIGINT) AS scheduler FROM ev GROUP BY ALL) c JOIN (SELECT log_id, max(ts_us) - min(ts_us) AS d FROM console GROUP BY ALL) r USING (log_id)"""))
-def overrun_summary(spark, sf):
-    found = overrun_events(spark, sf).groupBy("log_id").agg(F.count("*").alias("overruns"), F.sum("scheduler").alias("scheduler"))
-    spans = A.console(spark, sf).groupBy("log_id").agg(F.floor((F.max("ts_us") - F.min("ts_us")) / 20_000).alias("loops"))
-    return found.join(spans, "log_id").withColumn("pct", r6(100.0 * F.col("overruns") / F.col("loops")))
-
-
 @query("component_stats", ov("""
     SELECT component, any_value(top_level) AS top_level, count(*) AS n, round(median(ms), 4) AS median_ms, round(avg(ms), 4) AS mean_ms, round(quantile_cont(ms, .95), 2) AS p95_ms, round(max(ms), 4) AS max_ms, round(avg(share), 4) AS share
     FROM (SELECT component, tl AS top_level, seconds * 1000 AS ms, seconds / nullif(sum(seconds) FILTER (tl) OVER (PARTITION BY log_id, event), 0) AS share FROM (
@@ -204,13 +195,6 @@ def categorise_component(spark, sf):
     return parse_epochs(spark, sf).select("component", R.categorise(F.col("component")).alias("category")).distinct()
 
 
-@query("overrun_distribution", ov("SELECT log_id, round(quantile_cont(total_s * 1000, .5), 2) AS p50, round(quantile_cont(total_s * 1000, .9), 2) AS p90, round(quantile_cont(total_s * 1000, .99), 2) AS p99, round(max(total_s * 1000), 4) AS worst FROM ev GROUP BY ALL"))
-def overrun_distribution(spark, sf):
-    ms = F.col("total_s") * 1000
-    found = overrun_events(spark, sf).groupBy("log_id").agg(F.percentile(ms, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("p"), F.round(F.max(ms), 4).alias("worst"))
-    return found.select("log_id", *[F.round(F.col("p")[i], 2).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "worst")
-
-
 @query("overrun_bursts", ov("""
     SELECT log_id, min(event_us) AS start_us, max(event_us) AS end_us, count(*) AS n FROM (
       SELECT *, sum(nw) OVER (PARTITION BY log_id ORDER BY event_us, event ROWS UNBOUNDED PRECEDING) AS g FROM (
@@ -220,11 +204,6 @@ def overrun_bursts(spark, sf):
     return rows.groupBy("log_id", "session").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n")).where("n >= 2").drop("session")
 
 
-@query("worst_k_overruns", ov("SELECT log_id, event, total_s FROM ev ORDER BY total_s DESC, log_id, event LIMIT 5"))
-def worst_k_overruns(spark, sf):
-    return overrun_events(spark, sf).select("log_id", "event", "total_s").orderBy(F.desc("total_s"), "log_id", "event").limit(5)
-
-
 @query("detect_loop_period", over("console", sql="SELECT log_id, coalesce(arg_min(CAST(regexp_extract(text, '[Ll]oop time of ([0-9.]+)s', 1) AS DOUBLE), (ts_us, seq)), .02) AS period_s FROM console WHERE text LIKE '%overrun%' AND text LIKE '%oop time%' GROUP BY ALL"))
 def detect_loop_period(spark, sf):
     rows = A.console(spark, sf).where("text like '%overrun%' and text like '%oop time%'")
@@ -265,23 +244,6 @@ def command_correlation(spark, sf):
     return found.withColumns({c: F.round(c, 8) for c in ("median_ms", "mean_ms", "max_ms", "execute_ms")})
 
 
-_PO = over("samples", "mode_signals", "console", sql="""
-    SELECT d.log_id, d.phase, d.seconds, coalesce(o.n, 0) AS overruns, round(coalesce(o.n, 0) / d.seconds, 6) AS rate, coalesce(o.worst, 0) AS worst_s
-    FROM (SELECT log_id, phase, sum(end_us - start_us) / 1e6 AS seconds FROM phases GROUP BY ALL) d
-    LEFT JOIN (SELECT log_id, ph AS phase, count(*) AS n, max(total_s) AS worst FROM (SELECT e.log_id, e.total_s, CASE WHEN e.event_us < p.end_us THEN p.phase ELSE 'disabled' END AS ph
-      FROM ev e ASOF LEFT JOIN phases p ON e.log_id = p.log_id AND e.event_us >= p.start_us) GROUP BY ALL) o USING (log_id, phase)""", **PH, **_OV)
-
-
-@query("phase_overrun_stats", _PO)
-def phase_overrun_stats(spark, sf):
-    found = phases(spark, sf)
-    rows = R.phase_of(overrun_events(spark, sf).withColumns({"ts_us": F.col("event_us"), "seq": F.col("event")}), found)
-    per = rows.groupBy("log_id", "phase").agg(F.count("*").alias("overruns"), F.max("total_s").alias("worst_s"))
-    spans = found.groupBy("log_id", "phase").agg((F.sum(F.col("end_us") - F.col("start_us")) / 1e6).alias("seconds"))
-    out = spans.join(per, ["log_id", "phase"], "left").withColumns({"overruns": F.coalesce("overruns", F.lit(0)), "worst_s": F.coalesce("worst_s", F.lit(0.0))})
-    return out.withColumn("rate", r6(F.col("overruns") / F.col("seconds")))
-
-
 @query("phase_transition_overruns", over("samples", "mode_signals", "console", sql="""
     SELECT p.log_id, p.start_us, p.phase, count(*) AS overruns, round(sum(total_s), 6) AS total_s FROM phases p JOIN ev e ON p.log_id = e.log_id AND p.phase <> 'disabled' AND e.event_us BETWEEN p.start_us - 500000 AND p.start_us + 500000 GROUP BY ALL""", **PH, **_OV))
 def phase_transition_overruns(spark, sf):
@@ -291,12 +253,6 @@ def phase_transition_overruns(spark, sf):
     return rows.groupBy("log_id", "start_us", "phase").agg(F.count("*").alias("overruns"), r6(F.sum("total_s")).alias("total_s"))
 
 
-@query("tracer_component_rollup", ov("SELECT component, count(*) AS n, round(avg(seconds), 6) AS mean_s, round(max(seconds), 6) AS max_s FROM ex GROUP BY ALL ORDER BY max_s DESC, component LIMIT 30"))
-def tracer_component_rollup(spark, sf):
-    rows = R.epochs(R.overrun_messages(A.console(spark, sf))).groupBy("component").agg(F.count("*").alias("n"), r6(F.avg("seconds")).alias("mean_s"), r6(F.max("seconds")).alias("max_s"))
-    return rows.orderBy(F.desc("max_s"), "component").limit(30)
-
-
 # Hits
 
 _AX = """SELECT log_id, ts_us // 50000 * 50000 AS ts_us, min(seq) AS seq, max(v_double) FILTER (signal = 'click') / 100 AS ax, max(v_double) FILTER (signal = 'view') / 100 AS ay, max(v_double) FILTER (signal = 'error') / 100 AS az
@@ -401,14 +357,6 @@ def spin_periods(spark, sf):
 _SP = "SELECT log_id, signal, median(abs(v_double)) AS m FROM samples GROUP BY ALL"
 
 
-@query("current_spikes", over("samples", sql="""
-    SELECT log_id, signal, count(*) AS n FROM (SELECT s.*, v_double > 1.5 * m AS hi, lag(v_double > 1.5 * m) OVER (PARTITION BY s.log_id, s.signal ORDER BY ts_us, seq) AS was FROM samples s JOIN m USING (log_id, signal)) WHERE hi AND was = false GROUP BY ALL""", m=_SP))
-def current_spikes(spark, sf):
-    s = A.samples(spark, sf)
-    rows = s.join(s.groupBy(*SIGNAL).agg(F.median(F.abs("v_double")).alias("m")), SIGNAL).withColumn("hi", F.col("v_double") > 1.5 * F.col("m"))
-    return rows.withColumn("was", F.lag("hi").over(by_time(*SIGNAL))).where("hi and not was").groupBy(*SIGNAL).agg(F.count("*").alias("n"))
-
-
 @query("velocity_dips", over("samples", sql="""
     SELECT seq FROM (SELECT *, lag(low) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS was FROM (
       SELECT *, abs(v_double) < .5 * avg(abs(v_double)) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AND abs(v_double) > 5 AS low FROM samples)) WHERE low AND was = false"""))

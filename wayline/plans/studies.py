@@ -110,12 +110,6 @@ def rate_by_group(spark, sf):
     return active_segments(spark, sf).groupBy((F.col("log_id") % 2).alias("grp")).agg(F.round(F.avg(F.col("n") * 1e6 / (F.col("end_us") - F.col("start_us"))), 4).alias("rate"))
 
 
-@query("group_delta", over("samples", sql="SELECT signal, round(median(v_double) FILTER (log_id % 2 = 1) - median(v_double) FILTER (log_id % 2 = 0), 6) AS delta FROM samples GROUP BY ALL"))
-def group_delta(spark, sf):
-    per = Qn.quantiles(A.samples(spark, sf).withColumn("grp", F.col("log_id") % 2), ["signal", "grp"], "v_double", m=Qn.MEDIAN)
-    return per.groupBy("signal").pivot("grp", [0, 1]).agg(F.first("m")).select("signal", r6(F.col("1") - F.col("0")).alias("delta"))
-
-
 @query("hour_bucket_rollup", "SELECT hour(ts) AS hour, count(*) AS n, round(avg(value), 6) AS mean_v FROM events GROUP BY ALL")
 def hour_bucket_rollup(spark, sf):
     return A.table(spark, sf, "events").groupBy(F.hour("ts").cast("bigint").alias("hour")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean_v"))

@@ -164,18 +164,6 @@ def divergence_events(spark, sf):
     return found.withColumn("peak", F.round("peak", 5))
 
 
-@query("worst_events_per_log", rs("SELECT log_id, seq, round(res, 5) AS res FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY round(res, 5) DESC, seq) AS i FROM res) WHERE i <= 5"))
-def worst_events_per_log(spark, sf):
-    order = Window.partitionBy("log_id").orderBy(F.desc("res"), "seq")
-    return vision_residuals(spark, sf).join(A.vision(spark, sf).select("seq", "log_id"), "seq").withColumn("i", F.row_number().over(order)).where("i <= 5").select("log_id", "seq", "res")
-
-
-@query("log_ranking", rs("SELECT log_id, row_number() OVER (ORDER BY m, log_id) AS place, m AS median_r FROM (SELECT log_id, round(median(res), 4) AS m FROM res GROUP BY ALL)"))
-def log_ranking(spark, sf):
-    m = residuals(spark, sf).groupBy("log_id").agg(r4(F.median("res")).alias("median_r"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy("median_r", "log_id")))  # one row per log
-
-
 @query("dropped_frames", over("vision", sql="SELECT log_id, camera, count(*) AS drops FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY log_id, camera ORDER BY ts_us, seq) AS gap FROM vision) WHERE gap > 50000 GROUP BY ALL"))
 def dropped_frames(spark, sf):
     rows = A.vision(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time("log_id", "camera")))
@@ -197,18 +185,6 @@ def tag_id_table(spark, sf):
     )
 
 
-@query("tag_rollup", over("tags", "frames", sql="SELECT tag_id, CAST(sum(n) AS BIGINT) AS n, round(sum(m * n) / sum(n), 6) AS mean_v FROM (SELECT tag_id, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) GROUP BY ALL"))
-def tag_rollup(spark, sf):
-    per = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").groupBy("tag_id", "log_id").agg(F.count("*").alias("n"), F.avg("ambiguity").alias("m"))
-    return per.groupBy("tag_id").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
-
-
-@query("band_rollup", over("tags", "frames", sql="SELECT band, CAST(sum(n) AS BIGINT) AS n, round(sum(m * n) / sum(n), 6) AS mean_v FROM (SELECT CAST(floor(dist) AS BIGINT) AS band, log_id, count(*) AS n, avg(ambiguity) AS m FROM tags JOIN frames USING (frame_id) GROUP BY ALL) GROUP BY ALL"))
-def band_rollup(spark, sf):
-    per = A.tags(spark, sf).join(A.frames(spark, sf), "frame_id").groupBy(F.floor("dist").alias("band"), "log_id").agg(F.count("*").alias("n"), F.avg("ambiguity").alias("m"))
-    return per.groupBy("band").agg(r6(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("n").alias("n"))
-
-
 @query("vision_by_phase", over("samples", "mode_signals", "vision", sql="""
     SELECT v.camera, CASE WHEN v.ts_us < p.end_us THEN p.phase ELSE 'disabled' END AS phase, count(*) AS n, round(avg(latency_ms), 6) AS latency FROM vision v ASOF LEFT JOIN phases p ON v.log_id = p.log_id AND v.ts_us >= p.start_us GROUP BY ALL""", **PH))
 def vision_by_phase(spark, sf):
@@ -243,13 +219,6 @@ def heading_coverage(spark, sf):
     return labels.join(counts, "octant", "left").select("octant", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@query("frame_features", over("tags", "frames", sql="""
-    SELECT frame_id, camera, count(*) AS tags, round(avg(ambiguity), 6) AS mean_amb, round(max(ambiguity), 6) AS max_amb, round(min(dist), 6) AS nearest FROM frames JOIN tags USING (frame_id) GROUP BY ALL"""))
-def frame_features(spark, sf):
-    rows = A.frames(spark, sf).join(A.tags(spark, sf), "frame_id")
-    return rows.groupBy("frame_id", "camera").agg(F.count("*").alias("tags"), r6(F.avg("ambiguity")).alias("mean_amb"), r6(F.max("ambiguity")).alias("max_amb"), r6(F.min("dist")).alias("nearest"))
-
-
 _SIDE = "SELECT frame_id, count(*) FILTER (tag_id <= 16) AS low, count(*) FILTER (tag_id > 16) AS high FROM tags GROUP BY ALL"
 
 
