@@ -87,7 +87,7 @@ _AL = {
     "mo": "SELECT t.set_id, t.off, b.seq, min(abs(a.ts_us - b.ts_us - t.off)) AS d FROM tr t JOIN (SELECT * FROM e WHERE side = 1) b ON t.set_id = b.set_id JOIN ea a ON a.set_id = b.set_id AND a.on_ = b.on_ AND abs(a.ts_us - b.ts_us - t.off) <= 50000 GROUP BY ALL",
     "al": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY matched DESC, sq, off) AS place FROM (SELECT set_id, off, count(*) AS matched, CAST(sum(d * d) AS BIGINT) AS sq FROM mo GROUP BY ALL))
         JOIN (SELECT set_id, count(*) AS n FROM e WHERE side = 1 GROUP BY ALL) USING (set_id) WHERE place = 1""",
-    "cl": "SELECT log_id, list_sort(list(epoch_us(ts) - ts_us))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS offset_us FROM (SELECT user_id % 12 AS log_id, ts, CAST(floor((epoch_us(ts) - 1704067200000000) / 150000e0) AS BIGINT) AS ts_us FROM events WHERE event_type = 'signup') GROUP BY ALL",
+    "cl": "SELECT log_id, list_sort(list(epoch_us(ts) - ts_us))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS offset_us FROM (SELECT user_id // 12 AS log_id, ts, CAST(floor((epoch_us(ts) - 1704067200000000) / 150000e0) AS BIGINT) AS ts_us FROM events WHERE event_type = 'signup') GROUP BY ALL",
     "am": """SELECT set_id, CASE WHEN k = 0 THEN 'system_time' WHEN k = 1 THEN 'mode_edge' ELSE 'assumed_zero' END AS method, CASE WHEN k = 0 THEN clock WHEN k = 1 THEN off ELSE 0 END AS offset_us,
           round(CASE WHEN k = 0 THEN CASE WHEN abs(off) < 1000000 THEN least(1e0, .9e0 + matched / n * .1e0) ELSE .5e0 END WHEN k = 1 THEN matched / n ELSE .5e0 END, 6) AS confidence,
           round(CASE WHEN k = 0 THEN CAST(abs(off) AS DOUBLE) WHEN k = 1 THEN sqrt(sq / matched) ELSE 0e0 END, 4) AS residual_us
