@@ -49,11 +49,6 @@ def floor_at(share: float) -> Rank:
 MEDIAN = Rank(0.5)
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Null keys are equal to each other."""
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
-
-
 def with_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """a and b joined on keys, nulls being equal; the keys once."""
     renamed = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -119,8 +119,8 @@ def hour_bucket_rollup(spark, sf):
 def early_late_compare(spark, sf):
     """The first half of the logs against the second, by the medians of their signals."""
     m = A.samples(spark, sf).groupBy(*SIGNAL).agg(F.median("v_double").alias("m"))
-    last = A.samples(spark, sf).agg(F.max("log_id").alias("z"))  # one row
-    halves = m.join(F.broadcast(last)).withColumn("half", F.when(2 * F.col("log_id") <= F.col("z"), "early").otherwise("late"))
+    last = A.samples(spark, sf).agg(F.max("log_id")).first()[0] or 0
+    halves = m.withColumn("half", F.when(2 * F.col("log_id") <= last, "early").otherwise("late"))
     per = Qn.quantiles(halves, ["signal", "half"], "m", m=Qn.MEDIAN)
     return per.groupBy("signal").pivot("half", ["early", "late"]).agg(r6(F.first("m")))
 
