@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share; below a temporary one where all is one machine."""
+    """A new path in this application's own folder below the one that driver and executors share, so that a run's tables can be dropped together; below a temporary one where all is one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/wayline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
