@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayline.llm import decontaminate, language_id, near_dedup, packing
@@ -97,6 +98,54 @@ def test_crowded_lists_lose_no_link(documents, monkeypatch):
     assert found == {(i, c) for i, _, c in near_groups(rows, 2, 80)}
 
 
+def test_sets_far_from_their_pivot_send_only_the_part_that_a_link_needs(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_LIST", 4)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}_{j}" for j in range(rng.randint(25, 40))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(f"u{i}_1 ", "changed ")) for i in range(30)]
+    sent = spark.sparkContext.accumulator(0)
+
+    def counted(make):
+        def made(*args):
+            run = make(*args)
+
+            def count(batches):
+                for batch in run(batches):
+                    sent.add(batch.num_rows)
+                    yield batch
+
+            return count
+
+        return made
+
+    for name in ("_full_sets", "_repeated_values", "_rare_parts"):
+        if hasattr(near_dedup, name):
+            monkeypatch.setattr(near_dedup, name, counted(getattr(near_dedup, name)))
+    found = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(documents(rows), width=2).collect()}
+    assert found == {(i, c) for i, _, c in near_groups(rows, 2, 80)}
+    assert 0 < sent.value <= sum(len(brute_set(t, 2)) for _, t in rows) / 2
+
+
+def test_any_order_of_the_values_finds_every_pair():
+    rng = random.Random(12)
+    texts = [" ".join(f"w{j}" for j in rng.sample(range(45), rng.choice([3, 30, 40]))) for _ in range(60)]
+    texts += [t.replace("w7 ", "w8 ") for t in texts] + ["one", "one two"]
+    sets = [set(shingle_set(t, 1).tolist()) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(len(texts))), "text": texts})
+    for common in ([], [1], sorted(set().union(*sets), key=lambda v: sum(v in x for x in sets))[-20:]):
+        part = {}
+        for out in near_dedup._rare_parts(1, 80, np.array(common, np.int64))(iter([batch])):
+            for v, uid, n, place in zip(*[c.to_pylist() for c in out.columns]):
+                part.setdefault(uid, []).append(v)
+                assert n == len(sets[uid]) and place == len(part[uid]) and v in sets[uid]
+        for a in range(len(sets)):
+            assert len(part[a]) <= len(sets[a]) / 5 + 1
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    assert set(part[a]) & set(part[b])
+
+
 def test_repeated_rows_in_crowded_lists_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(near_dedup, "HOT_LIST", 4)
     rng = random.Random(5)

@@ -89,15 +89,45 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _full_sets(width: int):
-    """Rows (v, uid, n): all values of the sets of crowded classes, of one text each."""
+def _repeated_values(width: int):
+    """Rows (v, times): values that several of some texts that are read together have, and how many of these do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            columns = (np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.array(batch.column("uid").to_pylist(), np.int64), sizes), np.repeat(sizes, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "uid", "n"])
+            values, times = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_counts=True)
+            columns = (c[times > 1] for c in (values, times))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "times"])
+
+    return run
+
+
+def _rare_parts(width: int, percent: int, common: np.ndarray):
+    """Rows (v, uid, n, place): of each set so many values that two at the threshold share one of them.
+
+    Sets of n and more values that share percent of their union share percent of n, so they have a value in common
+    among the first n - percent of n + 1 that each has in any fixed order. The order is that of the hashes, but the
+    common values, least common ones first, come last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_value = np.argsort(common)
+        for batch in (part for b in batches for part in slices(b, "text")):
+            parts, uids, sizes, places = [], [], [], []
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
+                values = shingle_set(text, width)
+                late = np.zeros(len(values), np.int64)
+                if len(common):
+                    at = by_value[np.minimum(np.searchsorted(common, values, sorter=by_value), len(common) - 1)]
+                    late = np.where(common[at] == values, at + 1, 0)
+                n = len(values)
+                first = n - (percent * n + 99) // 100 + 1
+                parts.append(values[np.argsort(late, kind="stable")[:first]])
+                uids.append(np.full(first, uid, np.int64))
+                sizes.append(np.full(first, n, np.int64))
+                places.append(np.arange(1, first + 1))
+            columns = (np.concatenate([*c, np.empty(0, np.int64)]) for c in (parts, uids, sizes, places))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "uid", "n", "place"])
 
     return run
 
@@ -177,9 +207,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Equal sets are one class from the start. Lists are first joined as stars: each member is held against one other that
     stands for the list. Members whose components differ then are held against each other. In lists longer than HOT_LIST
-    these are listed again: members near the list's pivot by the rarest part of their difference from it, the others by
-    the rarest part of their full sets, by counts among themselves. A large group of copies costs a number of pairs in
-    proportion to its size.
+    these are listed again: members near the list's pivot by the rarest part of their difference from it, by counts among
+    themselves, the others by the part of their full sets that comes first if common values come last. A large group of
+    copies costs a number of pairs in proportion to its size.
     """
     sketched, members = _components(documents, id_col, text_col, width, percent)
     smallest = members.groupBy("root").agg(F.min("rep.id").alias("component_id"))
@@ -349,10 +379,15 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int, pe
         near = moved.where("pivot is not null").select(F.col("pivot").alias("space"), F.explode("difference").alias("v"), "uid", "n", F.size("difference").cast("long").alias("m"), "linked")
         far = with_texts(moved.where("pivot is null").select("uid").distinct()).mapInArrow(_same_set(width), "uid long, text string")
         # Rows that repeat both id and text bring a class's text several times; its values are to be counted once.
-        whole = stored(far.groupBy("uid").agg(F.first("text").alias("text")).mapInArrow(_full_sets(width), "v long, uid long, n long"), "crowded")
-        whole = whole.select(F.lit(-1).cast("long").alias("space"), "v", "uid", "n", F.col("n").alias("m"), F.lit(False).alias("linked"))
+        whole = stored(far.groupBy("uid").agg(F.first("text").alias("text")), "crowded")
+        # The driver sees at most BUCKETS common values, whatever the corpus. Any order finds every pair; this one keeps lists short.
+        often = whole.mapInArrow(_repeated_values(width), "v long, times long").groupBy("v").agg(F.sum("times").alias("times"))
+        common = often.orderBy(F.desc("times"), "v").limit(BUCKETS).select("v").toArrow().column("v").to_numpy()[::-1].copy()
+        parts = cut(whole.mapInArrow(_rare_parts(width, percent, common), "v long, uid long, n long, place long"))
+        parts = parts.join(parts.groupBy("v").count().where("count > 1").select("v"), "v")
+        parts = parts.select("v", "uid", "n", F.col("n").alias("m"), F.lit(False).alias("linked"), "place")
         # Of two sets at the threshold, not both linked to the pivot, either has one of the values they share among these.
-        again = rarest(near, f"least(m, floor(n * {100 - percent} / {percent}) + 1)").unionByName(rarest(whole, f"n - ceil({percent} * n / 100) + 1"))
+        again = rarest(near, f"least(m, floor(n * {100 - percent} / {percent}) + 1)").unionByName(parts)
         lists = lists.unionByName(named(cut(again), roots))
     # hub < uid in the pairs found now, either way in those tested.
     done = tested.select(F.least("hub", "uid").alias("hub"), F.greatest("hub", "uid").alias("uid"))
