@@ -10,6 +10,7 @@ from wayline.functions import geometry as G
 from wayline.operators import basic as B
 from wayline.operators import kernel as K
 from wayline.operators import robot as R
+from wayline.plans import more, reports, robots
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -148,3 +149,14 @@ def test_previous_looks_over_gaps_and_partitions(spark):
     found = {r.log_id: r.was for r in B.previous(frame, "log_id", {"was": "m"}).collect()}
     assert found == {i: (ids[k - 1] * 2.0 if k else None) for k, i in enumerate(ids)}
     assert B.previous(frame.limit(0), "log_id", {"was": "m"}).collect() == []
+
+
+def test_mean_recovery_on_a_rounding_limit_is_exact(spark, monkeypatch):
+    times = [1_457_628, 1_083_388, 945_491, 468_076]  # 988.64575 ms in the mean; sums of milliseconds come out below it
+    rows = [(1, "a", k * 10_000_000, k, 50.0, 100.0, k * 10_000_000 + t, 100.0) for k, t in enumerate(times)]
+    rows.append((2, "a", 0, 9, 50.0, 100.0, 5, 60.0))  # never back
+    near = spark.createDataFrame(rows, "log_id long, signal string, ts_us long, seq long, dip double, baseline double, r_ts_us long, v_double double")
+    monkeypatch.setattr(more, "responses", lambda *_: near.drop("seq"))
+    monkeypatch.setattr(robots, "launch_events", lambda *_: near.drop("r_ts_us", "v_double"))
+    (row,) = reports.throughput_bottleneck(spark, "").collect()
+    assert (row.n, row.recovery_ms, row.interval_ms) == (5, 988.6458, 10_000.0)

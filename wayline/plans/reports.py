@@ -197,10 +197,12 @@ def session_health(spark, sf):
       JOIN (SELECT signal, median(gap) / 1000 AS m FROM (SELECT signal, ts_us - lag(ts_us) OVER (PARTITION BY log_id, signal ORDER BY ts_us, seq) AS gap FROM le) GROUP BY ALL) g USING (signal) GROUP BY r.signal)""", **robots.LAUNCHES))
 def throughput_bottleneck(spark, sf):
     """What limits the rate of launches, pooled over logs: recovery against the time between launches, and deep dips."""
-    from wayline.plans.more import launch_response
+    from wayline.plans.more import recoveries
 
     launches = robots.launch_events(spark, sf)
-    per = launch_response(spark, sf).groupBy("signal").agg(F.count("*").alias("n"), F.avg("recovery_ms").alias("r"), F.avg(100 * (F.col("baseline") - F.col("dip")) / F.col("baseline")).alias("d"))
+    # Whole microseconds add up exactly in any order; a mean of milliseconds may fall to either side of a rounding limit.
+    mean_ms = F.sum("recovery_us") / (1000 * F.count("recovery_us"))
+    per = recoveries(spark, sf).groupBy("signal").agg(F.count("*").alias("n"), mean_ms.alias("r"), F.avg(100 * (F.col("baseline") - F.col("dip")) / F.col("baseline")).alias("d"))
     gaps = launches.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(by_time(*SIGNAL)))
     gaps = Qn.quantiles(gaps, ["signal"], "gap", m=Qn.MEDIAN).withColumn("m", F.col("m") / 1000)
     r, m = F.col("r"), F.col("m")
