@@ -129,9 +129,15 @@ _FEATURES = """SELECT f.frame_id, f.residual_raw / 100000 AS r, CASE WHEN avg(di
         round(100e0 * count(*) FILTER (grp = 'hub' AND r > 1) / nullif(count(*) FILTER (grp = 'hub'), 0), 6) AS hub_out, round(100e0 * count(*) FILTER (grp = 'station' AND r > 1) / nullif(count(*) FILTER (grp = 'station'), 0), 6) AS station_out
       FROM ff GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(x) + ')' for x in _LEVELS)}))""", ff=_FEATURES))
 def two_group_by_band(spark, sf):
-    """Two groups of frames side by side, by what most of their tags are on: under one, two and three controls (distance, ambiguity, number of tags) in one pass, and which is better."""
-    rows = A.frames(spark, sf).join(A.tags(spark, sf), "frame_id").groupBy("frame_id", "residual_raw").agg(F.avg("dist").alias("md"), F.max("ambiguity").alias("ma"), F.count("*").alias("c"), F.count_if(F.col("tag_id") > 16).alias("far"))
-    step = lambda c, *limits: sum(((F.col(c) >= x).cast("int") for x in limits), F.lit(0))
+    """Two groups of frames side by side, by what most of their tags are on: under one, two and three controls (distance, ambiguity, number of tags) in one pass, and which is better.
+
+    Many frames have a mean distance of 2, 3 or 4 but for rounding, so distances are added in the order of the table's rows;
+    as they arrive, a frame's band would change from run to run.
+    """
+    whole = Window.partitionBy("frame_id", "residual_raw").orderBy("file", "row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = A.frames(spark, sf).join(A.tags(spark, sf, place=True), "frame_id").withColumn("md", F.avg("dist").over(whole))
+    rows = rows.groupBy("frame_id", "residual_raw").agg(F.first("md").alias("md"), F.max("ambiguity").alias("ma"), F.count("*").alias("c"), F.count_if(F.col("tag_id") > 16).alias("far"))
+    step = lambda c, *limits: sum((F.coalesce(F.col(c) >= x, F.lit(True)).cast("int") for x in limits), F.lit(0))
     rows = rows.select((F.col("residual_raw") / 100_000).alias("r"), step("md", 2, 3, 4).alias("d"), step("ma", 0.3, 0.5).alias("a"), F.least("c", F.lit(3)).alias("t"), F.when(F.col("far") * 2 < F.col("c"), "hub").otherwise("station").alias("grp"))
     return B.controlled(rows, ["d", "a", "t"], _LEVELS, "grp", ["hub", "station"], "r")
 
