@@ -2,7 +2,7 @@
 
 import os
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -51,3 +51,15 @@ def test_medians_on_a_rounding_limit_equal_sql(spark):
     rows = spark.createDataFrame([("hub", 1, 1.0256355), ("station", 1, 4.4940904999999995)], "grp string, d int, r double")
     (row,) = B.controlled(rows, ["d"], [("d",)], "grp", ["hub", "station"], "r").collect()
     assert (row.hub_median, row.station_median) == (1.025635, 4.494091)
+
+
+def test_percentiles_on_a_limit_equal_sql(spark, tmp_path):
+    # The dip is a fifth of the 95th percentile but for the last digit, on either side of it by how that is interpolated.
+    logs = [[low] * 5 + [dip] + [low] * 3 + [high] for low, high, dip in ((28.3, 32.3, 6.1), (29.9, 31.9, 6.2))]
+    logs += [[None] * 4, [5.0], [20.0] * 4 + [None, 20.0, 6.0] + [20.0] * 5, [20.0] * 5 + [6.0] + [20.0] * 30 + [float("inf")]]
+    rows = [(k * 12, i, v) for k, log in enumerate(logs) for i, v in enumerate(log)]
+    events = {"event_id": list(range(len(rows))), "user_id": [u for u, _, _ in rows], "event_type": ["click"] * len(rows), "value": pa.array([v for _, _, v in rows], pa.float64())}
+    events["ts"] = pa.array([datetime(2024, 1, 1) + timedelta(hours=i) for _, i, _ in rows], pa.timestamp("us"))
+    pq.write_table(pa.table(events), tmp_path / "events.parquet")
+    got, want = answers(spark, tmp_path, "throughput_launches")
+    assert got == want and {r[0] for r in want} == {1, 4, 5}
